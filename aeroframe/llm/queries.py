@@ -5,8 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pu_classifier, quality_rules, topk
-from .common import table
+from . import pu_classifier, quality_rules, sp_codec, token_binary, topk
+from .common import scratch, table
+
+
+def tokenizer(name: str) -> str:
+    """Path of a public tokenizer file of this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,16 +27,28 @@ def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(rows, rows.where("vec_id % 100 = 0"))
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = scratch(spark, "tokens")
+    manifest = token_binary.write_token_files(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), place)
+    return token_binary.read_token_files(manifest, place)
+
+
 def op7_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     net = pu_classifier.fit_classifier(documents, table(spark, sf_dir, "labels"))
     return pu_classifier.classify(documents, net)
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sp_codec.codec_digest(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_topk_search": op4_topk_search,
+    "op6_token_files": op6_token_files,
     "op7_pu_quality": op7_pu_quality,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 ORACLE_SQL = {
