@@ -71,7 +71,7 @@ class Net:
         return 1 / (1 + np.exp(-np.clip(self.logit(x).astype(np.float64), -30, 30)))
 
 
-def _fit(p: np.ndarray, u: np.ndarray, prior: float | None, steps: int, seed: int = 7, hidden: int = 16, batch: int = 512, rate: float = 3e-3, decay: float = 1e-4) -> Net:
+def _fit(p: np.ndarray, u: np.ndarray, prior: float | None, steps: int, seed: int = 7, hidden: int = 16, batch: int = 2048, rate: float = 3e-3, decay: float = 1e-4) -> Net:
     """With a prior: non-negative PU risk. Without one: plain positives against unlabelled."""
     rng = np.random.default_rng(seed)
     both = np.concatenate([p, u])
@@ -87,18 +87,19 @@ def _fit(p: np.ndarray, u: np.ndarray, prior: float | None, steps: int, seed: in
         a = np.tanh(x @ w[0] + w[1])
         z = a @ w[2] + w[3][0]
         s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        soft = lambda t: np.logaddexp(0, t)
         g = np.zeros(len(z), np.float32)
         if prior is None:
             g[:batch], g[batch:] = (s[:batch] - 1) / batch, s[batch:] / batch
         else:
-            negative = soft(z[batch:]).mean() - prior * soft(z[:batch]).mean()
+            # sigmoid loss: it is bounded, so the estimate of the negative risk is steady
+            negative = s[batch:].mean() - prior * s[:batch].mean()
+            slope = s * (1 - s)
             # gradient of R_U(-) - prior * R_P(-), ascended where the estimate went below zero
             turn = 1.0 if negative >= 0 else -1.0
-            g[batch:] = turn * s[batch:] / batch
-            g[:batch] = -turn * prior * s[:batch] / batch
+            g[batch:] = turn * slope[batch:] / batch
+            g[:batch] = -turn * prior * slope[:batch] / batch
             if negative >= 0:
-                g[:batch] += prior * (s[:batch] - 1) / batch
+                g[:batch] -= prior * slope[:batch] / batch
         da = np.outer(g, w[2]) * (1 - a * a)
         grads = [x.T @ da + decay * w[0], da.sum(axis=0), a.T @ g + decay * w[2], np.array([g.sum()])]
         lr = rate * min(1.0, 2 * (1 - step / (steps + 1)))
