@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pu_classifier, quality_rules, sp_codec, token_binary, topk
+from . import html_extract, pu_classifier, quality_rules, sp_codec, token_binary, topk
 from .common import scratch, table
 
 
@@ -16,6 +16,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     forest = quality_rules.fit_rules(documents, table(spark, sf_dir, "labels"))
@@ -44,6 +48,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_main_text": op1_html_main_text,
     "op3_quality_rules": op3_quality_rules,
     "op4_topk_search": op4_topk_search,
     "op6_token_files": op6_token_files,
