@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, pu_classifier, quality_rules, sp_codec, token_binary, topk
+from . import html_extract, packing, pu_classifier, quality_rules, sp_codec, token_binary, topk
 from .common import scratch, table
 
 
@@ -43,6 +43,10 @@ def op7_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_classifier.classify(documents, net)
 
 
+def op9_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_codec.codec_digest(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
@@ -53,6 +57,7 @@ QUERIES = {
     "op4_topk_search": op4_topk_search,
     "op6_token_files": op6_token_files,
     "op7_pu_quality": op7_pu_quality,
+    "op9_bm25_packing": op9_bm25_packing,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
