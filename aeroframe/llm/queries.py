@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, packing, pu_classifier, quality_rules, sp_codec, token_binary, topk
+from . import html_extract, ngram_join, packing, pu_classifier, quality_rules, sp_codec, token_binary, topk
 from .common import scratch, table
 
 
@@ -31,6 +31,10 @@ def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(rows, rows.where("vec_id % 100 = 0"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = scratch(spark, "tokens")
     manifest = token_binary.write_token_files(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), place)
@@ -55,6 +59,7 @@ QUERIES = {
     "op1_html_main_text": op1_html_main_text,
     "op3_quality_rules": op3_quality_rules,
     "op4_topk_search": op4_topk_search,
+    "op5_ngram_join": op5_ngram_join,
     "op6_token_files": op6_token_files,
     "op7_pu_quality": op7_pu_quality,
     "op9_bm25_packing": op9_bm25_packing,
