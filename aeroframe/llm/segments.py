@@ -16,6 +16,8 @@ import pyarrow as pa
 from . import common as c
 
 _SPACE = 0x20
+#: Segments that go to the tokenizer in one text.
+FENCED = 128
 
 
 def _doc_starts(n: int, offsets: np.ndarray) -> np.ndarray:
@@ -67,21 +69,29 @@ def cut_before_gap(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class SegmentEncoder:
-    """Ids of texts through a bounded cache of segment ids, kept for the life of a worker."""
+    """Ids of texts through a bounded cache of segment ids, kept for the life of a worker.
 
-    def __init__(self, cutter: Callable, encode: Callable[[list[bytes]], Sequence[Sequence[int]]], most: int = 500_000) -> None:
+    The cache is a few numpy arrays ordered by a 64-bit hash of the segment, with a
+    second, independent hash beside it: should the first ever collide, the slice is
+    encoded without the cache. So a worker remembers millions of segments without a
+    Python object for each.
+    """
+
+    def __init__(self, cutter: Callable, encode: Callable[[list[bytes]], Sequence[Sequence[int]]], most: int = 2_000_000) -> None:
         self.cutter, self.encode, self.most = cutter, encode, most
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[bytes, int] = {}
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int32))
+        self.levels = [none, none]  # (hash, check, row), both ordered by hash; the second is small and new
         self.ids, self.n_ids = np.zeros(1 << 16, np.int32), 0
-        self.start, self.length, self.n = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
+        self.start, self.length, self.n = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32), 0
 
-    def _learn(self, new: list[bytes]) -> None:
+    def _learn(self, new: list[bytes], key: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """Rows of new segments."""
         got = self.encode(new)
         lengths = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((i for x in got for i in x), np.int32, int(lengths.sum()))
+        flat = np.concatenate([np.asarray(x, np.int32) for x in got]) if got else np.zeros(0, np.int32)
         while self.n_ids + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while self.n + len(got) > len(self.start):
@@ -89,10 +99,45 @@ class SegmentEncoder:
         self.ids[self.n_ids : self.n_ids + len(flat)] = flat
         self.length[self.n : self.n + len(got)] = lengths
         self.start[self.n : self.n + len(got)] = self.n_ids + np.cumsum(lengths) - lengths
-        for k, x in enumerate(new):
-            self.known[x] = self.n + k
+        rows = np.arange(self.n, self.n + len(got), dtype=np.int32)
         self.n += len(got)
         self.n_ids += len(flat)
+        self.levels[1] = self._merge(self.levels[1], (key, check, rows))
+        if len(self.levels[1][0]) > max(1 << 15, len(self.levels[0][0]) >> 3):
+            none = tuple(x[:0] for x in self.levels[1])
+            self.levels = [self._merge(*self.levels), none]
+        return rows
+
+    @staticmethod
+    def _merge(a: tuple, b: tuple) -> tuple:
+        order = np.argsort(keys := np.concatenate([a[0], b[0]]), kind="stable")
+        return keys[order], np.concatenate([a[1], b[1]])[order], np.concatenate([a[2], b[2]])[order]
+
+    def _rows(self, raw: np.ndarray, cuts: np.ndarray, ends: np.ndarray) -> np.ndarray | None:
+        """The cache row of every segment, or None if two different ones have the same hash."""
+        key, check = c.span_hashes(raw, cuts, ends), c.span_checks(raw, cuts, ends)
+        coded = pa.array(key).dictionary_encode()
+        index, kinds = np.asarray(coded.indices), np.asarray(coded.dictionary)
+        if self.n + len(kinds) > self.most and self.n:
+            self._clear()
+        first = np.empty(len(kinds), np.int64)
+        first[index[::-1]] = np.arange(len(index) - 1, -1, -1)
+        own = check[first]
+        if (own[index] != check).any():
+            return None
+        row = np.full(len(kinds), -1, np.int32)
+        for known, checks, rows in self.levels:
+            if len(known):
+                at = np.minimum(np.searchsorted(known, kinds), len(known) - 1)
+                hit = known[at] == kinds
+                if (checks[at[hit]] != own[hit]).any():
+                    return None
+                row[hit] = rows[at[hit]]
+        if len(new := np.flatnonzero(row < 0)):
+            data = raw.tobytes()
+            where = first[new]
+            row[new] = self._learn([data[x:y] for x, y in zip(cuts[where].tolist(), ends[where].tolist(), strict=True)], kinds[new], own[new])
+        return row[index]
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and n + 1 offsets into them. ``texts``: large_string without nulls."""
@@ -100,17 +145,15 @@ class SegmentEncoder:
         if not len(raw):
             return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
         cuts = np.flatnonzero(self.cutter(raw, offsets)[:-1])
-        ends = np.append(cuts, len(raw)).astype(np.int64)
-        spans = pa.Array.from_buffers(pa.large_binary(), len(cuts), [None, pa.py_buffer(ends), pa.py_buffer(raw)])
-        coded = spans.dictionary_encode()
-        kinds = coded.dictionary.to_pylist()
-        if self.n + len(kinds) > self.most and self.n:
-            self._clear()
-        if new := [x for x in kinds if x not in self.known]:
-            self._learn(new)
-        row = np.fromiter((self.known[x] for x in kinds), np.int64, len(kinds))[np.asarray(coded.indices)]
-        length = self.length[row]
-        flat = self.ids[np.repeat(self.start[row], length) + c.ragged(length)]
+        ends = np.append(cuts[1:], len(raw))
+        row = self._rows(raw, cuts, ends)
+        if row is None:
+            data = raw.tobytes()
+            got = self.encode([data[x:y] for x, y in zip(cuts.tolist(), ends.tolist(), strict=True)])
+            length, flat = np.fromiter(map(len, got), np.int64, len(got)), np.concatenate([np.asarray(x, np.int32) for x in got])
+        else:
+            length = self.length[row].astype(np.int64)
+            flat = self.ids[np.repeat(self.start[row], length) + c.ragged(length)]
         sums = np.concatenate([[0], np.cumsum(length)])
         return flat, sums[np.searchsorted(cuts, offsets, side="left")]
 
@@ -127,11 +170,25 @@ def library_encoder(path: str, cutter: Callable) -> SegmentEncoder:
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
         t.no_padding(), t.no_truncation()
-
-        def encode(parts: list[bytes]) -> list[list[int]]:
-            return [e.ids for e in t.encode_batch_fast([x.decode("utf-8") for x in parts], add_special_tokens=False)]
+        plain = Tokenizer.from_file(path)
+        plain.encode_special_tokens = True
+        plain.no_padding(), plain.no_truncation()
+        fence = "<|endoftext|>"
+        stop, marks = t.token_to_id(fence), [x.content for x in t.get_added_tokens_decoder().values()]
+
+        def encode(parts: list[bytes]) -> list:
+            """Ids of each part. Many parts go to the library as one text, fenced by a special token,
+            which it never joins with its neighbours; parts that hold such a token go one by one."""
+            texts = [x.decode("utf-8") for x in parts]
+            joined = "\n".join(texts)
+            if stop is None or any(m in joined for m in marks):
+                return [e.ids for e in plain.encode_batch_fast(texts, add_special_tokens=False)]
+            got = t.encode_batch_fast([fence.join(texts[k : k + FENCED]) for k in range(0, len(texts), FENCED)], add_special_tokens=False)
+            flat = np.concatenate([np.array([*e.ids, stop], np.int32) for e in got])
+            ends = np.flatnonzero(flat == stop)
+            starts = np.concatenate([[0], ends[:-1] + 1])
+            return [flat[x:y] for x, y in zip(starts.tolist(), ends.tolist(), strict=True)]
 
         _encoders[key] = SegmentEncoder(cutter, encode)
     return _encoders[key]

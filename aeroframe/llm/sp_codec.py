@@ -210,7 +210,7 @@ _models: dict[str, tuple[PieceModel, segments.SegmentEncoder]] = {}
 def codec(path: str) -> tuple[PieceModel, segments.SegmentEncoder]:
     if path not in _models:
         model = PieceModel.load(path)
-        _models[path] = (model, segments.SegmentEncoder(segments.cut_before_gap, lambda parts: [model.segment(x.decode("utf-8").replace(" ", MARK)) for x in parts], 300_000))
+        _models[path] = (model, segments.SegmentEncoder(segments.cut_before_gap, lambda parts: [model.segment(x.decode("utf-8").replace(" ", MARK)) for x in parts]))
     return _models[path]
 
 
