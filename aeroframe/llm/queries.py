@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, ngram_join, packing, pu_classifier, quality_rules, sp_codec, token_binary, topk
+from . import html_extract, ngram_join, packing, pu_classifier, quality_rules, sp_codec, substring_dedup, token_binary, topk
 from .common import scratch, table
 
 
@@ -47,6 +47,10 @@ def op7_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_classifier.classify(documents, net)
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.passages(table(spark, sf_dir, "documents"))
+
+
 def op9_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -62,6 +66,7 @@ QUERIES = {
     "op5_ngram_join": op5_ngram_join,
     "op6_token_files": op6_token_files,
     "op7_pu_quality": op7_pu_quality,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_bm25_packing": op9_bm25_packing,
     "op10_sentencepiece": op10_sentencepiece,
 }
