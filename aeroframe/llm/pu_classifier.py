@@ -30,6 +30,8 @@ TRIGRAMS = 64
 #: Rows whose crc32(doc_id) modulo this is 0 are held out of learning.
 FOLDS = 5
 PREDICT_AT = 0.3
+#: From this upper bound of the class prior on, unlabelled text counts as free of negatives.
+ALL_GOOD = 0.985
 
 WIDTH = len(rules.FEATURES) + TRIGRAMS
 
@@ -114,27 +116,37 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     """Share of positives among the unlabelled, from scores on rows not fitted on.
 
     For a threshold t, q_U(t) >= prior * q_P(t), with equality where no negative
-    scores above t; so the smallest ratio of upper tails, each with a margin for
-    its sampling error, bounds the prior from above.
+    scores above t; so the smallest ratio of upper tails bounds the prior from
+    above. Text that holds hardly a negative is told from the bound with two
+    standard errors: where that reaches ALL_GOOD the estimate is 1, as anything less
+    would reject good documents.
     """
     grid = np.quantile(positive, np.linspace(0.0, 0.95, 60))
     qp = np.array([(positive >= t).mean() for t in grid])
     qu = np.array([(unlabelled >= t).mean() for t in grid])
-    margin = np.sqrt(np.log(40) / 2) * (1 / np.sqrt(len(unlabelled)) + 1 / np.sqrt(len(positive)))
-    k = int(np.argmin((qu + margin) / np.maximum(qp, 1e-9)))
-    return float(np.clip(qu[k] / max(qp[k], 1e-9), 0.05, 0.98))
+    ratio = qu / np.maximum(qp, 1e-9)
+    error = np.sqrt(qu * (1 - qu) / len(unlabelled) + ratio**2 * qp * (1 - qp) / len(positive))
+    if ((qu + 2 * error) / np.maximum(qp, 1e-9)).min() >= ALL_GOOD:
+        return 1.0
+    return float(np.clip(ratio.min(), 0.05, 1.0))
 
 
 def fit(p: np.ndarray, u: np.ndarray, seed: int = 7) -> Net:
     """Estimate the class prior on held-back halves, then minimise the non-negative PU risk."""
-    if not len(p) or not len(u):  # nothing to learn from: every text gets the score 1/2
+    def constant(prior: float) -> Net:
         z = np.zeros
-        return Net(z(WIDTH), np.ones(WIDTH), z((WIDTH, 1), np.float32), z(1, np.float32), z(1, np.float32), z(1, np.float32))
+        odds = np.log(max(prior, 1e-3) / max(1 - prior, 1e-3))
+        return Net(z(WIDTH), np.ones(WIDTH), z((WIDTH, 1), np.float32), z(1, np.float32), z(1, np.float32), np.array([odds], np.float32), prior)
+
+    if not len(p) or not len(u):  # nothing to learn from
+        return constant(0.5)
     order = np.lexsort(p.T[::-1])
     p = p[order]
     u = u[np.lexsort(u.T[::-1])]
     first = _fit(p[::2], u[::2], None, 400, seed)
     prior = estimate_prior(first.logit(p[1::2] if len(p) > 1 else p), first.logit(u[1::2] if len(u) > 1 else u))
+    if prior >= 1:  # no sign of a negative among the unlabelled: every text gets the same, high score
+        return constant(prior)
     net = _fit(p, u, prior, 2500, seed)
     net.prior = prior
     return net
