@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, ngram_join, packing, pu_classifier, quality_rules, sp_codec, substring_dedup, token_binary, topk
+from . import html_extract, license_scan, ngram_join, packing, pu_classifier, quality_rules, sp_codec, substring_dedup, token_binary, topk
 from .common import scratch, table
 
 
@@ -20,6 +20,10 @@ def op1_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     forest = quality_rules.fit_rules(documents, table(spark, sf_dir, "labels"))
@@ -61,6 +65,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_html_main_text": op1_html_main_text,
+    "op2_license_scan": op2_license_scan,
     "op3_quality_rules": op3_quality_rules,
     "op4_topk_search": op4_topk_search,
     "op5_ngram_join": op5_ngram_join,
