@@ -31,6 +31,8 @@ THRESHOLD = 0.8
 TREES, PATH, RECALL = 20, 8, 0.9999
 #: Texts and shingles of a block, about.
 BLOCK_TEXTS, BLOCK_SHINGLES = 1024, 1 << 20
+#: Rows of candidates (40 bytes each) that are broadcast to the texts, at most; beyond that the texts are shuffled.
+BROADCAST_ROWS = 400_000
 
 
 def prefix_length(threshold: float = THRESHOLD, trees: int = TREES, path: int = PATH, recall: float = RECALL) -> int:
@@ -229,7 +231,8 @@ def ngram_join(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     parts = parts.select("label", F.greatest(F.ceil(F.col("texts") / BLOCK_TEXTS), F.ceil(F.col("total") / BLOCK_SHINGLES), F.lit(1)).cast("int").alias("blocks"))
     placed = active.join(parts, "label").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     texts = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).dropDuplicates(["doc_id"]) if _repeats(documents) else documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    loaded = texts.join(placed, "doc_id")
+    placed = c.stash(placed.select("doc_id", "label", "blocks", "block", "copies"), "placed")
+    loaded = texts.join(F.broadcast(placed) if c.small_enough(placed, BROADCAST_ROWS) else placed, "doc_id")
     tiles = loaded.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tiles = tiles.select("label", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "doc_id", "copies", "text")
 
@@ -266,5 +269,5 @@ def _repeats(documents: DataFrame) -> bool:
 
 def keep_one(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``documents`` that stand for their class: the one with the smallest doc_id of each."""
-    best = ngram_join(documents, threshold).where("class_id = doc_id").select("doc_id")
-    return documents.join(best, "doc_id", "left_semi").select(*documents.columns)
+    rest = c.stash(ngram_join(documents, threshold).where("class_id <> doc_id").select("doc_id"), "duplicates")
+    return documents.join(F.broadcast(rest) if c.small_enough(rest, BROADCAST_ROWS) else rest, "doc_id", "left_anti").select(*documents.columns)
