@@ -2,5 +2,29 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable:
+    """Register a query function, with the SQL it is held against where there is one."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def rounded(columns: dict[str, int | None]) -> list[str]:
+    """Select expressions: doubles rounded (and -0.0 made 0.0), others as they are."""
+    return [k if d is None else f"round({k}, {d}) + 0e0 as {k}" for k, d in columns.items()]
+
+
+from . import queries_geometry, queries_io, queries_scalar, queries_terrain, queries_tracks  # noqa: E402,F401
