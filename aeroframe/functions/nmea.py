@@ -25,7 +25,10 @@ def parsed(df: DataFrame, sentence: str = "sentence") -> DataFrame:
     df = df.withColumn("f", F.split(body, ","))
     head = F.col("f")[0]
     kind = F.when((head == "PTNL") & (F.get("f", F.lit(1)) == "GGK"), "GGK").when((F.length(head) >= 5) & F.substring(head, F.lit(3), F.length(head)).isin("GGA", "RMC"), F.substring(head, F.lit(3), F.length(head)))
-    return df.withColumn("kind", F.when(F.col("valid"), kind))
+    df = df.withColumn("kind", F.when(F.col("valid"), kind))
+    # a generator between parsing and its many uses: projections are not merged across it, so a sentence is split once
+    rest = [x for x in df.columns if x not in ("valid", "f", "kind")]
+    return df.select(*rest, F.explode(F.array(F.struct("valid", "f", "kind"))).alias("_p")).select(*rest, "_p.valid", "_p.f", "_p.kind")
 
 
 def field(i: int) -> Column:
