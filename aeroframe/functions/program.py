@@ -19,6 +19,22 @@ def num(x: float) -> str:
     return f"({text})" if x < 0 else text
 
 
+#: Programs of this many stages are fenced off from what follows them.
+LONG = 8
+
+
+def fence(df: DataFrame, computed: list[str]) -> DataFrame:
+    """The same rows, with ``computed`` as plain columns to the optimizer.
+
+    A generator over one-element arrays: later projections, filters and inferred
+    constraints see columns here instead of the long expressions behind them, which
+    they would otherwise copy at every use.
+    """
+    rest = [x for x in df.columns if x not in computed]
+    made = df.select(*rest, F.explode(F.array(F.struct(*computed))).alias("_fenced"))
+    return made.select(*(F.col(f"_fenced.{x}").alias(x) if x in computed else F.col(x) for x in df.columns))
+
+
 class Program:
     def __init__(self, *stages: dict[str, str]) -> None:
         self.stages = list(stages)
@@ -37,7 +53,8 @@ class Program:
     def apply(self, df: DataFrame) -> DataFrame:
         for stage in self.stages:
             df = df.withColumns({k: F.expr(v) for k, v in stage.items()})
-        return df.drop(*self.scratch) if self.scratch else df
+        df = df.drop(*self.scratch) if self.scratch else df
+        return fence(df, [k for k in self.names if k not in self.scratch]) if len(self.stages) >= LONG else df
 
     def sql(self, source: str) -> str:
         """SELECT text over ``source`` (a SELECT)."""
