@@ -1 +1,162 @@
-"""x"""
+"""Queries of sources, sinks and streams."""
+
+from __future__ import annotations
+
+import json
+import tempfile
+import uuid
+from functools import lru_cache
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..sources import exports, gpkg, vector
+from ..streaming import telemetry
+from . import domain as d
+from . import queries_tracks as t
+from .queries_geometry import _GRID_SQL, _edges_sql, grid, polygons
+from .registry import ORACLE_SQL, query
+
+
+@lru_cache(maxsize=1)
+def _local() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="aeroframe-")
+
+
+def folder(spark: SparkSession) -> str:
+    """A fresh folder in the one named by spark.checkpoint.dir (a temporary one where that is unset)."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or _local()).rstrip("/") + "/aeroframe-" + uuid.uuid4().hex[:12]
+
+
+def waypoints(spark: SparkSession, sf_dir: str, datum: str) -> DataFrame:
+    return grid(spark, sf_dir).selectExpr("plan_id", "line_index", "wp_index", "lat", "lon", "msl as alt", f"'{datum}' as datum", "line_index % 3 = 2 as transit", "5e-2 as gsd", "30e0 as side_pct", "60e0 as end_pct", "photo_interval", "line_spacing")
+
+
+# ---------------------------------------------------------------- GeoPackage blobs
+
+
+@query(
+    "snk_05_07_geometry_blobs",
+    f"select plan_id, cast(line_index as integer) as line_index, cast(8 + 48 + 9 + count(*) * 24 as integer) as n_bytes, round(min(lon), 7) + 0e0 as min_x, round(max(lon), 7) + 0e0 as max_x, round(min(lat), 7) + 0e0 as min_y, round(max(lat), 7) + 0e0 as max_y, false as is_empty from ({_GRID_SQL}) group by plan_id, line_index",
+)
+def geometry_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gpkg.register_functions(spark)
+    rows = gpkg.encode_lines(waypoints(spark, sf_dir, "EGM2008"), ["plan_id", "line_index"])
+    return rows.selectExpr("plan_id", "line_index", "length(geom) as n_bytes", "round(st_minx(geom), 7) + 0e0 as min_x", "round(st_maxx(geom), 7) + 0e0 as max_x", "round(st_miny(geom), 7) + 0e0 as min_y", "round(st_maxy(geom), 7) + 0e0 as max_y", "st_isempty(geom) as is_empty")
+
+
+@query("snk_04_06_blob_bytes", "select * from (values ('empty_point', '" + gpkg.EMPTY_POINT.hex() + "'), ('line', '47500003e6100000000000000000f03f0000000000000840000000000000004000000000000010400102000000020000000000" + "00000000f03f000000000000004000000000000008400000000000001040')) as b(name, bytes)")
+def blob_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([("empty_point", bytearray(gpkg.EMPTY_POINT)), ("line", bytearray(gpkg.linestring([(1.0, 2.0), (3.0, 4.0)])))], "name string, b binary").select("name", F.lower(F.hex("b")).alias("bytes"))
+
+
+@query("src_10_12_snk_01_03_gpkg_round_trip", f"select cast(line_index as bigint) as line_index, 'EGM2008' as altitude_datum, 0e0 as completion_pct, count(*) as points from ({_GRID_SQL}) where plan_id = 7 group by line_index")
+def gpkg_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write plan 7 as a GeoPackage and read it back. SQLite needs a path that is a local file to the driver and tasks."""
+    spark.dataSource.register(gpkg.GpkgDataSource)
+    path = folder(spark).removeprefix("file://") + ".gpkg"
+    lines = gpkg.encode_lines(waypoints(spark, sf_dir, "EGM2008").where("plan_id = 7"), ["line_index"]).withColumn("altitude_datum", F.lit("EGM2008"))
+    lines.select("line_index", "altitude_datum", "geom").write.format("gpkg").mode("overwrite").save(path)
+
+    @F.pandas_udf("long")
+    def points(blobs: pd.Series) -> pd.Series:
+        return blobs.map(lambda b: len(gpkg.parse_linestring(bytes(b))))
+
+    return spark.read.format("gpkg").load(path).select("line_index", "altitude_datum", "completion_pct", points("geom").alias("points"))
+
+
+# ---------------------------------------------------------------- exports
+
+
+@query("snk_11_18_geojson", f"select plan_id, cast(count(distinct line_index) as bigint) as features, count(*) as points, 'EGM2008' as datum, true as warned from ({_GRID_SQL}) group by plan_id")
+def geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = exports.geojson(waypoints(spark, sf_dir, "EGM2008"), used_dem=True)
+    v = F.from_json("document", "altitude_datum string, safety_warning string, features array<struct<geometry: struct<coordinates: array<array<double>>>>>")
+    count = F.aggregate(v["features"], F.lit(0).cast("long"), lambda a, f: a + F.size(f["geometry"]["coordinates"]))
+    return docs.select("plan_id", F.size(v["features"]).cast("long").alias("features"), count.alias("points"), v["altitude_datum"].alias("datum"), v["safety_warning"].isNotNull().alias("warned"))
+
+
+@query(
+    "snk_12_qgc_items",
+    f"""select plan_id, cast(row_number() over (partition by plan_id order by line_index, wp_index, pos) as integer) as seq, case pos when 1 then 16 else 206 end as command, case pos when 1 then 3 else 2 end as frame, round(case pos when 1 then lat when 0 then 25e0 else 0e0 end, 7) as value
+from (select plan_id, line_index, wp_index, lat, n_wp, unnest([0, 1, 2]) as pos from ({_GRID_SQL}))
+where pos = 1 or (line_index % 3 <> 2 and ((pos = 0 and wp_index = 0) or (pos = 2 and wp_index = n_wp - 1)))""",
+)
+def qgc_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = exports.qgc_items(waypoints(spark, sf_dir, "AGL"), 25.0)
+    return items.select("plan_id", "seq", "command", "frame", F.round(F.when(F.col("command") == 16, F.col("params")[4]).otherwise(F.col("params")[0]), 7).alias("value"))
+
+
+@query("snk_12_qgc_plan", f"select plan_id, cast(count(*) + 2 * count(distinct line_index) filter (line_index % 3 <> 2) as bigint) as items, true as parses from ({_GRID_SQL}) group by plan_id")
+def qgc_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.from_json("document", "fileType string, mission struct<items: array<struct<command: int>>>")
+    return exports.qgc(waypoints(spark, sf_dir, "AGL"), 25.0).select("plan_id", F.size(v["mission"]["items"]).cast("long").alias("items"), (v["fileType"] == "Plan").alias("parses"))
+
+
+@query("snk_12_qgc_refusals", "select cast(n_nationkey as bigint) as plan_id, case when n_nationkey % 3 = 0 then 'OK' when n_nationkey % 3 = 1 then 'WRONG_DATUM' else 'MIXED_DATUM' end as status from nation")
+def qgc_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    datum = "case plan_id % 3 when 0 then 'AGL' when 1 then 'EGM2008' else case when line_index = 0 then 'AGL' else 'EGM96' end end"
+    return exports.qgc_status(waypoints(spark, sf_dir, "AGL").withColumn("datum", F.expr(datum))).select("plan_id", "status")
+
+
+@query("snk_13_dji_parts", f"select plan_id, count(*) as placemarks, cast(count(distinct line_index) filter (line_index % 3 <> 2) as bigint) as action_groups from ({_GRID_SQL}) group by plan_id")
+def dji(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = exports.dji_parts(waypoints(spark, sf_dir, "EGM96"))
+    return parts.select("plan_id", F.regexp_count("waylines", F.lit("<Placemark>")).cast("long").alias("placemarks"), F.regexp_count("waylines", F.lit("<wpml:actionGroup>")).cast("long").alias("action_groups"))
+
+
+@query("snk_13_dji_archives")
+def dji_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exports.dji_archives(waypoints(spark, sf_dir, "EGM96")).select("plan_id", F.length("archive").alias("n_bytes"))
+
+
+@query("snk_14_summary_estimate", f"select plan_id, lines, points, round(distance_m, 4) as distance_m, round(distance_m / 12 + 30 * lines, 4) as time_s from (select *, points * i + (lines - 1) * s as distance_m from (select plan_id, count(distinct line_index) as lines, count(*) as points, max(photo_interval) as i, max(line_spacing) as s from ({_GRID_SQL}) group by plan_id))")
+def summary_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = exports.summary(waypoints(spark, sf_dir, "AGL"), "photo_interval", "line_spacing")
+    return s.select("plan_id", "lines", "points", F.round("distance_m", 4).alias("distance_m"), F.round("time_s", 4).alias("time_s"))
+
+
+# ---------------------------------------------------------------- vector sources
+
+
+@query("src_08_09_geojson_rings", f"select plan_id, ring, ring = 1 as is_hole, count(*) as vertices, round(sum(y1), 6) as sum_lat from ({_edges_sql()}) group by plan_id, ring")
+def geojson_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ring = lambda r: F.transform(r, lambda v: F.array(v["lon"], v["lat"]))
+    shape = F.to_json(F.struct(F.lit("Polygon").alias("type"), F.concat(F.array(ring(F.col("exterior"))), F.transform("holes", ring)).alias("coordinates")))
+    texts = polygons(spark, sf_dir).select("plan_id", F.concat(F.lit('{"type": "FeatureCollection", "features": [{"type": "Feature", "geometry": {"type": "GeometryCollection", "geometries": ['), shape, F.lit("]}}]}")).alias("text"))
+    return vector.features_of_text(texts, "text", "geojson").groupBy("plan_id", "ring", "is_hole").agg(F.count("*").alias("vertices"), F.round(F.sum("lat"), 6).alias("sum_lat"))
+
+
+@query("src_06_07_kml_rings", f"select plan_id, ring, ring = 1 as is_hole, count(*) as vertices, round(sum(x1), 6) as sum_lon from ({_edges_sql()}) group by plan_id, ring")
+def kml_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ring = lambda r: F.array_join(F.transform(r, lambda v: F.format_string("%.9f,%.9f,0", v["lon"], v["lat"])), " ")
+    side = lambda name, r: F.concat(F.lit(f"<{name}><LinearRing><coordinates>"), ring(r), F.lit(f"</coordinates></LinearRing></{name}>"))
+    texts = polygons(spark, sf_dir).select("plan_id", F.concat(F.lit('<kml xmlns="http://www.opengis.net/kml/2.2"><Document><Placemark><Polygon>'), side("outerBoundaryIs", F.col("exterior")), side("innerBoundaryIs", F.col("holes")[0]), F.lit("</Polygon></Placemark></Document></kml>")).alias("text"))
+    return vector.features_of_text(texts, "text", "kml").groupBy("plan_id", "ring", "is_hole").agg(F.count("*").alias("vertices"), F.round(F.sum("lon"), 6).alias("sum_lon"))
+
+
+# ---------------------------------------------------------------- streams
+
+
+@query("stm_01_stream_epochs", ORACLE_SQL["stm_01_epochs"])
+def stream_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentences as a stream of files, in one micro-batch a few files."""
+    at = folder(spark)
+    t.sentences(spark, sf_dir).select("receiver", "seq", "sentence").repartitionByRange(4, "seq").write.parquet(at + "/in")
+    stream = spark.readStream.schema("receiver long, seq long, sentence string").parquet(at + "/in")
+    telemetry.run_available(telemetry.epochs(stream), at + "/out", at + "/checkpoint")
+    found = spark.read.parquet(at + "/out")
+    return found.select("receiver", "seq", "kind", "utc", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"), "alt", "alt_datum", "fix", F.round("ground_speed", 9).alias("ground_speed"), "course", "paired")
+
+
+@query("src_14_15_mock_telemetry", f"select value, vehicle, lat, lon from (select *, row_number() over (order by seq) - 1 as n from ({d.TELEMETRY.sql}) where seq < 50) join (select unnest(range(200)) as value) on value % 50 = n")
+def mock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """200 ticks over a loop of 50 waypoints (a batch of ticks stands in for the rate stream)."""
+    way = d.TELEMETRY.load(spark, sf_dir).where("seq < 50").selectExpr("seq as n", "50L as n_all", "vehicle", "lat", "lon")
+    return telemetry.mock_telemetry(spark.range(200).withColumnRenamed("id", "value"), way).select("value", "vehicle", "lat", "lon")
+
+
+def document(df: DataFrame, plan_id: int) -> dict:
+    """One exported document as Python data."""
+    return json.loads(df.where(F.col("plan_id") == plan_id).first().document)
