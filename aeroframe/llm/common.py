@@ -18,7 +18,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a worker holds as numpy arrays at once (longer single texts are taken whole).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+
+#: Bytes of an Arrow batch that goes to a Python worker, about.
+BATCH_BYTES = 4 << 20
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
@@ -68,7 +71,14 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def prepare(spark: SparkSession) -> None:
+    """Bound the Arrow batches between the JVM and Python workers by bytes; texts make the default ones very large."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the given folder, for operators that run on it."""
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -102,6 +112,21 @@ def slices(batch: pa.RecordBatch, name: str = "text", most: int = SLICE_BYTES) -
         at = stop
 
 
+def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The input batches of a task; once they end, memory that was freed goes back to the system.
+
+    Workers are reused by later stages, so what an allocator keeps would add up.
+    """
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    try:
+        import ctypes
+
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        pass
+
+
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a large_string array without nulls, and n + 1 offsets into them."""
     _, offs, data = texts.buffers()

@@ -181,7 +181,7 @@ def scan(documents: DataFrame, templates: list[tuple[str, str]] | None = None, c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not made:
             made.append(Library(list(templates), containment))
-        for batch in batches:
+        for batch in c.tidy(batches):
             for part in c.slices(batch):
                 if found := scan_slice(c.text_column(part, "text"), made[0]):
                     d, t, share, start, end = zip(*found, strict=True)

@@ -97,7 +97,7 @@ def signatures(g: np.ndarray, offs: np.ndarray, depth: int) -> np.ndarray:
 
 def _sign(documents: DataFrame, depth: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in c.tidy(batches):
             for part in c.slices(batch):
                 g, offs, key, _ = shingles(c.text_column(part, "text"))
                 sig = signatures(g, offs, depth).astype("<u8")

@@ -37,7 +37,7 @@ def tokenise(documents: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = segments.library_encoder(tokenizer, segments.cut_at_words)
-        for batch in batches:
+        for batch in c.tidy(batches):
             for part in c.slices(batch):
                 flat, offs = encoder(c.text_column(part, "text"))
                 n = np.diff(offs)
@@ -69,7 +69,7 @@ def frequencies(tokens: DataFrame) -> tuple[np.ndarray, int, float]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, np.int64)
         docs = length = 0
-        for batch in batches:
+        for batch in c.tidy(batches):
             for part in c.slices(batch, "ids", 1 << 20):
                 ids, offs = _ids(part)
                 n = np.diff(offs)
@@ -212,7 +212,7 @@ def pack(documents: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
             rows, packer.rows = packer.rows, []
             return pa.record_batch([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names)
 
-        for batch in batches:
+        for batch in c.tidy(batches):
             for part in c.slices(batch, "ids", SHARD_TOKENS * 2):
                 for k in range(0, part.num_rows, SHARD_DOCS):
                     shard = part.slice(k, SHARD_DOCS)

@@ -169,7 +169,7 @@ def sample(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tup
     chosen = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in c.tidy(batches):
             for part in c.slices(batch):
                 x = features(c.text_column(part, "text")).astype(np.float32)
                 yield pa.record_batch({"p": part.column("p"), "u": part.column("u"), "x": pa.array([r.tobytes() for r in x], pa.binary())})
@@ -187,7 +187,7 @@ def classify(documents: DataFrame, net: Net, at: float = PREDICT_AT) -> DataFram
     """Per document: doc_id, held_out, score and predicted, from its whole text (null: empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in c.tidy(batches):
             for part in c.slices(batch):
                 s = net.score(features(c.text_column(part, "text")))
                 yield pa.record_batch({"doc_id": part.column("doc_id"), "held_out": part.column("held_out"), "score": s, "predicted": (s >= at).astype(np.int32)})
@@ -200,7 +200,7 @@ def keep_quality(documents: DataFrame, net: Net, at: float = PREDICT_AT) -> Data
     """The rows predicted to be of good quality, with all their columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in c.tidy(batches):
             for part in c.slices(batch):
                 yield part.filter(pa.array(net.score(features(c.text_column(part, "text"))) >= at))
 

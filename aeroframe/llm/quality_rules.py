@@ -255,7 +255,7 @@ def labelled_features(documents: DataFrame, labels: DataFrame, compute, width: i
     chosen = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in c.tidy(batches):
             for part in c.slices(batch):
                 x = compute(c.text_column(part, "text")).astype(np.float32)
                 yield pa.record_batch({"y": part.column("quality").cast(pa.int32()), "x": pa.array([r.tobytes() for r in x], pa.binary())})
@@ -279,7 +279,7 @@ def quality_rules(documents: DataFrame, forest: Forest, keep_at: float = KEEP_AT
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in c.tidy(batches):
             for part in c.slices(batch):
                 s = statistics(c.text_column(part, "text"))
                 score = forest.probability(s.features)
@@ -307,7 +307,7 @@ def keep_good(documents: DataFrame, forest: Forest, keep_at: float = KEEP_AT) ->
     kind = documents.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in c.tidy(batches):
             for part in c.slices(batch):
                 s = statistics(c.text_column(part, "text"))
                 kept = ~s.base_failed & (forest.probability(s.features) >= keep_at)

@@ -77,25 +77,26 @@ class SegmentEncoder:
     Python object for each.
     """
 
-    def __init__(self, cutter: Callable, encode: Callable[[list[bytes]], Sequence[Sequence[int]]], most: int = 2_000_000) -> None:
+    def __init__(self, cutter: Callable, encode: Callable[[list[bytes]], Sequence[Sequence[int]]], ids: int, most: int = 1_500_000) -> None:
+        """``ids``: size of the vocabulary, which sets the width of stored ids."""
         self.cutter, self.encode, self.most = cutter, encode, most
+        self.kind = np.uint16 if ids <= 1 << 16 else np.uint32
         self._clear()
 
     def _clear(self) -> None:
         none = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int32))
         self.levels = [none, none]  # (hash, check, row), both ordered by hash; the second is small and new
-        self.ids, self.n_ids = np.zeros(1 << 16, np.int32), 0
-        self.start, self.length, self.n = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32), 0
+        self.ids, self.n_ids = np.zeros(1 << 16, self.kind), 0
+        self.start, self.length, self.n = np.zeros(1 << 14, np.uint32), np.zeros(1 << 14, np.uint32), 0
 
     def _learn(self, new: list[bytes], key: np.ndarray, check: np.ndarray) -> np.ndarray:
         """Rows of new segments."""
         got = self.encode(new)
         lengths = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.concatenate([np.asarray(x, np.int32) for x in got]) if got else np.zeros(0, np.int32)
-        while self.n_ids + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while self.n + len(got) > len(self.start):
-            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
+        flat = np.concatenate([np.asarray(x, self.kind) for x in got]) if got else np.zeros(0, self.kind)
+        grown = lambda x, n: x if n <= len(x) else np.concatenate([x, np.zeros(max(n - len(x), len(x) // 2), x.dtype)])
+        self.ids = grown(self.ids, self.n_ids + len(flat))
+        self.start, self.length = grown(self.start, self.n + len(got)), grown(self.length, self.n + len(got))
         self.ids[self.n_ids : self.n_ids + len(flat)] = flat
         self.length[self.n : self.n + len(got)] = lengths
         self.start[self.n : self.n + len(got)] = self.n_ids + np.cumsum(lengths) - lengths
@@ -143,17 +144,17 @@ class SegmentEncoder:
         """All ids of the texts, and n + 1 offsets into them. ``texts``: large_string without nulls."""
         raw, offsets = c.buffers(texts)
         if not len(raw):
-            return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
+            return np.zeros(0, self.kind), np.zeros(len(texts) + 1, np.int64)
         cuts = np.flatnonzero(self.cutter(raw, offsets)[:-1])
         ends = np.append(cuts[1:], len(raw))
         row = self._rows(raw, cuts, ends)
         if row is None:
             data = raw.tobytes()
             got = self.encode([data[x:y] for x, y in zip(cuts.tolist(), ends.tolist(), strict=True)])
-            length, flat = np.fromiter(map(len, got), np.int64, len(got)), np.concatenate([np.asarray(x, np.int32) for x in got])
+            length, flat = np.fromiter(map(len, got), np.int64, len(got)), np.concatenate([np.asarray(x, self.kind) for x in got])
         else:
             length = self.length[row].astype(np.int64)
-            flat = self.ids[np.repeat(self.start[row], length) + c.ragged(length)]
+            flat = self.ids[np.repeat(self.start[row].astype(np.int64), length) + c.ragged(length)]
         sums = np.concatenate([[0], np.cumsum(length)])
         return flat, sums[np.searchsorted(cuts, offsets, side="left")]
 
@@ -190,5 +191,5 @@ def library_encoder(path: str, cutter: Callable) -> SegmentEncoder:
             starts = np.concatenate([[0], ends[:-1] + 1])
             return [flat[x:y] for x, y in zip(starts.tolist(), ends.tolist(), strict=True)]
 
-        _encoders[key] = SegmentEncoder(cutter, encode)
+        _encoders[key] = SegmentEncoder(cutter, encode, t.get_vocab_size())
     return _encoders[key]

@@ -210,7 +210,7 @@ _models: dict[str, tuple[PieceModel, segments.SegmentEncoder]] = {}
 def codec(path: str) -> tuple[PieceModel, segments.SegmentEncoder]:
     if path not in _models:
         model = PieceModel.load(path)
-        _models[path] = (model, segments.SegmentEncoder(segments.cut_before_gap, lambda parts: [model.segment(x.decode("utf-8").replace(" ", MARK)) for x in parts]))
+        _models[path] = (model, segments.SegmentEncoder(segments.cut_before_gap, lambda parts: [model.segment(x.decode("utf-8").replace(" ", MARK)) for x in parts], len(model.pieces)))
     return _models[path]
 
 
@@ -230,7 +230,7 @@ def encode_documents(documents: DataFrame, model: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, encoder = codec(model)
-        for batch in batches:
+        for batch in c.tidy(batches):
             for part in c.slices(batch):
                 flat, offs = encode_texts(encoder, c.text_column(part, "text"))
                 yield pa.record_batch({"doc_id": part.column("doc_id"), "ids": pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(flat, pa.int32()))})
@@ -263,7 +263,7 @@ def codec_digest(documents: DataFrame, model: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, encoder = codec(model)
-        for batch in batches:
+        for batch in c.tidy(batches):
             for part in c.slices(batch):
                 texts = c.text_column(part, "text")
                 flat, offs = encode_texts(encoder, texts)

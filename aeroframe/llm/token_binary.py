@@ -184,7 +184,7 @@ def write_token_files(documents: DataFrame, tokenizer: str, out_dir: str, end_id
             return pa.record_batch({"part": pa.array([part], pa.int64()), "seq": pa.array([files - 1], pa.int64()), "file": [name[len(base) + 1 :]], "n_docs": pa.array([len(docs)], pa.int64()), "n_ids": pa.array([len(ids)], pa.int64()), "n_bytes": pa.array([len(data)], pa.int64())})
 
         size = 0
-        for batch in batches:
+        for batch in c.tidy(batches):
             for piece in c.slices(batch):
                 flat, offs = encoder(c.text_column(piece, "text"))
                 counts = np.diff(offs) + 1

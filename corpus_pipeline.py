@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from aeroframe.llm import ngram_join, packing, pu_classifier, quality_rules, substring_dedup
-from aeroframe.llm.common import scratch, table
+from aeroframe.llm.common import prepare, scratch, table
 from aeroframe.llm.queries import tokenizer
 
 
@@ -26,16 +26,19 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates: that with the smallest doc_id."""
+    prepare(spark)
     return ngram_join.keep_one(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that an earlier one holds."""
+    prepare(spark)
     return substring_dedup.remove_passages(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences that hold all that is left."""
+    prepare(spark)
     return packing.pack(docs, tokenizer("word_bpe_49k.json"))
 
 
