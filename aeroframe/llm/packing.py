@@ -38,7 +38,7 @@ def tokenise(documents: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = segments.library_encoder(tokenizer, segments.cut_at_words)
         for batch in c.tidy(batches):
-            for part in c.slices(batch):
+            for part in c.slices(batch, most=segments.SLICE_BYTES):
                 flat, offs = encoder(c.text_column(part, "text"))
                 n = np.diff(offs)
                 ids = np.full(len(flat) + len(n), end_id, kind)

@@ -117,7 +117,7 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
 
     For a threshold t, q_U(t) >= prior * q_P(t), with equality where no negative
     scores above t; so the smallest ratio of upper tails bounds the prior from
-    above. Text that holds hardly a negative is told from the bound with two
+    above. Text that holds hardly a negative is told from the bound with three
     standard errors: where that reaches ALL_GOOD the estimate is 1, as anything less
     would reject good documents.
     """
@@ -126,9 +126,9 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     qu = np.array([(unlabelled >= t).mean() for t in grid])
     ratio = qu / np.maximum(qp, 1e-9)
     error = np.sqrt(qu * (1 - qu) / len(unlabelled) + ratio**2 * qp * (1 - qp) / len(positive))
-    if ((qu + 2 * error) / np.maximum(qp, 1e-9)).min() >= ALL_GOOD:
-        return 1.0
-    return float(np.clip(ratio.min(), 0.05, 1.0))
+    upper = (qu + 3 * error) / np.maximum(qp, 1e-9)
+    k = int(np.argmin(upper))  # where the bound is tight, not where the ratio is low by chance
+    return 1.0 if upper[k] >= ALL_GOOD else float(np.clip(ratio[k], 0.05, 1.0))
 
 
 def fit(p: np.ndarray, u: np.ndarray, seed: int = 7) -> Net:

@@ -18,6 +18,8 @@ from . import common as c
 _SPACE = 0x20
 #: Segments that go to the tokenizer in one text.
 FENCED = 128
+#: Bytes of text that are cut into segments at once: the more, the more of them repeat.
+SLICE_BYTES = 4 << 20
 
 
 def _doc_starts(n: int, offsets: np.ndarray) -> np.ndarray:

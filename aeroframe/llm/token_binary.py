@@ -185,7 +185,7 @@ def write_token_files(documents: DataFrame, tokenizer: str, out_dir: str, end_id
 
         size = 0
         for batch in c.tidy(batches):
-            for piece in c.slices(batch):
+            for piece in c.slices(batch, most=segments.SLICE_BYTES):
                 flat, offs = encoder(c.text_column(piece, "text"))
                 counts = np.diff(offs) + 1
                 ids = np.full(len(flat) + len(counts), end_id, np.uint32)
