@@ -128,6 +128,10 @@ class SegmentEncoder:
         own = check[first]
         if (own[index] != check).any():
             return None
+        order = np.argsort(kinds)  # a sorted search walks the known hashes once, in order
+        kinds, own, first = kinds[order], own[order], first[order]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
         row = np.full(len(kinds), -1, np.int32)
         for known, checks, rows in self.levels:
             if len(known):
@@ -140,7 +144,7 @@ class SegmentEncoder:
             data = raw.tobytes()
             where = first[new]
             row[new] = self._learn([data[x:y] for x, y in zip(cuts[where].tolist(), ends[where].tolist(), strict=True)], kinds[new], own[new])
-        return row[index]
+        return row[place][index]
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and n + 1 offsets into them. ``texts``: large_string without nulls."""

@@ -16,6 +16,7 @@ Characters without a piece fall back to byte pieces.
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections.abc import Iterator
 
@@ -64,17 +65,36 @@ class PieceModel:
 
     def merged(self, s: str) -> list[int]:
         """BPE by its definition: join the adjacent pair whose piece scores best, leftmost first."""
-        parts = list(s)
-        while len(parts) > 1:
-            best, at = -np.inf, -1
-            for k in range(len(parts) - 1):
-                i = self.normal.get(parts[k] + parts[k + 1])
-                if i is not None and self.scores[i] > best:
-                    best, at = self.scores[i], k
-            if at < 0:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.normal.get(p, _UNKNOWN) for p in parts]
+        n = len(s)
+        end = list(range(1, n + 1))  # of the part that begins here; parts are linked both ways
+        before = list(range(-1, n - 1))
+        heap: list[tuple[float, int, int]] = []
+
+        def offer(a: int) -> None:
+            b = end[a]
+            if b < n and (i := self.normal.get(s[a : end[b]])) is not None:
+                heapq.heappush(heap, (-self.scores[i], a, end[b]))
+
+        alive = [True] * n
+        for a in range(n - 1):
+            offer(a)
+        while heap:
+            _, a, stop = heapq.heappop(heap)
+            b = end[a] if alive[a] else n
+            if b >= n or end[b] != stop:
+                continue  # one of the two has been joined since
+            alive[b] = False
+            end[a] = stop
+            if stop < n:
+                before[stop] = a
+            offer(a)
+            if before[a] >= 0:
+                offer(before[a])
+        out, a = [], 0
+        while a < n:
+            out.append(self.normal.get(s[a : end[a]], _UNKNOWN))
+            a = end[a]
+        return out
 
     def admits(self, a: int, b: int) -> bool:
         key = (a, b)
@@ -94,9 +114,7 @@ class PieceModel:
         """Ids of one segment (spaces already written as marks)."""
         n = len(s)
         if self.kind == "bpe" and n > 1 and s[0] == MARK and s[1] == MARK:
-            gap = n - len(s.lstrip(MARK))
-            if gap == n or n <= 64:
-                return self._bytes(s, self.merged(s))
+            return self._bytes(s, self.merged(s))
         last: list = [None] * (n + 1)
         begin = [0] * (n + 1)
         best = [-np.inf] * (n + 1)

@@ -39,10 +39,16 @@ _COUNT_OF = np.array([*COUNTS, 0, 1])
 FILE_IDS = 16 << 20
 
 
+_SMALL = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
+
+
 def _bits(x: np.ndarray) -> np.ndarray:
     """Bit lengths of uint64 values."""
     out = np.zeros(len(x), np.uint8)
-    if len(x) and int(x.max()) < 1 << 52:
+    top = int(x.max()) if len(x) else 0
+    if top < len(_SMALL):
+        return _SMALL[x]
+    if top < 1 << 52:
         return np.frexp(x.astype(np.float64))[1].astype(np.uint8)
     for s in (32, 16, 8, 4, 2, 1):
         big = x >= (np.uint64(1) << np.uint64(s))
@@ -69,9 +75,11 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
         m = widest[half].copy()
         m[:, : m.shape[1] - (k - half)] = np.maximum(widest[half][:, : m.shape[1] - (k - half)], widest[half][:, k - half :])
         widest[k] = m
-    selector = np.full(bits.shape, ESCAPE, np.uint8)
-    for s in range(len(COUNTS) - 1, -1, -1):
-        selector[widest[int(COUNTS[s])] <= WIDTHS[s]] = s
+    # what fits a selector fits all later ones, so the first that fits is how many do not
+    selector = np.zeros(bits.shape, np.uint8)
+    for s in range(len(COUNTS)):
+        selector += widest[int(COUNTS[s])] > WIDTHS[s]
+    selector[selector == len(COUNTS)] = ESCAPE
     length = np.minimum(BLOCK, n - BLOCK * np.arange(blocks)) if blocks else np.zeros(0, np.int64)
     at = np.zeros(blocks, np.int64)
     rows, cols, sels = [], [], []

@@ -259,6 +259,17 @@ def test_sentencepiece_equals_the_library(spark, clashing, corpus):
     assert back == {k: (t or "").replace("▁", " ") for k, t in corpus.items()}
 
 
+def test_long_runs_of_spaces():
+    import sentencepiece
+
+    path = tokenizer("piece_bpe_32k.model")
+    p = sentencepiece.SentencePieceProcessor(model_file=path)
+    _, encoder = sp_codec.codec(path)
+    texts = [" " * 3001 + "end of it", "a" + " " * 37 + "word" * 40, "\t" * 500, "ab" * 2000]
+    flat, offs = sp_codec.encode_texts(encoder, arrow(texts))
+    assert [flat[a:b].tolist() for a, b in zip(offs[:-1], offs[1:], strict=True)] == p.encode(texts)
+
+
 def test_unigram_viterbi_is_best():
     rng = random.Random(5)
     pieces = sorted({"".join(rng.choice("abc") for _ in range(rng.randrange(1, 5))) for _ in range(25)})
@@ -380,6 +391,15 @@ def test_fuzzy_passage_is_one(spark):
     assert abs(r.n_words - len(q)) <= 2 and r.identity > 0.93
 
 
+def test_two_passages_with_a_gap_between_are_found(spark):
+    rng = random.Random(11)
+    a, b = words(rng, 70), words(rng, 65)
+    docs = spark.createDataFrame([(1, " ".join(a + words(rng, 35) + b)), (2, " ".join(words(rng, 9) + a + words(rng, 35) + b))], "doc_id long, text string")
+    rows = substring_dedup.passages(docs).collect()
+    covered = sum(r.n_words for r in rows)
+    assert 130 <= covered <= 145 and all(r.identity >= 0.8 for r in rows)
+
+
 # ---------------------------------------------------------------- license scan
 
 
