@@ -505,6 +505,22 @@ def smooth_waypoints(bands: DataFrame, spacing: float, clearance: float) -> Data
     return bands.groupBy("profile").applyInPandas(run, "profile string, wp int, x double, alt double, terrain double")
 
 
+def spline_reports(bands: DataFrame, clearance: float, threshold: float = 0.05) -> DataFrame:
+    """Per profile: control points of the full and of the adaptive fit, largest curvature, control points lifted, and how many stay too low."""
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("k")
+        x, h = p.x.to_numpy(float), p.terrain.to_numpy(float)
+        points = np.stack([x, p.alt.to_numpy(float)], axis=1)
+        full, thin = Spline(points), Spline.adaptive(points, threshold)
+        floor = lambda q: np.interp(q, x, h) + clearance
+        lifted = full.lift(floor)
+        low = int((full.control[:, 1] < floor(full.control[:, 0]) - 1e-9).sum())
+        return pd.DataFrame({"profile": [p.profile.iloc[0]], "control_points": len(full.control), "adaptive_points": len(thin.control), "max_curvature": [float(full.curvature(np.linspace(0, 1, 1001)).max())], "lifted": lifted, "too_low": low})
+
+    return bands.groupBy("profile").applyInPandas(run, "profile string, control_points int, adaptive_points int, max_curvature double, lifted int, too_low int")
+
+
 # Amplitudes and wavelengths of the sinusoid sweep.
 SWEEP = ((10.0, 5000.0), (20.0, 2000.0), (30.0, 1000.0), (50.0, 500.0), (80.0, 300.0), (120.0, 200.0))
 

@@ -235,6 +235,11 @@ def smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return solvers.smooth_waypoints(solvers.elastic_bands(solvers.profiles(spark), clearance=50.0), spacing=50.0, clearance=50.0)
 
 
+@query("trj_04_06_spline_reports")
+def spline_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return solvers.spline_reports(solvers.elastic_bands(solvers.profiles(spark), clearance=50.0), clearance=50.0)
+
+
 @query("trj_09_sinusoid_sweep")
 def sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return solvers.sweep_metrics(spark, clearance=50.0)

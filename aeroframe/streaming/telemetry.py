@@ -77,6 +77,21 @@ def epochs(sentences: DataFrame, after: int = 20) -> DataFrame:
     return rows.groupBy("receiver").applyInPandasWithState(run, EPOCH, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def silent_receivers(epochs_seen: DataFrame, seconds: float = 3.0) -> DataFrame:
+    """A row for every receiver that sent nothing for ``seconds`` of processing time; it reports again after it spoke."""
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            last = state.get[0]
+            state.remove()
+            yield pd.DataFrame({"receiver": [key[0]], "last_seq": [last]})
+            return
+        state.update((int(max(f.seq.max() for f in frames)),))
+        state.setTimeoutDuration(int(seconds * 1000))
+
+    return epochs_seen.groupBy("receiver").applyInPandasWithState(run, "receiver long, last_seq long", "last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
 def mock_telemetry(ticks: DataFrame, waypoints: DataFrame, speed: float = 10.0) -> DataFrame:
     """A waypoint for each tick (a ``rate`` stream), over and over. ``waypoints`` has n (from 0), n_all and telemetry columns."""
     total = F.max("n_all")
