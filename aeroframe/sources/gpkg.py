@@ -173,6 +173,7 @@ class _Writer(DataSourceWriter):
     def commit(self, messages: list) -> None:
         rows = sorted((r for m in messages if m for r in m.rows), key=lambda r: r[0])
         temporary = self.path + ".writing"
+        os.makedirs(os.path.dirname(self.path) or ".", exist_ok=True)
         if os.path.exists(temporary):
             os.remove(temporary)
         db = create(temporary, self.table)
