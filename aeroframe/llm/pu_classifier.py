@@ -147,7 +147,7 @@ def fit(p: np.ndarray, u: np.ndarray, seed: int = 7) -> Net:
     prior = estimate_prior(first.logit(p[1::2] if len(p) > 1 else p), first.logit(u[1::2] if len(u) > 1 else u))
     if prior >= 1:  # no sign of a negative among the unlabelled: every text gets the same, high score
         return constant(prior)
-    net = _fit(p, u, prior, 2500, seed)
+    net = _fit(p, u, prior, 5000, seed)
     net.prior = prior
     return net
 
