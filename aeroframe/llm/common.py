@@ -162,7 +162,11 @@ def _power(which: str, n: int) -> np.ndarray:
 def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hashes of byte spans, from one running polynomial sum over the whole buffer."""
     sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _power("up", len(raw)), out=sums[1:])
+    x = raw.astype(np.uint64)
+    x += np.uint64(1)
+    x *= _power("up", len(raw))  # in place: these arrays set a worker's peak
+    np.cumsum(x, out=sums[1:])
+    del x
     down = _power("down", len(raw) + 1)
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
 
@@ -170,7 +174,10 @@ def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
 def span_checks(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Second 64-bit hashes of byte spans, independent of ``span_hashes``: a keyed byte table summed by place."""
     sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_TABLE[raw] * _power("up", len(raw)), out=sums[1:])
+    x = _TABLE[raw]
+    x *= _power("up", len(raw))
+    np.cumsum(x, out=sums[1:])
+    del x
     down = _power("down", len(raw) + 1)
     return (sums[end] - sums[start]) * down[start]
 
