@@ -400,6 +400,28 @@ def test_two_passages_with_a_gap_between_are_found(spark):
     assert 130 <= covered <= 145 and all(r.identity >= 0.8 for r in rows)
 
 
+def test_exact_passage_in_half_alike_surroundings_is_found(spark):
+    rng = random.Random(12)
+    p = [f"p{i}" for i in range(100)]
+    tail = [f"t{i}" for i in range(200)]
+    edited = [x if i % 5 < 3 else f"e{i}" for i, x in enumerate(tail)]
+    docs = spark.createDataFrame([(1, " ".join(words(rng, 20) + p + tail)), (2, " ".join(words(rng, 30) + p + edited))], "doc_id long, text string")
+    rows = substring_dedup.passages(docs).collect()
+    text = docs.where("doc_id = 2").first().text.encode()
+    a, b = text.index(b"p0 "), text.index(b"p99") + 3
+    assert any(r.start <= a and b <= r.end for r in rows) and all(r.identity >= 0.8 for r in rows)
+
+
+def test_good_spans_are_longest():
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        hit = (rng.uniform(size=60) < rng.uniform(0.5, 0.9)).astype(int)
+        path = np.stack([np.ones(60, int), np.ones(60, int), hit], axis=1)
+        spans = [(i, j) for i in range(60) for j in range(i + 20, 61) if hit[i:j].mean() >= 0.8]
+        found = substring_dedup.good_spans(path, 20, 0.8)
+        assert bool(found) == bool(spans) and all(hit[i:j].mean() >= 0.8 and s == pytest.approx(hit[i:j].mean()) and j - i >= 20 for i, j, s in found)
+
+
 # ---------------------------------------------------------------- license scan
 
 
