@@ -40,6 +40,13 @@ def test_query(spark, duck, name):
     assert got == sorted(tuple(norm(r[i]) for i in at) for r in found.fetchall())
 
 
+def test_corridors_follow_every_event(spark):
+    from aeroframe.plans.domain import TELEMETRY
+    from aeroframe.plans.queries_geometry import corridor_lines
+
+    assert corridor_lines(spark, SF).count() == TELEMETRY.load(spark, SF).count()
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
