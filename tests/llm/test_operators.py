@@ -419,8 +419,12 @@ def test_exact_passage_of_sentences_seen_before_is_found(spark):
     texts = {k: words(rng, 40) + part + words(rng, 40) for k, part in enumerate(parts)}
     texts |= {k: words(rng, 30) + passage + words(rng, 30) for k in range(10, 14)}
     # windows of two documents that overlap, neither of which holds all
-    texts |= {20: words(rng, 30) + [f"o{i}" for i in range(40)], 21: [f"o{i}" for i in range(10, 50)] + words(rng, 30)}
-    texts |= {k: words(rng, 20) + [f"o{i}" for i in range(50)] + words(rng, 20) for k in (22, 23)}
+    held = {}
+    for t in range(100, 1300, 100):
+        o = [f"o{t}_{i}" for i in range(50)]
+        texts |= {t: words(rng, 30) + o[:40], t + 1: o[10:] + words(rng, 30)}
+        texts |= {t + k: words(rng, 20) + o + words(rng, 20) for k in (2, 3)}
+        held[t + 3] = o
     # a run of one word counts as well
     texts |= {k: words(rng, 20) + ["spam"] * (60 + k) + words(rng, 20) for k in (30, 31)}
     docs = spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "doc_id long, text string")
@@ -428,12 +432,12 @@ def test_exact_passage_of_sentences_seen_before_is_found(spark):
     for r in substring_dedup.passages(docs).collect():
         assert r.source_id < r.doc_id
         spans.setdefault(r.doc_id, []).append((r.start, r.end))
-    for k, piece in {11: passage, 12: passage, 13: passage, 23: [f"o{i}" for i in range(50)], 31: ["spam"] * 90}.items():
+    for k, piece in {11: passage, 12: passage, 13: passage, 31: ["spam"] * 90, **held}.items():
         at = " ".join(texts[k]).encode().index(" ".join(piece).encode())
         for i in range(len(piece) - 49):
             a = at + len(" ".join([*piece[:i], ""]))
             assert any(x <= a and a + len(" ".join(piece[i : i + 50])) <= y for x, y in spans[k]), (k, i)
-    assert set(spans) == {11, 12, 13, 23, 31}
+    assert set(spans) == {11, 12, 13, 31, *held}
 
 
 def test_good_spans_are_longest():
