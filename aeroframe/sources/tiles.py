@@ -14,8 +14,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 11: 4, 12: 8, 16: 8}
+# Columns of a tile of 3600 rows, below each latitude.
+COLUMNS = ((50, 3600), (60, 2400), (70, 1800), (80, 1200), (85, 720), (91, 360))
 _NAME = re.compile(r"([NS])(\d{2})_00_([EW])(\d{3})")
 
 
@@ -28,7 +31,17 @@ def tile_of_name(path: str) -> tuple[int, int]:
 
 
 def decode_tiff(data: bytes) -> np.ndarray:
-    """A one-band float32 TIFF as (rows, columns): strips or tiles, plain or deflated, predictors 1 and 3."""
+    """A one-band float32 TIFF as (rows, columns): strips or tiles, plain or deflated, predictors 1 and 3.
+
+    Anything else, or a file that is cut off, raises ValueError.
+    """
+    try:
+        return _decode(data)
+    except (struct.error, KeyError, IndexError, zlib.error) as e:
+        raise ValueError(f"not a whole TIFF: {e!r}") from e
+
+
+def _decode(data: bytes) -> np.ndarray:
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if not order or struct.unpack_from(order + "H", data, 2)[0] != 42:
         raise ValueError("not a TIFF")
@@ -49,7 +62,11 @@ def decode_tiff(data: bytes) -> np.ndarray:
     tiled = 322 in tags
     w, h = (tags[322][0], tags[323][0]) if tiled else (cols, tags.get(278, (rows,))[0])
     offsets, sizes = (tags[324], tags[325]) if tiled else (tags[273], tags[279])
+    if not (cols and rows and w and h):
+        raise ValueError("TIFF without pixels")
     across = -(-cols // w)
+    if len(offsets) != len(sizes) or len(offsets) < across * -(-rows // h):
+        raise ValueError("TIFF with too few blocks for its pixels")
     out = np.full((-(-rows // h) * h, across * w), np.nan, np.float32)
     for k, (o, n) in enumerate(zip(offsets, sizes, strict=True)):
         raw = data[o : o + n] if compression == 1 else zlib.decompress(data[o : o + n])
@@ -93,20 +110,51 @@ def encode_tiff(grid: np.ndarray, rows_per_strip: int = 64) -> bytes:
     return b"II*\0" + struct.pack("<I", 8) + struct.pack("<H", len(entries)) + body + struct.pack("<I", 0) + extra.ljust(8 * n, b"\0") + b"".join(strips)
 
 
+def expected_columns(lat: int) -> int:
+    """Columns of a one-degree tile by latitude, for 3600 rows."""
+    return next(n for edge, n in COLUMNS if abs(lat) < edge)
+
+
+def _posts(name: str, data: bytes) -> Iterator[dict]:
+    lat, lon = tile_of_name(name)
+    grid = decode_tiff(data)
+    rows, cols = grid.shape
+    if rows == 3600 and cols != expected_columns(lat):
+        raise ValueError(f"tile has {cols} columns, {expected_columns(lat)} are due at its latitude")
+    for r in range(0, rows, 256):
+        part = grid[r : r + 256]
+        n = part.size
+        full = lambda v, n=n: pa.array(np.full(n, v, np.int32))
+        yield {"tile_lat": full(lat), "tile_lon": full(lon), "n_rows": full(rows), "n_cols": full(cols), "row": np.repeat(np.arange(r, r + len(part), dtype=np.int32), cols), "col": np.tile(np.arange(cols, dtype=np.int32), len(part)), "h": part.reshape(-1), "path": pa.array([name] * n), "error": pa.nulls(n, pa.string())}
+
+
+_POSTS = pa.schema([(k, pa.int32()) for k in ("tile_lat", "tile_lon", "n_rows", "n_cols", "row", "col")] + [("h", pa.float32()), ("path", pa.string()), ("error", pa.string())])
+
+
 def read_tiles(spark: SparkSession, path: str) -> DataFrame:
-    """Posts (tile_lat, tile_lon, n_rows, n_cols, row, col, h) of all tiles under ``path``; row 0 is the northernmost."""
+    """Posts (tile_lat, tile_lon, n_rows, n_cols, row, col, h, path, error) of all tiles under ``path``; row 0 is the northernmost.
+
+    A file that is not a tile gives one row with its error and no post.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                lat, lon = tile_of_name(name)
-                grid = decode_tiff(data)
-                rows, cols = grid.shape
-                for r in range(0, rows, 256):
-                    part = grid[r : r + 256]
-                    n = part.size
-                    full = lambda v, n=n: pa.array(np.full(n, v, np.int32))
-                    yield pa.record_batch({"tile_lat": full(lat), "tile_lon": full(lon), "n_rows": full(rows), "n_cols": full(cols), "row": np.repeat(np.arange(r, r + len(part), dtype=np.int32), cols), "col": np.tile(np.arange(cols, dtype=np.int32), len(part)), "h": part.reshape(-1)})
+                try:
+                    for posts in _posts(name, data):
+                        yield pa.record_batch(posts).cast(_POSTS) if hasattr(pa.RecordBatch, "cast") else pa.Table.from_pydict(posts, _POSTS).to_batches()[0]
+                except ValueError as e:
+                    yield pa.RecordBatch.from_pylist([{"path": name, "error": str(e)}], _POSTS)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tif").load(path).select("path", "content")
-    return files.mapInArrow(run, "tile_lat int, tile_lon int, n_rows int, n_cols int, row int, col int, h float")
+    return files.mapInArrow(run, "tile_lat int, tile_lon int, n_rows int, n_cols int, row int, col int, h float, path string, error string")
+
+
+def tile_status(points: DataFrame, tiles: DataFrame) -> DataFrame:
+    """``points`` (with tile_lat and tile_lon) with ``status``: ok, no_data (the tile cannot be read) or tile_not_found."""
+    known = tiles.where("row = 0 and col = 0").select("tile_lat", "tile_lon", F.lit("ok").alias("_found"))
+    bad = tiles.where("error is not null").select(F.regexp_extract("path", _NAME.pattern, 0).alias("_stem")).distinct()
+    tag = lambda c, plus, minus, width: F.concat(F.when(F.col(c) >= 0, plus).otherwise(minus), F.lpad(F.abs(c).cast("string"), width, "0"))
+    stem = F.concat(tag("tile_lat", "N", "S", 2), F.lit("_00_"), tag("tile_lon", "E", "W", 3))
+    joined = points.withColumn("_stem", stem).join(known, ["tile_lat", "tile_lon"], "left").join(bad.withColumn("_bad", F.lit(True)), "_stem", "left")
+    return joined.withColumn("status", F.coalesce("_found", F.when(F.col("_bad"), "no_data"), F.lit("tile_not_found"))).drop("_found", "_bad", "_stem")

@@ -13,11 +13,13 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 SCHEMA = "path string, feature int, kind string, part int, ring int, is_hole boolean, vertex int, lat double, lon double, error string"
-_COLUMNS = ["feature", "kind", "part", "ring", "is_hole", "vertex", "lat", "lon"]
+_FIELDS = {"feature": pa.int32(), "kind": pa.string(), "part": pa.int32(), "ring": pa.int32(), "is_hole": pa.bool_(), "vertex": pa.int32(), "lat": pa.float64(), "lon": pa.float64(), "error": pa.string()}
+#: Vertices of a batch that is handed on, about.
+_BATCH = 1 << 16
 
 
 def _local(tag: str) -> str:
@@ -87,27 +89,51 @@ def geojson_features(value: dict) -> Iterator[tuple[str, list[tuple[bool, list]]
         raise ValueError("not a GeoJSON object")
 
 
-def _rows(features: Iterator) -> pd.DataFrame:
-    rows = [(f, kind, 0, r, hole, v, lat, lon) for f, (kind, rings) in enumerate(features) for r, (hole, points) in enumerate(rings) for v, (lat, lon) in enumerate(points)]
-    return pd.DataFrame(rows, columns=_COLUMNS)
+def _parsed(values: list, parse) -> Iterator[tuple[list[int], dict[str, pa.Array]]]:
+    """For a list of documents: which one each row is of, and the columns of its vertices or its error."""
+    owner: list[int] = []
+    columns: dict[str, list] = {k: [] for k in _FIELDS}
+
+    def put(at: int, *row) -> None:
+        owner.append(at)
+        for k, v in zip(columns, row, strict=True):
+            columns[k].append(v)
+
+    def out() -> tuple[list[int], dict[str, pa.Array]]:
+        found = list(owner), {k: pa.array(columns[k], t) for k, t in _FIELDS.items()}
+        owner.clear()
+        for v in columns.values():
+            v.clear()
+        return found
+
+    for at, value in enumerate(values):
+        try:
+            features = list(parse(value))  # an error leaves nothing of its document behind
+        except (ValueError, KeyError, TypeError, IndexError, AttributeError, ElementTree.ParseError, zipfile.BadZipFile) as e:
+            put(at, *[None] * 8, f"{type(e).__name__}: {e}")
+            continue
+        for f, (kind, rings) in enumerate(features):
+            for r, (hole, points) in enumerate(rings):
+                for v, (lat, lon) in enumerate(points):
+                    put(at, f, kind, 0, r, hole, v, lat, lon, None)
+        if len(owner) >= _BATCH:
+            yield out()
+    if owner:
+        yield out()
 
 
 def _read(spark: SparkSession, path: str, parse) -> DataFrame:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for files in frames:
-            for name, data in zip(files.path, files.content, strict=True):
-                try:
-                    out = _rows(parse(bytes(data))).assign(path=name, error=None)
-                except (ValueError, KeyError, TypeError, IndexError, ElementTree.ParseError, zipfile.BadZipFile) as e:
-                    out = pd.DataFrame([{"path": name, "error": f"{type(e).__name__}: {e}"}])
-                yield out.reindex(columns=["path", *_COLUMNS, "error"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for files in batches:
+            for owner, columns in _parsed(files.column("content").to_pylist(), parse):
+                yield pa.record_batch({"path": files.column("path").take(pa.array(owner, pa.int64())), **columns})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, SCHEMA)
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, SCHEMA)
 
 
 def read_kml(spark: SparkSession, path: str) -> DataFrame:
     """Vertices of all polygons and line strings of KML and KMZ files."""
-    return _read(spark, path, lambda data: kml_features(data))
+    return _read(spark, path, kml_features)
 
 
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
@@ -119,14 +145,11 @@ def features_of_text(df: DataFrame, text: str, kind: str) -> DataFrame:
     parse = (lambda t: kml_features(t.encode())) if kind == "kml" else (lambda t: geojson_features(json.loads(t)))
     keep = [c for c in df.columns if c != text]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in frames:
-            for r in rows.to_dict("records"):
-                try:
-                    out = _rows(parse(r[text])).assign(error=None)
-                except (ValueError, KeyError, TypeError, IndexError, AttributeError, ElementTree.ParseError) as e:
-                    out = pd.DataFrame([{"error": f"{type(e).__name__}: {e}"}])
-                yield out.assign(**{c: r[c] for c in keep}).reindex(columns=[*keep, *_COLUMNS, "error"])
-
-    schema = ", ".join([*(f"{c} {df.schema[c].dataType.simpleString()}" for c in keep), SCHEMA.removeprefix("path string, ")])
-    return df.mapInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for owner, columns in _parsed(rows.column(rows.schema.get_field_index(text)).to_pylist(), parse):
+                kept = rows.select(keep).take(pa.array(owner, pa.int64()))
+                yield pa.record_batch([*kept.columns, *columns.values()], [*keep, *columns])
+
+    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), SCHEMA.removeprefix("path string, ")])
+    return df.mapInArrow(run, schema)
