@@ -115,9 +115,10 @@ def test_top_k_is_exact_with_ties_and_odd_rows(spark):
     rows += [(k, [0.25] * 6) for k in range(500, 700)]  # ties
     rows += [(900, None), (901, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (902, [float("nan")] * 6), (903, [float("inf")] * 6), (904, [1.0, 2.0]), (905, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
-    for block in (1 << 14, 3):
+    # whole sides in one tile, blocks of a few queries, and many small shards merged on two levels
+    for how in ({"shards": 1}, {"block_bytes": 100}, {"shards": 70}):
         got: dict = {}
-        for r in topk.top_k(df, df.where("vec_id % 100 = 0"), k=10, block_rows=block).collect():
+        for r in topk.top_k(df, df.where("vec_id % 100 = 0"), k=10, **how).collect():
             got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
         good = {i: [math.floor(1024 * x) for x in v] for i, v in rows if v and len(v) == 6 and all(x is not None and math.isfinite(x) for x in v)}
         assert set(got) == {i for i in good if i % 100 == 0}
@@ -125,6 +126,21 @@ def test_top_k_is_exact_with_ties_and_odd_rows(spark):
             best = sorted((-sum(a * b for a, b in zip(good[q], v, strict=True)), i) for i, v in good.items() if i != q)[:10]
             assert sorted(found) == [(n, i, -s) for n, (s, i) in enumerate(best, 1)]
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
+    clash = df.selectExpr("vec_id", "embedding", "1 as score", "2 as shard", "3 as chunk")
+    assert topk.top_k(clash, clash.where("vec_id = 0")).count() == 10
+
+
+def test_tile_does_not_lose_a_place_to_its_own_row():
+    rng = np.random.default_rng(1)
+    x = rng.integers(-1024, 1024, (400, 16))
+    ids = np.arange(400)
+    scores = x @ x.T
+    for n in (400, 11, 10, 5):
+        a, v, s = topk.best_of_tile(ids[:3], x[:3], ids[:n], x[:n], 10)
+        for q in range(3):
+            best = sorted((-int(scores[q, i]), i) for i in range(n) if i != q)[:10]
+            assert [(-int(t), int(i)) for i, t in zip(v[a == q], s[a == q], strict=True)] == best
+
 
 
 # ---------------------------------------------------------------- n-gram join
