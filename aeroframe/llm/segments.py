@@ -12,6 +12,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from . import common as c
 
@@ -79,9 +80,10 @@ class SegmentEncoder:
     Python object for each.
     """
 
-    def __init__(self, cutter: Callable, encode: Callable[[list[bytes]], Sequence[Sequence[int]]], ids: int, most: int = 1_500_000) -> None:
-        """``ids``: size of the vocabulary, which sets the width of stored ids."""
+    def __init__(self, cutter: Callable, encode: Callable[[list[bytes]], Sequence[Sequence[int]]], ids: int, most: int = 1_500_000, marks: Sequence[str] = (), whole: Callable[[list[str]], Sequence[Sequence[int]]] | None = None) -> None:
+        """``ids``: size of the vocabulary, which sets the width of stored ids. Texts that hold one of ``marks`` are encoded by ``whole``."""
         self.cutter, self.encode, self.most = cutter, encode, most
+        self.marks, self.whole = marks, whole
         self.kind = np.uint16 if ids <= 1 << 16 else np.uint32
         self._clear()
 
@@ -148,6 +150,17 @@ class SegmentEncoder:
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and n + 1 offsets into them. ``texts``: large_string without nulls."""
+        marked = np.zeros(len(texts), bool)
+        for mark in self.marks:
+            marked |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
+        if not marked.any():
+            return self._segmented(texts)
+        flat, offs = self._segmented(pc.if_else(pa.array(marked), pa.scalar("", pa.large_string()), texts))
+        got = iter(self.whole(texts.filter(pa.array(marked)).to_pylist()))
+        parts = [np.asarray(next(got), self.kind) if m else flat[offs[k] : offs[k + 1]] for k, m in enumerate(marked)]
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+
+    def _segmented(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         raw, offsets = c.buffers(texts)
         if not len(raw):
             return np.zeros(0, self.kind), np.zeros(len(texts) + 1, np.int64)
@@ -178,24 +191,24 @@ def library_encoder(path: str, cutter: Callable) -> SegmentEncoder:
 
         t = Tokenizer.from_file(path)
         t.no_padding(), t.no_truncation()
-        plain = Tokenizer.from_file(path)
-        plain.encode_special_tokens = True
-        plain.no_padding(), plain.no_truncation()
         fence = "<|endoftext|>"
         stop, marks = t.token_to_id(fence), [x.content for x in t.get_added_tokens_decoder().values()]
 
         def encode(parts: list[bytes]) -> list:
             """Ids of each part. Many parts go to the library as one text, fenced by a special token,
-            which it never joins with its neighbours; parts that hold such a token go one by one."""
+            which it never joins with its neighbours."""
             texts = [x.decode("utf-8") for x in parts]
-            joined = "\n".join(texts)
-            if stop is None or any(m in joined for m in marks):
-                return [e.ids for e in plain.encode_batch_fast(texts, add_special_tokens=False)]
+            if stop is None:
+                return whole(texts)
             got = t.encode_batch_fast([fence.join(texts[k : k + FENCED]) for k in range(0, len(texts), FENCED)], add_special_tokens=False)
             flat = np.concatenate([np.array([*e.ids, stop], np.int32) for e in got])
             ends = np.flatnonzero(flat == stop)
             starts = np.concatenate([[0], ends[:-1] + 1])
             return [flat[x:y] for x, y in zip(starts.tolist(), ends.tolist(), strict=True)]
 
-        _encoders[key] = SegmentEncoder(cutter, encode, t.get_vocab_size())
+        def whole(texts: list[str]) -> list:
+            """The library's own ids of whole texts, with the special tokens they hold."""
+            return [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+
+        _encoders[key] = SegmentEncoder(cutter, encode, t.get_vocab_size(), marks=marks, whole=whole)
     return _encoders[key]

@@ -14,6 +14,7 @@ File layout (little-endian):
 
 from __future__ import annotations
 
+import io
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -37,6 +38,8 @@ ESCAPE = 15
 _COUNT_OF = np.array([*COUNTS, 0, 1])
 #: A task starts another file beyond this many ids.
 FILE_IDS = 16 << 20
+#: Blocks that are encoded or decoded at once: what a worker holds as wide arrays.
+GROUP = 256
 
 
 _SMALL = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
@@ -58,7 +61,19 @@ def _bits(x: np.ndarray) -> np.ndarray:
 
 
 def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words, escapes, and per block the offsets of both (n + 1 each)."""
+    """Words, escapes, and per block the offsets of both (n + 1 each); GROUP blocks are worked on at a time."""
+    parts = [encode_blocks(values[k : k + GROUP * BLOCK]) for k in range(0, max(len(values), 1), GROUP * BLOCK)]
+    words, escapes = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+
+    def joined(i: int) -> np.ndarray:
+        base = np.concatenate([[0], np.cumsum([p[i][-1] for p in parts])]).astype(np.uint64)
+        return np.concatenate([*(p[i][:-1] + b for p, b in zip(parts, base[:-1], strict=True)), base[-1:]])
+
+    return words, escapes, joined(2), joined(3)
+
+
+def encode_blocks(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same for a few blocks, as whole arrays."""
     values = np.asarray(values).astype(np.uint64)
     n = len(values)
     blocks = -(-n // BLOCK)
@@ -127,30 +142,84 @@ def decode(words: np.ndarray, escapes: np.ndarray, word_at: np.ndarray, n: int)
     return out[:n]
 
 
-def file_bytes(values: np.ndarray, doc_ids: np.ndarray, counts: np.ndarray) -> bytes:
+def write_file(out, values: np.ndarray, doc_ids: np.ndarray, counts: np.ndarray) -> int:
+    """Write one file to a binary stream; returns its length."""
     words, escapes, word_at, escape_at = encode(values)
     parts = [words, escapes, word_at, escape_at, np.asarray(doc_ids, "<i8"), np.asarray(counts, "<u8"), np.array([len(words), len(escapes), len(word_at) - 1, len(doc_ids), len(values)], "<u8")]
-    return b"".join([MAGIC, *(p.astype(p.dtype.newbyteorder("<")).tobytes() for p in parts), MAGIC])
+    size = 2 * len(MAGIC)
+    out.write(MAGIC)
+    for p in parts:
+        p = p.astype(p.dtype.newbyteorder("<"), copy=False)
+        out.write(memoryview(np.ascontiguousarray(p)).cast("B") if p.nbytes else b"")
+        size += p.nbytes
+    out.write(MAGIC)
+    return size
 
 
-def parse_file(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids, doc ids and ids per document of a file; raises ValueError if it is not whole."""
-    if len(data) < 56 or data[:8] != MAGIC or data[-8:] != MAGIC:
-        raise ValueError("not a whole token file")
-    words, escapes, blocks, docs, n = (int(x) for x in np.frombuffer(data, "<u8", 5, len(data) - 48))
-    if len(data) != 56 + 8 * (words + escapes + 2 * blocks + 2 + 2 * docs):
-        raise ValueError("token file has a wrong length")
-    at = 8
+def file_bytes(values: np.ndarray, doc_ids: np.ndarray, counts: np.ndarray) -> bytes:
+    out = io.BytesIO()
+    write_file(out, values, doc_ids, counts)
+    return out.getvalue()
 
-    def take(k: int, kind: str) -> np.ndarray:
-        nonlocal at
-        x = np.frombuffer(data, kind, k, at)
-        at += 8 * k
-        return x
 
-    w, e, wo, _ = take(words, "<u8"), take(escapes, "<u8"), take(blocks + 1, "<u8"), take(blocks + 1, "<u8")
-    ids, counts = take(docs, "<i8"), take(docs, "<u8")
-    return decode(w, e, wo, n), ids, counts.astype(np.int64)
+class TokenFile:
+    """A file open for reading at any place: ids per document, and its ids a group of blocks at a time.
+
+    Raises ValueError if the file is not whole.
+    """
+
+    def __init__(self, stream, size: int) -> None:
+        self.stream = stream
+        if size < 56 or self._bytes(0, 8) != MAGIC or self._bytes(size - 8, 8) != MAGIC:
+            raise ValueError("not a whole token file")
+        words, escapes, blocks, docs, self.n = (int(x) for x in np.frombuffer(self._bytes(size - 48, 40), "<u8"))
+        if size != 56 + 8 * (words + escapes + 2 * blocks + 2 + 2 * docs):
+            raise ValueError("token file has a wrong length")
+        self.escapes_at = 8 + 8 * words
+        at = self.escapes_at + 8 * escapes
+        self.word_at = self._array(at, blocks + 1, "<u8").astype(np.int64)
+        self.escape_at = self._array(at + 8 * (blocks + 1), blocks + 1, "<u8").astype(np.int64)
+        at += 16 * (blocks + 1)
+        self.docs, self.counts = self._array(at, docs, "<i8"), self._array(at + 8 * docs, docs, "<u8").astype(np.int64)
+
+    def _bytes(self, at: int, n: int) -> bytes:
+        self.stream.seek(at)
+        return self.stream.read(n)
+
+    def _array(self, at: int, n: int, kind: str) -> np.ndarray:
+        return np.frombuffer(self._bytes(at, 8 * n), kind)
+
+    def ids(self) -> Iterator[np.ndarray]:
+        blocks = len(self.word_at) - 1
+        for k in range(0, blocks, GROUP):
+            to = min(k + GROUP, blocks)
+            w, e = self.word_at[k : to + 1], self.escape_at[[k, to]]
+            words = self._array(8 + 8 * int(w[0]), int(w[-1] - w[0]), "<u8")
+            escapes = self._array(self.escapes_at + 8 * int(e[0]), int(e[1] - e[0]), "<u8")
+            yield decode(words, escapes, w - w[0], min(self.n, to * BLOCK) - k * BLOCK)
+
+    def digests(self) -> np.ndarray:
+        """Unsigned crc32 of each document's ids as little-endian 32-bit integers, however many groups it lies in."""
+        out = np.zeros(len(self.docs), np.int64)
+        ends = np.cumsum(self.counts)
+        done = doc = 0
+        for ids in self.ids():
+            data = memoryview(ids.astype("<u4")).cast("B")
+            base, done = done, done + len(ids)
+            while doc < len(ends):
+                start = max(base, int(ends[doc] - self.counts[doc]))
+                stop = min(done, int(ends[doc]))
+                out[doc] = zlib.crc32(data[4 * (start - base) : 4 * (stop - base)], int(out[doc]))
+                if ends[doc] > done:
+                    break
+                doc += 1
+        return out
+
+
+def parse_file(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, doc ids and ids per document of a file; raises ValueError if it is not whole."""
+    f = TokenFile(io.BytesIO(data), len(data))
+    return np.concatenate([np.zeros(0, np.uint64), *f.ids()]), f.docs, f.counts
 
 
 def _open(uri: str):
@@ -167,7 +236,9 @@ def write_token_files(documents: DataFrame, tokenizer: str, out_dir: str, end_id
     Range-partitioned by doc_id, so any number of tasks write disjoint, ordered
     files. A file counts only if it is in the manifest, which holds the files of
     tasks that succeeded: what a lost executor left behind is ignored. A null text
-    is empty (only the end id); rows with equal doc_ids are ordered by a text hash.
+    is empty (only the end id); rows with equal doc_ids are each written, ordered by
+    a text hash; rows without a doc_id come first. An empty table gives an empty
+    manifest and no file; other columns are ignored, whatever their names.
     """
     spark = documents.sparkSession
     rows = documents.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -187,11 +258,11 @@ def write_token_files(documents: DataFrame, tokenizer: str, out_dir: str, end_id
             held = []
             name = f"{base}/tokens-{part:06d}-{files:04d}-{uuid.uuid4().hex[:8]}.s8b"
             with filesystem.open_output_stream(name) as f:
-                f.write(data := file_bytes(ids, docs, counts))
+                size = write_file(f, ids, docs, counts)
             files += 1
-            return pa.record_batch({"part": pa.array([part], pa.int64()), "seq": pa.array([files - 1], pa.int64()), "file": [name[len(base) + 1 :]], "n_docs": pa.array([len(docs)], pa.int64()), "n_ids": pa.array([len(ids)], pa.int64()), "n_bytes": pa.array([len(data)], pa.int64())})
+            return pa.record_batch({"part": pa.array([part], pa.int64()), "seq": pa.array([files - 1], pa.int64()), "file": [name[len(base) + 1 :]], "n_docs": pa.array([len(docs)], pa.int64()), "n_ids": pa.array([len(ids)], pa.int64()), "n_bytes": pa.array([size], pa.int64())})
 
-        size = 0
+        total = 0
         for batch in c.tidy(batches):
             for piece in c.slices(batch, most=segments.SLICE_BYTES):
                 flat, offs = encoder(c.text_column(piece, "text"))
@@ -199,10 +270,10 @@ def write_token_files(documents: DataFrame, tokenizer: str, out_dir: str, end_id
                 ids = np.full(len(flat) + len(counts), end_id, np.uint32)
                 ids[np.arange(len(flat)) + np.repeat(np.arange(len(counts)), counts - 1)] = flat
                 held.append((ids, piece.column("doc_id").fill_null(-(2**63)).to_numpy(), counts))
-                size += len(ids)
-                if size >= file_ids:
+                total += len(ids)
+                if total >= file_ids:
                     yield flush()
-                    size = 0
+                    total = 0
         if held:
             yield flush()
 
@@ -211,7 +282,11 @@ def write_token_files(documents: DataFrame, tokenizer: str, out_dir: str, end_id
 
 
 def read_token_files(manifest: DataFrame, in_dir: str) -> DataFrame:
-    """Per document of the files: doc_id, start, n_tokens, ids_crc32."""
+    """Per document of the files: doc_id, start, n_tokens, ids_crc32.
+
+    Documents are those that were written, repeated doc_ids and null ones each on
+    their own; a missing or torn file fails the job. An empty manifest gives no row.
+    """
     ahead = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     placed = manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(ahead), F.lit(0)))  # one row a file
     dealt = placed.select("file", "base").repartition(max(1, c.parallelism(manifest.sparkSession)), "file")
@@ -220,11 +295,9 @@ def read_token_files(manifest: DataFrame, in_dir: str) -> DataFrame:
         filesystem, base = _open(in_dir)
         for batch in batches:
             for name, ahead_of in zip(batch.column("file").to_pylist(), batch.column("base").to_pylist(), strict=True):
-                with filesystem.open_input_stream(f"{base}/{name}") as f:
-                    ids, docs, counts = parse_file(f.read())
-                ids = ids.astype("<u4")
-                ends = np.cumsum(counts)
-                crc = np.array([zlib.crc32(ids[e - k : e]) for e, k in zip(ends, counts, strict=True)], np.int64)
-                yield pa.record_batch({"doc_id": pa.array(docs, mask=docs == -(2**63)), "start": ends - counts + ahead_of, "n_tokens": counts, "ids_crc32": crc})
+                with filesystem.open_input_file(f"{base}/{name}") as stream:
+                    f = TokenFile(stream, stream.size())
+                    crc = f.digests()
+                yield pa.record_batch({"doc_id": pa.array(f.docs, mask=f.docs == -(2**63)), "start": np.cumsum(f.counts) - f.counts + ahead_of, "n_tokens": f.counts, "ids_crc32": crc})
 
     return dealt.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
