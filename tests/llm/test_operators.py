@@ -473,12 +473,49 @@ def test_exact_passage_of_sentences_seen_before_is_found(spark):
 
 def test_good_spans_are_longest():
     rng = np.random.default_rng(3)
-    for _ in range(40):
+    for _ in range(60):
         hit = (rng.uniform(size=60) < rng.uniform(0.5, 0.9)).astype(int)
-        path = np.stack([np.ones(60, int), np.ones(60, int), hit], axis=1)
-        spans = [(i, j) for i in range(60) for j in range(i + 20, 61) if hit[i:j].mean() >= 0.8]
-        found = substring_dedup.good_spans(path, 20, 0.8)
-        assert bool(found) == bool(spans) and all(hit[i:j].mean() >= 0.8 and s == pytest.approx(hit[i:j].mean()) and j - i >= 20 for i, j, s in found)
+        at = np.flatnonzero(hit)
+        spans = [at[j] - at[i] + 1 for i in range(len(at)) for j in range(i, len(at)) if at[j] - at[i] + 1 >= 20 and (j - i + 1) / (at[j] - at[i] + 1) >= 0.8]
+        found = substring_dedup.good_spans(at, at + 7, 20, 0.8)
+        assert bool(found) == bool(spans)
+        assert all(s >= 0.8 and s == pytest.approx((j - i + 1) / (at[j] - at[i] + 1)) for i, j, s in found)
+        assert not spans or max(at[j] - at[i] + 1 for i, j, _ in found) == max(spans)
+
+
+def test_tables_align_as_well_as_brute_force():
+    rng = np.random.default_rng(4)
+    x, y = rng.integers(2, 6, (50, 8)).astype(np.uint64), rng.integers(2, 6, (50, 8)).astype(np.uint64)
+    nx, ny = rng.integers(1, 9, 50), rng.integers(1, 9, 50)
+    table, agree, *_ = substring_dedup.score_table(x, y, nx, ny, None)
+    task, u, v = substring_dedup.trace(table, agree, nx, ny)
+    for t in range(50):
+        score = {(0, k): -k for k in range(9)} | {(r, 0): -r for r in range(9)}
+        for r in range(nx[t]):
+            for k in range(ny[t]):
+                score[r + 1, k + 1] = max(score[r, k] + (1 if x[t, r] == y[t, k] else -1), score[r, k + 1] - 1, score[r + 1, k] - 1)
+        assert table[nx[t], t, ny[t]] == score[nx[t], ny[t]]
+        mine = sorted(zip(u[task == t], v[task == t], strict=True))
+        assert all(x[t, i] == y[t, j] for i, j in mine) and all(i < k and j < m for (i, j), (k, m) in zip(mine, mine[1:]))
+
+
+@pytest.mark.parametrize(("share", "length"), [(0.1, 60), (0.15, 60), (0.15, 100)])
+def test_fuzzy_passages_are_found(spark, share, length):
+    """Recall on passages with randomly changed words: 0.9 at least."""
+    rng = random.Random(21)
+    texts, at = {}, {}
+    for k in range(150):
+        p = words(rng, length, 100_000)
+        texts[k] = words(rng, 80, 100_000) + p + words(rng, 80, 100_000)
+        changed = [f"new{rng.randrange(10**6)}" if rng.random() < share else x for x in p]
+        texts[1000 + k] = words(rng, 60, 100_000) + changed + words(rng, 90, 100_000)
+        at[1000 + k] = sum(a == b for a, b in zip(p, changed, strict=True)) / length
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "doc_id long, text string")
+    got = {r.doc_id: r for r in substring_dedup.passages(docs).collect()}
+    assert all(r.source_id == k - 1000 and r.identity >= 0.8 for k, r in got.items())
+    due = [k for k, s in at.items() if s >= 0.8]  # what has become less alike than that is no passage
+    print(share, length, sum(k in got for k in due) / len(due))
+    assert sum(k in got for k in due) >= 0.9 * len(due)
 
 
 # ---------------------------------------------------------------- license scan
