@@ -1,20 +1,24 @@
 """Similarity self-join on word shingles: MinHash LSH forest, then exact verification.
 
-1. One pass gives each text a key (equal texts have equal keys) and a signature:
-   per tree of the forest, the sequence of minima that is its path in a prefix trie.
+1. One pass gives each text a key (texts of the same words have equal keys) and a
+   signature: PATH minima for each tree of the forest.
 2. Equal texts become one class with a weight.
-3. The forest: paths are matched by prefix, starting from the whole path and
-   shortened until the recall at the threshold meets the target. Texts that share
-   a prefix of that length in any tree are candidates; a star per prefix group
-   links them without listing pairs.
-4. Candidates are dealt by connected component; a large component is cut into
-   blocks, and tasks compare pairs of blocks. Exact intersections come from sparse
-   incidence products, so a group of n near copies is counted without n^2 rows.
+3. The forest: a tree is a trie of paths. The longest prefix that all trees must be
+   shortened to follows from the recall at the threshold; paths that share it are a
+   subtrie, dealt by its hash and sorted by the rest of the path. A walk over the
+   sorted paths joins each path with the first one of its longest matched prefix,
+   then shortens that prefix level by level; a subtrie stops at the level where it is
+   one class. Only pairs whose signatures agree well enough are joined: a pair at the
+   threshold fails that with a probability of MISS at most.
+4. Candidates are dealt by connected component of such joins; a large component is
+   cut into blocks, and tasks compare pairs of blocks. Exact intersections come from
+   sparse incidence products, so a group of n near copies is counted without n^2 rows.
 5. Links are counted per text, and classes are the components of verified links.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +33,10 @@ SHINGLE = 5
 THRESHOLD = 0.8
 #: Trees of the forest, length of a whole path, and the recall a pair at the threshold must have.
 TREES, PATH, RECALL = 20, 8, 0.9999
+#: Probability that signatures of a pair at the threshold agree too little for the pair to be compared.
+MISS = 1e-6
+#: Paths of a subtrie that are walked at once, about; a larger one is cut into blocks, and pairs of blocks are walked.
+BLOCK_PATHS = 4096
 #: Texts and shingles of a block, about.
 BLOCK_TEXTS, BLOCK_SHINGLES = 1024, 1 << 20
 #: Rows of candidates (40 bytes each) that are broadcast to the texts, at most; beyond that the texts are shuffled.
@@ -43,6 +51,15 @@ def prefix_length(threshold: float = THRESHOLD, trees: int = TREES, path: int =
     raise ValueError("no prefix length reaches that recall with so few trees")
 
 
+def agreeing(threshold: float = THRESHOLD, minima: int = TREES * PATH, miss: float = MISS) -> int:
+    """How many minima of a pair at the threshold agree at least, but for a probability of ``miss``."""
+    total, k = 0.0, -1
+    while total <= miss:
+        k += 1
+        total += math.comb(minima, k) * threshold**k * (1 - threshold) ** (minima - k)
+    return k
+
+
 _RNG = np.random.default_rng(5)
 _MULTIPLY = (_RNG.integers(0, 1 << 32, (TREES, PATH), dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _ADD = _RNG.integers(0, 1 << 32, (TREES, PATH), dtype=np.uint64).astype(np.uint32)
@@ -73,26 +90,30 @@ def text_keys(w: c.Words) -> np.ndarray:
     return np.stack([a + n, b], axis=1)
 
 
-def signatures(g: np.ndarray, offs: np.ndarray, depth: int) -> np.ndarray:
-    """Per text and tree, a 64-bit hash of the first ``depth`` minima of its path (texts without shingles: 0)."""
+def signatures(g: np.ndarray, offs: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per text and tree, a 64-bit hash of the first ``depth`` minima of its path; and a byte of each minimum (texts without shingles: 0)."""
     n = len(offs) - 1
-    out = np.zeros((n, TREES), np.uint64)
+    prefix, sketch = np.zeros((n, TREES), np.uint64), np.zeros((n, TREES * PATH), np.uint8)
     full = np.flatnonzero(offs[1:] > offs[:-1])
     if not len(full):
-        return out
+        return prefix, sketch
     starts = offs[:-1][full]
     low = (g ^ (g >> np.uint64(32))).astype(np.uint32)
+    v, w = np.empty_like(low), np.empty_like(low)
     for t in range(TREES):
         path = np.full(len(full), t + 1, np.uint64)
-        for d in range(depth):
-            v = low * _MULTIPLY[t, d]
-            v ^= v >> np.uint32(15)
+        for d in range(PATH):
+            np.bitwise_xor(low, _ADD[t, d], out=v)
+            v *= _MULTIPLY[t, d]
+            np.right_shift(v, np.uint32(15), out=w)
+            v ^= w
             v *= np.uint32(0x2C1B3C6D)
-            v += _ADD[t, d]
-            v ^= v >> np.uint32(13)
-            path = c.mix(path * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(v, starts).astype(np.uint64))
-        out[full, t] = path
-    return out
+            least = np.minimum.reduceat(v, starts)
+            sketch[full, t * PATH + d] = (least * np.uint32(0x9E3779B1)) >> np.uint32(24)
+            if d < depth:
+                path = c.mix(path * np.uint64(0x9E3779B97F4A7C15) + least.astype(np.uint64))
+        prefix[full, t] = path
+    return prefix, sketch
 
 
 def _sign(documents: DataFrame, depth: int) -> DataFrame:
@@ -100,19 +121,132 @@ def _sign(documents: DataFrame, depth: int) -> DataFrame:
         for batch in c.tidy(batches):
             for part in c.slices(batch):
                 g, offs, key, _ = shingles(c.text_column(part, "text"))
-                sig = signatures(g, offs, depth).astype("<u8")
+                prefix, sketch = signatures(g, offs, depth)
                 yield pa.record_batch(
                     {
                         "doc_id": part.column("doc_id"),
                         "n": pa.array(np.diff(offs).astype(np.int64)),
                         "k1": key[:, 0].copy().view(np.int64),
                         "k2": key[:, 1].copy().view(np.int64),
-                        "paths": pa.ListArray.from_arrays(pa.array(np.arange(len(sig) + 1) * TREES, pa.int32()), pa.array(sig.reshape(-1).view(np.int64))),
+                        "paths": pa.ListArray.from_arrays(pa.array(np.arange(len(prefix) + 1) * TREES, pa.int32()), pa.array(prefix.reshape(-1).view(np.int64))),
+                        "sketch": pa.Array.from_buffers(pa.binary(), len(sketch), [None, pa.py_buffer((np.arange(len(sketch) + 1) * TREES * PATH).astype(np.int32)), pa.py_buffer(sketch.tobytes())]),
                     }
                 )
 
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
-    return c.stash(rows.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, paths array<long>"), "signatures")
+    return c.stash(rows.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, paths array<long>, sketch binary"), "signatures")
+
+
+def walk(trie: np.ndarray, rest: np.ndarray, sketch: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:
+    """Joins of rows of whole subtries, as pairs of row numbers: a spanning set of all pairs that agree in ``need`` minima.
+
+    ``trie``: the subtrie of each row; ``rest``: what its path has beyond the shared
+    prefix. Rows are ordered by both. Each row is compared with the first one of the
+    longest prefix it shares with the row before. Where that joins a whole subtrie,
+    that is all; of others, every row outside the largest class is compared with all.
+    """
+    n, levels = rest.shape
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    fresh = np.append(True, trie[1:] != trie[:-1])
+    top = np.flatnonzero(fresh)
+    parent = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+    for level in range(levels):  # rows that go on sharing their prefix have a nearer first row
+        fresh[1:] |= rest[1:, level] != rest[:-1, level]
+        nearer = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+        parent = np.where(fresh, parent, nearer)
+    row = np.arange(n)
+    joined = np.zeros(n, bool)
+    for k in range(0, n, 1 << 14):
+        joined[k : k + (1 << 14)] = (sketch[k : k + (1 << 14)] == sketch[parent[k : k + (1 << 14)]]).sum(axis=1) >= need
+    a, b = [parent[joined & (parent != row)]], [row[joined & (parent != row)]]
+    size = np.diff(np.append(top, n))
+    for s, m in zip(top[whole := np.logical_and.reduceat(joined, top) == 0], size[whole], strict=True):
+        label = np.arange(m)
+        for r in range(m):
+            if joined[s + r]:
+                label[r] = label[parent[s + r] - s]
+        done = np.zeros(m, bool)
+        while True:
+            kinds, count = np.unique(label, return_counts=True)
+            todo = np.flatnonzero(~done & (label != kinds[count.argmax()]))
+            if len(kinds) == 1 or not len(todo):
+                break
+            todo = todo[: max(1, (1 << 23) // (m * sketch.shape[1]))]
+            near = (sketch[s + todo][:, None, :] == sketch[None, s : s + m, :]).sum(axis=2) >= need
+            done[todo] = True
+            for p, hits in zip(todo, near, strict=True):
+                for other in np.unique(label[hits]):
+                    if other != label[p]:
+                        q = int(np.flatnonzero(hits & (label == other))[0])
+                        a.append(np.array([s + p]))
+                        b.append(np.array([s + q]))
+                        label[label == other] = label[p]
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _walk_batches(depth: int, need: int):
+    """Rows come ordered by (path, bi, bj, rest); a subtrie may go on in the next batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def work() -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, TREES * PATH)
+            rest = np.frombuffer(b"".join(rows.column("rest").to_pylist()), np.uint8).reshape(len(sketch), PATH - depth)
+            a, b = walk(_numbers(rows), rest, sketch, need)
+            if len(a):
+                ids = rows.column("rep").to_numpy()
+                yield pa.record_batch({"a": pa.array(ids[a]), "b": pa.array(ids[b])})
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            number = _numbers(batch)
+            last = int(np.searchsorted(number, number[-1]))  # where the subtrie begins that may go on
+            if held and (last or _key(held[-1], held[-1].num_rows - 1) != _key(batch, 0)):
+                if last:
+                    held.append(batch.slice(0, last))
+                yield from work()
+                held.append(batch.slice(last))
+            elif last:
+                held.append(batch.slice(0, last))
+                yield from work()
+                held.append(batch.slice(last))
+            else:
+                held.append(batch)
+        if held:
+            yield from work()
+
+    return run
+
+
+def _key(rows: pa.RecordBatch, k: int) -> tuple:
+    return tuple(rows.column(x)[k].as_py() for x in ("path", "bi", "bj"))
+
+
+def _numbers(rows: pa.RecordBatch | pa.Table) -> np.ndarray:
+    """Consecutive numbers of the subtries of ordered rows."""
+    new = np.zeros(rows.num_rows, np.int64)
+    for k in ("path", "bi", "bj"):
+        x = rows.column(k).to_numpy()
+        new[1:] |= x[1:] != x[:-1]
+    return np.cumsum(new)
+
+
+def _candidates(one: DataFrame, depth: int, threshold: float) -> DataFrame:
+    """Joins (a, b) of texts that the forest finds; each pair at the threshold is connected by them, but for the stated probability."""
+    paths = one.select(F.col("doc_id").alias("rep"), F.posexplode("paths").alias("tree", "path"))
+    groups = paths.groupBy("path").agg(F.count("*").alias("m")).where("m > 1")
+    members = paths.join(groups, "path").select("path", "tree", "rep", F.ceil(F.col("m") / BLOCK_PATHS).cast("int").alias("blocks"))
+    rows = members.join(one.select(F.col("doc_id").alias("rep"), "sketch"), "rep")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rest = F.substring("sketch", F.col("tree") * PATH + depth + 1, F.lit(PATH - depth))
+    rows = rows.select("path", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), rest.alias("rest"), "rep", "sketch")
+    ordered = rows.repartition("path", "bi", "bj").sortWithinPartitions("path", "bi", "bj", "rest", "rep")
+    return ordered.mapInArrow(_walk_batches(depth, agreeing(threshold)), "a long, b long")
 
 
 class _Roots:
@@ -208,9 +342,10 @@ def compare(ids: np.ndarray, copies: np.ndarray, block: np.ndarray, sets: list[n
 def ngram_join(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Per document: doc_id, class_id (smallest doc_id of its class), n_links (other documents at or above the threshold).
 
-    Equal texts are links too. A document without a word has no shingle and no
-    link: it is a class of its own. Rows that repeat a doc_id count once. Other
-    columns are ignored; rows without a doc_id are left out.
+    Equal texts are links too. A document without a word (null, empty, white space)
+    has no shingle and no link: it is a class of its own. Long texts count whole.
+    Rows that repeat a doc_id count once; rows without a doc_id are left out. An
+    empty table gives no row; other columns are ignored, whatever their names.
     """
     depth = prefix_length(threshold)
     signed = _sign(documents.dropDuplicates(["doc_id"]) if _repeats(documents) else documents, depth)
@@ -219,10 +354,7 @@ def ngram_join(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     classes = c.stash(classes, "classes")
     one = real.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
 
-    paths = one.select(F.col("doc_id").alias("rep"), F.explode("paths").alias("path"))
-    groups = paths.groupBy("path").agg(F.min("rep").alias("a"), F.count("*").alias("m")).where("m > 1").select("path", "a")
-    stars = paths.join(groups, "path").where("a <> rep").select("a", F.col("rep").alias("b"))
-    candidates = components(stars.distinct())
+    candidates = components(_candidates(one, depth, threshold))
 
     # active texts with their candidate component, which is cut into blocks by a hash
     active = candidates.withColumnRenamed("id", "doc_id").join(one.select("doc_id", "k1", "k2", "n"), "doc_id").join(classes.select("k1", "k2", "copies"), ["k1", "k2"]).drop("k1", "k2")
@@ -268,6 +400,10 @@ def _repeats(documents: DataFrame) -> bool:
 
 
 def keep_one(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``documents`` that stand for their class: the one with the smallest doc_id of each."""
+    """The rows of ``documents`` that stand for their class: the one with the smallest doc_id of each.
+
+    Rows without a doc_id and documents without a word stay, as do all rows of a
+    doc_id that stands for its class. Columns stay as they are; an empty table gives none.
+    """
     rest = c.stash(ngram_join(documents, threshold).where("class_id <> doc_id").select("doc_id"), "duplicates")
     return documents.join(F.broadcast(rest) if c.small_enough(rest, BROADCAST_ROWS) else rest, "doc_id", "left_anti").select(*documents.columns)
