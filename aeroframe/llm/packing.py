@@ -2,8 +2,10 @@
 
 Texts are tokenised once into a table in the shared folder. Document frequencies
 of all tokens are counted over the whole corpus (a table bounded by the
-vocabulary). Each task then reads its part of the table as shards of bounded
-size, builds a BM25 inverted index over each shard's token ids, and fills windows:
+vocabulary). Documents are placed by content: the terms that weigh most in BM25 are
+their topic, and documents of one topic lie next to each other in one partition,
+wherever they were stored; a frequent topic is dealt to several. Each task reads its
+part as shards of bounded size, builds a BM25 inverted index over each shard's token ids, and fills windows:
 a seed document, then its best unused neighbours, the last of which is cut; the
 rest of it seeds the next window. What is left at the end of a task is cut into
 sequences whose lengths are powers of two, so no padding is needed.
@@ -90,6 +92,46 @@ def frequencies(tokens: DataFrame) -> tuple[np.ndarray, int, float]:
     return df, docs, length / max(docs, 1)
 
 
+def topics(ids: np.ndarray, offs: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two terms of each document that weigh most for a window of its own length (-1: none). ``idf`` is 0 for terms of one document."""
+    n = len(offs) - 1
+    pairs = np.repeat(np.arange(n, dtype=np.uint64) << np.uint64(32), np.diff(offs)) | ids.astype(np.uint64)
+    pairs, tf = np.unique(pairs, return_counts=True)
+    doc, token = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    weight = idf[token] * (tf * (K1 + 1) / (tf + K1)).astype(np.float32)
+    out = []
+    for _ in range(2):
+        top = c.per_doc(weight, np.searchsorted(doc, np.arange(n + 1)), np.maximum, np.float32(0))
+        hits = np.flatnonzero((weight == top[doc]) & (weight > 0))
+        at = np.searchsorted(doc[hits], np.arange(n))
+        some = np.flatnonzero(top > 0)
+        best = np.full(n, -1, np.int64)
+        best[some] = token[hits[at[some]]]
+        weight[hits[at[some]]] = 0
+        out.append(best)
+    return out[0], out[1]
+
+
+def place(tokens: DataFrame, df: np.ndarray, docs: int, parts: int) -> DataFrame:
+    """``tokens`` ordered by topic within partitions. No topic fills a partition: document frequencies bound how many parts it is dealt to."""
+    idf = np.where(df >= 2, np.log1p((docs - df + 0.5) / (df + 0.5)), 0).astype(np.float32)
+    split = (df * parts // max(docs, 1) + 1).astype(np.int64)
+    shared = tokens.sparkSession.sparkContext.broadcast((idf, split))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in c.tidy(batches):
+            for part in c.slices(batch, "ids", 1 << 20):
+                weights, splits = shared.value
+                first, second = topics(*_ids(part), weights)
+                number = c.mix(part.column("doc_id").fill_null(0).to_numpy().astype(np.uint64))
+                share = (number % splits[np.maximum(first, 0)].astype(np.uint64)).astype(np.int64)
+                yield pa.record_batch([*part.columns, pa.array(first), pa.array(second), pa.array(share)], [*part.schema.names, "first", "second", "share"])
+
+    keyed = tokens.mapInArrow(run, "doc_id long, width int, ids binary, first long, second long, share long")
+    order = ["first", "share", "second", "doc_id"]
+    return keyed.repartition(parts, "first", "share").sortWithinPartitions(*order, F.xxhash64("ids")).select("doc_id", "width", "ids")
+
+
 class Index:
     """BM25 over the documents of one shard: postings by token, with final weights."""
 
@@ -197,7 +239,10 @@ def pack(documents: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Each id (with the end id of each document) lies in exactly one piece. A null
-    or empty text is its end id alone; rows that repeat a doc_id are packed each.
+    or empty text is its end id alone; rows that repeat a doc_id are packed each, as
+    are rows without one. A text longer than a window goes on in the next. Ties of
+    neighbours go by order of placement. An empty table gives no row; other columns
+    are ignored, whatever their names.
     """
     tokens = tokenise(documents, tokenizer, end_id)
     df, docs, mean = frequencies(tokens)
@@ -224,4 +269,5 @@ def pack(documents: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
         if packer.rows:
             yield out()
 
-    return tokens.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    placed = place(tokens, df, docs, c.parallelism(documents.sparkSession))
+    return placed.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -178,10 +178,40 @@ def test_join_matches_brute_force(documents, clashing, corpus, monkeypatch):
     got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.ngram_join(clashing).collect()}
     assert got == expected
     monkeypatch.setattr(ngram_join, "BLOCK_TEXTS", 7)  # large groups are cut into blocks
+    monkeypatch.setattr(ngram_join, "BLOCK_PATHS", 5)
     monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 0)
     assert {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.ngram_join(documents).collect()} == expected
 
 
+def test_walk_joins_what_agrees():
+    """Over random subtries: the joins connect the same rows as all pairs that agree well enough."""
+    rng = np.random.default_rng(8)
+    need = ngram_join.agreeing()
+    assert 95 < need < 115
+    trie, rest, sketch = [], [], []
+    for t in range(40):
+        centres = rng.integers(0, 256, (3, 160)).astype(np.uint8)
+        for _ in range(rng.integers(1, 14)):
+            row = centres[rng.integers(3)].copy()
+            change = rng.random(160) < rng.choice([0.0, 0.1, 0.25, 0.4])
+            row[change] = rng.integers(0, 256, int(change.sum()))
+            trie.append(t), rest.append(row[4:8]), sketch.append(row)
+    trie, rest, sketch = np.array(trie), np.array(rest), np.array(sketch)
+    order = np.lexsort((*rest.T[::-1], trie))
+    trie, rest, sketch = trie[order], rest[order], sketch[order]
+
+    def classes(pairs):
+        label = np.arange(len(trie))
+        for x, y in pairs:
+            label[label == max(label[x], label[y])] = min(label[x], label[y])
+        return label.tolist()
+
+    close = [(i, j) for i in range(len(trie)) for j in range(i) if trie[i] == trie[j] and (sketch[i] == sketch[j]).sum() >= need]
+    assert classes(zip(*ngram_join.walk(trie, rest, sketch, need), strict=True)) == classes(close)
+    a, b = ngram_join.walk(trie[:0], rest[:0], sketch[:0], need)
+    assert not len(a) and not len(b)
+
+
 def test_join_odd_inputs(spark, documents, corpus):
     assert ngram_join.ngram_join(empty(spark)).count() == 0
     twice = documents.union(documents)
@@ -342,6 +372,42 @@ def test_packing_covers_every_id_once(spark, clashing, corpus, monkeypatch):
     assert packing.pack(empty(spark), tokenizer("word_bpe_49k.json")).count() == 0
 
 
+def test_placement_brings_neighbours_together(spark):
+    """Share of documents whose best BM25 neighbour of all lies in their shard: placed by topic, and in file order."""
+    import pyarrow.parquet as pq
+
+    got = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["doc_id", "text"]).to_pylist()
+    rng = random.Random(4)
+    rng.shuffle(got)
+    docs = spark.createDataFrame([(r["doc_id"], r["text"]) for r in got], "doc_id long, text string").coalesce(1)
+    tokens = packing.tokenise(docs, tokenizer("word_bpe_49k.json"), 2)
+    df, n, mean = packing.frequencies(tokens)
+    idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
+    rows = tokens.collect()
+    ids = [np.frombuffer(bytes(r.ids), f"<u{r.width}") for r in rows]
+    index = packing.Index(np.concatenate(ids), np.concatenate([[0], np.cumsum([len(x) for x in ids])]), idf, mean)
+    best = {}
+    for d in range(n):
+        used = np.arange(n) == d
+        best[rows[d].doc_id] = rows[int(index.neighbours(d, used)[0])].doc_id
+    shard = 20
+
+    def recall(order):
+        at = {d: k // shard for k, d in enumerate(order)}
+        return sum(at[d] == at[b] for d, b in best.items()) / n
+
+    placed = [r.doc_id for r in packing.place(tokens, df, n, 1).collect()]
+    assert sorted(placed) == sorted(best)
+    print("neighbour recall", recall(placed), recall([r.doc_id for r in rows]))
+    assert recall(placed) > 2 * recall([r.doc_id for r in rows])
+    # a topic that all documents have is dealt to many parts
+    many = docs.sparkSession.range(400).selectExpr("id as doc_id", "'the same words' as text")
+    same = packing.tokenise(many, tokenizer("word_bpe_49k.json"), 2)
+    df, n, _ = packing.frequencies(same)
+    sizes = [r.n for r in packing.place(same, df, n, 8).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 400 and max(sizes) < 250
+
+
 def test_neighbours_follow_bm25():
     rng = np.random.default_rng(0)
     docs = [rng.integers(3, 40, rng.integers(5, 60)) for _ in range(30)]
