@@ -646,20 +646,57 @@ def test_open_pages_lose_repeated_blocks(spark):
     assert got == own
 
 
-def test_repeated_pages_match_brute_force():
+def test_suffix_array_matches_brute_force():
     rng = np.random.default_rng(0)
-    tokens = rng.integers(0, 4, 400).astype(np.uint64)
-    page = np.sort(rng.integers(0, 9, 400))
-    for p in range(9):  # every page ends with a token of its own
-        if (page == p).any():
-            tokens[np.flatnonzero(page == p)[-1]] = 100 + p
-    run = 5
-    holders: dict = {}
-    for i in range(400 - run + 1):
-        holders.setdefault(tuple(tokens[i : i + run]), set()).add(page[i])
-    most = np.zeros(400, int)
-    for i in range(400 - run + 1):
-        n = len(holders[tuple(tokens[i : i + run])])
-        if n > 1:
-            most[i : i + run] = np.maximum(most[i : i + run], n)
-    assert (html_extract.repeated_pages(tokens, page, run) == most).all()
+    for n in (1, 2, 60, 300):
+        tokens = rng.integers(0, 4, n).astype(np.uint64)
+        text = tokens.tolist()
+        order, shared = html_extract.suffix_array(tokens)
+        assert order.tolist() == sorted(range(n), key=lambda i: text[i:])
+        for k in range(1, n):
+            a, b = text[order[k - 1] :], text[order[k] :]
+            assert shared[k] == next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    page = np.sort(rng.integers(0, 9, 300))
+    need = rng.integers(0, 6, 300)
+    got = html_extract.run_pages(tokens, page, need)
+    for i in range(295):
+        run = text[i : i + need[i]]
+        assert got[i] == (len({page[j] for j in range(300) if text[j : j + need[i]] == run}) if need[i] else 0)
+    assert not len(html_extract.suffix_array(tokens[:0])[0])
+
+
+def _site(spark, pages: int):
+    """A host whose articles hold a notice (on most pages) and whose open pages hold a frame, with copies and a long page."""
+    rng = random.Random(9)
+    notice, frame = "please accept our " + " ".join(words(rng, 12)), " ".join(words(rng, 15))
+    own = {k: " ".join(words(rng, 60)) for k in range(pages)}
+    rows = [(k, "http://h.example/", f"<article><p>{notice}</p><p>{t}</p></article>" if k % 10 else f"<body><div>{frame}</div><p>{t}</p><div>{frame} again</div><p>Read more</p></body>") for k, t in own.items()]
+    rows += [(10_000 + k, "http://h.example/", rows[1][2]) for k in range(70)]
+    own |= {10_000 + k: own[1] for k in range(70)}
+    own[20_000] = " ".join(words(rng, 60_000))
+    rows.append((20_000, "http://h.example/", f"<article><p>{own[20_000]}</p><p>{notice}</p></article>"))
+    return spark.createDataFrame(rows, "page_id long, url string, html string"), own
+
+
+@pytest.mark.parametrize("bucket", [1000, 40, 7])
+def test_extraction_does_not_depend_on_the_deal(spark, bucket):
+    pages, own = _site(spark, 300)
+    assert {r.page_id: r.text for r in html_extract.extract(pages, bucket_pages=bucket).collect()} == own
+
+
+def test_extraction_needs_the_suffix_array(monkeypatch):
+    page = lambda k: html_extract.blocks(f"<article><p>accept this very long and tedious notice now please</p><p>{k} " + " ".join(f"u{k}_{i}" for i in range(50)) + "</p></article>")
+    pages = [page(k) for k in range(20)]
+    assert not any("tedious" in t for t in html_extract.main_texts(pages))
+    monkeypatch.setattr(html_extract, "run_pages", lambda tokens, page, need: np.zeros(len(tokens), np.int64))
+    assert all("tedious" in t for t in html_extract.main_texts(pages))
+
+
+def test_broken_markup_is_parsed_in_linear_time():
+    import time
+
+    for piece in ("<a b ", "<a '", '<a "', "<!", "<script ", "</", "<p title=it's>x"):
+        began = time.perf_counter()
+        html_extract.blocks(piece * 100_000)
+        assert time.perf_counter() - began < 5, piece
+    assert [t for _, _, t in html_extract.blocks("<p title=it's>one</p><p a=\"1>2\">two</p><svg a='/'/>three<svg><p>no</p></svg>")] == ["one", "two", "three"]
