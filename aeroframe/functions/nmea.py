@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,10 +12,22 @@ from pyspark.sql.window import Window
 from .constants import KNOT
 
 
+def xor(texts: pa.Array) -> pa.Array:
+    """XOR of the bytes of each text of a batch, in one pass over its buffer; null for null."""
+    texts = texts.cast(pa.large_binary())
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    out = np.zeros(len(texts), np.int32)
+    some = np.flatnonzero(at[1:] > at[:-1])
+    if len(some):
+        raw = np.frombuffer(data, np.uint8)[: at[-1]]
+        out[some] = np.bitwise_xor.reduceat(raw, at[:-1][some])
+    return pa.array(out, mask=pc.is_null(texts).to_numpy(zero_copy_only=False))
+
+
 def checksum(body: Column) -> Column:
-    """XOR of the bytes of an ASCII text."""
-    codes = F.transform(F.sequence(F.lit(1), F.length(body)), lambda i: F.ascii(F.substring(body, i, F.lit(1))))
-    return F.when(F.length(body) > 0, F.aggregate(codes, F.lit(0), lambda a, x: a.bitwiseXOR(x))).otherwise(F.lit(0))
+    """XOR of the bytes of a text, batch by batch (SQL has no loop over bytes that is compiled)."""
+    return F.arrow_udf(xor, "int")(body)
 
 
 def parsed(df: DataFrame, sentence: str = "sentence") -> DataFrame:
@@ -36,8 +51,8 @@ def field(i: int) -> Column:
 
 
 def number(x: Column, kind: str = "double") -> Column:
-    """The text as a number, or null; only plain decimal notation counts."""
-    return F.when(x.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), x.try_cast(kind))
+    """The text as a number, or null; only plain decimal notation counts (no names, suffixes or spaces)."""
+    return F.when(F.translate(x, "0123456789+-.eE", "") == "", x.try_cast(kind))
 
 
 def coordinate(value: Column, side: Column, degrees: int) -> Column:

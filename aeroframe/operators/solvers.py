@@ -381,7 +381,11 @@ SPRINGS = (0.1, 0.05, 5.0, 5.0, 0.5)
 KINDS = ("flat", "sinusoid", "step", "sawtooth")
 
 
-def elastic_band(terrain_m: np.ndarray, dx: float, floor: np.ndarray, rate: float = 0.15, threshold: float = 0.5, most: int = 5000) -> tuple[np.ndarray, int, bool]:
+# Step rate, largest move in metres at which a band stands still, and steps at most; of a plan, and of the synthetic suites.
+PLAN_RELAXATION, SUITE_RELAXATION = (0.3, 0.01, 500), (0.15, 0.5, 5000)
+
+
+def elastic_band(terrain_m: np.ndarray, dx: float, floor: np.ndarray, rate: float = PLAN_RELAXATION[0], threshold: float = PLAN_RELAXATION[1], most: int = PLAN_RELAXATION[2]) -> tuple[np.ndarray, int, bool]:
     """Heights of a band over a floor: tension, bending, repulsion near the floor and gravity, relaxed all points at once."""
     tension, torsion, push, decay, gravity = SPRINGS
     alt = floor.copy()
@@ -406,7 +410,7 @@ def profiles(spark: SparkSession, length: float = 5000.0, spacing: float = 10.0,
     return rows.withColumn("terrain", F.expr(terrain.synthetic_profile("profile")))
 
 
-def elastic_bands(rows: DataFrame, clearance: float, rate: float = 0.15, threshold: float = 0.5, most: int = 5000) -> DataFrame:
+def elastic_bands(rows: DataFrame, clearance: float, rate: float = PLAN_RELAXATION[0], threshold: float = PLAN_RELAXATION[1], most: int = PLAN_RELAXATION[2]) -> DataFrame:
     """Adds alt, iterations and converged to profiles (at least three evenly spaced points each)."""
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
@@ -532,7 +536,7 @@ def sweep_metrics(spark: SparkSession, clearance: float, platform: str = "fixed_
     waves = spark.createDataFrame([(f"sweep_{int(a)}_{int(w)}", a, w) for a, w in SWEEP], "profile string, amplitude double, wavelength double")
     x = spark.range(501).select(F.col("id").cast("int").alias("k"), (F.col("id") * 10.0).alias("x"))
     swept = x.crossJoin(F.broadcast(waves)).select("k", "x", "profile", (500 + F.col("amplitude") * F.sin(2 * math.pi * F.col("x") / F.col("wavelength"))).alias("terrain"))
-    flown = smooth_waypoints(elastic_bands(profiles(spark).unionByName(swept), clearance), 20.0, clearance)
+    flown = smooth_waypoints(elastic_bands(profiles(spark).unionByName(swept), clearance, *SUITE_RELAXATION), 20.0, clearance)
     m = terrain.profile_metrics(flown, ["profile"], clearance)
     verdict = F.when(F.col("min_clearance_margin") < -3, "CLEARANCE").when(F.col("max_slope") > 3 * slope, "SLOPE").when(F.col("max_curvature") > 5 * curve, "CURVATURE").otherwise("PASSED")
     return m.withColumn("verdict", verdict)

@@ -100,6 +100,12 @@ def rtk_alerts(df: DataFrame, by: list[str], order: str, fix: str = "fix", after
     return runs.withColumn("_n", F.row_number().over(Window.partitionBy(*by, "_run").orderBy(order))).where(F.col("_n") == after).drop("_run", "_n")
 
 
+def silences(df: DataFrame, by: list[str], seconds: float = 3.0, order: str = "seq", at_us: str = "at_us") -> DataFrame:
+    """Rows that came more than ``seconds`` after the one before of their receiver, with the length of the silence."""
+    gap = F.col(at_us) - F.lag(at_us).over(Window.partitionBy(*by).orderBy(at_us, order))
+    return df.withColumn("silence_us", gap).where(F.col("silence_us") > int(seconds * 1_000_000))
+
+
 def last_state(df: DataFrame, by: list[str], order: str, columns: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(*(F.max_by(x, order).alias(x) for x in columns), F.max(order).alias(order))
 

@@ -41,9 +41,9 @@ def plan_altitudes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid(spark, sf_dir).selectExpr("*", *(x.strip() for x in ("case when plan_id % 2 = 0 then 'AGL' else 'EGM2008' end as datum", "case when plan_id % 2 = 0 then agl else msl end as alt"))).groupBy("plan_id", "datum").agg(F.max("alt").alias("alt"), F.countDistinct("line_index").alias("lines"), F.count("*").alias("waypoints"))
 
 
-@query("gen_13_reverse_line", f"select plan_id, cast(line_index as integer) as line_index, cast(n_wp - 1 - wp_index as integer) as wp_index, round(lat, 8) + 0e0 as lat, round(lon, 8) + 0e0 as lon from ({_GRID_SQL}) where line_index % 2 = 1")
+@query("gen_13_reverse_line", f"select plan_id, cast(line_index as integer) as line_index, cast(n_wp - 1 - wp_index as integer) as wp_index, round(lat, 8) + 0e0 as lat, round(lon, 8) + 0e0 as lon from ({_GRID_SQL})")
 def reverse_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid(spark, sf_dir).where("line_index % 2 = 1").withColumn("wp_index", F.col("n_wp") - 1 - F.col("wp_index")).selectExpr(*rounded(_GRID_OUT))
+    return grid(spark, sf_dir).withColumn("wp_index", F.col("n_wp") - 1 - F.col("wp_index")).selectExpr(*rounded(_GRID_OUT))
 
 
 @query("gen_05_corridor_offsets", "select n_nationkey as id, passes, k as pass, case when passes = 1 then 0e0 else round(-width / 2e0 + k * width / (passes - 1), 9) + 0e0 end as offset_m from (select *, unnest(range(passes)) as k from (select n_nationkey, cast(1 + 2 * (n_nationkey % 3) as integer) as passes, 40e0 + n_nationkey as width from nation))")
@@ -110,15 +110,17 @@ def clipped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geo.clip_lines(grid(spark, sf_dir).withColumn("alt", F.col("msl")), polygons(spark, sf_dir))
 
 
-@query(
-    "gen_10_clip_runs",
-    f"""select plan_id, clip_index, count(*) + max(before) + max(after) as points from (
+def _runs_sql(located: str) -> str:
+    """Points of each run of inner waypoints of a line, with a border point at each end that has an outer neighbour."""
+    return f"""select plan_id, clip_index, count(*) + max(before) + max(after) as points from (
   select *, cast(dense_rank() over (partition by plan_id order by line_index, run) - 1 as integer) as clip_index from (
     select *, count(*) over (partition by plan_id, line_index, run) + max(before) over (partition by plan_id, line_index, run) + max(after) over (partition by plan_id, line_index, run) as n from (
       select *, sum(case when inside and not coalesce(prev, false) then 1 else 0 end) over (partition by plan_id, line_index order by wp_index) as run,
         case when inside and wp_index > 0 and not prev then 1 else 0 end as before, case when inside and nxt is not null and not nxt then 1 else 0 end as after
-      from (select *, lag(inside) over w as prev, lead(inside) over w as nxt from ({_PIP_SQL}) window w as (partition by plan_id, line_index order by wp_index))) where inside) where n >= 2) group by plan_id, clip_index""",
-)
+      from (select *, lag(inside) over w as prev, lead(inside) over w as nxt from ({located}) window w as (partition by plan_id, line_index order by wp_index))) where inside) where n >= 2) group by plan_id, clip_index"""
+
+
+@query("gen_10_clip_runs", _runs_sql(_PIP_SQL))
 def clip_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clipped(spark, sf_dir).groupBy("plan_id", "clip_index").agg(F.count("*").alias("points"))
 
@@ -128,10 +130,32 @@ def clipped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clipped(spark, sf_dir).select("plan_id", "clip_index", "clip_wp", F.round("lat", 8).alias("lat"), F.round("lon", 8).alias("lon"), "border")
 
 
-@query("set_01_union_of_clips", f"select plan_id, count(*) as n from (select * from ({_PIP_SQL}) where inside union all select * from ({_PIP_SQL}) where not inside) group by plan_id")
+def _crossing_sql() -> str:
+    """Points at which the border is met between two waypoints of a line, at the accuracy of the edges' own equations."""
+    hit = "(x2 - x1) * dy - (y2 - y1) * dx"
+    return f"""select plan_id, line_index, wp_index, round(lat0 + t * dy, 6) + 0e0 as lat, round(lon0 + t * dx, 6) + 0e0 as lon from (
+  select g.*, ((x2 - x1) * (y1 - lat0) - (y2 - y1) * (x1 - lon0)) / ({hit}) as t, (dx * (y1 - lat0) - dy * (x1 - lon0)) / ({hit}) as u
+  from (select *, lat - lat0 as dy, lon - lon0 as dx from (select *, lag(lat) over w as lat0, lag(lon) over w as lon0, lag(inside) over w as before from ({_PIP_SQL}) window w as (partition by plan_id, line_index order by wp_index)) where before <> inside) g
+  join ({_edges_sql()}) e on g.plan_id = e.plan_id where {hit} <> 0) where t between 0 and 1 and u between 0 and 1"""
+
+
+@query("gen_10_border_points", _crossing_sql())
+def border_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where lines meet the border: found by bisection here, from the edges' equations in the SQL."""
+    rows = clipped(spark, sf_dir).where("border")
+    return rows.select("plan_id", "line_index", F.ceil("at").cast("int").alias("wp_index"), F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
+
+
+_INSIDE_HOLE_SQL = _PIP_SQL.replace("outer_hits % 2 = 1 and hole_hits % 2 = 0 as inside", "hole_hits % 2 = 1 as inside")
+
+
+@query("set_01_union_of_clips", f"select 0 as part, plan_id, clip_index, points from ({_runs_sql(_PIP_SQL)}) union all select 1, plan_id, clip_index, points from ({_runs_sql(_INSIDE_HOLE_SQL)})")
 def union_of_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = grid(spark, sf_dir).join(polygons(spark, sf_dir), "plan_id").withColumn("inside", geo.in_polygon(F.col("lat"), F.col("lon"), F.col("exterior"), F.col("holes")))
-    return rows.where("inside").unionByName(rows.where("not inside")).groupBy("plan_id").agg(F.count("*").alias("n"))
+    """Lines cut to each of two polygons of a plan, one after the other: the border with its hole, and the hole."""
+    both = polygons(spark, sf_dir)
+    inner = both.select("plan_id", F.col("holes")[0].alias("exterior"), F.slice("holes", 1, 0).alias("holes"))
+    parts = [geo.clip_lines(grid(spark, sf_dir).withColumn("alt", F.col("msl")), p).withColumn("part", F.lit(k)) for k, p in enumerate((both, inner))]
+    return parts[0].unionByName(parts[1]).groupBy("part", "plan_id", "clip_index").agg(F.count("*").alias("points"))
 
 
 @query(
@@ -214,10 +238,10 @@ _C = g.utm_forward("any_lat", "any_lon")
 
 @query(
     "gen_04_corridor_status",
-    f"select vehicle as corridor_id, {planning.corridor_status()} as status from (select vehicle, count(*) as n_vertices, 40e0 + cast(vehicle % 50 as double) as width, cast(1 + 2 * (vehicle % 4) as int) as passes, min(lat) as min_lat, max(lat) as max_lat, min(lon) as min_lon, max(lon) as max_lon from ({d.TELEMETRY.sql}) where seq % 7 = 0 group by vehicle)",
+    f"select vehicle as corridor_id, {planning.corridor_status()} as status from (select vehicle, count(*) as n_vertices, 40e0 + cast(vehicle % 50 as double) as width, cast(1 + 2 * (vehicle % 4) as int) as passes, min(lat) as min_lat, max(lat) as max_lat, min(lon) as min_lon, max(lon) as max_lon from ({d.TELEMETRY.sql}) group by vehicle)",
 )
 def corridor_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = d.TELEMETRY.load(spark, sf_dir).where("seq % 7 = 0").groupBy("vehicle").agg(F.count("*").alias("n_vertices"), *(f(c).alias(f"{n}_{c}") for n, f in (("min", F.min), ("max", F.max)) for c in ("lat", "lon")))
+    t = d.TELEMETRY.load(spark, sf_dir).groupBy("vehicle").agg(F.count("*").alias("n_vertices"), *(f(c).alias(f"{n}_{c}") for n, f in (("min", F.min), ("max", F.max)) for c in ("lat", "lon")))
     t = t.withColumns({"width": 40.0 + (F.col("vehicle") % 50).cast("double"), "passes": (1 + 2 * (F.col("vehicle") % 4)).cast("int")})
     return t.selectExpr("vehicle as corridor_id", f"{planning.corridor_status()} as status")
 
@@ -227,17 +251,17 @@ def corridor_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("trj_02_elastic_band")
 def elastic_band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return solvers.elastic_bands(solvers.profiles(spark), clearance=50.0)
+    return solvers.elastic_bands(solvers.profiles(spark), 50.0, *solvers.SUITE_RELAXATION)
 
 
 @query("trj_03_07_smooth_waypoints")
 def smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return solvers.smooth_waypoints(solvers.elastic_bands(solvers.profiles(spark), clearance=50.0), spacing=50.0, clearance=50.0)
+    return solvers.smooth_waypoints(solvers.elastic_bands(solvers.profiles(spark), 50.0, *solvers.SUITE_RELAXATION), spacing=50.0, clearance=50.0)
 
 
 @query("trj_04_06_spline_reports")
 def spline_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return solvers.spline_reports(solvers.elastic_bands(solvers.profiles(spark), clearance=50.0), clearance=50.0)
+    return solvers.spline_reports(solvers.elastic_bands(solvers.profiles(spark), 50.0, *solvers.SUITE_RELAXATION), clearance=50.0)
 
 
 @query("trj_09_sinusoid_sweep")

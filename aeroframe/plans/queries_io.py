@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import json
+import re
+import shutil
 import tempfile
 import uuid
 from functools import lru_cache
@@ -11,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import tracks
 from ..sources import exports, gpkg, vector
 from ..streaming import telemetry
 from . import domain as d
@@ -21,12 +25,25 @@ from .registry import ORACLE_SQL, query
 
 @lru_cache(maxsize=1)
 def _local() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="aeroframe-")
+    made = tempfile.mkdtemp(prefix="aeroframe-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    return "file://" + made
 
 
 def folder(spark: SparkSession) -> str:
-    """A fresh folder in the one named by spark.checkpoint.dir (a temporary one where that is unset)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _local()).rstrip("/") + "/aeroframe-" + uuid.uuid4().hex[:12]
+    """A fresh folder in the one named by spark.checkpoint.dir (a temporary one where that is unset, with a local master only)."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (found or _local()).rstrip("/") + "/aeroframe-" + uuid.uuid4().hex[:12]
+
+
+def local_path(path: str) -> str:
+    """The plain path of a folder that driver and tasks mount; SQLite cannot write anywhere else."""
+    plain = re.sub(r"^file:(//)?(?=/)", "", path)
+    if "://" in plain:
+        raise ValueError(f"GeoPackages need a mounted folder, not {path}")
+    return plain
 
 
 def waypoints(spark: SparkSession, sf_dir: str, datum: str) -> DataFrame:
@@ -51,30 +68,80 @@ def blob_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([("empty_point", bytearray(gpkg.EMPTY_POINT)), ("line", bytearray(gpkg.linestring([(1.0, 2.0), (3.0, 4.0)])))], "name string, b binary").select("name", F.lower(F.hex("b")).alias("bytes"))
 
 
-@query("src_10_12_snk_01_03_gpkg_round_trip", f"select cast(line_index as bigint) as line_index, 'EGM2008' as altitude_datum, 0e0 as completion_pct, count(*) as points from ({_GRID_SQL}) where plan_id = 7 group by line_index")
-def gpkg_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write plan 7 as a GeoPackage and read it back. SQLite needs a path that is a local file to the driver and tasks."""
+_NUMBERED = "plan_id * 10000 + line_index"
+
+
+def package(spark: SparkSession, sf_dir: str) -> str:
+    """All plans as lines of one GeoPackage, numbered by plan and line; returns its path."""
     spark.dataSource.register(gpkg.GpkgDataSource)
-    path = folder(spark).removeprefix("file://") + ".gpkg"
-    lines = gpkg.encode_lines(waypoints(spark, sf_dir, "EGM2008").where("plan_id = 7"), ["line_index"]).withColumn("altitude_datum", F.lit("EGM2008"))
-    lines.select("line_index", "altitude_datum", "geom").write.format("gpkg").mode("overwrite").save(path)
+    path = local_path(folder(spark)) + ".gpkg"
+    lines = gpkg.encode_lines(waypoints(spark, sf_dir, "EGM2008"), ["plan_id", "line_index"]).withColumn("altitude_datum", F.lit("EGM2008"))
+    lines.selectExpr(f"{_NUMBERED} as line_index", "altitude_datum", "geom").write.format("gpkg").mode("overwrite").save(path)
+    return path
+
+
+@query("src_10_12_snk_01_03_gpkg_round_trip", f"select {_NUMBERED} as line_index, 'EGM2008' as altitude_datum, 0e0 as completion_pct, count(*) as points from ({_GRID_SQL}) group by plan_id, line_index")
+def gpkg_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write all plans to a GeoPackage and read it back."""
 
     @F.pandas_udf("long")
     def points(blobs: pd.Series) -> pd.Series:
         return blobs.map(lambda b: len(gpkg.parse_linestring(bytes(b))))
 
-    return spark.read.format("gpkg").load(path).select("line_index", "altitude_datum", "completion_pct", points("geom").alias("points"))
+    return spark.read.format("gpkg").load(package(spark, sf_dir)).select("line_index", "altitude_datum", "completion_pct", points("geom").alias("points"))
+
+
+@query(
+    "src_11_12_snk_08_gpkg_summary",
+    f"""with w as ({_GRID_SQL}), n as (select count(*) as lines from (select distinct plan_id, line_index from w))
+select lines as n_rows, lines as rtree_rows, round(min_x, 4) + 0e0 as min_x, round(min_y, 4) + 0e0 as min_y, round(max_x, 4) + 0e0 as max_x, round(max_y, 4) + 0e0 as max_y, '3' as schema_version, 'altitude_datum=EGM2008' as description
+from n, (select min(lon) as min_x, min(lat) as min_y, max(lon) as max_x, max(lat) as max_y from w)""",
+)
+def gpkg_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, box, metadata and description of the package."""
+    path = package(spark, sf_dir)
+    found, meta = gpkg.summary(path, "flight_lines"), gpkg.metadata(path)
+    row = (found["rows"], found["rtree_rows"], *(round(x, 4) + 0.0 for x in found["box"]), meta["schema_version"], found["description"])
+    return spark.createDataFrame([row], "n_rows long, rtree_rows long, min_x double, min_y double, max_x double, max_y double, schema_version string, description string")
+
+
+@query(
+    "snk_08_gpkg_box_search",
+    f"select {_NUMBERED} as line_index from (select plan_id, line_index, min(lat) as s, max(lat) as n, min(lon) as w, max(lon) as e from ({_GRID_SQL}) group by plan_id, line_index) where n >= 44e0 and s <= 54.5e0 and e >= 7e0 and w <= 27.5e0",
+)
+def gpkg_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines whose boxes meet a box, through the R-tree."""
+    path = package(spark, sf_dir)
+    ids = spark.createDataFrame([(i,) for i in gpkg.search(path, "flight_lines", (7.0, 27.5, 44.0, 54.5))], "id long")
+    return spark.read.format("gpkg").load(path).join(ids, "id").select("line_index")
+
+
+@query(
+    "snk_10_17_gpkg_completion",
+    f"select {_NUMBERED} as line_index, case when line_index % 2 = 0 then 5e1 + plan_id else 0e0 end as completion_pct from (select distinct plan_id, line_index from ({_GRID_SQL}))",
+)
+def gpkg_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Progress of every other line, written into the package."""
+    path = package(spark, sf_dir)
+    index = [r.line_index for r in spark.read.format("gpkg").load(path).select("line_index").collect()]  # the lines of one package
+    gpkg.set_completion(path, "flight_lines", {k: 50.0 + k // 10000 for k in index if k % 10000 % 2 == 0})
+    return spark.read.format("gpkg").load(path).select("line_index", "completion_pct")
 
 
 # ---------------------------------------------------------------- exports
 
 
-@query("snk_11_18_geojson", f"select plan_id, cast(count(distinct line_index) as bigint) as features, count(*) as points, 'EGM2008' as datum, true as warned from ({_GRID_SQL}) group by plan_id")
+@query(
+    "snk_11_18_geojson",
+    f"""select plan_id, cast(line_index as integer) as line_index, cast(wp_index as integer) as wp_index, round(lon, 8) + 0e0 as lon, round(lat, 8) + 0e0 as lat, msl as alt, 'EGM2008' as datum, 5e-2 as gsd, 30e0 as side, 60e0 as ahead, msl as low, msl as high, true as warned from ({_GRID_SQL})""",
+)
 def geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every coordinate and property, read back from the documents."""
     docs = exports.geojson(waypoints(spark, sf_dir, "EGM2008"), used_dem=True)
-    v = F.from_json("document", "altitude_datum string, safety_warning string, features array<struct<geometry: struct<coordinates: array<array<double>>>>>")
-    count = F.aggregate(v["features"], F.lit(0).cast("long"), lambda a, f: a + F.size(f["geometry"]["coordinates"]))
-    return docs.select("plan_id", F.size(v["features"]).cast("long").alias("features"), count.alias("points"), v["altitude_datum"].alias("datum"), v["safety_warning"].isNotNull().alias("warned"))
+    kind = "altitude_datum string, safety_warning string, features array<struct<geometry: struct<coordinates: array<array<double>>>, properties: struct<line_index: int, altitude_datum: string, target_gsd_m: double, side_lap_pct: double, end_lap_pct: double, min_altitude_m: double, max_altitude_m: double>>>"
+    v = docs.select("plan_id", F.from_json("document", kind).alias("v")).select("plan_id", F.col("v.safety_warning").endswith("Verify obstacle clearance manually before flight.").alias("warned"), F.explode("v.features").alias("f"))
+    v = v.select("plan_id", "warned", "f.properties.*", F.posexplode("f.geometry.coordinates").alias("wp_index", "p"))
+    return v.select("plan_id", "line_index", "wp_index", F.round(F.col("p")[0], 8).alias("lon"), F.round(F.col("p")[1], 8).alias("lat"), F.col("p")[2].alias("alt"), F.col("altitude_datum").alias("datum"), F.col("target_gsd_m").alias("gsd"), F.col("side_lap_pct").alias("side"), F.col("end_lap_pct").alias("ahead"), F.col("min_altitude_m").alias("low"), F.col("max_altitude_m").alias("high"), "warned")
 
 
 @query(
@@ -88,10 +155,18 @@ def qgc_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select("plan_id", "seq", "command", "frame", F.round(F.when(F.col("command") == 16, F.col("params")[4]).otherwise(F.col("params")[0]), 7).alias("value"))
 
 
-@query("snk_12_qgc_plan", f"select plan_id, cast(count(*) + 2 * count(distinct line_index) filter (line_index % 3 <> 2) as bigint) as items, true as parses from ({_GRID_SQL}) group by plan_id")
+@query(
+    "snk_12_qgc_plan",
+    f"""select plan_id, cast(row_number() over (partition by plan_id order by line_index, wp_index) as integer) as n, round(lat, 8) + 0e0 as lat, round(lon, 8) + 0e0 as lon, msl as alt, true as parses, round(first_value(lat) over (partition by plan_id order by line_index, wp_index), 8) + 0e0 as home_lat from ({_GRID_SQL})""",
+)
 def qgc_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = F.from_json("document", "fileType string, mission struct<items: array<struct<command: int>>>")
-    return exports.qgc(waypoints(spark, sf_dir, "AGL"), 25.0).select("plan_id", F.size(v["mission"]["items"]).cast("long").alias("items"), (v["fileType"] == "Plan").alias("parses"))
+    """The waypoints of every plan file, in order, with its home."""
+    v = F.from_json("document", "fileType string, mission struct<plannedHomePosition: array<double>, items: array<struct<command: int, params: array<double>>>>")
+    rows = exports.qgc(waypoints(spark, sf_dir, "AGL"), 25.0).select("plan_id", v.alias("v"))
+    way = F.filter("v.mission.items", lambda i: i["command"] == exports.WAYPOINT)
+    rows = rows.select("plan_id", (F.col("v.fileType") == "Plan").alias("parses"), F.round(F.col("v.mission.plannedHomePosition")[0], 8).alias("home_lat"), F.posexplode(way).alias("n", "i"))
+    at = lambda k: F.col("i.params")[k]
+    return rows.select("plan_id", (F.col("n") + 1).alias("n"), F.round(at(4), 8).alias("lat"), F.round(at(5), 8).alias("lon"), at(6).alias("alt"), "parses", "home_lat")
 
 
 @query("snk_12_qgc_refusals", "select cast(n_nationkey as bigint) as plan_id, case when n_nationkey % 3 = 0 then 'OK' when n_nationkey % 3 = 1 then 'WRONG_DATUM' else 'MIXED_DATUM' end as status from nation")
@@ -100,10 +175,18 @@ def qgc_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exports.qgc_status(waypoints(spark, sf_dir, "AGL").withColumn("datum", F.expr(datum))).select("plan_id", "status")
 
 
-@query("snk_13_dji_parts", f"select plan_id, count(*) as placemarks, cast(count(distinct line_index) filter (line_index % 3 <> 2) as bigint) as action_groups from ({_GRID_SQL}) group by plan_id")
+@query(
+    "snk_13_dji_parts",
+    f"""select plan_id, cast(row_number() over (partition by plan_id order by line_index, wp_index) - 1 as integer) as n, round(cast(printf('%.9f', lon) as double), 7) + 0e0 as lon, round(cast(printf('%.9f', lat) as double), 7) + 0e0 as lat, msl as height, cast(count(distinct line_index) filter (line_index % 3 <> 2) over (partition by plan_id) as bigint) as action_groups from ({_GRID_SQL})""",
+)
 def dji(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coordinates and heights of every placemark of the waylines, in order."""
     parts = exports.dji_parts(waypoints(spark, sf_dir, "EGM96"))
-    return parts.select("plan_id", F.regexp_count("waylines", F.lit("<Placemark>")).cast("long").alias("placemarks"), F.regexp_count("waylines", F.lit("<wpml:actionGroup>")).cast("long").alias("action_groups"))
+    every = lambda pattern: F.regexp_extract_all("waylines", F.lit(pattern), F.lit(1))
+    zipped = F.arrays_zip(every("<coordinates>([^<]*)</coordinates>").alias("c"), every("<wpml:executeHeight>([^<]*)</wpml:executeHeight>").alias("h"))
+    rows = parts.select("plan_id", F.regexp_count("waylines", F.lit("<wpml:actionGroup>")).cast("long").alias("action_groups"), F.posexplode(zipped).alias("n", "p"))
+    at = lambda k: F.round(F.split("p.c", ",")[k].cast("double"), 7)
+    return rows.select("plan_id", "n", at(0).alias("lon"), at(1).alias("lat"), F.col("p.h").cast("double").alias("height"), "action_groups")
 
 
 @query("snk_13_dji_archives")
@@ -150,11 +233,47 @@ def stream_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("receiver", "seq", "kind", "utc", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"), "alt", "alt_datum", "fix", F.round("ground_speed", 9).alias("ground_speed"), "course", "paired")
 
 
-@query("src_14_15_mock_telemetry", f"select value, vehicle, lat, lon from (select *, row_number() over (order by seq) - 1 as n from ({d.TELEMETRY.sql}) where seq < 50) join (select unnest(range(200)) as value) on value % 50 = n")
+@query("src_14_15_mock_telemetry", f"select value, vehicle, lat, lon from (select seq as n, vehicle, lat, lon, count(*) over () as n_all from ({d.TELEMETRY.sql})) w join (select unnest(range(2 * (select count(*) from events) + 7)) as value) t on value % n_all = n")
 def mock(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """200 ticks over a loop of 50 waypoints (a batch of ticks stands in for the rate stream)."""
-    way = d.TELEMETRY.load(spark, sf_dir).where("seq < 50").selectExpr("seq as n", "50L as n_all", "vehicle", "lat", "lon")
-    return telemetry.mock_telemetry(spark.range(200).withColumnRenamed("id", "value"), way).select("value", "vehicle", "lat", "lon")
+    """Ticks for twice round all waypoints and a few more (a batch of ticks stands in for the rate stream)."""
+    way = d.TELEMETRY.load(spark, sf_dir)
+    n = way.count()
+    way = way.selectExpr("seq as n", f"{n}L as n_all", "vehicle", "lat", "lon")
+    return telemetry.mock_telemetry(spark.range(2 * n + 7).withColumnRenamed("id", "value"), way).select("value", "vehicle", "lat", "lon")
+
+
+@query("snk_17_saved_progress", f"select vehicle as plan_id, cast(seq % 4 as integer) as line_index, round(max(100e0 * (seq % 50) / 49), 9) as completion_pct from ({d.TELEMETRY.sql}) group by vehicle, seq % 4")
+def saved_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Progress of a stream of positions through the log and its snapshots, as a restart would read it."""
+    at = folder(spark)
+    flown = d.TELEMETRY.load(spark, sf_dir).selectExpr("vehicle as plan_id", "cast(seq % 4 as int) as line_index", "cast(seq % 50 as int) as wp_index", "50 as n_wp")
+    flown.repartition(15).write.parquet(at + "/in")
+    stream = spark.readStream.schema(flown.schema).option("maxFilesPerTrigger", 1).parquet(at + "/in")
+    telemetry.persist_progress(telemetry.line_progress(stream), at + "/progress", at + "/checkpoint", every=None).awaitTermination()
+    return telemetry.saved_progress(spark, at + "/progress").select("plan_id", "line_index", F.round("completion_pct", 9).alias("completion_pct"))
+
+
+@query(
+    "snk_16_warnings_init_status",
+    f"""select 'WARNING' as type, vehicle as receiver, seq from (select *, row_number() over (partition by vehicle, run order by seq) as n from (select *, sum(case when fix >= 4 then 1 else 0 end) over (partition by vehicle order by seq) as run from ({d.TELEMETRY.sql})) where fix < 4) where n = 3
+union all select 'INIT', plan_id, count(*) from ({_GRID_SQL}) group by plan_id union all select 'STATUS', vehicle, max(seq) from ({d.TELEMETRY.sql}) group by vehicle""",
+)
+def other_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots of plans, states of vehicles and warnings as tagged messages, parsed again."""
+    flown = d.TELEMETRY.load(spark, sf_dir)
+    alerts = telemetry.warnings(tracks.rtk_alerts(flown.withColumnRenamed("vehicle", "receiver"), ["receiver"], "seq", after=3))
+    plans = grid(spark, sf_dir).groupBy(F.col("plan_id").alias("receiver")).agg(F.count("*").alias("seq"))
+    state = tracks.last_state(flown, ["vehicle"], "seq", ["lat", "lon", "fix"]).withColumnRenamed("vehicle", "receiver")
+    sent = telemetry.messages(alerts, "WARNING").union(telemetry.messages(plans, "INIT")).union(telemetry.messages(state, "STATUS"))
+    v = F.from_json("value", "type string, payload struct<receiver: long, seq: long>")
+    return sent.select(v["type"].alias("type"), v["payload"]["receiver"].alias("receiver"), v["payload"]["seq"].alias("seq"))
+
+
+@query("stm_09_silences", "select user_id as receiver, event_id as seq, epoch_us(ts) - epoch_us(before) as silence_us from (select *, lag(ts) over (partition by user_id order by ts, event_id) as before from events) where epoch_us(ts) - epoch_us(before) > 3600000000")
+def silences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences that came after a silence of an hour (the live stream asks for three seconds)."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return tracks.silences(e.select(F.col("user_id").alias("receiver"), F.col("event_id").alias("seq"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us")), ["receiver"], 3600.0).select("receiver", "seq", "silence_us")
 
 
 def document(df: DataFrame, plan_id: int) -> dict:

@@ -26,7 +26,7 @@ TAKEOFF_HEIGHT, TRANSIT_SPEED, FLIGHT_SPEED = 20.0, 15.0, 10.0
 # Texts that go with plans made over a surface model.
 ATTRIBUTION = "Contains modified Copernicus Sentinel data {year}, processed by ESA."
 DISCLAIMER = "The Copernicus DEM is provided under the Copernicus Data Space Ecosystem License. See https://dataspace.copernicus.eu/terms-and-conditions"
-SURFACE_WARNING = "SAFETY WARNING: Copernicus DEM is a Digital Surface Model (DSM). Altitudes include canopy and structure tops. AGL clearance over forests may be UNDERESTIMATED by 2-8 m."
+SURFACE_WARNING = "SAFETY WARNING: Copernicus DEM is a Digital Surface Model (DSM). Altitudes include canopy and structure tops. AGL clearance over forests may be UNDERESTIMATED by 2-8 m. Verify obstacle clearance manually before flight."
 
 
 def ordered(value: Column, *keys: str) -> Column:

@@ -271,10 +271,10 @@ def search(path: str, table: str, box: tuple[float, float, float, float]) -> lis
 
 
 def summary(path: str, table: str) -> dict:
-    """Rows, R-tree entries and the box in the contents table."""
+    """Rows, R-tree entries, and the box and description in the contents table."""
     db = open_package(path)
     rows = db.execute(f"select count(*) from {table}").fetchone()[0]
     tree = db.execute(f"select count(*) from rtree_{table}_geom").fetchone()[0]
-    box = db.execute("select min_x, min_y, max_x, max_y from gpkg_contents where table_name = ?", (table,)).fetchone()
+    *box, description = db.execute("select min_x, min_y, max_x, max_y, description from gpkg_contents where table_name = ?", (table,)).fetchone()
     db.close()
-    return {"rows": rows, "rtree_rows": tree, "box": box}
+    return {"rows": rows, "rtree_rows": tree, "box": tuple(box), "description": description}

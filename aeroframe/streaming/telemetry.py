@@ -6,7 +6,7 @@ number before they meet the state, since a shuffle does not keep order.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -106,14 +106,42 @@ def line_progress(telemetry: DataFrame) -> DataFrame:
     return telemetry.groupBy("plan_id", "line_index").agg(F.max(pct).alias("completion_pct"))
 
 
-def persist_progress(progress: DataFrame, save: Callable[[list], None], checkpoint: str, every: str = "5 seconds"):
-    """Hand each trigger's changed lines to ``save`` (rows of one trigger, bounded by the lines of the plans flown)."""
-    return progress.writeStream.outputMode("update").trigger(processingTime=every).option("checkpointLocation", checkpoint).foreachBatch(lambda df, _: save(df.collect())).start()
+#: Triggers after which the progress log is folded into a snapshot.
+SNAPSHOT_EVERY = 12
 
 
-def messages(telemetry: DataFrame) -> DataFrame:
-    """Tagged JSON messages of a telemetry stream."""
-    return telemetry.select(F.to_json(F.struct(F.lit("TELEMETRY").alias("type"), F.struct(*telemetry.columns).alias("payload"))).alias("value"))
+def saved_progress(spark: SparkSession, folder: str) -> DataFrame:
+    """plan_id, line_index and completion_pct as last saved in ``folder`` (log rows of later batches win)."""
+    log = spark.read.schema("plan_id long, line_index int, completion_pct double, batch long").option("recursiveFileLookup", "true").parquet(folder)
+    return log.groupBy("plan_id", "line_index").agg(F.max_by("completion_pct", "batch").alias("completion_pct"))
+
+
+def persist_progress(progress: DataFrame, folder: str, checkpoint: str, every: str | None = "5 seconds"):
+    """Append each trigger's changed lines to a log in ``folder``; every SNAPSHOT_EVERY triggers add a snapshot of all.
+
+    A batch that is repeated after a failure writes its own folder again, so nothing
+    counts twice. ``every`` None: one run over what is there.
+    """
+    spark = progress.sparkSession
+
+    def save(df: DataFrame, batch: int) -> None:
+        at = lambda kind: f"{folder}/{kind}-{batch:09d}"
+        df.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").parquet(at("log"))
+        if batch % SNAPSHOT_EVERY == SNAPSHOT_EVERY - 1:
+            saved_progress(spark, folder).withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").parquet(at("snapshot"))
+
+    q = progress.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(save)
+    return (q.trigger(processingTime=every) if every else q.trigger(availableNow=True)).start()
+
+
+def messages(telemetry: DataFrame, kind: str = "TELEMETRY") -> DataFrame:
+    """Tagged JSON messages of a stream or a table of payloads."""
+    return telemetry.select(F.to_json(F.struct(F.lit(kind).alias("type"), F.struct(*telemetry.columns).alias("payload"))).alias("value"))
+
+
+def warnings(alerts: DataFrame) -> DataFrame:
+    """Payloads of warnings: receivers whose fix was poor for too long."""
+    return alerts.selectExpr("receiver", "seq", "'RTK_DEGRADED' as code", "concat('fix quality ', cast(fix as string)) as detail")
 
 
 def run_available(stream: DataFrame, out: str, checkpoint: str) -> None:
@@ -127,20 +155,26 @@ class _Replay(SimpleDataSourceStreamReader):
         self.path, self.receiver, self.rows = options["path"], int(options.get("receiver", "0")), int(options.get("rowsPerBatch", "1000"))
 
     def initialOffset(self) -> dict:
-        return {"line": 0}
-
-    def _lines(self, start: int, stop: int | None) -> list[str]:
-        from itertools import islice
-
-        with open(self.path, encoding="ascii", errors="replace") as f:
-            return [x.rstrip("\r\n") for x in islice(f, start, stop)]
+        return {"line": 0, "byte": 0}
+
+    def _read(self, start: dict, lines: int) -> tuple[list[tuple], dict]:
+        """Whole lines from a place in the log (found by its byte, not by reading up to it) and the place after them."""
+        out, at = [], start["byte"]
+        with open(self.path, "rb") as f:
+            f.seek(at)
+            while len(out) < lines and (x := f.readline()):
+                if not x.endswith(b"\n") and f.read(1):
+                    break
+                out.append((self.receiver, start["line"] + len(out), x.decode("ascii", "replace").rstrip("\r\n")))
+                at += len(x)
+        return out, {"line": start["line"] + len(out), "byte": at}
 
     def read(self, start: dict):
-        got = self._lines(start["line"], start["line"] + self.rows)
-        return iter([(self.receiver, start["line"] + k, x) for k, x in enumerate(got)]), {"line": start["line"] + len(got)}
+        rows, end = self._read(start, self.rows)
+        return iter(rows), end
 
     def readBetweenOffsets(self, start: dict, end: dict):
-        return iter([(self.receiver, start["line"] + k, x) for k, x in enumerate(self._lines(start["line"], end["line"]))])
+        return iter(self._read(start, end["line"] - start["line"])[0])
 
 
 class NmeaReplay(DataSource):

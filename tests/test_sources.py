@@ -31,7 +31,7 @@ def test_gpkg_file(spark, tmp_path):
     path = str(tmp_path / "plan.gpkg")
     gpkg.encode_lines(_plan(spark), ["line_index"]).write.format("gpkg").mode("overwrite").save(path)
     assert spark.read.format("gpkg").option("partitions", "2").load(path).count() == 3
-    assert gpkg.summary(path, "flight_lines") == {"rows": 3, "rtree_rows": 3, "box": pytest.approx((8.0, 47.0, 8.002, 47.003), abs=1e-5)}
+    assert gpkg.summary(path, "flight_lines") == {"rows": 3, "rtree_rows": 3, "box": pytest.approx((8.0, 47.0, 8.002, 47.003), abs=1e-5), "description": "altitude_datum=EGM2008"}
     assert gpkg.search(path, "flight_lines", (8.0005, 8.0015, 47, 48)) == [2]
     gpkg.set_completion(path, "flight_lines", {1: 50.0})
     gpkg.delete_line(path, "flight_lines", 0)
