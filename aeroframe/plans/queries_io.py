@@ -177,7 +177,7 @@ def qgc_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "snk_13_dji_parts",
-    f"""select plan_id, cast(row_number() over (partition by plan_id order by line_index, wp_index) - 1 as integer) as n, round(cast(printf('%.9f', lon) as double), 7) + 0e0 as lon, round(cast(printf('%.9f', lat) as double), 7) + 0e0 as lat, msl as height, cast(count(distinct line_index) filter (line_index % 3 <> 2) over (partition by plan_id) as bigint) as action_groups from ({_GRID_SQL})""",
+    f"""select plan_id, cast(row_number() over (partition by plan_id order by line_index, wp_index) - 1 as integer) as n, cast(regexp_replace(printf('%.9f', lon), '..$', '') as double) as lon, cast(regexp_replace(printf('%.9f', lat), '..$', '') as double) as lat, msl as height, cast(count(distinct line_index) filter (line_index % 3 <> 2) over (partition by plan_id) as bigint) as action_groups from ({_GRID_SQL})""",
 )
 def dji(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coordinates and heights of every placemark of the waylines, in order."""
@@ -185,7 +185,7 @@ def dji(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = lambda pattern: F.regexp_extract_all("waylines", F.lit(pattern), F.lit(1))
     zipped = F.arrays_zip(every("<coordinates>([^<]*)</coordinates>").alias("c"), every("<wpml:executeHeight>([^<]*)</wpml:executeHeight>").alias("h"))
     rows = parts.select("plan_id", F.regexp_count("waylines", F.lit("<wpml:actionGroup>")).cast("long").alias("action_groups"), F.posexplode(zipped).alias("n", "p"))
-    at = lambda k: F.round(F.split("p.c", ",")[k].cast("double"), 7)
+    at = lambda k: F.regexp_replace(F.split("p.c", ",")[k], "..$", "").cast("double")
     return rows.select("plan_id", "n", at(0).alias("lon"), at(1).alias("lat"), F.col("p.h").cast("double").alias("height"), "action_groups")
 
 
