@@ -180,11 +180,21 @@ def sample(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tup
 
 
 def fit_classifier(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Net:
+    """A net fitted on at most ``rows`` trusted positives and ``rows`` unlabelled texts, neither from the held-out fold.
+
+    Labels of documents that are not there, null labels and repeated labels do no harm; without positives every score is one half.
+    """
     return fit(*sample(documents, labels, rows))
 
 
 def classify(documents: DataFrame, net: Net, at: float = PREDICT_AT) -> DataFrame:
-    """Per document: doc_id, held_out, score and predicted, from its whole text (null: empty)."""
+    """Per document: doc_id, held_out, score and predicted, from its whole text (null: empty).
+
+    Every row gives a row, repeated ones too, each scored on its own; a null doc_id
+    is not held out. An empty or very long text is scored like any other. A score of
+    exactly ``at`` predicts 1. An empty table gives no row; other columns are
+    ignored, whatever their names.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in c.tidy(batches):
@@ -197,7 +207,12 @@ def classify(documents: DataFrame, net: Net, at: float = PREDICT_AT) -> DataFram
 
 
 def keep_quality(documents: DataFrame, net: Net, at: float = PREDICT_AT) -> DataFrame:
-    """The rows predicted to be of good quality, with all their columns."""
+    """The rows predicted to be of good quality, with all their columns (needs ``text``).
+
+    A null text counts as empty; a score of exactly ``at`` is kept; repeated rows are
+    judged alike; rows without a doc_id are judged by their text. An empty table
+    gives an empty one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in c.tidy(batches):

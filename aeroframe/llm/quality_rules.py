@@ -266,6 +266,7 @@ def labelled_features(documents: DataFrame, labels: DataFrame, compute, width: i
 
 
 def fit_rules(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Forest:
+    """Trees fitted on at most ``rows`` labelled documents; where a document has several labels the highest counts. Without labels every score is one half."""
     x, y = labelled_features(documents, labels, lambda t: statistics(t).features, len(FEATURES), rows)
     order = np.lexsort((*x.T, y))  # the same trees whatever order the rows came in
     return grow(x[order], y[order], list(FEATURES.values()))
@@ -274,8 +275,11 @@ def fit_rules(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) ->
 def quality_rules(documents: DataFrame, forest: Forest, keep_at: float = KEEP_AT) -> DataFrame:
     """Per document: doc_id, exact statistics, base_failed, score and kept.
 
-    A null text counts as empty: no words, base_failed true, kept false. Repeated
-    rows are scored each on their own; other columns are ignored.
+    A null or empty text has no words: base_failed true, kept false. Very long texts
+    count whole. Lines, windows and words are told apart by 64-bit hashes. A score of
+    exactly ``keep_at`` is kept. Repeated rows are scored each on their own, as are
+    rows without a doc_id. An empty table gives no row; other columns are ignored,
+    whatever their names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,7 +307,12 @@ def quality_rules(documents: DataFrame, forest: Forest, keep_at: float = KEEP_AT
 
 
 def keep_good(documents: DataFrame, forest: Forest, keep_at: float = KEEP_AT) -> DataFrame:
-    """The rows of ``documents`` that the rules keep, with all their columns: one pass, no shuffle."""
+    """The rows of ``documents`` that the rules keep, with all their columns: one pass, no shuffle.
+
+    Null and empty texts are rejected, a score of exactly ``keep_at`` is kept,
+    repeated rows are judged alike, rows without a doc_id by their text. An empty
+    table gives an empty one.
+    """
     kind = documents.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

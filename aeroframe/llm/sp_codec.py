@@ -244,7 +244,12 @@ def encode_texts(encoder: segments.SegmentEncoder, texts: pa.Array) -> tuple[np.
 
 
 def encode_documents(documents: DataFrame, model: str) -> DataFrame:
-    """doc_id and ids (array of int) of every whole text; null texts have no ids."""
+    """doc_id and ids (array of int) of every whole text, however long; null and empty texts have no ids.
+
+    Repeated rows and rows without a doc_id are encoded each. Equal scores go to the
+    piece that begins first. An empty table gives no row; other columns are ignored,
+    whatever their names.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, encoder = codec(model)
@@ -257,7 +262,7 @@ def encode_documents(documents: DataFrame, model: str) -> DataFrame:
 
 
 def decode_documents(encoded: DataFrame, model: str) -> DataFrame:
-    """doc_id and text of every row of ids. Bytes that are no valid UTF-8 become U+FFFD."""
+    """doc_id and text of every row of ids (null: an empty text). Bytes that are no valid UTF-8 become U+FFFD."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, _ = codec(model)
@@ -275,7 +280,10 @@ def codec_digest(documents: DataFrame, model: str) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_crc32, decoded_crc32 and round_trip.
 
     ``round_trip`` compares the decoded bytes with the text (a mark written in the
-    text reads as a space). Encoding and decoding run in the same pass.
+    text reads as a space). Encoding and decoding run in the same pass. Null and
+    empty texts have no ids, repeated rows and rows without a doc_id give a row each,
+    very long texts are encoded whole. An empty table gives no row; other columns are
+    ignored, whatever their names.
     """
     mark = MARK.encode()
 

@@ -107,6 +107,11 @@ def test_classifier_rows(spark, documents, clashing, labels, corpus):
     for k, r in rows.items():
         assert r.held_out == (zlib.crc32(str(k).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3)
     assert pu_classifier.classify(empty(spark), pu_classifier.fit_classifier(empty(spark), labels)).count() == 0
+    net = pu_classifier.fit_classifier(clashing, labels)
+    twice = [(r.doc_id, r.score) for r in pu_classifier.classify(clashing.union(clashing), net).collect()]
+    assert len(twice) == 2 * len(corpus) and len(set(twice)) == len(corpus)
+    kept = pu_classifier.keep_quality(clashing, net)
+    assert kept.columns == clashing.columns and pu_classifier.keep_quality(clashing.limit(0), net).count() == 0
 
 
 # ---------------------------------------------------------------- top-k
@@ -319,6 +324,9 @@ def test_sentencepiece_equals_the_library(spark, clashing, corpus):
     assert len(rows) == len(corpus) and all(r.round_trip for r in rows)
     back = {r.doc_id: r.text for r in sp_codec.decode_documents(sp_codec.encode_documents(clashing, path), path).collect()}
     assert back == {k: (t or "").replace("▁", " ") for k, t in corpus.items()}
+    twice = sp_codec.codec_digest(clashing.union(clashing), path).collect()
+    assert len(twice) == 2 * len(rows) and set(map(tuple, twice)) == set(map(tuple, rows))
+    assert sp_codec.codec_digest(empty(spark), path).count() == 0
 
 
 def test_long_runs_of_spaces():

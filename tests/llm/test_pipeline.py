@@ -28,6 +28,25 @@ def test_stages(spark, documents, corpus, labels, tmp_path):
     assert seen[3] == seen[2] == seen[4]
 
 
+def _run(documents, labels, folder):
+    labels.write.parquet(f"{folder}/labels.parquet")
+    documents.write.parquet(f"{folder}/documents.parquet")
+    return corpus_pipeline.run(documents.sparkSession, str(folder))
+
+
+def test_run_on_odd_tables(spark, documents, clashing, corpus, labels, tmp_path):
+    assert _run(documents.limit(0), labels, tmp_path / "empty").count() == 0
+    assert _run(documents, labels.limit(0), tmp_path / "unlabelled").count() > 0
+    plain = _run(documents, labels, tmp_path / "plain")
+    # columns named as the operators name theirs change nothing
+    clash = _run(clashing, labels, tmp_path / "clash")
+    key = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    assert sorted(map(tuple, clash.select("doc_id", "doc_tokens").distinct().collect())) == sorted(map(tuple, plain.select("doc_id", "doc_tokens").distinct().collect()))
+    # repeated doc_ids stay whole
+    twice = _run(documents.union(documents), labels, tmp_path / "twice").select(*key)
+    assert {r.doc_id for r in twice.collect()} >= set(range(20))
+
+
 def test_run(spark):
     rows = corpus_pipeline.run(spark, SF)
     assert rows.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and rows.count() > 0
