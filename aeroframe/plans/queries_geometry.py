@@ -13,12 +13,16 @@ from .registry import query, rounded
 
 # ---------------------------------------------------------------- area grids
 
-_CORNERS_SQL = planning.CORNER.sql(
-    f"select m.*, case when k < 2 then min_lat else max_lat end as corner_lat, case when k % 2 = 0 then min_lon else max_lon end as corner_lon from ({d.MISSIONS.sql}) m, (select unnest([0, 1, 2, 3]) as k)"
-)
-_SIZED_SQL = f"""select m.*, across_min, along_min, {planning.grid_size('(across_max - across_min)', 'line_spacing')} as n_lines, {planning.grid_size('(along_max - along_min)', 'photo_interval')} as n_wp
-from ({d.MISSIONS.sql}) m join (select plan_id, min(across) as across_min, max(across) as across_max, min(along) as along_min, max(along) as along_max from ({_CORNERS_SQL}) group by plan_id) s on m.plan_id = s.plan_id"""
-_GRID_SQL = f"select *, w_lat as lat, w_lon as lon from ({planning.WALK.sql(f'select *, unnest(range(n_wp)) as wp_index from (select *, unnest(range(n_lines)) as line_index from ({_SIZED_SQL}))')})"
+
+def grid_sql(missions: str) -> str:
+    """Waypoints of the area grids of missions, as SQL."""
+    corners = planning.CORNER.sql(f"select m.*, case when k < 2 then min_lat else max_lat end as corner_lat, case when k % 2 = 0 then min_lon else max_lon end as corner_lon from ({missions}) m, (select unnest([0, 1, 2, 3]) as k)")
+    sized = f"""select m.*, across_min, along_min, {planning.grid_size('(across_max - across_min)', 'line_spacing')} as n_lines, {planning.grid_size('(along_max - along_min)', 'photo_interval')} as n_wp
+from ({missions}) m join (select plan_id, min(across) as across_min, max(across) as across_max, min(along) as along_min, max(along) as along_max from ({corners}) group by plan_id) s on m.plan_id = s.plan_id"""
+    return f"select *, w_lat as lat, w_lon as lon from ({planning.WALK.sql(f'select *, unnest(range(n_wp)) as wp_index from (select *, unnest(range(n_lines)) as line_index from ({sized}))')})"
+
+
+_GRID_SQL = grid_sql(d.MISSIONS.sql)
 
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:

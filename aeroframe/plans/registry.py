@@ -27,4 +27,4 @@ def rounded(columns: dict[str, int | None]) -> list[str]:
     return [k if d is None else f"round({k}, {d}) + 0e0 as {k}" for k, d in columns.items()]
 
 
-from . import queries_geometry, queries_io, queries_scalar, queries_terrain, queries_tracks  # noqa: E402,F401
+from . import queries_geometry, queries_io, queries_missions, queries_scalar, queries_terrain, queries_tracks  # noqa: E402,F401

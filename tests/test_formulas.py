@@ -93,3 +93,42 @@ def test_datums_round_trip(spark):
         for b in ("EGM96", "EGM2008", "WGS84_ELLIPSOIDAL", "AGL"):
             one = df.withColumn("v", F.expr(convert_datum("h", f"'{a}'", f"'{b}'")))
             assert one.withColumn("w", F.expr(convert_datum("v", f"'{b}'", f"'{a}'"))).first().w == pytest.approx(500.0, abs=1e-9)
+
+
+def test_energy_known_answers(spark):
+    """Written out from the definitions: hover and wing coefficients, turns, climbs, a segment."""
+    row = "cast(2 as double) as mass, 1e0 as cd, 5e-2 as frontal, 7e-1 as eta, {wing} as wing_area, {wing} as wingspan, {wing} as oswald, 2e-1 as rotor_area, 3e-1 as regen"
+    at = lambda wing: p.power().apply(spark.range(1).selectExpr(*[x.strip() for x in row.format(wing=wing).split(", ")]))
+    w = 2 * 9.80665
+    rotor, wing = at("cast(null as double)").first(), at("5e-1").first()
+    assert rotor.k1 == pytest.approx(0.5 * 1.225 * 1.0 * 0.05 / 0.7) and rotor.k2 == pytest.approx(w * w / (2 * 1.225 * 0.2 * 0.7))
+    assert wing.k1 == pytest.approx(0.5 * 1.225 * 0.5 * 1.0 / 0.7) and wing.k2 == pytest.approx(2 * w * w / (1.225 * math.pi * 0.25 * 0.5 * 0.7))
+    out = at("cast(null as double)").selectExpr(f"{p.power_at('12e0')} as level", f"{p.turn_power_at('12e0', '30e0')} as turn", f"{p.climb_power('2e0')} as up", f"{p.climb_power('-2e0')} as down", f"{p.segment_energy('300e0', '20e0', '10e0', '12e0')} as leg", f"{p.segment_energy('0e0', '20e0', '10e0', '12e0')} as none").first()
+    level = rotor.k1 * 12**3 + rotor.k2 / 12
+    n = 1 / math.cos(math.radians(30))
+    assert out.level == pytest.approx(level) and out.turn == pytest.approx(rotor.k1 * 12**3 + rotor.k2 * n * n / 12)
+    assert out.up == pytest.approx(w * 2 / 0.7) and out.down == pytest.approx(-w * 2 * 0.3)
+    assert out.leg == pytest.approx((level + w * (20 / 30) / 0.7) * 30) and out.none == 0
+
+
+def test_limits_and_radii_known_answers(spark):
+    df = spark.createDataFrame([(20.0, 12.0, 0.5, 30.0, 3.0, 2.0), (20.0, 12.0, 0.5, -30.0, 3.0, 2.0)], "speed double, max_pitch_deg double, accel_g double, rise_m double, climb double, descent double")
+    up, down = p.limits().apply(df).collect()
+    assert up.max_slope == pytest.approx(math.tan(math.radians(12))) and up.max_curvature == pytest.approx(0.5 * 9.81 / 400)
+    assert up.min_lookahead == pytest.approx(200) and down.min_lookahead == pytest.approx(300)
+    r = spark.range(1).selectExpr(f"{p.safe_radius('15e0', '5e0', '25e0')} as safe", f"{p.turn_radius('15e0', '25e0')} as turn", f"{p.obstacle_buffer('120e0')} as buffer").first()
+    g0 = 9.80665 * math.tan(math.radians(25))
+    assert r.safe == pytest.approx(400 / g0) and r.turn == pytest.approx(225 / g0) and r.buffer == 1200
+
+
+def test_grid_covers_its_box(spark):
+    """An east-west box at the equator: lines run north, spacing and interval are those asked for, and the box is covered."""
+    from aeroframe.operators import planning
+
+    df = spark.createDataFrame([(1, 0.0, 0.01, 10.0, 10.02, 0.0, 200.0, 100.0)], "plan_id long, min_lat double, max_lat double, min_lon double, max_lon double, azimuth double, line_spacing double, photo_interval double")
+    rows = planning.area_grid(df).collect()
+    lines = {r.line_index for r in rows}
+    assert len(lines) == math.ceil(0.02 * 111319.4908 / 200) + 1
+    one = sorted(((r.wp_index, r.lat, r.lon) for r in rows if r.line_index == 0))
+    assert (one[1][1] - one[0][1]) * 110574.3 == pytest.approx(100, abs=0.1) and one[0][2] == pytest.approx(one[-1][2], abs=1e-9)
+    assert min(r.lat for r in rows) <= 1e-6 and max(r.lat for r in rows) >= 0.01 - 1e-6 and min(r.lon for r in rows) <= 10 + 1e-6 and max(r.lon for r in rows) >= 10.02 - 1e-6

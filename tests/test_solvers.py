@@ -104,3 +104,98 @@ def test_clip_keeps_runs(spark):
     assert {r.clip_index for r in rows} == {0, 1}
     assert rows[0].border and rows[0].lon == pytest.approx(0.05, abs=1e-5)
     assert [round(r.lon, 2) for r in rows if r.clip_index == 0][-1] == 0.42
+
+
+def test_plan_from_box_to_energy(spark):
+    from aeroframe.plans import queries_missions as m
+
+    sf = "/root/testdata/sf0.001"
+    rows = {r.plan_id: r for r in m.box_to_energy(spark, sf).collect()}
+    assert len(rows) == 25
+    for k, r in rows.items():
+        assert r.lines > 3 and r.turns == r.lines - 1 and r.waypoints >= 2 * r.lines
+        assert r.total_j == pytest.approx(r.survey_j + r.turn_j, abs=0.2) and r.time_s > 0 and r.closure_error_m < 120
+        assert r.lowest >= 600 + 10 * k  # never below the planned height
+        assert r.feasible == (r.total_j <= 0.8 * 250 * 3600)
+
+
+def test_routes_are_locally_best_and_near_the_best(spark):
+    """By brute force over orders and directions: no route of few lines is far from the best, and none can be bettered by one reversal."""
+    from itertools import permutations, product
+
+    rng = np.random.default_rng(5)
+    for plan in range(6):
+        n = 5
+        rows = [(plan, i, *(rng.uniform(47, 47.05, 1).tolist() + rng.uniform(8, 8.05, 1).tolist()), *(rng.uniform(47, 47.05, 1).tolist() + rng.uniform(8, 8.05, 1).tolist())) for i in range(n)]
+        df = spark.createDataFrame(rows, "plan_id long, line_index int, start_lat double, start_lon double, end_lat double, end_lon double")
+        got = s.distance_route(df).orderBy("visit_seq").collect()
+        ends = [((r[2], r[3]), (r[4], r[5])) for r in rows]
+        home = (min(r[2] for r in rows), min(r[3] for r in rows))
+        from aeroframe.functions import numeric
+
+        places = [home, *(q for e in ends for q in e)]
+        d = numeric.inverse(*(np.array(v) for v in zip(*[(a[0], a[1], b[0], b[1]) for a in places for b in places], strict=True)))[0].reshape(len(places), -1)
+
+        def cost(order, flips):
+            at, total = 0, 0.0
+            for i, f in zip(order, flips, strict=True):
+                a, b = 1 + 2 * i, 2 + 2 * i
+                total += d[at, b if f else a]
+                at = a if f else b
+            return total
+
+        best = min(cost(o, f) for o in permutations(range(n)) for f in product((0, 1), repeat=n))
+        order, flips = [r.line_index for r in got], [int(r.reversed) for r in got]
+        mine = cost(order, flips)
+        assert mine == pytest.approx(got[0].total_m, abs=1e-3) and best - 1e-6 <= mine <= 1.35 * best
+        for i in range(n - 2):
+            for j in range(i + 2, n):
+                o = [*order[: i + 1], *order[i + 1 : j + 1][::-1], *order[j + 1 :]]
+                f = [*flips[: i + 1], *(1 - x for x in flips[i + 1 : j + 1][::-1]), *flips[j + 1 :]]
+                assert cost(o, f) > mine - 2e-3
+
+
+def test_dubins_is_no_longer_than_any_family():
+    """Against the six families written out by their textbook formulas in the unit frame."""
+
+    def families(d, a, b):
+        sa, sb, ca, cb, cab = math.sin(a), math.sin(b), math.cos(a), math.cos(b), math.cos(a - b)
+        turn = lambda x: x % (2 * math.pi)
+        t = math.atan2(cb - ca, d + sa - sb)
+        if (p2 := 2 + d * d - 2 * cab + 2 * d * (sa - sb)) >= 0:
+            yield turn(t - a) + math.sqrt(p2) + turn(b - t)  # LSL
+        t = math.atan2(ca - cb, d - sa + sb)
+        if (p2 := 2 + d * d - 2 * cab + 2 * d * (sb - sa)) >= 0:
+            yield turn(a - t) + math.sqrt(p2) + turn(t - b)  # RSR
+        if (p2 := -2 + d * d + 2 * cab + 2 * d * (sa + sb)) >= 0:
+            p = math.sqrt(p2)
+            t = math.atan2(-ca - cb, d + sa + sb) - math.atan2(-2, p)
+            yield turn(t - a) + p + turn(t - b)  # LSR
+        if (p2 := -2 + d * d + 2 * cab - 2 * d * (sa + sb)) >= 0:
+            p = math.sqrt(p2)
+            t = math.atan2(ca + cb, d - sa - sb) - math.atan2(2, p)
+            yield turn(a - t) + p + turn(b - t)  # RSL
+
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        x, y = rng.uniform(-900, 900, 2)
+        h0, h1 = rng.uniform(0, 6.28, 2)
+        _, _, total = s.dubins(0.0, 0.0, h0, x, y, h1, 120.0)
+        way = math.atan2(y, x)
+        best = min(families(math.hypot(x, y) / 120, (h0 - way) % (2 * math.pi), (h1 - way) % (2 * math.pi)))
+        assert float(total) <= 120 * best + 1e-6
+        if math.hypot(x, y) > 4 * 120:  # far apart, three arcs are never shorter
+            assert float(total) == pytest.approx(120 * best, abs=1e-6)
+
+
+def test_offsets_of_corridors_keep_their_distance():
+    rng = np.random.default_rng(2)
+    for _ in range(30):
+        turn = np.cumsum(rng.uniform(-0.6, 0.6, 8))
+        line = np.cumsum(np.stack([np.cos(turn), np.sin(turn)], axis=1) * rng.uniform(150, 300, (8, 1)), axis=0)
+        for d in (-40.0, 25.0):
+            out = s.offset_polyline(line, d, 2 * 80.0)
+            for (a, b), (p, q) in zip(zip(line, line[1:]), zip(out, out[1:])):
+                u = (b - a) / np.hypot(*(b - a))
+                left = np.array([-u[1], u[0]])
+                assert (p - a) @ left == pytest.approx(d, abs=1e-6) and (q - a) @ left == pytest.approx(d, abs=1e-6)
