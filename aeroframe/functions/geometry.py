@@ -36,15 +36,21 @@ def bounds(exterior: Column) -> dict[str, Column]:
 def points_in_polygons(points: DataFrame, polygons: DataFrame, cell: float = 0.05) -> DataFrame:
     """Pairs (point row, poly_id) of points within polygons: an equi-join on grid cells, then the exact test.
 
-    Each polygon goes to the cells its box touches and each point to one cell, so
-    nothing is compared beyond a cell. ``cell`` is in degrees, about the size of
-    the polygons.
+    A polygon larger than ``cell`` (degrees) belongs to a coarser level, whose cells are
+    2, 4, 8, ... times as wide, so it touches four cells at most whatever its size.
+    Each point has one cell on every level in use, of which there are a few, and
+    nothing is compared beyond a cell.
     """
     box = bounds(F.col("exterior"))
-    span = lambda x: F.sequence(F.floor(box[f"min_{x}"] / cell), F.floor(box[f"max_{x}"] / cell))
-    dealt = polygons.withColumn("_cy", F.explode(span("lat"))).withColumn("_cx", F.explode(span("lon")))
-    placed = points.withColumns({"_cy": F.floor(F.col("lat") / cell), "_cx": F.floor(F.col("lon") / cell)})
-    found = placed.join(dealt, ["_cy", "_cx"]).where(in_polygon(F.col("lat"), F.col("lon"), F.col("exterior"), F.col("holes")))
+    size = F.greatest(box["max_lat"] - box["min_lat"], box["max_lon"] - box["min_lon"]) / cell
+    leveled = polygons.withColumn("_level", F.when(size > 1, F.ceil(F.log2(size))).otherwise(0).cast("int"))
+    levels = sorted(r[0] for r in leveled.select("_level").distinct().collect() if r[0] is not None)  # powers of two of a degree: a few
+    wide = F.lit(float(cell)) * F.pow(F.lit(2.0), F.col("_level"))
+    span = lambda x: F.sequence(F.floor(box[f"min_{x}"] / wide), F.floor(box[f"max_{x}"] / wide))
+    dealt = leveled.withColumn("_cy", F.explode(span("lat"))).withColumn("_cx", F.explode(span("lon")))
+    placed = points.withColumn("_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
+    placed = placed.withColumns({"_cy": F.floor(F.col("lat") / wide), "_cx": F.floor(F.col("lon") / wide)})
+    found = placed.join(dealt, ["_level", "_cy", "_cx"]).where(in_polygon(F.col("lat"), F.col("lon"), F.col("exterior"), F.col("holes")))
     return found.select(*points.columns, "poly_id")
 
 

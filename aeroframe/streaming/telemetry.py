@@ -141,7 +141,7 @@ def messages(telemetry: DataFrame, kind: str = "TELEMETRY") -> DataFrame:
 
 def warnings(alerts: DataFrame) -> DataFrame:
     """Payloads of warnings: receivers whose fix was poor for too long."""
-    return alerts.selectExpr("receiver", "seq", "'RTK_DEGRADED' as code", "concat('fix quality ', cast(fix as string)) as detail")
+    return alerts.selectExpr("receiver", "seq", "'RTK_DEGRADATION' as code", "concat('fix quality ', cast(fix as string)) as detail")
 
 
 def run_available(stream: DataFrame, out: str, checkpoint: str) -> None:

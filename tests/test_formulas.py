@@ -132,3 +132,12 @@ def test_grid_covers_its_box(spark):
     one = sorted(((r.wp_index, r.lat, r.lon) for r in rows if r.line_index == 0))
     assert (one[1][1] - one[0][1]) * 110574.3 == pytest.approx(100, abs=0.1) and one[0][2] == pytest.approx(one[-1][2], abs=1e-9)
     assert min(r.lat for r in rows) <= 1e-6 and max(r.lat for r in rows) >= 0.01 - 1e-6 and min(r.lon for r in rows) <= 10 + 1e-6 and max(r.lon for r in rows) >= 10.02 - 1e-6
+
+
+def test_grid_of_the_known_plan(spark):
+    """A hundredth of a degree at the equator with a ground sample of 5 cm and laps of 30 and 60 %: 7 lines of 17 waypoints."""
+    from aeroframe.operators import planning
+
+    df = spark.createDataFrame([(1, 0.0, 0.01, 0.0, 0.01, 0.0, 191.52, 72.96)], "plan_id long, min_lat double, max_lat double, min_lon double, max_lon double, azimuth double, line_spacing double, photo_interval double")
+    rows = planning.area_grid(df).collect()
+    assert len(rows) == 7 * 17 and {r.line_index for r in rows} == set(range(7))

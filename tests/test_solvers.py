@@ -199,3 +199,19 @@ def test_offsets_of_corridors_keep_their_distance():
                 u = (b - a) / np.hypot(*(b - a))
                 left = np.array([-u[1], u[0]])
                 assert (p - a) @ left == pytest.approx(d, abs=1e-6) and (q - a) @ left == pytest.approx(d, abs=1e-6)
+
+
+def test_polygons_of_any_size_meet_their_points(spark):
+    """From a hundredth of a degree to half the globe, against the polygon test on all pairs."""
+    v = lambda a, b: F.struct(F.lit(float(a)).alias("lat"), F.lit(float(b)).alias("lon"))
+    boxes = [(k, -60 + 10 * k, 5 * k, 0.004 * 4**k) for k in range(9)]
+    polygons = None
+    for k, lat, lon, size in boxes:
+        one = spark.range(1).select(F.lit(k).alias("poly_id"), F.array(v(lat, lon), v(lat, lon + size), v(lat + size, lon + size), v(lat + size, lon)).alias("exterior"), F.array().cast("array<array<struct<lat: double, lon: double>>>").alias("holes"))
+        polygons = one if polygons is None else polygons.union(one)
+    points = spark.range(3000).selectExpr("id as seq", "cast(id * 37 % 1700 as double) * 1e-1 - 84.98763e0 as lat", "cast(id * 91 % 3600 as double) * 1e-1 - 179.98767e0 as lon")
+    near = spark.createDataFrame([(10_000 + k, lat + size / 3, lon + size / 3) for k, lat, lon, size in boxes], "seq long, lat double, lon double")
+    points = points.union(near)
+    got = sorted((r.seq, r.poly_id) for r in geo.points_in_polygons(points, polygons, cell=0.01).select("seq", "poly_id").collect())
+    rows = points.collect()
+    assert got == sorted((r.seq, k) for r in rows for k, lat, lon, size in boxes if lat < r.lat < lat + size and lon < r.lon < lon + size)

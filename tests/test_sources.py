@@ -6,6 +6,7 @@ import sqlite3
 import zipfile
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from aeroframe.sources import exports, gpkg, tiles, vector
@@ -24,6 +25,10 @@ def test_blob_round_trip():
     assert np.isnan(gpkg.envelope_value(gpkg.EMPTY_POINT, 0)) and gpkg.EMPTY_POINT[3] & 0x10
     with pytest.raises(ValueError):
         gpkg.linestring([(1.0, 2.0)])
+    blobs = [b, None, gpkg.EMPTY_POINT, b"GP", gpkg.linestring([(1.0, 2.0), (-3.0, 4.0)])]
+    for k in range(4):
+        got = gpkg.envelope_values(pa.array(blobs, pa.binary()).slice(1), k).to_pylist()
+        assert [str(x) for x in got] == [str(gpkg.envelope_value(x, k)) for x in blobs[1:]]
 
 
 def test_gpkg_file(spark, tmp_path):
