@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a worker holds as numpy arrays at once (longer single texts are taken whole).
 SLICE_BYTES = 1 << 20
@@ -91,6 +92,18 @@ def small_enough(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def repeats(documents: DataFrame) -> bool:
+    """Whether any doc_id stands on more than one row (ids only are read)."""
+    ids = documents.select("doc_id").where("doc_id is not null")
+    return bool(ids.groupBy("doc_id").count().where("count > 1").limit(1).count())
+
+
+def unique_texts(documents: DataFrame) -> DataFrame:
+    """doc_id and text of the rows with a doc_id; of rows that repeat one, that with the least text."""
+    rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text")) if repeats(documents) else rows
+
+
 # ---------------------------------------------------------------- texts as arrays
 
 

@@ -116,7 +116,7 @@ def signatures(g: np.ndarray, offs: np.ndarray, depth: int) -> tuple[np.ndarray,
     return prefix, sketch
 
 
-def _sign(documents: DataFrame, depth: int) -> DataFrame:
+def _sign(texts: DataFrame, depth: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in c.tidy(batches):
             for part in c.slices(batch):
@@ -133,8 +133,7 @@ def _sign(documents: DataFrame, depth: int) -> DataFrame:
                     }
                 )
 
-    rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
-    return c.stash(rows.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, paths array<long>, sketch binary"), "signatures")
+    return c.stash(texts.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, paths array<long>, sketch binary"), "signatures")
 
 
 def walk(trie: np.ndarray, rest: np.ndarray, sketch: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:
@@ -344,11 +343,12 @@ def ngram_join(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     Equal texts are links too. A document without a word (null, empty, white space)
     has no shingle and no link: it is a class of its own. Long texts count whole.
-    Rows that repeat a doc_id count once; rows without a doc_id are left out. An
+    Rows that repeat a doc_id count once (that with the least text); rows without a doc_id are left out. An
     empty table gives no row; other columns are ignored, whatever their names.
     """
     depth = prefix_length(threshold)
-    signed = _sign(documents.dropDuplicates(["doc_id"]) if _repeats(documents) else documents, depth)
+    texts = c.unique_texts(documents)
+    signed = _sign(texts, depth)
     real = signed.where("n > 0")
     classes = real.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     classes = c.stash(classes, "classes")
@@ -362,7 +362,6 @@ def ngram_join(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     parts = active.groupBy("label").agg(F.count("*").alias("texts"), F.sum("n").alias("total"))
     parts = parts.select("label", F.greatest(F.ceil(F.col("texts") / BLOCK_TEXTS), F.ceil(F.col("total") / BLOCK_SHINGLES), F.lit(1)).cast("int").alias("blocks"))
     placed = active.join(parts, "label").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    texts = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).dropDuplicates(["doc_id"]) if _repeats(documents) else documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     placed = c.stash(placed.select("doc_id", "label", "blocks", "block", "copies"), "placed")
     loaded = texts.join(F.broadcast(placed) if c.small_enough(placed, BROADCAST_ROWS) else placed, "doc_id")
     tiles = loaded.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -393,12 +392,6 @@ def ngram_join(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return linked.unionByName(alone)
 
 
-def _repeats(documents: DataFrame) -> bool:
-    """Whether any doc_id stands on more than one row (ids only are read)."""
-    ids = documents.select("doc_id").where("doc_id is not null")
-    return bool(ids.groupBy("doc_id").count().where("count > 1").limit(1).count())
-
-
 def keep_one(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``documents`` that stand for their class: the one with the smallest doc_id of each.
 

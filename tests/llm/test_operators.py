@@ -221,6 +221,9 @@ def test_join_odd_inputs(spark, documents, corpus):
     assert ngram_join.ngram_join(empty(spark)).count() == 0
     twice = documents.union(documents)
     assert ngram_join.ngram_join(twice).count() == len(corpus)
+    # of rows that repeat a doc_id the least text counts
+    other = documents.withColumn("text", F.concat(F.lit("zz "), F.reverse("text")))
+    assert {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.ngram_join(documents.where("text < 'zz' or text is null").union(other)).collect()}.keys() == corpus.keys()
     kept = ngram_join.keep_one(documents)
     assert kept.columns == documents.columns
     assert {r.doc_id for r in kept.collect()} == {k for k, (cls, _) in brute_links(corpus).items() if cls == k}
