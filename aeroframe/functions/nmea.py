@@ -101,7 +101,8 @@ def epochs(df: DataFrame, receiver: str = "receiver", seq: str = "seq") -> DataF
     position, else it is discarded. A refused RMC leaves it waiting, a GGK discards
     it. Position and motion carry on from earlier epochs of the receiver.
     """
-    rows = fields(parsed(df)).where("kind is not null")
+    # dealt before parsing: plain sentences are the smallest rows there are, and the windows need no further shuffle
+    rows = fields(parsed(df.repartition(receiver))).where("kind is not null")
     now = Window.partitionBy(receiver).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
     ahead = Window.partitionBy(receiver).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
     names = ["g_lat", "g_lon", "g_alt", "g_fix", "g_sats", "g_hdop"]

@@ -3,21 +3,26 @@
 from __future__ import annotations
 
 import atexit
+import io
 import json
 import re
 import shutil
 import tempfile
 import uuid
+import zipfile
 from functools import lru_cache
+from pathlib import Path
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import tracks
-from ..sources import exports, gpkg, vector
+from ..operators import terrain, tracks
+from ..sources import exports, gpkg, tiles, vector
 from ..streaming import telemetry
 from . import domain as d
+from . import queries_terrain as terrain_queries
 from . import queries_tracks as t
 from .queries_geometry import _GRID_SQL, _edges_sql, grid, polygons
 from .registry import ORACLE_SQL, query
@@ -219,6 +224,101 @@ def kml_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector.features_of_text(texts, "text", "kml").groupBy("plan_id", "ring", "is_hole").agg(F.count("*").alias("vertices"), F.round(F.sum("lon"), 6).alias("sum_lon"))
 
 
+def _files(spark: SparkSession, docs: DataFrame, suffix: str, pack=None) -> str:
+    """One file a plan (there are as many as nations) in a fresh folder; returns the folder."""
+    at = Path(local_path(folder(spark)))
+    at.mkdir(parents=True)
+    for r in docs.collect():
+        data = r.text.encode()
+        (at / f"plan-{r.plan_id:04d}.{suffix}").write_bytes(pack(data) if pack else data)
+    return f"file://{at}"
+
+
+def _archived(data: bytes) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("a-first.kml", "<kml/>")
+        z.writestr("doc.kml", data)
+    return out.getvalue()
+
+
+def _read_back(rows: DataFrame) -> DataFrame:
+    plan = F.regexp_extract("path", r"plan-(\d+)", 1).cast("long").alias("plan_id")
+    return rows.groupBy(plan, "feature", "kind", "ring", "is_hole").agg(F.count("*").alias("vertices"), F.round(F.sum("lat"), 6).alias("sum_lat"), F.round(F.sum("lon"), 6).alias("sum_lon"))
+
+
+_BOX_LINE = ("min_lat", "min_lon"), ("max_lat", "max_lon"), ("max_lat", "min_lon")
+_FILES_SQL = f"""select plan_id, 0 as feature, 'Polygon' as kind, ring, ring = 1 as is_hole, count(*) as vertices, round(sum(y1), 6) as sum_lat, round(sum(x1), 6) as sum_lon from ({_edges_sql()}) group by plan_id, ring
+union all select plan_id, 1, 'LineString', 0, false, 3, round(min_lat + max_lat + max_lat, 6), round(min_lon + max_lon + min_lon, 6) from ({d.MISSIONS.sql})"""
+
+
+def _kml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document a plan: its border, a line, and a line of one point (which readers drop)."""
+    ring = lambda r: F.array_join(F.transform(r, lambda v: F.format_string("%.9f,%.9f,0", v["lon"], v["lat"])), " ")
+    side = lambda name, r: F.concat(F.lit(f"<{name}><LinearRing><coordinates>"), ring(r), F.lit(f"</coordinates></LinearRing></{name}>"))
+    line = lambda points: F.concat(F.lit("<Placemark><LineString><coordinates>"), F.concat_ws(" ", *(F.format_string("%.9f,%.9f", lon, lat) for lat, lon in points)), F.lit("</coordinates></LineString></Placemark>"))
+    rows = polygons(spark, sf_dir).join(d.MISSIONS.load(spark, sf_dir), "plan_id")
+    return rows.select("plan_id", F.concat(F.lit('<kml xmlns="http://www.opengis.net/kml/2.2"><Document><Placemark><Polygon>'), side("outerBoundaryIs", F.col("exterior")), side("innerBoundaryIs", F.col("holes")[0]), F.lit("</Polygon></Placemark>"), line(_BOX_LINE), line(_BOX_LINE[:1]), F.lit("</Document></kml>")).alias("text"))
+
+
+@query("src_06_07_kml_files", _FILES_SQL)
+def kml_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read_back(vector.read_kml(spark, _files(spark, _kml(spark, sf_dir), "kml")))
+
+
+@query("src_06_07_kmz_files", _FILES_SQL)
+def kmz_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read_back(vector.read_kml(spark, _files(spark, _kml(spark, sf_dir), "kmz", _archived)))
+
+
+@query("src_08_09_geojson_files", _FILES_SQL)
+def geojson_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of a nested collection: a polygon with a hole and a multi-line of one line and one point too few."""
+    ring = lambda r: F.transform(r, lambda v: F.array(v["lon"], v["lat"]))
+    rows = polygons(spark, sf_dir).join(d.MISSIONS.load(spark, sf_dir), "plan_id")
+    shape = F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), F.array(F.concat(F.array(ring(F.col("exterior"))), F.transform("holes", ring))).alias("coordinates")))
+    point = lambda lat, lon: F.array(lon, lat)
+    lines = F.to_json(F.struct(F.lit("MultiLineString").alias("type"), F.array(F.array(*(point(a, b) for a, b in _BOX_LINE)), F.array(point(*_BOX_LINE[0]))).alias("coordinates")))
+    text = F.concat(F.lit('{"type": "FeatureCollection", "features": [{"type": "Feature", "geometry": {"type": "GeometryCollection", "geometries": ['), shape, F.lit(", "), lines, F.lit(']}}, {"type": "Feature", "geometry": null}]}'))
+    return _read_back(vector.read_geojson(spark, _files(spark, rows.select("plan_id", text.alias("text")), "geojson")))
+
+
+# ---------------------------------------------------------------- terrain tiles
+
+#: A tile whose file is torn.
+_TORN = (40, 1)
+
+
+def tile_files(spark: SparkSession) -> str:
+    """The synthetic terrain as tile files, one of them torn; returns the folder."""
+    at = Path(local_path(folder(spark)))
+    at.mkdir(parents=True)
+    posts = terrain_queries.posts(spark).groupBy("tile_lat", "tile_lon").agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "col", "h"))), lambda p: p["h"]).alias("h"))
+    for r in posts.collect():  # a tile is a file, of a few dozen here
+        data = tiles.encode_tiff(np.array(r.h, np.float32).reshape(terrain_queries.ROWS, terrain_queries.ROWS))
+        (at / f"DEM_{tiles.name_of_tile(r.tile_lat, r.tile_lon)}.tif").write_bytes(data)
+    (at / f"DEM_{tiles.name_of_tile(*_TORN)}.tif").write_bytes(data[:40])
+    return f"file://{at}"
+
+
+@query("src_04_dem_01_tiles_to_elevations", ORACLE_SQL["dem_01_02_bilinear"])
+def tiles_to_elevations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bilinear samples again, over terrain that was written to tile files and decoded from them."""
+    read = tiles.read_tiles(spark, tile_files(spark)).where("error is null")
+    return terrain_queries.bilinear_over(spark, sf_dir, terrain.cells(read.select("tile_lat", "tile_lon", "row", "col", "h"), ["tile_lat", "tile_lon"]))
+
+
+@query(
+    "src_03_tile_status",
+    f"""select id, tile_lat, tile_lon, case when (tile_lat, tile_lon) in ({', '.join(map(str, terrain_queries._TILE_LIST))}) then 'ok' when tile_lat = {_TORN[0]} and tile_lon = {_TORN[1]} then 'no_data' else 'tile_not_found' end as status
+from (select id, cast(floor(lat) as int) as tile_lat, cast(floor(lon) as int) as tile_lon from ({d.POINTS.sql}))""",
+)
+def tile_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every point, whether its tile can be read, is torn, or is not there."""
+    points = d.POINTS.load(spark, sf_dir).selectExpr("id", "cast(floor(lat) as int) as tile_lat", "cast(floor(lon) as int) as tile_lon")
+    return tiles.tile_status(points, tiles.read_tiles(spark, tile_files(spark))).select("id", "tile_lat", "tile_lon", "status")
+
+
 # ---------------------------------------------------------------- streams
 
 

@@ -19,10 +19,14 @@ _TILES = [(47, 8), *((40 + k, 2 * k) for k in range(25)), *((40 + k, 2 * k - 1)
 _TILE_LIST = sorted(set(_TILES))
 
 
-def dem_cells(spark: SparkSession) -> DataFrame:
+def posts(spark: SparkSession) -> DataFrame:
     tiles = spark.createDataFrame(_TILE_LIST, "tl int, tn int")
-    posts = tiles.join(spark.range(ROWS * ROWS).selectExpr(f"cast(id div {ROWS} as int) as r", f"cast(id % {ROWS} as int) as c"))
-    return terrain.cells(posts.selectExpr("tl as tile_lat", "tn as tile_lon", "r as row", "c as col", f"{_H} as h"), ["tile_lat", "tile_lon"])
+    rows = tiles.join(spark.range(ROWS * ROWS).selectExpr(f"cast(id div {ROWS} as int) as r", f"cast(id % {ROWS} as int) as c"))
+    return rows.selectExpr("tl as tile_lat", "tn as tile_lon", "r as row", "c as col", f"{_H} as h")
+
+
+def dem_cells(spark: SparkSession) -> DataFrame:
+    return terrain.cells(posts(spark), ["tile_lat", "tile_lon"])
 
 
 _POSTS_SQL = f"select tl as tile_lat, tn as tile_lon, r as row, c as col, {_H} as h from (values {', '.join(map(str, _TILE_LIST))}) as t(tl, tn), (select cast(k // {ROWS} as int) as r, cast(k % {ROWS} as int) as c from (select unnest(range({ROWS * ROWS})) as k))"
@@ -45,7 +49,11 @@ _MIXED = d.View("events", {"id": "event_id", "lat": "case when event_id % 3 = 0
 
 @query("dem_01_02_bilinear", f"with {_DEM_WITH} select id, coord_ok, tile_found, round(elevation, 4) + 0e0 as elevation from ({sampled_sql(_MIXED.sql)})")
 def bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return terrain.sample(_MIXED.load(spark, sf_dir), dem_cells(spark), ROWS, ROWS).selectExpr("id", "coord_ok", "tile_found", "round(elevation, 4) + 0e0 as elevation")
+    return bilinear_over(spark, sf_dir, dem_cells(spark))
+
+
+def bilinear_over(spark: SparkSession, sf_dir: str, cells: DataFrame) -> DataFrame:
+    return terrain.sample(_MIXED.load(spark, sf_dir), cells, ROWS, ROWS).selectExpr("id", "coord_ok", "tile_found", "round(elevation, 4) + 0e0 as elevation")
 
 
 # ---------------------------------------------------------------- geoid

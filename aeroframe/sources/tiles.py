@@ -30,6 +30,11 @@ def tile_of_name(path: str) -> tuple[int, int]:
     return int(m[2]) * (1 if m[1] == "N" else -1), int(m[4]) * (1 if m[3] == "E" else -1)
 
 
+def name_of_tile(lat: int, lon: int) -> str:
+    """The part of a tile's file name that says where it is."""
+    return f"{'N' if lat >= 0 else 'S'}{abs(lat):02d}_00_{'E' if lon >= 0 else 'W'}{abs(lon):03d}"
+
+
 def decode_tiff(data: bytes) -> np.ndarray:
     """A one-band float32 TIFF as (rows, columns): strips or tiles, plain or deflated, predictors 1 and 3.
 
