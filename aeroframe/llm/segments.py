@@ -93,19 +93,24 @@ class SegmentEncoder:
         self.ids, self.n_ids = np.zeros(1 << 16, self.kind), 0
         self.start, self.length, self.n = np.zeros(1 << 14, np.uint32), np.zeros(1 << 14, np.uint32), 0
 
+    def _encoded(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the parts, and how many each has. ``encode`` may give both at once, or a sequence of ids for each part."""
+        got = self.encode(parts)
+        if isinstance(got, tuple):
+            return got
+        return np.concatenate([np.zeros(0, self.kind), *(np.asarray(x, self.kind) for x in got)]), np.fromiter(map(len, got), np.int64, len(got))
+
     def _learn(self, new: list[bytes], key: np.ndarray, check: np.ndarray) -> np.ndarray:
         """Rows of new segments."""
-        got = self.encode(new)
-        lengths = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.concatenate([np.asarray(x, self.kind) for x in got]) if got else np.zeros(0, self.kind)
+        flat, lengths = self._encoded(new)
         grown = lambda x, n: x if n <= len(x) else np.concatenate([x, np.zeros(max(n - len(x), len(x) // 2), x.dtype)])
         self.ids = grown(self.ids, self.n_ids + len(flat))
-        self.start, self.length = grown(self.start, self.n + len(got)), grown(self.length, self.n + len(got))
+        self.start, self.length = grown(self.start, self.n + len(new)), grown(self.length, self.n + len(new))
         self.ids[self.n_ids : self.n_ids + len(flat)] = flat
-        self.length[self.n : self.n + len(got)] = lengths
-        self.start[self.n : self.n + len(got)] = self.n_ids + np.cumsum(lengths) - lengths
-        rows = np.arange(self.n, self.n + len(got), dtype=np.int32)
-        self.n += len(got)
+        self.length[self.n : self.n + len(new)] = lengths
+        self.start[self.n : self.n + len(new)] = self.n_ids + np.cumsum(lengths) - lengths
+        rows = np.arange(self.n, self.n + len(new), dtype=np.int32)
+        self.n += len(new)
         self.n_ids += len(flat)
         self.levels[1] = self._merge(self.levels[1], (key, check, rows))
         if len(self.levels[1][0]) > max(1 << 15, len(self.levels[0][0]) >> 3):
@@ -169,8 +174,7 @@ class SegmentEncoder:
         row = self._rows(raw, cuts, ends)
         if row is None:
             data = raw.tobytes()
-            got = self.encode([data[x:y] for x, y in zip(cuts.tolist(), ends.tolist(), strict=True)])
-            length, flat = np.fromiter(map(len, got), np.int64, len(got)), np.concatenate([np.asarray(x, self.kind) for x in got])
+            flat, length = self._encoded([data[x:y] for x, y in zip(cuts.tolist(), ends.tolist(), strict=True)])
         else:
             length = self.length[row].astype(np.int64)
             flat = self.ids[np.repeat(self.start[row].astype(np.int64), length) + c.ragged(length)]
@@ -194,17 +198,16 @@ def library_encoder(path: str, cutter: Callable) -> SegmentEncoder:
         fence = "<|endoftext|>"
         stop, marks = t.token_to_id(fence), [x.content for x in t.get_added_tokens_decoder().values()]
 
-        def encode(parts: list[bytes]) -> list:
-            """Ids of each part. Many parts go to the library as one text, fenced by a special token,
+        def encode(parts: list[bytes]) -> list | tuple[np.ndarray, np.ndarray]:
+            """Ids of all parts and how many each has. Many parts go to the library as one text, fenced by a special token,
             which it never joins with its neighbours."""
-            texts = [x.decode("utf-8") for x in parts]
             if stop is None:
-                return whole(texts)
-            got = t.encode_batch_fast([fence.join(texts[k : k + FENCED]) for k in range(0, len(texts), FENCED)], add_special_tokens=False)
+                return whole([x.decode("utf-8") for x in parts])
+            between = fence.encode()
+            got = t.encode_batch_fast([between.join(parts[k : k + FENCED]).decode("utf-8") for k in range(0, len(parts), FENCED)], add_special_tokens=False)
             flat = np.concatenate([np.array([*e.ids, stop], np.int32) for e in got])
             ends = np.flatnonzero(flat == stop)
-            starts = np.concatenate([[0], ends[:-1] + 1])
-            return [flat[x:y] for x, y in zip(starts.tolist(), ends.tolist(), strict=True)]
+            return flat[flat != stop].astype(np.uint32), np.diff(ends, prepend=-1) - 1
 
         def whole(texts: list[str]) -> list:
             """The library's own ids of whole texts, with the special tokens they hold."""
