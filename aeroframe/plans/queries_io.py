@@ -81,19 +81,21 @@ def package(spark: SparkSession, sf_dir: str) -> str:
     spark.dataSource.register(gpkg.GpkgDataSource)
     path = local_path(folder(spark)) + ".gpkg"
     lines = gpkg.encode_lines(waypoints(spark, sf_dir, "EGM2008"), ["plan_id", "line_index"]).withColumn("altitude_datum", F.lit("EGM2008"))
-    lines.selectExpr(f"{_NUMBERED} as line_index", "altitude_datum", "geom").write.format("gpkg").mode("overwrite").save(path)
+    lines.selectExpr(f"{_NUMBERED} as line_index", "altitude_datum", "cast(line_index % 5 as double) * 15e-1 as crab_angle_deg", "geom").write.format("gpkg").mode("overwrite").save(path)
     return path
 
 
-@query("src_10_12_snk_01_03_gpkg_round_trip", f"select {_NUMBERED} as line_index, 'EGM2008' as altitude_datum, 0e0 as completion_pct, count(*) as points from ({_GRID_SQL}) group by plan_id, line_index")
+@query("src_10_12_snk_01_03_gpkg_round_trip", f"select {_NUMBERED} as line_index, 'EGM2008' as altitude_datum, 0e0 as completion_pct, cast(line_index % 5 as double) * 15e-1 as crab_angle_deg, count(*) as points, round(min(lon), 8) + 0e0 as min_lon, round(max(lat), 8) + 0e0 as max_lat, max(msl) as alt from ({_GRID_SQL}) group by plan_id, line_index")
 def gpkg_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write all plans to a GeoPackage and read it back."""
+    """Write all plans to a GeoPackage and read it back, coordinates and all."""
 
-    @F.pandas_udf("long")
-    def points(blobs: pd.Series) -> pd.Series:
-        return blobs.map(lambda b: len(gpkg.parse_linestring(bytes(b))))
+    @F.pandas_udf("points long, min_lon double, max_lat double, alt double")
+    def seen(blobs: pd.Series) -> pd.DataFrame:
+        lines = [np.array(gpkg.parse_linestring(bytes(b))) for b in blobs]
+        return pd.DataFrame({"points": [len(p) for p in lines], "min_lon": [p[:, 0].min() for p in lines], "max_lat": [p[:, 1].max() for p in lines], "alt": [p[:, 2].max() for p in lines]})
 
-    return spark.read.format("gpkg").load(package(spark, sf_dir)).select("line_index", "altitude_datum", "completion_pct", points("geom").alias("points"))
+    rows = spark.read.format("gpkg").load(package(spark, sf_dir)).select("line_index", "altitude_datum", "completion_pct", "crab_angle_deg", seen("geom").alias("p"))
+    return rows.select("line_index", "altitude_datum", "completion_pct", "crab_angle_deg", "p.points", F.round("p.min_lon", 8).alias("min_lon"), F.round("p.max_lat", 8).alias("max_lat"), "p.alt")
 
 
 @query(

@@ -161,7 +161,7 @@ def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "agg_01_snk_12_mission_summary",
+    "agg_01_mission_summary",
     f"""select v.vehicle, v.line_count, v.waypoint_count, v.min_lat, v.min_lon, v.max_lat, v.max_lon, round(coalesce(total_km, 0e0), 6) + 0e0 as total_km
 from (select vehicle, count(distinct line) as line_count, count(*) as waypoint_count, min(lat) as min_lat, min(lon) as min_lon, max(lat) as max_lat, max(lon) as max_lon from ({_FLOWN}) group by vehicle) v
 left join (select vehicle, sum(geo_distance) / 1000 as total_km from ({_LEGS.sql(f"select * from (select *, lag(lat) over w as lat0, lag(lon) over w as lon0 from ({_FLOWN}) window w as (partition by vehicle, line order by seq)) where lat0 is not null")}) group by vehicle) k on v.vehicle = k.vehicle""",

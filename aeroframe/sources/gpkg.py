@@ -266,6 +266,16 @@ def put_metadata(path: str, values: dict[str, str]) -> None:
     db.close()
 
 
+def append_description(path: str, table: str, text: str) -> None:
+    """Add a line to the description of a feature table, once."""
+    db = open_package(path)
+    with db:
+        (old,) = db.execute("select coalesce(description, '') from gpkg_contents where table_name = ?", (table,)).fetchone()
+        if text not in old.split("\n"):
+            db.execute("update gpkg_contents set description = ? where table_name = ?", ("\n".join(x for x in (old, text) if x), table))
+    db.close()
+
+
 def set_completion(path: str, table: str, percent: dict[int, float]) -> None:
     """Progress of lines by index, in one transaction."""
     db = open_package(path)

@@ -215,3 +215,75 @@ def test_polygons_of_any_size_meet_their_points(spark):
     got = sorted((r.seq, r.poly_id) for r in geo.points_in_polygons(points, polygons, cell=0.01).select("seq", "poly_id").collect())
     rows = points.collect()
     assert got == sorted((r.seq, k) for r in rows for k, lat, lon, size in boxes if lat < r.lat < lat + size and lon < r.lon < lon + size)
+
+
+def test_band_follows_its_definition():
+    """Against forces written out point by point."""
+    tension, torsion, push, decay, gravity = s.SPRINGS
+    rng = np.random.default_rng(6)
+    floor = 550 + np.cumsum(rng.uniform(-4, 4, 40))
+    alt, steps = floor.tolist(), 0
+    for _ in range(500):
+        forces = []
+        for i in range(40):
+            gap = alt[i] - floor[i]
+            f = -gravity + (push / decay * math.exp(-gap / decay) if gap < 5 * decay else 0.0)
+            if 0 < i < 39:
+                bend = alt[i + 1] - 2 * alt[i] + alt[i - 1]
+                f += tension * bend + 4 * torsion * bend / 10.0**2
+            else:
+                f -= tension * (alt[i] - alt[1 if i == 0 else 38])
+            forces.append(f)
+        moves = [0.3 * f for f in forces]
+        alt = [max(a + m, b) for a, m, b in zip(alt, moves, floor, strict=True)]
+        steps += 1
+        if max(map(abs, moves)) < 0.01:
+            break
+    got, count, ok = s.elastic_band(floor - 50, 10.0, floor)
+    assert count == steps and np.allclose(got, alt, atol=1e-9) and ok == (steps < 500 or max(map(abs, moves)) < 0.01)
+
+
+def test_basis_follows_its_recursion():
+    def value(knots, i, p, u):
+        if p == 0:
+            last = knots[i + 1] == knots[-1] and knots[i] < knots[i + 1]
+            return 1.0 if knots[i] <= u < knots[i + 1] or (last and u == knots[-1]) else 0.0
+        out = 0.0
+        if knots[i + p] > knots[i]:
+            out += (u - knots[i]) / (knots[i + p] - knots[i]) * value(knots, i, p - 1, u)
+        if knots[i + p + 1] > knots[i + 1]:
+            out += (knots[i + p + 1] - u) / (knots[i + p + 1] - knots[i + 1]) * value(knots, i + 1, p - 1, u)
+        return out
+
+    rng = np.random.default_rng(7)
+    knots = np.concatenate([[0.0] * 4, np.sort(rng.uniform(0, 1, 5)), [1.0] * 4])
+    u = np.concatenate([rng.uniform(0, 1, 30), [0.0, 1.0]])
+    expected = [[value(knots.tolist(), i, 3, x) for i in range(len(knots) - 4)] for x in u.tolist()]
+    assert np.allclose(s.basis(knots, u), expected, atol=1e-12)
+    # curvature of a circle, and how far a lifted curve's control points may be too low
+    t = np.linspace(0, math.pi, 60)
+    circle = s.Spline(np.stack([100 * np.cos(t), 100 * np.sin(t)], axis=1))
+    assert np.allclose(circle.curvature(np.linspace(0.1, 0.9, 20)), 0.01, rtol=2e-2)
+    assert circle.lift(lambda x: np.full(len(x), 50.0)) > 0 and (circle.control[:, 1] >= 50).all()
+
+
+def test_no_loop_is_left():
+    rng = np.random.default_rng(8)
+
+    def crossings(p):
+        found = 0
+        for i in range(len(p) - 1):
+            for j in range(i + 2, len(p) - 1):
+                d1, d2 = p[i + 1] - p[i], p[j + 1] - p[j]
+                den = d1[0] * d2[1] - d1[1] * d2[0]
+                if abs(den) > 1e-10:
+                    w = p[j] - p[i]
+                    t, u = (w[0] * d2[1] - w[1] * d2[0]) / den, (w[0] * d1[1] - w[1] * d1[0]) / den
+                    found += 1e-9 < t < 1 - 1e-9 and 1e-9 < u < 1 - 1e-9
+        return found
+
+    for _ in range(25):
+        p = np.cumsum(rng.uniform(-50, 60, (14, 2)), axis=0)
+        out = s.cut_loops(p)
+        assert crossings(out) == 0 and (out[0] == p[0]).all() and (out[-1] == p[-1]).all()
+        assert crossings(p) or len(out) == len(p)

@@ -45,6 +45,9 @@ def test_gpkg_file(spark, tmp_path):
     gpkg.put_metadata(path, {"note": "x"})
     gpkg.put_metadata(path, {"note": "y"})
     assert gpkg.metadata(path)["note"] == "y"
+    for text in ("surveyed", "surveyed", "checked"):
+        gpkg.append_description(path, "flight_lines", text)
+    assert gpkg.summary(path, "flight_lines")["description"] == "altitude_datum=EGM2008\nsurveyed\nchecked"
 
 
 def test_gpkg_versions(tmp_path):
