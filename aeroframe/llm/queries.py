@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, license_scan, ngram_join, packing, pu_classifier, quality_rules, sp_codec, substring_dedup, token_binary, token_counts, topk
+from . import conversation_repair, html_extract, license_scan, ngram_join, packing, pu_classifier, quality_rules, sp_codec, substring_dedup, token_binary, token_counts, topk
 from .common import scratch, table
 
 
@@ -63,6 +63,11 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_codec.codec_digest(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return conversation_repair.audit(conversation_repair.damage(conversations), every=conversations)
+
+
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     cache = token_counts.CountCache(spark, scratch(spark, "token-counts"))
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), cache)
@@ -79,6 +84,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_bm25_packing": op9_bm25_packing,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_token_counts": op12_token_counts,
 }
 
