@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversation_repair, html_extract, license_scan, ngram_join, packing, pu_classifier, quality_rules, sp_codec, substring_dedup, token_binary, token_counts, topk
+from . import collocations, conversation_repair, html_extract, license_scan, ngram_join, packing, pu_classifier, quality_rules, sp_codec, substring_dedup, token_binary, token_counts, topk
 from .common import scratch, table
 
 
@@ -73,6 +73,10 @@ def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), cache)
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_html_main_text": op1_html_main_text,
     "op2_license_scan": op2_license_scan,
@@ -86,6 +90,7 @@ QUERIES = {
     "op10_sentencepiece": op10_sentencepiece,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_token_counts": op12_token_counts,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLE_SQL = {
@@ -107,5 +112,42 @@ with v as (
   from pairs
 )
 select query_id, cast(rank as integer) as rank, vec_id, score from ranked where rank <= 10
+""",
+    "op13_collocations": r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang,
+         unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+  from documents where text is not null
+), worded as (
+  select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces
+), totals as (
+  select lang, sum(len(w)) as n from worded group by lang
+), phrases as (
+  select lang, k as words, array_to_string(w[i : i + k - 1], ' ') as phrase
+  from worded, lateral (select unnest(range(1, 5)) as k), lateral (select unnest(range(1, len(w) - k + 2)) as i)
+), grams as (
+  select lang, words, phrase, count(*) as f from phrases group by all having count(*) >= 30
+), cuts as (
+  select g.lang, g.words, g.phrase, g.f as a, k,
+         array_to_string(string_split(g.phrase, ' ')[1 : k], ' ') as head,
+         array_to_string(string_split(g.phrase, ' ')[k + 1 : g.words], ' ') as rest
+  from grams g, lateral (select unnest(range(1, g.words)) as k) where g.words >= 2
+), scored as (
+  select c.*, l.f as l, r.f as r, cast((2000000 * cast(c.a as hugeint)) // (cast(l.f as hugeint) + r.f) as bigint) as score
+  from cuts c join grams l on l.lang = c.lang and l.phrase = c.head join grams r on r.lang = c.lang and r.phrase = c.rest
+), least as (
+  select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1
+), inside as (
+  select c.lang, array_to_string(string_split(c.phrase, ' ')[i : i + m - 1], ' ') as phrase, max(c.a) as longer
+  from least c, lateral (select unnest(range(2, c.words)) as m), lateral (select unnest(range(1, c.words - m + 2)) as i)
+  where c.words > 2 group by all
+), kept as (
+  select c.* from least c left join inside i on i.lang = c.lang and i.phrase = c.phrase
+  where i.longer is null or 100 * cast(i.longer as hugeint) < 80 * cast(c.a as hugeint)
+), ranked as (
+  select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept
+)
+select k.lang, rank, phrase, a, l, r, cast(t.n as bigint) as n, score
+from ranked k join totals t on t.lang = k.lang where rank <= 2000
 """,
 }
