@@ -1,6 +1,6 @@
 """Phrase collocations: count-min sketches, an exact second pass over survivors, scores, subsumption.
 
-1. Each task reads its texts a unit (some 16 MB) at a time, keeps the unit's pieces in a file of the
+1. Each task reads its texts a unit (some 8 MB) at a time, keeps the unit's pieces in a file of the
    shared folder, and emits the unit's partial sketch: for each of DEPTH rows the sorted cells that
    its 1- to 4-word phrases touch, with counts that end at the threshold. Rows of the sketch are as
    wide as the corpus needs, since no task ever holds one.
@@ -34,8 +34,8 @@ LONGEST = 4
 DEPTH = 2
 #: Phrase occurrences for each cell of a row, at most: what makes rare phrases pass is chance above this mean.
 LOAD = 16
-#: Bytes of text in a unit.
-UNIT_BYTES = 16 << 20
+#: Bytes of text in a unit: a worker holds some 25 bytes of hashes and places for each.
+UNIT_BYTES = 8 << 20
 #: Ranges of cells that a row is merged in, once they have as many cells as a 16-bit place can tell apart.
 RANGES = 1 << 14
 
@@ -81,22 +81,24 @@ class Phrases:
         self.norm = raw[keep]
         place = np.concatenate([[0], np.cumsum(keep)])
         self.start, self.end = place[start], place[end]
+        del place, before, after, black, keep, breaks
         self.word = c.span_hashes(raw, start, end) if n else np.zeros(0, np.uint64)
-        self.lang = lang[self.doc] if len(texts) else np.zeros(0, np.uint64)
+        self.lang = lang
 
     def hashes(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """64-bit hashes of k-word phrases with their language, and the word each begins at."""
         n = len(self.word)
         if n < k:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            return np.zeros(0, np.uint64), np.zeros(0, np.int32)
         ok = np.ones(n - k + 1, bool)
         for j in range(k - 1):
             ok &= self.linked[j : n - k + 1 + j]
         at = np.flatnonzero(ok)
-        h = self.lang[at] + _SALT[k - 1]
+        h = self.lang[self.doc[at]] + _SALT[k - 1]
         for j in range(k):
-            h = h * c._STEP + self.word[at + j]
-        return c.mix(h), at
+            h *= c._STEP
+            h += self.word[j : n - k + 1 + j][ok]
+        return c.mix(h), at.astype(np.int32)
 
     def strings(self, k: np.ndarray, at: np.ndarray) -> pa.Array:
         """Phrases of k words that begin at words ``at``, one space between words."""
@@ -180,7 +182,7 @@ def unpack(data: bytes, n: int, low: int) -> tuple[np.ndarray, np.ndarray]:
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[pa.Array, pa.Array]]]:
     held, size = [], 0
     for batch in batches:
-        for texts, langs in pieces(c.text_column(batch, "text"), c.text_column(batch, "lang"), 4 * c.SLICE_BYTES):
+        for texts, langs in pieces(c.text_column(batch, "text"), c.text_column(batch, "lang"), 2 * c.SLICE_BYTES):
             held.append((texts, langs))
             size += pc.sum(pc.binary_length(texts)).as_py() or 0
             if size >= UNIT_BYTES:
@@ -190,14 +192,12 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[pa.Array, p
         yield held
 
 
-def _unit_hashes(unit: list[tuple[pa.Array, pa.Array]]) -> tuple[list[Phrases], list[tuple[int, int, np.ndarray, np.ndarray]]]:
-    """Phrases of each slice, and (slice, words, hashes, places) for each slice and length."""
-    slices, parts = [], []
+def _unit_hashes(unit: list[tuple[pa.Array, pa.Array]]) -> Iterator[tuple[int, Phrases, int, np.ndarray, np.ndarray]]:
+    """(slice, its phrases, words, hashes, places) for each slice and length."""
     for k, (texts, langs) in enumerate(unit):
         p = Phrases(texts, lang_hashes(langs))
-        slices.append(p)
-        parts += [(k, words, *p.hashes(words)) for words in range(1, LONGEST + 1)]
-    return slices, parts
+        for words in range(1, LONGEST + 1):
+            yield k, p, words, *p.hashes(words)
 
 
 def _filesystem(folder: str):
@@ -218,13 +218,13 @@ def _sketch_units(rows: DataFrame, layout: Layout, folder: str, threshold: int)
             with filesystem.open_output_stream(f"{base}/{name}") as out, pa.ipc.new_stream(out, schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
                 for texts, langs in unit:
                     stream.write_batch(pa.record_batch([texts, langs.cast(pa.large_string())], schema))
-            _, parts = _unit_hashes(unit)
-            h = np.sort(np.concatenate([p[2] for p in parts]))
+            h = np.concatenate([part[3] for part in _unit_hashes(unit)])
+            h.sort()
             at, counts = _runs(h)
             h, counts = h[at], np.minimum(counts, threshold)
             for row in range(DEPTH):
                 cells = layout.cells(h, row)
-                order = np.argsort(cells, kind="stable") if row else slice(None)
+                order = np.argsort(cells) if row else slice(None)
                 cells, own = cells[order], counts[order]
                 at, _ = _runs(cells)
                 own = np.minimum(np.add.reduceat(own, at), threshold) if len(at) else own
@@ -279,23 +279,30 @@ def _survivors(answers: DataFrame, layout: Layout, folder: str) -> DataFrame:
         filesystem, base = _filesystem(folder)
         with filesystem.open_input_stream(f"{base}/{name}") as f:
             unit = [(b.column(0), b.column(1)) for b in pa.ipc.open_stream(f)]
-        slices, parts = _unit_hashes(unit)
-        sizes = [len(p[2]) for p in parts]
-        every = np.concatenate([p[2] for p in parts])
+        slices, parts, hashes = {}, [], []
+        for piece, p, words, found, place in _unit_hashes(unit):
+            slices[piece] = p
+            parts.append((piece, words, place))
+            hashes.append(found)
+        sizes = [len(x) for x in hashes]
+        every = np.concatenate(hashes)
+        del hashes
         order = np.argsort(every)
-        at, counts = _runs(every[order])
-        h = every[order[at]]
+        every = every[order]
+        at, counts = _runs(every)
+        h = every[at]
+        del every
         alive = np.ones(len(h), bool)
         for row in range(DEPTH):
             cells = layout.cells(h, row)
-            by = np.argsort(cells, kind="stable") if row else np.arange(len(h))
+            by = np.argsort(cells) if row else np.arange(len(h))
             first, width = _runs(cells[by])
             alive[by] &= np.repeat(bits[row], width)
         one = order[at[alive]]  # an occurrence of each
         counts = counts[alive]
         ends = np.cumsum(sizes)
         source = np.searchsorted(ends, one, side="right")
-        for k, (piece, words, _, place) in enumerate(parts):
+        for k, (piece, words, place) in enumerate(parts):
             mine = np.flatnonzero(source == k)
             if len(mine):
                 where = place[one[mine] - (ends[k] - sizes[k])]
@@ -306,7 +313,8 @@ def _survivors(answers: DataFrame, layout: Layout, folder: str) -> DataFrame:
                     "phrase": p.strings(np.full(len(mine), words), where).cast(pa.string()),
                     "f": pa.array(counts[mine].astype(np.int64)),
                 })
-        for (_, langs), p in zip(unit, slices, strict=True):
+        for piece, (_, langs) in enumerate(unit):
+            p = slices[piece]
             own = pa.table({"lang": langs.cast(pa.string()), "f": np.bincount(p.doc, minlength=len(langs)).astype(np.int64)}).group_by("lang").aggregate([("f", "sum")])
             yield pa.record_batch({"lang": own["lang"].combine_chunks(), "words": pa.array(np.zeros(len(own), np.int32)), "phrase": pa.array([""] * len(own)), "f": own["f_sum"].combine_chunks()})
 
