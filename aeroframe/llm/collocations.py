@@ -1,6 +1,6 @@
 """Phrase collocations: count-min sketches, an exact second pass over survivors, scores, subsumption.
 
-1. Each task reads its texts a unit (some 8 MB) at a time, keeps the unit's pieces in a file of the
+1. Each task reads its texts a unit (some 4 MB) at a time, keeps the unit's pieces in a file of the
    shared folder, and emits the unit's partial sketch: for each of DEPTH rows the sorted cells that
    its 1- to 4-word phrases touch, with counts that end at the threshold. Rows of the sketch are as
    wide as the corpus needs, since no task ever holds one.
@@ -35,7 +35,7 @@ DEPTH = 2
 #: Phrase occurrences for each cell of a row, at most: what makes rare phrases pass is chance above this mean.
 LOAD = 16
 #: Bytes of text in a unit: a worker holds some 25 bytes of hashes and places for each.
-UNIT_BYTES = 8 << 20
+UNIT_BYTES = 4 << 20
 #: Ranges of cells that a row is merged in, once they have as many cells as a 16-bit place can tell apart.
 RANGES = 1 << 14
 
@@ -161,8 +161,10 @@ class Layout:
 
 def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First places of equal values in a sorted array, and how many there are."""
-    at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
-    return at, np.diff(np.append(at, len(x)))
+    if not len(x):
+        return np.zeros(0, np.int32), np.zeros(0, np.int32)
+    at = np.append(np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])), len(x)).astype(np.int32)
+    return at[:-1], np.diff(at)
 
 
 def pack(cells: np.ndarray, counts: np.ndarray, low: int) -> bytes:
@@ -287,7 +289,7 @@ def _survivors(answers: DataFrame, layout: Layout, folder: str) -> DataFrame:
         sizes = [len(x) for x in hashes]
         every = np.concatenate(hashes)
         del hashes
-        order = np.argsort(every)
+        order = np.argsort(every).astype(np.int32)
         every = every[order]
         at, counts = _runs(every)
         h = every[at]
@@ -296,10 +298,12 @@ def _survivors(answers: DataFrame, layout: Layout, folder: str) -> DataFrame:
         for row in range(DEPTH):
             cells = layout.cells(h, row)
             by = np.argsort(cells) if row else np.arange(len(h))
-            first, width = _runs(cells[by])
+            _, width = _runs(cells[by])
             alive[by] &= np.repeat(bits[row], width)
-        one = order[at[alive]]  # an occurrence of each
+            del cells, by, width
+        one = order[at[alive]].astype(np.int64)  # an occurrence of each
         counts = counts[alive]
+        del order, at, alive, h
         ends = np.cumsum(sizes)
         source = np.searchsorted(ends, one, side="right")
         for k, (piece, words, place) in enumerate(parts):
