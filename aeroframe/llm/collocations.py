@@ -36,6 +36,8 @@ DEPTH = 2
 LOAD = 16
 #: Bytes of text in a unit: a worker holds some 25 bytes of hashes and places for each.
 UNIT_BYTES = 4 << 20
+#: Bytes of text that one task of the exact count takes, about: the more, the fewer rows a phrase is shuffled as.
+TASK_BYTES = 128 << 20
 #: Ranges of cells that a row is merged in, once they have as many cells as a 16-bit place can tell apart.
 RANGES = 1 << 14
 
@@ -273,9 +275,9 @@ def _answers(partials: DataFrame, layout: Layout, threshold: int) -> DataFrame:
     return dealt.mapInArrow(run, "unit string, row int, part long, n long, bits binary")
 
 
-def _survivors(answers: DataFrame, layout: Layout, folder: str) -> DataFrame:
+def _survivors(answers: DataFrame, layout: Layout, folder: str, tasks: int) -> DataFrame:
     """(lang, words, phrase, f) of each unit's surviving phrases; words = 0 has the unit's words of a language."""
-    dealt = answers.repartition(c.parallelism(answers.sparkSession), "unit").sortWithinPartitions("unit", "row", "part")
+    dealt = answers.repartition(tasks, "unit").sortWithinPartitions("unit", "row", "part")
 
     def count(name: str, bits: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         filesystem, base = _filesystem(folder)
@@ -349,7 +351,8 @@ def frequent_phrases(documents: DataFrame, threshold: int = 30) -> DataFrame:
     layout = Layout(LONGEST * size / 6)  # some six bytes a word; the width decides how many rare phrases pass, no result
     folder = c.scratch(spark, "phrase-units")
     partials = c.stash(_sketch_units(rows, layout, folder, threshold), "sketches")
-    counted = _survivors(_answers(partials, layout, threshold), layout, folder)
+    tasks = max(2 * spark.sparkContext.defaultParallelism, size // TASK_BYTES)
+    counted = _survivors(_answers(partials, layout, threshold), layout, folder, tasks)
     exact = counted.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"))
     return c.stash(exact.where((F.col("f") >= threshold) | (F.col("words") == 0)), "phrases")
 
