@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 import atexit
-import io
 import json
 import re
 import shutil
 import tempfile
 import uuid
-import zipfile
 from functools import lru_cache
 from pathlib import Path
 
@@ -19,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import terrain, tracks
-from ..sources import exports, gpkg, tiles, vector
+from ..sources import exports, files, gpkg, tiles, vector
 from ..streaming import telemetry
 from . import domain as d
 from . import queries_terrain as terrain_queries
@@ -196,9 +194,57 @@ def dji(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("plan_id", "n", at(0).alias("lon"), at(1).alias("lat"), F.col("p.h").cast("double").alias("height"), "action_groups")
 
 
-@query("snk_13_dji_archives")
+#: Entries of an archive that are read back: its name, and the text between two marks.
+_ENTRIES = "plan_id long, entry string, placemarks long, crc_ok boolean, sum_height double"
+
+
+@query(
+    "snk_13_dji_archives",
+    f"""select plan_id, entry, count(*) as placemarks, true as crc_ok, round(case entry when 'wpmz/waylines.wpml' then sum(msl) else 0e0 end, 3) as sum_height, true as same_bytes
+from ({_GRID_SQL}), (values ('wpmz/template.kml'), ('wpmz/waylines.wpml')) as e(entry) group by plan_id, entry""",
+)
 def dji_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exports.dji_archives(waypoints(spark, sf_dir, "EGM96")).select("plan_id", F.length("archive").alias("n_bytes"))
+    """The archives as files written by tasks, twice: entries read back, checksums held against their content, bytes equal."""
+    way = waypoints(spark, sf_dir, "EGM96")
+    at = [folder(spark), folder(spark)]
+    for place in at:
+        exports.write_documents(exports.dji_archives(way.repartition(1 + at.index(place))), place, "kmz", "archive")
+
+    def entries(frames):
+        import io
+        import re
+        import zipfile
+        import zlib
+
+        for f in frames:
+            for plan_id, data in zip(f.plan_id, f.content, strict=True):
+                with zipfile.ZipFile(io.BytesIO(bytes(data))) as z:
+                    for i in z.infolist():
+                        text = z.read(i)
+                        heights = sum(float(x) for x in re.findall(rb"<wpml:executeHeight>([^<]*)<", text))
+                        yield pd.DataFrame({"plan_id": [plan_id], "entry": [i.filename], "placemarks": [text.count(b"<Placemark>")], "crc_ok": [i.CRC == zlib.crc32(text)], "sum_height": [round(heights, 3)]})
+
+    read = lambda place: spark.read.format("binaryFile").load(place).select(F.regexp_extract("path", r"plan-(\d+)", 1).cast("long").alias("plan_id"), "content")
+    first, second = read(at[0]), read(at[1]).select("plan_id", F.crc32("content").alias("again"))
+    same = first.select("plan_id", F.crc32("content").alias("crc")).join(second, "plan_id").select("plan_id", (F.col("crc") == F.col("again")).alias("same_bytes"))
+    return first.mapInPandas(entries, _ENTRIES).join(same, "plan_id")
+
+
+@query(
+    "snk_11_12_document_files",
+    f"select plan_id, 'geojson' as kind, count(*) as points from ({_GRID_SQL}) group by plan_id union all select plan_id, 'plan', count(*) from ({_GRID_SQL}) group by plan_id",
+)
+def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GeoJSON documents and ground-control plans as a file each, read back with their points counted."""
+    at = folder(spark), folder(spark)
+    exports.write_documents(exports.geojson(waypoints(spark, sf_dir, "EGM2008")), at[0], "geojson")
+    exports.write_documents(exports.qgc(waypoints(spark, sf_dir, "AGL"), 25.0), at[1], "plan")
+    plan = F.regexp_extract(F.input_file_name(), r"plan-(\d+)", 1).cast("long").alias("plan_id")
+    shapes = spark.read.schema("features array<struct<geometry: struct<coordinates: array<array<double>>>>>").json(at[0], multiLine=True)
+    points = F.aggregate("features", F.lit(0), lambda n, f: n + F.size(f["geometry"]["coordinates"])).cast("long")
+    items = spark.read.schema("mission struct<items: array<struct<command: int>>>").json(at[1], multiLine=True)
+    ways = F.size(F.filter("mission.items", lambda i: i["command"] == exports.WAYPOINT)).cast("long")
+    return shapes.select(plan, F.lit("geojson").alias("kind"), points.alias("points")).union(items.select(plan, F.lit("plan").alias("kind"), ways.alias("points")))
 
 
 @query("snk_14_summary_estimate", f"select plan_id, lines, points, round(distance_m, 4) as distance_m, round(distance_m / 12 + 30 * lines, 4) as time_s from (select *, points * i + (lines - 1) * s as distance_m from (select plan_id, count(distinct line_index) as lines, count(*) as points, max(photo_interval) as i, max(line_spacing) as s from ({_GRID_SQL}) group by plan_id))")
@@ -226,22 +272,17 @@ def kml_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector.features_of_text(texts, "text", "kml").groupBy("plan_id", "ring", "is_hole").agg(F.count("*").alias("vertices"), F.round(F.sum("lon"), 6).alias("sum_lon"))
 
 
-def _files(spark: SparkSession, docs: DataFrame, suffix: str, pack=None) -> str:
-    """One file a plan (there are as many as nations) in a fresh folder; returns the folder."""
-    at = Path(local_path(folder(spark)))
-    at.mkdir(parents=True)
-    for r in docs.collect():
-        data = r.text.encode()
-        (at / f"plan-{r.plan_id:04d}.{suffix}").write_bytes(pack(data) if pack else data)
-    return f"file://{at}"
+def _files(spark: SparkSession, docs: DataFrame, suffix: str) -> str:
+    """One file a plan in a fresh folder, written by the tasks; returns the folder. A KMZ has the document second."""
 
+    @F.pandas_udf("binary")
+    def archived(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: files.zip_bytes({"a-first.kml": "<kml/>", "doc.kml": t}))
 
-def _archived(data: bytes) -> bytes:
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
-        z.writestr("a-first.kml", "<kml/>")
-        z.writestr("doc.kml", data)
-    return out.getvalue()
+    at = folder(spark)
+    content = archived("text") if suffix == "kmz" else F.col("text")
+    files.write_files(docs.select(F.format_string(f"plan-%04d.{suffix}", "plan_id").alias("name"), content.alias("content")), at)
+    return at
 
 
 def _read_back(rows: DataFrame) -> DataFrame:
@@ -270,7 +311,7 @@ def kml_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("src_06_07_kmz_files", _FILES_SQL)
 def kmz_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read_back(vector.read_kml(spark, _files(spark, _kml(spark, sf_dir), "kmz", _archived)))
+    return _read_back(vector.read_kml(spark, _files(spark, _kml(spark, sf_dir), "kmz")))
 
 
 @query("src_08_09_geojson_files", _FILES_SQL)
@@ -292,15 +333,18 @@ _TORN = (40, 1)
 
 
 def tile_files(spark: SparkSession) -> str:
-    """The synthetic terrain as tile files, one of them torn; returns the folder."""
-    at = Path(local_path(folder(spark)))
-    at.mkdir(parents=True)
-    posts = terrain_queries.posts(spark).groupBy("tile_lat", "tile_lon").agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "col", "h"))), lambda p: p["h"]).alias("h"))
-    for r in posts.collect():  # a tile is a file, of a few dozen here
-        data = tiles.encode_tiff(np.array(r.h, np.float32).reshape(terrain_queries.ROWS, terrain_queries.ROWS))
-        (at / f"DEM_{tiles.name_of_tile(r.tile_lat, r.tile_lon)}.tif").write_bytes(data)
-    (at / f"DEM_{tiles.name_of_tile(*_TORN)}.tif").write_bytes(data[:40])
-    return f"file://{at}"
+    """The synthetic terrain as tile files, one of them torn, each written by a task; returns the folder."""
+    at, size, cut = folder(spark), terrain_queries.ROWS, _TORN
+
+    def encoded(key: tuple, posts: pd.DataFrame) -> pd.DataFrame:  # a tile is small here: 900 posts
+        h = posts.sort_values(["row", "col"]).h.to_numpy(np.float32).reshape(size, size)
+        data = tiles.encode_tiff(h)
+        return pd.DataFrame({"name": [f"DEM_{tiles.name_of_tile(*key)}.tif"], "content": [data[:40] if key == cut else data]})
+
+    posts = terrain_queries.posts(spark)
+    torn = posts.where(f"tile_lat = {terrain_queries._TILE_LIST[0][0]} and tile_lon = {terrain_queries._TILE_LIST[0][1]}").withColumns({"tile_lat": F.lit(_TORN[0]), "tile_lon": F.lit(_TORN[1])})
+    files.write_files(posts.union(torn).groupBy("tile_lat", "tile_lon").applyInPandas(encoded, "name string, content binary"), at)
+    return at
 
 
 @query("src_04_dem_01_tiles_to_elevations", ORACLE_SQL["dem_01_02_bilinear"])
@@ -321,6 +365,55 @@ def tile_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiles.tile_status(points, tiles.read_tiles(spark, tile_files(spark))).select("id", "tile_lat", "tile_lon", "status")
 
 
+#: Points over tiles of 1200 x 900 and 3600 x 3600 posts, a torn tile, one that is not there, and some off the globe.
+_SIZES = {(47, 7): (1200, 900), (47, 8): (3600, 3600)}
+_TORN_NORTH = (48, 8)
+_OVER_TILES = d.View("events", {"id": "event_id", "lat": "case when event_id % 11 = 0 then 91e0 else 47e0 + cast((event_id * 7919) % 1000003 as double) * 1e-6 + case when event_id % 7 = 0 then 1e0 else 0e0 end end", "lon": "7.2e0 + cast((event_id * 104729) % 2000003 as double) * 1e-6"})
+
+
+def _height(r: str, c: str) -> str:
+    """Heights that single precision holds exactly, with voids."""
+    return f"case when ({r} * 31 + {c} * 17) % 97 = 0 then -32767e0 else 3e2 + cast(({r} * 7 + {c} * 13) % 1000 as double) * 125e-3 end"
+
+
+def large_tiles(spark: SparkSession) -> str:
+    """Tile files in a fresh folder, each encoded and written by a task."""
+
+    def encoded(frames):
+        for f in frames:
+            for t in f.itertuples():
+                r, c = np.indices((t.n_rows, t.n_cols), np.int64)
+                h = np.where((r * 31 + c * 17) % 97 == 0, -32767.0, 300.0 + ((r * 7 + c * 13) % 1000) * 0.125)
+                data = tiles.encode_tiff(h.astype(np.float32))
+                yield pd.DataFrame({"name": [f"DEM_{tiles.name_of_tile(t.lat, t.lon)}.tif"], "content": [data if t.whole else data[: len(data) // 2]]})
+
+    rows = [(*k, *n, True) for k, n in _SIZES.items()] + [(*_TORN_NORTH, 300, 300, False)]
+    at = folder(spark)
+    made = spark.createDataFrame(rows, "lat int, lon int, n_rows int, n_cols int, whole boolean").repartition(len(rows)).mapInPandas(encoded, "name string, content binary")
+    files.write_files(made, at)
+    return at
+
+
+_CORNERS = ", ".join(f"{_height(f'least(r0 + {i}, n_rows - 1)', f'least(c0 + {j}, n_cols - 1)')} as h{i}{j}" for i in (0, 1) for j in (0, 1))
+
+
+@query(
+    "src_04_dem_05_tile_sampling",
+    f"""with p as (select id, lat, lon, lat <= 90 as coord_ok, cast(floor(lat) as int) as tl, cast(floor(lon) as int) as tn from ({_OVER_TILES.sql})),
+s as (select p.*, n_rows, n_cols from p left join (values {', '.join(f'({a}, {b}, {m}, {n})' for (a, b), (m, n) in _SIZES.items())}) as t(a, b, n_rows, n_cols) on coord_ok and tl = a and tn = b),
+q as (select *, least(greatest((tl + 1e0 - lat) * n_rows, 0e0), n_rows - 1e0) as r, least(greatest((lon - tn) * n_cols, 0e0), n_cols - 1e0) as c from s),
+f as (select *, cast(floor(r) as bigint) as r0, cast(floor(c) as bigint) as c0 from q),
+h as (select *, r - r0 as fr, c - c0 as fc, {_CORNERS} from f),
+e as (select *, case when n_rows is not null and least(h00, h01, h10, h11) > -32767 then cast(cast((1e0 - fr) * ((1e0 - fc) * h00 + fc * h01) + fr * ((1e0 - fc) * h10 + fc * h11) as float) as double) end as elevation from h)
+select id, coord_ok, n_rows is not null as tile_found, round(elevation, 4) + 0e0 as elevation,
+  case when not coord_ok then 'bad_coordinate' when tl = {_TORN_NORTH[0]} and tn = {_TORN_NORTH[1]} then 'no_data' when n_rows is null then 'tile_not_found' when elevation is null then 'no_data' else 'ok' end as status from e""",
+)
+def tile_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heights of all points from tile files, of which only blocks under points are decoded."""
+    found = tiles.sample_tiles(_OVER_TILES.load(spark, sf_dir), large_tiles(spark))
+    return found.selectExpr("id", "coord_ok", "tile_found", "round(elevation, 4) + 0e0 as elevation", "status")
+
+
 # ---------------------------------------------------------------- streams
 
 

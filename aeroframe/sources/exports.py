@@ -7,14 +7,13 @@ Waypoints need plan_id, line_index, wp_index, lat, lon, alt, datum and transit.
 
 from __future__ import annotations
 
-import io
-import zipfile
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import files
+
 # Commands, frames and defaults of ground-control plans.
 WAYPOINT, TRIGGER_DISTANCE = 16, 206
 FRAME_GLOBAL, FRAME_MISSION, FRAME_RELATIVE = 0, 2, 3
@@ -137,22 +136,21 @@ def dji_parts(waypoints: DataFrame) -> DataFrame:
 
 
 def dji_archives(waypoints: DataFrame) -> DataFrame:
-    """plan_id and archive (zip bytes) of every plan in EGM96."""
+    """plan_id and archive (zip bytes, the same for the same plan) of every plan in EGM96."""
 
     @F.pandas_udf("binary")
     def packed(template: pd.Series, waylines: pd.Series) -> pd.Series:
-        def one(a: str, b: str) -> bytes:
-            out = io.BytesIO()
-            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-                z.writestr(zipfile.ZipInfo("wpmz/template.kml"), a)
-                z.writestr(zipfile.ZipInfo("wpmz/waylines.wpml"), b)
-            return out.getvalue()
-
-        return pd.Series([one(a, b) for a, b in zip(template, waylines, strict=True)])
+        return pd.Series([files.zip_bytes({"wpmz/template.kml": a, "wpmz/waylines.wpml": b}) for a, b in zip(template, waylines, strict=True)])
 
     return dji_parts(waypoints).select("plan_id", packed("template", "waylines").alias("archive"))
 
 
+def write_documents(documents: DataFrame, folder: str, suffix: str, content: str = "document", name: str = "plan-%06d", mode: str = "overwrite") -> None:
+    """Write (plan_id, document or archive) as one file a plan; tasks write, the commit renames."""
+    rows = documents.select(F.format_string(f"{name}.{suffix}", "plan_id").alias("name"), F.col(content).cast("binary").alias("content"))
+    files.write_files(rows, folder, mode)
+
+
 def summary(waypoints: DataFrame, interval: str, spacing: str, speed: float = 12.0, turn_s: float = 30.0) -> DataFrame:
     """Planning estimate: mean points a line times interval, cross legs, and time at a speed plus a stretch a line."""
     p = waypoints.groupBy("plan_id").agg(F.countDistinct("line_index").alias("lines"), F.count("*").alias("points"), F.max(interval).alias("_i"), F.max(spacing).alias("_s"))
