@@ -13,6 +13,7 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,17 +84,79 @@ def package(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
+def read_lines(packages: DataFrame) -> DataFrame:
+    """Lines of packages with the number, box and height of their points, batch by batch."""
+
+    @F.arrow_udf("struct<points: bigint, min_lon: double, max_lon: double, min_lat: double, max_lat: double, alt: double>")
+    def seen(blobs: pa.Array) -> pa.Array:
+        count, points = gpkg.line_points(blobs)
+        first = np.cumsum(count) - count
+        low, high = np.minimum.reduceat(points, first), np.maximum.reduceat(points, first)
+        return pa.StructArray.from_arrays([pa.array(x) for x in (count, low[:, 0], high[:, 0], low[:, 1], high[:, 1], high[:, 2])], ["points", "min_lon", "max_lon", "min_lat", "max_lat", "alt"])
+
+    rows = gpkg.read_packages(packages).where("error is null")
+    return rows.withColumn("p", seen("geom")).select("plan_id", "id", "line_index", "altitude_datum", "completion_pct", "crab_angle_deg", "p.*")
+
+
+def mission_packages(spark: SparkSession, sf_dir: str) -> str:
+    """A package for each plan, in a fresh folder."""
+    at = folder(spark)
+    lines = gpkg.encode_lines(waypoints(spark, sf_dir, "EGM2008"), ["plan_id", "line_index"])
+    gpkg.write_packages(lines.selectExpr("plan_id", "line_index", "'EGM2008' as altitude_datum", "cast(line_index % 5 as double) * 15e-1 as crab_angle_deg", "geom"), at)
+    return at
+
+
 @query("src_10_12_snk_01_03_gpkg_round_trip", f"select {_NUMBERED} as line_index, 'EGM2008' as altitude_datum, 0e0 as completion_pct, cast(line_index % 5 as double) * 15e-1 as crab_angle_deg, count(*) as points, round(min(lon), 8) + 0e0 as min_lon, round(max(lat), 8) + 0e0 as max_lat, max(msl) as alt from ({_GRID_SQL}) group by plan_id, line_index")
 def gpkg_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write all plans to a GeoPackage and read it back, coordinates and all."""
+    """Write every plan to a package of its own and read them back, coordinates and all."""
+    rows = read_lines(gpkg.package_files(spark, mission_packages(spark, sf_dir)))
+    return rows.selectExpr(f"{_NUMBERED} as line_index", "altitude_datum", "completion_pct", "crab_angle_deg", "points", "round(min_lon, 8) + 0e0 as min_lon", "round(max_lat, 8) + 0e0 as max_lat", "alt")
+
+
+#: Tracks of vehicles as plans, four lines each: as many packages as vehicles.
+_TRACKS_SQL = f"select vehicle as plan_id, seq % 4 as line_index, seq as wp_index, lat, lon, alt from ({d.TELEMETRY.sql})"
+
+
+def track_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(plan_id, path, content) of a package a vehicle, written by tasks."""
+    at = folder(spark)
+    way = d.TELEMETRY.load(spark, sf_dir).selectExpr("vehicle as plan_id", "seq % 4 as line_index", "seq as wp_index", "lat", "lon", "alt")
+    gpkg.write_packages(gpkg.encode_lines(way, ["plan_id", "line_index"]).withColumn("altitude_datum", F.lit("EGM96")), at)
+    return gpkg.package_files(spark, at)
 
-    @F.pandas_udf("points long, min_lon double, max_lat double, alt double")
-    def seen(blobs: pd.Series) -> pd.DataFrame:
-        lines = [np.array(gpkg.parse_linestring(bytes(b))) for b in blobs]
-        return pd.DataFrame({"points": [len(p) for p in lines], "min_lon": [p[:, 0].min() for p in lines], "max_lat": [p[:, 1].max() for p in lines], "alt": [p[:, 2].max() for p in lines]})
 
-    rows = spark.read.format("gpkg").load(package(spark, sf_dir)).select("line_index", "altitude_datum", "completion_pct", "crab_angle_deg", seen("geom").alias("p"))
-    return rows.select("line_index", "altitude_datum", "completion_pct", "crab_angle_deg", "p.points", F.round("p.min_lon", 8).alias("min_lon"), F.round("p.max_lat", 8).alias("max_lat"), "p.alt")
+@query(
+    "snk_01_03_08_track_packages",
+    f"""with l as (select plan_id, line_index, count(*) as points, min(lon) as w, max(lon) as e, min(lat) as s, max(lat) as n from ({_TRACKS_SQL}) group by plan_id, line_index having count(*) > 1)
+select plan_id, count(*) as n_rows, count(*) as rtree_rows, cast(sum(points) as bigint) as points, round(min(w), 4) as min_x, round(min(s), 4) as min_y, round(max(e), 4) as max_x, round(max(n), 4) as max_y, 'altitude_datum=EGM96' as description, '3' as schema_version from l group by plan_id""",
+)
+def packages_of_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vehicle's package, read back: rows, R-tree entries, points, box, description and version."""
+    packages = track_packages(spark, sf_dir)
+    found = gpkg.package_summaries(packages).where("error is null")
+    points = read_lines(packages).groupBy("plan_id").agg(F.sum("points").alias("points"))
+    box = [F.round(n, 4).alias(n) for n in ("min_x", "min_y", "max_x", "max_y")]  # the R-tree keeps single precision
+    return found.join(points, "plan_id").select("plan_id", "n_rows", "rtree_rows", "points", *box, "description", F.col("metadata")["schema_version"].alias("schema_version"))
+
+
+@query(
+    "snk_09_10_revised_packages",
+    f"""with l as (select plan_id, line_index from ({_TRACKS_SQL}) group by plan_id, line_index having count(*) > 1)
+select plan_id, line_index - count(*) filter (line_index = plan_id % 4) over (partition by plan_id order by line_index rows unbounded preceding) as line_index,
+  case when line_index % 2 = 0 then 5e1 + plan_id % 50 else 0e0 end as completion_pct, 'altitude_datum=EGM96|checked' as description, 'done' as note
+from l qualify line_index <> plan_id % 4""",
+)
+def revised_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Progress of even lines, one line a plan deleted, metadata put and the description appended to (twice, once counts)."""
+    at = folder(spark), folder(spark)
+    packages = track_packages(spark, sf_dir)
+    lines = d.TELEMETRY.load(spark, sf_dir).selectExpr("vehicle as plan_id", "seq % 4 as line_index").distinct()
+    changes = lines.selectExpr("plan_id", "line_index", "case when line_index % 2 = 0 then 5e1 + plan_id % 50 end as completion_pct", "line_index = plan_id % 4 as gone")
+    files.write_files(gpkg.revise(packages, changes, description="checked", values={"note": "open"}), at[0])
+    files.write_files(gpkg.revise(gpkg.package_files(spark, at[0]), changes.limit(0), description="checked", values={"note": "done"}), at[1])
+    revised = gpkg.package_files(spark, at[1])
+    told = gpkg.package_summaries(revised).select("plan_id", F.replace("description", F.lit("\n"), F.lit("|")).alias("description"), F.col("metadata")["note"].alias("note"))
+    return read_lines(revised).select("plan_id", "line_index", "completion_pct").join(told, "plan_id")
 
 
 @query(
@@ -126,11 +189,12 @@ def gpkg_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"select {_NUMBERED} as line_index, case when line_index % 2 = 0 then 5e1 + plan_id else 0e0 end as completion_pct from (select distinct plan_id, line_index from ({_GRID_SQL}))",
 )
 def gpkg_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Progress of every other line, written into the package."""
-    path = package(spark, sf_dir)
-    index = [r.line_index for r in spark.read.format("gpkg").load(path).select("line_index").collect()]  # the lines of one package
-    gpkg.set_completion(path, "flight_lines", {k: 50.0 + k // 10000 for k in index if k % 10000 % 2 == 0})
-    return spark.read.format("gpkg").load(path).select("line_index", "completion_pct")
+    """Progress of every other line, written into the packages by the tasks that hold them."""
+    at = folder(spark)
+    packages = gpkg.package_files(spark, mission_packages(spark, sf_dir))
+    flown = grid(spark, sf_dir).select("plan_id", "line_index").distinct().where("line_index % 2 = 0")
+    files.write_files(gpkg.revise(packages, flown.selectExpr("plan_id", "line_index", "5e1 + plan_id as completion_pct", "false as gone")), at)
+    return read_lines(gpkg.package_files(spark, at)).selectExpr(f"{_NUMBERED} as line_index", "completion_pct")
 
 
 # ---------------------------------------------------------------- exports

@@ -1,7 +1,9 @@
-"""GeoPackage: geometry blobs, and a Spark data source that reads and writes feature tables.
+"""GeoPackage: geometry blobs, packages of many plans, and a data source for a single one.
 
-A package is one SQLite file, so a write has one committing task; lines come to it
-as finished blobs, encoded in parallel.
+A package is one SQLite file. ``write_packages`` makes one for each plan: tasks build them
+in memory from streamed lines and write the finished bytes, the commit renames.
+``read_packages`` and ``revise`` work on their bytes in tasks too, so any store that Spark
+reads will do. The format ``gpkg`` writes all rows to one file, which one commit does.
 """
 
 from __future__ import annotations
@@ -10,6 +12,8 @@ import os
 import sqlite3
 import struct
 from collections.abc import Iterator
+from contextlib import contextmanager
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -19,6 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from . import files
+
 # Fixed values of the format: application id, user version, geometry type codes, SRS.
 APPLICATION_ID = 1196444487
 USER_VERSION = 10300
@@ -154,11 +160,19 @@ def connect_functions(db: sqlite3.Connection) -> None:
     db.create_function("st_isempty", 1, lambda b: bool(b[3] & 0x10) if b else True, deterministic=True)
 
 
-def open_package(path: str) -> sqlite3.Connection:
-    """An existing package; raises if it is none or newer than this, and adds what an older one lacks."""
-    if not os.path.exists(path):
+def open_package(path: str | bytes) -> sqlite3.Connection:
+    """An existing package, by its path or its bytes; raises if it is none or newer than this, and adds what an older one lacks."""
+    if isinstance(path, bytes):
+        db = sqlite3.connect(":memory:")
+        try:
+            db.deserialize(path)
+            db.execute("select count(*) from sqlite_master")
+        except sqlite3.DatabaseError as e:
+            raise ValueError(f"not a GeoPackage: {e}") from e
+    elif not os.path.exists(path):
         raise FileNotFoundError(path)
-    db = sqlite3.connect(path)
+    else:
+        db = sqlite3.connect(path)
     if db.execute("pragma application_id").fetchone()[0] != APPLICATION_ID:
         raise ValueError("not a GeoPackage")
     connect_functions(db)
@@ -175,6 +189,16 @@ def open_package(path: str) -> sqlite3.Connection:
     return db
 
 
+_INSERT = "insert into {} (line_index, altitude_datum, completion_pct, crab_angle_deg, geom) values (?, ?, ?, ?, ?)"
+
+
+def _describe(db: sqlite3.Connection, table: str) -> None:
+    """Box and datum of a feature table in the contents table."""
+    datum = db.execute(f"select altitude_datum from {table} order by line_index limit 1").fetchone()
+    if datum:
+        db.execute(f"update gpkg_contents set (min_x, max_x, min_y, max_y) = (select min(minx), max(maxx), min(miny), max(maxy) from rtree_{table}_geom), description = ? where table_name = ?", (f"altitude_datum={datum[0]}", table))
+
+
 class _Message(WriterCommitMessage):
     def __init__(self, rows: list[tuple]) -> None:
         self.rows = rows
@@ -199,9 +223,8 @@ class _Writer(DataSourceWriter):
             os.remove(temporary)
         db = create(temporary, self.table)
         with db:
-            db.executemany(f"insert into {self.table} (line_index, altitude_datum, completion_pct, crab_angle_deg, geom) values (?, ?, ?, ?, ?)", rows)
-            if rows:
-                db.execute(f"update gpkg_contents set (min_x, max_x, min_y, max_y) = (select min(minx), max(maxx), min(miny), max(maxy) from rtree_{self.table}_geom), description = ? where table_name = ?", (f"altitude_datum={rows[0][1]}", self.table))
+            db.executemany(_INSERT.format(self.table), rows)
+            _describe(db, self.table)
         db.execute("pragma journal_mode = delete")
         db.close()
         os.replace(temporary, self.path)
@@ -252,60 +275,213 @@ class GpkgDataSource(DataSource):
         return _Writer(self.options, schema)
 
 
-def metadata(path: str) -> dict[str, str]:
-    db = open_package(path)
-    out = dict(db.execute(f"select key, value from {METADATA_TABLE}"))
-    db.close()
-    return out
+# ---------------------------------------------------------------- a package for each plan
+
+
+class _PlansWriter(files.StagedWriter):
+    """Lines sorted by plan become one package a plan. A task holds the package that it builds."""
+
+    def __init__(self, options: dict, schema: StructType, overwrite: bool) -> None:
+        super().__init__(options, overwrite)
+        self.table = options.get("table", "flight_lines")
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        with self.staged() as out:
+            plan, db = None, None
+
+            def finish() -> None:
+                if db is not None:
+                    with db:
+                        _describe(db, self.table)
+                    out.add(f"plan-{plan:06d}.gpkg", db.serialize())
+                    db.close()
+
+            for batch in iterator:
+                columns = [batch.column(n).to_pylist() for n in ("plan_id", "line_index", "altitude_datum", "completion_pct", "crab_angle_deg", "geom")]
+                for key, rows in groupby(zip(*columns, strict=True), key=lambda r: r[0]):
+                    if key is None:
+                        raise ValueError("a line needs a plan_id")
+                    if key != plan:
+                        finish()
+                        plan, db = key, create(":memory:", self.table)
+                    with db:
+                        db.executemany(_INSERT.format(self.table), ((k, datum or "EGM2008", done or 0.0, crab, geom) for _, k, datum, done, crab, geom in rows))
+            finish()
+            return out.message()
+
+
+class GpkgPlans(DataSource):
+    """``df.write.format("gpkg_plans")``: see ``write_packages``."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "gpkg_plans"
+
+    def schema(self) -> str:
+        return "plan_id long, line_index long, altitude_datum string, completion_pct double, crab_angle_deg double, geom binary"
+
+    def writer(self, schema: StructType, overwrite: bool) -> files.StagedWriter:
+        return _PlansWriter(self.options, schema, overwrite)
+
+
+def write_packages(lines: DataFrame, folder: str, table: str = "flight_lines", mode: str = "overwrite") -> None:
+    """Write lines (plan_id, line_index, altitude_datum, geom, and if there are any completion_pct and crab_angle_deg)
+    as ``plan-<id>.gpkg`` files of ``folder``. Lines without a geometry (of fewer than two points) are left out."""
+    spark = lines.sparkSession
+    spark.dataSource.register(GpkgPlans)
+    optional = {n: F.col(n).cast("double") if n in lines.columns else F.lit(None).cast("double") for n in ("completion_pct", "crab_angle_deg")}
+    rows = lines.where("geom is not null").select(F.col("plan_id").cast("long"), F.col("line_index").cast("long"), "altitude_datum", *(v.alias(k) for k, v in optional.items()), "geom")
+    rows.repartition("plan_id").sortWithinPartitions("plan_id", "line_index").write.format("gpkg_plans").option("table", table).mode(mode).save(folder)
+
+
+def package_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(plan_id, path, content) of the packages of a folder; plan_id by the file's name."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.gpkg").load(folder)
+    return found.select(F.regexp_extract("path", r"plan-(\d+)\.gpkg$", 1).try_cast("long").alias("plan_id"), "path", "content")
+
+
+_LINES = pa.schema([("plan_id", pa.int64()), ("path", pa.string()), ("id", pa.int64()), ("line_index", pa.int64()), ("altitude_datum", pa.string()), ("completion_pct", pa.float64()), ("crab_angle_deg", pa.float64()), ("geom", pa.binary()), ("error", pa.string())])
+#: Rows of a package that go out in one batch.
+_ROWS = 4096
+
+
+def read_packages(packages: DataFrame, table: str = "flight_lines") -> DataFrame:
+    """All lines of packages given as (plan_id, path, content). A file that is no package gives one row with its error."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for plan, path, data in zip(*(batch.column(n).to_pylist() for n in ("plan_id", "path", "content")), strict=True):
+                try:
+                    db = open_package(data)
+                    found = db.execute(f"select id, line_index, altitude_datum, completion_pct, crab_angle_deg, geom from {table} order by id")
+                    while rows := found.fetchmany(_ROWS):
+                        yield pa.RecordBatch.from_arrays([pa.array([v] * len(rows), t) for v, t in ((plan, pa.int64()), (path, pa.string()))] + [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(_LINES)[2:8], strict=True)] + [pa.nulls(len(rows), pa.string())], schema=_LINES)
+                    db.close()
+                except (ValueError, sqlite3.Error) as e:
+                    yield pa.RecordBatch.from_pylist([{"plan_id": plan, "path": path, "error": str(e)}], _LINES)
+
+    return packages.mapInArrow(run, "plan_id long, path string, id long, line_index long, altitude_datum string, completion_pct double, crab_angle_deg double, geom binary, error string")
+
+
+def package_summaries(packages: DataFrame, table: str = "flight_lines") -> DataFrame:
+    """Per package: plan_id, n_rows, rtree_rows, box, description, schema_version, and its metadata; or an error."""
+    schema = pa.schema([("plan_id", pa.int64()), ("n_rows", pa.int64()), ("rtree_rows", pa.int64()), *((n, pa.float64()) for n in ("min_x", "min_y", "max_x", "max_y")), ("description", pa.string()), ("metadata", pa.map_(pa.string(), pa.string())), ("error", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for plan, data in zip(batch.column("plan_id").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                try:
+                    found = summary(data, table)
+                    rows.append({"plan_id": plan, "n_rows": found["rows"], "rtree_rows": found["rtree_rows"], **dict(zip(("min_x", "min_y", "max_x", "max_y"), found["box"], strict=True)), "description": found["description"], "metadata": list(metadata(data).items())})
+                except (ValueError, sqlite3.Error) as e:
+                    rows.append({"plan_id": plan, "error": str(e)})
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    return packages.mapInArrow(run, "plan_id long, n_rows long, rtree_rows long, min_x double, min_y double, max_x double, max_y double, description string, metadata map<string, string>, error string")
+
+
+def revise(packages: DataFrame, changes: DataFrame, table: str = "flight_lines", description: str | None = None, values: dict[str, str] | None = None) -> DataFrame:
+    """Packages with their lines' progress and deletions applied, as (name, content) for ``files.write_files``.
+
+    ``changes``: plan_id, line_index, completion_pct (null: as it was), gone (the line goes and later ones move up).
+    Indexes are those before any line goes. ``description`` is added to each table's description once,
+    ``values`` are put into each package's metadata. Changes of one plan travel as one array: as many as its lines.
+    """
+    each = F.struct("line_index", F.col("completion_pct").cast("double").alias("completion_pct"), F.coalesce("gone", F.lit(False)).alias("gone"))
+    of_plan = changes.groupBy(F.col("plan_id").cast("long").alias("plan_id")).agg(F.collect_list(each).alias("changes"))
+    joined = packages.join(of_plan, "plan_id", "left").select("plan_id", "content", "changes")
+    more = dict(values or {})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for plan, data, rows in zip(*(batch.column(n).to_pylist() for n in ("plan_id", "content", "changes")), strict=True):
+                db = open_package(data)
+                set_completion(db, table, {r["line_index"]: r["completion_pct"] for r in rows or [] if r["completion_pct"] is not None})
+                for k in sorted({r["line_index"] for r in rows or [] if r["gone"]}, reverse=True):
+                    delete_line(db, table, k)
+                if more:
+                    put_metadata(db, more)
+                if description:
+                    append_description(db, table, description)
+                yield pa.record_batch({"name": pa.array([f"plan-{plan:06d}.gpkg"]), "content": pa.array([db.serialize()], pa.binary())})
+                db.close()
+
+    return joined.mapInArrow(run, "name string, content binary")
+
+
+def line_points(blobs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Points of a batch of LineStringZ blobs with an XYZ envelope: how many each has, and all of them as (x, y, z) rows."""
+    raw, start, length, _ = _bytes_of(blobs)
+    head = 8 + 48
+    if len(start) and ((length < head + 9).any() or (raw[start + 3] >> 1 & 7 != 2).any()):
+        raise ValueError("not a line with heights")
+    count = raw[start[:, None] + head + 5 + np.arange(4)].copy().view("<u4")[:, 0].astype(np.int64) if len(start) else np.zeros(0, np.int64)
+    if (length != head + 9 + 24 * count).any():
+        raise ValueError("blob has a wrong length")
+    ends = np.cumsum(count)
+    inside = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - count, count)
+    at = np.repeat(start + head + 9, count) + 24 * inside
+    return count, raw[at[:, None] + np.arange(24)].copy().view("<f8").reshape(-1, 3)
+
+
+# ---------------------------------------------------------------- one package
+
+
+@contextmanager
+def _opened(package: str | bytes | sqlite3.Connection) -> Iterator[sqlite3.Connection]:
+    """An open package as it is, or one that is closed again."""
+    if isinstance(package, sqlite3.Connection):
+        yield package
+        return
+    db = open_package(package)
+    try:
+        yield db
+    finally:
+        db.close()
+
+
+def metadata(package: str | bytes | sqlite3.Connection) -> dict[str, str]:
+    with _opened(package) as db:
+        return dict(db.execute(f"select key, value from {METADATA_TABLE}"))
 
 
-def put_metadata(path: str, values: dict[str, str]) -> None:
-    db = open_package(path)
-    with db:
+def put_metadata(package: str | sqlite3.Connection, values: dict[str, str]) -> None:
+    with _opened(package) as db, db:
         db.executemany(f"insert into {METADATA_TABLE} values (?, ?) on conflict (key) do update set value = excluded.value", values.items())
-    db.close()
 
 
-def append_description(path: str, table: str, text: str) -> None:
+def append_description(package: str | sqlite3.Connection, table: str, text: str) -> None:
     """Add a line to the description of a feature table, once."""
-    db = open_package(path)
-    with db:
+    with _opened(package) as db, db:
         (old,) = db.execute("select coalesce(description, '') from gpkg_contents where table_name = ?", (table,)).fetchone()
         if text not in old.split("\n"):
             db.execute("update gpkg_contents set description = ? where table_name = ?", ("\n".join(x for x in (old, text) if x), table))
-    db.close()
 
 
-def set_completion(path: str, table: str, percent: dict[int, float]) -> None:
+def set_completion(package: str | sqlite3.Connection, table: str, percent: dict[int, float]) -> None:
     """Progress of lines by index, in one transaction."""
-    db = open_package(path)
-    with db:
+    with _opened(package) as db, db:
         db.executemany(f"update {table} set completion_pct = ? where line_index = ?", [(v, k) for k, v in percent.items()])
-    db.close()
 
 
-def delete_line(path: str, table: str, index: int) -> None:
+def delete_line(package: str | sqlite3.Connection, table: str, index: int) -> None:
     """Remove a line and move later ones up."""
-    db = open_package(path)
-    with db:
+    with _opened(package) as db, db:
         db.execute(f"delete from {table} where line_index = ?", (index,))
         db.execute(f"update {table} set line_index = line_index - 1 where line_index > ?", (index,))
-    db.close()
 
 
-def search(path: str, table: str, box: tuple[float, float, float, float]) -> list[int]:
+def search(package: str | bytes | sqlite3.Connection, table: str, box: tuple[float, float, float, float]) -> list[int]:
     """Ids of features whose envelope meets (min x, max x, min y, max y), through the R-tree."""
-    db = open_package(path)
-    out = [r[0] for r in db.execute(f"select id from rtree_{table}_geom where maxx >= ? and minx <= ? and maxy >= ? and miny <= ? order by id", box)]
-    db.close()
-    return out
+    with _opened(package) as db:
+        return [r[0] for r in db.execute(f"select id from rtree_{table}_geom where maxx >= ? and minx <= ? and maxy >= ? and miny <= ? order by id", box)]
 
 
-def summary(path: str, table: str) -> dict:
+def summary(package: str | bytes | sqlite3.Connection, table: str) -> dict:
     """Rows, R-tree entries, and the box and description in the contents table."""
-    db = open_package(path)
-    rows = db.execute(f"select count(*) from {table}").fetchone()[0]
-    tree = db.execute(f"select count(*) from rtree_{table}_geom").fetchone()[0]
-    *box, description = db.execute("select min_x, min_y, max_x, max_y, description from gpkg_contents where table_name = ?", (table,)).fetchone()
-    db.close()
+    with _opened(package) as db:
+        rows = db.execute(f"select count(*) from {table}").fetchone()[0]
+        tree = db.execute(f"select count(*) from rtree_{table}_geom").fetchone()[0]
+        *box, description = db.execute("select min_x, min_y, max_x, max_y, description from gpkg_contents where table_name = ?", (table,)).fetchone()
     return {"rows": rows, "rtree_rows": tree, "box": tuple(box), "description": description}

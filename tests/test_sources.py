@@ -114,3 +114,38 @@ def test_exports(spark):
     with zipfile.ZipFile(io.BytesIO(bytes(data))) as z:
         way = z.read("wpmz/waylines.wpml").decode()
     assert way.count("<wpml:actionGroup>") == 2 and "<wpml:actionGroupId>1</wpml:actionGroupId>" in way and "8.000000000,47.000000000" in way
+
+
+def test_packages_of_many_plans(spark, tmp_path):
+    way = _plan(spark)
+    for k in (2, 5):
+        way = way.union(_plan(spark).selectExpr(f"{k}L as plan_id", *_plan(spark).columns[1:]))
+    at = str(tmp_path / "plans")
+    short = spark.createDataFrame([(2, 9, 0, 47.0, 8.0, 1.0, "EGM96", False, 0.0, 0.0, 0.0)], way.schema)  # one point: no line
+    lines = gpkg.encode_lines(way.union(short), ["plan_id", "line_index"]).withColumn("altitude_datum", exports.F.lit("EGM2008"))
+    gpkg.write_packages(lines.repartition(7), at)
+    assert sorted(p.name for p in (tmp_path / "plans").iterdir()) == [f"plan-{k:06d}.gpkg" for k in (1, 2, 5)]
+    # they are ordinary files for the single-package functions
+    assert gpkg.summary(f"{at}/plan-000005.gpkg", "flight_lines")["rows"] == 3 and gpkg.search(f"{at}/plan-000005.gpkg", "flight_lines", (8.0005, 8.0015, 47, 48)) == [2]
+    (tmp_path / "plans/plan-000009.gpkg").write_bytes(b"SQLite format 3\0 torn")
+    packages = gpkg.package_files(spark, at)
+    rows = gpkg.read_packages(packages).collect()
+    assert len(rows) == 10 and [r.plan_id for r in rows if r.error] == [9]
+    assert {r.plan_id: r.error is None for r in gpkg.package_summaries(packages).collect()} == {1: True, 2: True, 5: True, 9: False}
+    good = packages.where("plan_id < 9")
+    changes = spark.createDataFrame([(1, 0, 25.0, False), (1, 1, None, True), (1, 2, 75.0, None), (2, 0, None, True), (2, 1, None, True), (7, 0, 1.0, True)], "plan_id long, line_index long, completion_pct double, gone boolean")
+    new = gpkg.revise(good, changes, description="seen", values={"a": "b"}).collect()
+    assert len(new) == 3
+    left = {r.name: [x[:] for x in gpkg.open_package(bytes(r.content)).execute("select line_index, completion_pct from flight_lines order by id")] for r in new}
+    assert left == {"plan-000001.gpkg": [(0, 25.0), (1, 75.0)], "plan-000002.gpkg": [(0, 0.0)], "plan-000005.gpkg": [(0, 0.0), (1, 0.0), (2, 0.0)]}
+    assert all(gpkg.summary(bytes(r.content), "flight_lines")["rtree_rows"] == len(left[r.name]) and gpkg.metadata(bytes(r.content))["a"] == "b" for r in new)
+
+
+def test_points_of_blobs():
+    lines = [[(1.0, 2.0, 3.0), (4.0, 5.0, 6.0)], [(float(k), -float(k), 0.5) for k in range(7)]]
+    count, points = gpkg.line_points(pa.array([b"", *map(gpkg.linestring, lines)], pa.binary()).slice(1))
+    assert count.tolist() == [2, 7] and list(map(tuple, points)) == lines[0] + lines[1]
+    assert gpkg.line_points(pa.array([], pa.binary()))[1].shape == (0, 3)
+    for bad in (gpkg.linestring([(1.0, 2.0), (3.0, 4.0)]), gpkg.linestring(lines[0])[:-1], b"GP"):
+        with pytest.raises(ValueError):
+            gpkg.line_points(pa.array([bad], pa.binary()))
