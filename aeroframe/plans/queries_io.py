@@ -17,9 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import nmea
 from ..operators import terrain, tracks
 from ..sources import exports, files, gpkg, tiles, vector
-from ..streaming import telemetry
+from ..streaming import links, telemetry
 from . import domain as d
 from . import queries_terrain as terrain_queries
 from . import queries_tracks as t
@@ -492,6 +493,35 @@ def stream_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("receiver", "seq", "kind", "utc", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"), "alt", "alt_datum", "fix", F.round("ground_speed", 9).alias("ground_speed"), "course", "paired")
 
 
+#: A GGA and an RMC an event, four milliseconds between events; every third receiver has a poor fix nearly always.
+_LINK_AT = "1700000000000 + event_id * 4 + case when event_id >= 700 then 10000 else 0 end"
+_LINK_FIX = "case when user_id % 3 = 0 and event_id % 50 <> 0 then 1 else 4 end"
+_LINK_SQL = f"""with s as (select user_id as receiver, event_id * 2 + k as seq, {_LINK_AT} + k as tm, k, {_LINK_FIX} as fix from events, (values (0), (1)) as t(k)),
+g as (select *, coalesce(tm - lag(tm) over w > 3000, false) as back, lead(tm) over w as later, max(tm) over () as latest from s window w as (partition by receiver order by seq)),
+p as (select *, sum(case when back then 1 else 0 end) over w as sess from g window w as (partition by receiver order by seq)),
+r as (select *, sum(case when fix >= 4 then 1 else 0 end) over (partition by receiver, sess order by seq) as run from p where k = 1)
+select 'SILENT' as event, receiver, seq, tm + 3000 as at_ms from g where later - tm > 3000 or (later is null and tm + 3000 <= latest - 1999)
+union all select 'RECONNECTED', receiver, seq, tm from g where back
+union all select 'ALERT', receiver, seq, tm from (select *, row_number() over (partition by receiver, sess, run order by seq) as n from r where fix < 4) where n = 20"""
+
+
+@query("stm_02_09_src_14_link_events", _LINK_SQL)
+def link_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Silences of three seconds, reconnects, and alerts after 20 poor fixes, of a stream in three batches."""
+    at = folder(spark)
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("user_id as receiver", "event_id", f"{_LINK_AT} as at_ms", f"{_LINK_FIX} as fix")
+    body = "stack(2, 0, concat('GPGGA,', utc, ',4700.5,N,00800.5,E,', cast(fix as string), ',09,0.9,400.5,M,47.1,M,,'), 1, concat('GNRMC,', utc, ',A,4700.5,N,00800.5,E,10.0,90.0,010124,,')) as (k, body)"
+    e = e.withColumn("utc", F.lpad(F.col("event_id").cast("string"), 9, "0")).selectExpr("receiver", "event_id", "at_ms", body)
+    check = F.lpad(F.hex(nmea.checksum(F.col("body"))), 2, "0")
+    sent = e.select("receiver", (F.col("event_id") * 2 + F.col("k")).alias("seq"), F.timestamp_millis(F.col("at_ms") + F.col("k")).alias("at"), F.concat(F.lit("$"), "body", F.lit("*"), check).alias("sentence"))
+    for part in ("seq < 900", "seq >= 900 and seq < 9000", "seq >= 9000"):  # in this order, a batch each
+        sent.where(part).coalesce(1).write.mode("append").parquet(at + "/in")
+    stream = spark.readStream.schema(sent.schema).option("maxFilesPerTrigger", 1).parquet(at + "/in")
+    telemetry.run_available(links.link_events(stream, late="1999 milliseconds"), at + "/out", at + "/checkpoint")
+    found = spark.read.parquet(at + "/out").where("event <> 'EPOCH'")
+    return found.select("event", "receiver", "seq", F.unix_millis("at").alias("at_ms"))
+
+
 @query("src_14_15_mock_telemetry", f"select value, vehicle, lat, lon from (select seq as n, vehicle, lat, lon, count(*) over () as n_all from ({d.TELEMETRY.sql})) w join (select unnest(range(2 * (select count(*) from events) + 7)) as value) t on value % n_all = n")
 def mock(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ticks for twice round all waypoints and a few more (a batch of ticks stands in for the rate stream)."""
