@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import nmea
-from ..operators import terrain, tracks
+from ..operators import boxes, terrain, tracks
 from ..sources import exports, files, gpkg, tiles, vector
 from ..streaming import links, telemetry
 from . import domain as d
@@ -198,6 +198,34 @@ def gpkg_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_lines(gpkg.package_files(spark, at)).selectExpr(f"{_NUMBERED} as line_index", "completion_pct")
 
 
+# ---------------------------------------------------------------- boxes
+
+#: Boxes of lines around points of the globe, and of polygons of customers; some sides are crossed or missing.
+_LINE_BOXES = d.View("events", {"line_id": "event_id", **{n: f"{at} {sign} cast(event_id % {m} as double) * 5e-2" for n, at, sign, m in (("min_x", "(cast((event_id * 104729) % 360000 as double) * 1e-3 - 180e0)", "-", 17), ("max_x", "(cast((event_id * 104729) % 360000 as double) * 1e-3 - 180e0)", "+", 17), ("min_y", "(cast((event_id * 7919) % 172001 as double) * 1e-3 - 86e0)", "-", 11), ("max_y", "(cast((event_id * 7919) % 172001 as double) * 1e-3 - 86e0)", "+", 11))}})
+_AREA_BOXES = d.View("customer", {"area_id": "c_custkey", "min_x": "cast((c_custkey * 7907) % 3600 as double) * 1e-1 - 180e0", "max_x": "case when c_custkey % 101 = 0 then null when c_custkey % 103 = 0 then -999e0 else cast((c_custkey * 7907) % 3600 as double) * 1e-1 - 180e0 + cast(c_custkey % 40 as double) * 1e-1 end", "min_y": "cast((c_custkey * 6983) % 1720 as double) * 1e-1 - 86e0", "max_y": "cast((c_custkey * 6983) % 1720 as double) * 1e-1 - 86e0 + cast(c_custkey % 23 as double) * 1e-1"})
+
+
+def kept(spark: SparkSession):
+    """Writes a table to a fresh folder and reads it back."""
+
+    def keep(df: DataFrame) -> DataFrame:
+        at = folder(spark)
+        df.write.parquet(at)
+        return spark.read.schema(df.schema).parquet(at)
+
+    return keep
+
+
+@query(
+    "snk_08_join_boxes_in_boxes",
+    f"select line_id, area_id from ({_LINE_BOXES.sql}) l join ({_AREA_BOXES.sql}) a on l.min_x <= a.max_x and l.max_x >= a.min_x and l.min_y <= a.max_y and l.max_y >= a.min_y where a.max_x >= a.min_x",
+)
+def boxes_in_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of a line and an area whose boxes meet, through an R-tree of the areas."""
+    tree = boxes.pack(_AREA_BOXES.load(spark, sf_dir), kept(spark), fanout=16)
+    return boxes.box_join(_LINE_BOXES.load(spark, sf_dir), tree, ["line_id"], ["area_id"])
+
+
 # ---------------------------------------------------------------- exports
 
 

@@ -25,6 +25,3 @@ def query(name: str, sql: str | None = None) -> Callable:
 def rounded(columns: dict[str, int | None]) -> list[str]:
     """Select expressions: doubles rounded (and -0.0 made 0.0), others as they are."""
     return [k if d is None else f"round({k}, {d}) + 0e0 as {k}" for k, d in columns.items()]
-
-
-from . import queries_geometry, queries_io, queries_missions, queries_scalar, queries_terrain, queries_tracks  # noqa: E402,F401

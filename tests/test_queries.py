@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from aeroframe.plans.registry import ORACLE_SQL, QUERIES
+from aeroframe.plans.catalog import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
