@@ -24,10 +24,21 @@ def inverse(lat1, lon1, lat2, lon2, updates: int = 12) -> tuple[np.ndarray, np.n
         o, h = np.sin(a) * c1, np.arctan2(s1, np.cos(a) * c1)
         kk = k.WGS84_EP2 * (1 - o * o)
         root = np.sqrt(1 + kk[..., None] * np.sin(h[..., None] + nodes * z[..., None]) ** 2)
-        w = lam + f * o * z * ((2 - f) / (1 + (1 - f) * root) @ weights)
+        old, w = w, lam + f * o * z * ((2 - f) / (1 + (1 - f) * root) @ weights)
+        if w.size == 0 or np.abs(w - old).max() < 1e-16:  # near points settle at once
+            break
     return k.WGS84_B * z * (root @ weights), np.degrees(a) % 360
 
 
+def surface(lat, lon) -> np.ndarray:
+    """Points of the ellipsoid as (x, y, z) metres; the chord of two is never longer than their geodesic."""
+    la, lo = np.radians(lat), np.radians(lon)
+    e2 = k.WGS84_F * (2 - k.WGS84_F)
+    a = k.WGS84_B / (1 - k.WGS84_F)
+    n = a / np.sqrt(1 - e2 * np.sin(la) ** 2)
+    return np.stack([n * np.cos(la) * np.cos(lo), n * np.cos(la) * np.sin(lo), n * (1 - e2) * np.sin(la)], axis=-1)
+
+
 def ground_speed(track: np.ndarray, tas: float, wind_speed: float, wind_dir: float) -> np.ndarray:
     """Ground speed on each track; nan where the wind does not allow it."""
     if wind_speed < k.CALM_WIND:

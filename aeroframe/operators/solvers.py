@@ -36,66 +36,209 @@ def _ends(p: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return entry, leave
 
 
-def nearest_order(first: np.ndarray, cost: np.ndarray, own: np.ndarray) -> list[int]:
+#: States (two a line) up to which all leg costs are held as a matrix of at most 128 MB; more are priced when asked for.
+MATRIX_STATES = 4000
+#: Nearest states that a move may join to, in plans without a matrix.
+NEAR = 20
+
+
+class Legs:
+    """Costs of legs from the exit of one state to the entry of another.
+
+    ``costs(metres, azimuths)`` prices legs (None: metres); ``least`` is the least price of a metre, so that
+    least times the chord never exceeds a price. Small plans hold a matrix; in larger ones chords bound the
+    prices, and only legs that may matter are solved.
+    """
+
+    def __init__(self, entry: np.ndarray, leave: np.ndarray, costs=None, least: float = 1.0, matrix: bool | None = None) -> None:
+        self.entry, self.leave, self.costs, self.least = entry, leave, costs, least
+        self.e, self.l = numeric.surface(*entry.T), numeric.surface(*leave.T)
+        self.matrix = None
+        if len(entry) <= MATRIX_STATES if matrix is None else matrix:
+            self.matrix = np.empty((len(entry), len(entry)))
+            for k in range(0, len(entry), 64):
+                self.matrix[k : k + 64] = self._price(leave[k : k + 64, None], entry[None])
+        self.near = None if self.matrix is not None else self._nearest()
+
+    def _price(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        m, az = numeric.inverse(a[..., 0], a[..., 1], b[..., 0], b[..., 1])
+        return m if self.costs is None else np.where(m < 1e-6, 0.0, self.costs(m, az))
+
+    def _nearest(self) -> np.ndarray:
+        """For each state the states whose entries are nearest to its exit, its own line aside."""
+        n, k = len(self.entry), min(NEAR, len(self.entry) - 2)
+        out = np.empty((n, k), np.int64)
+        for at in range(0, n, 256):
+            d = ((self.l[at : at + 256, None] - self.e[None]) ** 2).sum(axis=2)
+            rows = np.arange(len(d))
+            for own in (0, 1):
+                d[rows, (at + rows) ^ own] = np.inf
+            out[at : at + 256] = np.argpartition(d, k - 1, axis=1)[:, :k]
+        return out
+
+    def bound(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """At most the price of legs between states."""
+        return self.matrix[a, b] if self.matrix is not None else self.least * np.sqrt(((self.l[a] - self.e[b]) ** 2).sum(axis=-1))
+
+    def price(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return self.matrix[a, b] if self.matrix is not None else self._price(self.leave[a], self.entry[b])
+
+    def cheapest(self, a: int | np.ndarray, left: np.ndarray, own: np.ndarray) -> int:
+        """Of the states ``left`` (in order) the first of those that cost least with their lines, from state ``a`` or a point."""
+        if np.ndim(a) == 0 and self.matrix is not None:
+            return int(left[np.argmin(self.matrix[a, left] + own[left])])
+        start = self.leave[a] if np.ndim(a) == 0 else a
+        chord = numeric.surface(*start)
+        low = self.least * np.sqrt(((chord - self.e[left]) ** 2).sum(axis=1)) + own[left]
+        some = np.argpartition(low, min(16, len(low) - 1))[:17]
+        best = (self._price(start[None], self.entry[left[some]]) + own[left[some]]).min()
+        may = left[low <= best * (1 + 1e-9) + 1e-6]  # chords of short legs equal them but for rounding
+        return int(may[np.argmin(self._price(start[None], self.entry[may]) + own[may])])
+
+
+def nearest_order(home: np.ndarray, legs: Legs, own: np.ndarray) -> list[int]:
     """Greedy tour over states (2 i or 2 i + 1 for line i); the first of equals wins, forward before reversed."""
-    left = np.ones(len(first), bool)
+    left = np.arange(len(own))
     tour: list[int] = []
-    reach = first + own
-    while left.any():
-        s = int(np.argmin(np.where(left, reach, np.inf)))
-        tour.append(s)
-        left[[s, s ^ 1]] = False
-        reach = cost[s] + own
+    at: int | np.ndarray = home
+    while len(left):
+        at = legs.cheapest(at, left, own)
+        tour.append(at)
+        left = left[left >> 1 != at >> 1]
     return tour
 
 
-def tour_cost(tour: list[int], first: np.ndarray, cost: np.ndarray, own: np.ndarray) -> float:
-    t = np.array(tour)
-    return math.fsum([float(first[t[0]]), *cost[t[:-1], t[1:]].tolist(), *own[t].tolist()]) if len(t) else 0.0
-
-
-def two_opt(tour: list[int], cost: np.ndarray, own: np.ndarray, free_end: bool = True) -> list[int]:
-    """Reverse stretches after the first line (turning each line in them) while that gains; the first leg stays."""
-    n = len(tour)
-    for _ in range(PASSES):
-        better = False
-        for i in range(n - 2):
-            for j in range(i + 2, n):
-                old = np.array(tour[i : j + 2])
-                new = np.array([tour[i], *(s ^ 1 for s in reversed(tour[i + 1 : j + 1])), *tour[j + 1 : j + 2]])
-                gain = cost[old[:-1], old[1:]].sum() + own[old].sum() - cost[new[:-1], new[1:]].sum() - own[new].sum()
-                if gain > GAIN:
-                    tour[i + 1 : j + 1] = [s ^ 1 for s in reversed(tour[i + 1 : j + 1])]
-                    better = True
-        if not better:
+def tour_cost(tour: list[int], first: float, legs: np.ndarray, own: np.ndarray) -> float:
+    """Launch leg, legs and lines, summed exactly."""
+    return math.fsum([first, *legs.tolist(), *own[np.array(tour)].tolist()]) if len(tour) else 0.0
+
+
+class _Sums:
+    """Costs of a tour before each place, flown forward and backward, so that any stretch costs one difference.
+
+    Legs that the wind forbids are counted beside the sums, since a cost of FAR would swallow all others.
+    """
+
+    def __init__(self, t: np.ndarray, legs: Legs, own: np.ndarray) -> None:
+        self.legs, self.own = legs, own
+        self.edge = legs.price(t[:-1], t[1:]) if len(t) > 1 else np.zeros(0)
+        self.back = legs.price(t[1:] ^ 1, t[:-1] ^ 1) if len(t) > 1 else np.zeros(0)
+        self.line, self.line_back = own[t], own[t ^ 1]
+        self._add()
+
+    def _add(self) -> None:
+        sums = lambda x: (np.concatenate([[0.0], np.cumsum(np.where(x >= FAR, 0.0, x))]), np.concatenate([[0], np.cumsum(x >= FAR)]))
+        self.sums = [sums(x) for x in (self.edge, self.back, self.line, self.line_back)]
+
+    def stretch(self, i: int, j: np.ndarray, backward: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Finite cost and forbidden legs of places i to j."""
+        (e, ef), (o, of) = self.sums[backward], self.sums[2 + backward]
+        return e[j] - e[i] + o[j + 1] - o[i], ef[j] - ef[i] + of[j + 1] - of[i]
+
+    def turn(self, i: int, j: int, t: np.ndarray) -> None:
+        """After places i to j of the tour ``t`` have been turned."""
+        self.edge[i:j], self.back[i:j] = self.back[i:j][::-1].copy(), self.edge[i:j][::-1].copy()
+        self.line[i : j + 1], self.line_back[i : j + 1] = self.line_back[i : j + 1][::-1].copy(), self.line[i : j + 1][::-1].copy()
+        for k in (i - 1, j):
+            if 0 <= k < len(t) - 1:
+                self.edge[k : k + 1], self.back[k : k + 1] = self.legs.price(t[k : k + 1], t[k + 1 : k + 2]), self.legs.price(t[k + 1 : k + 2] ^ 1, t[k : k + 1] ^ 1)
+        self._add()
+
+
+def two_opt(tour: list[int], legs: Legs, own: np.ndarray) -> list[int]:
+    """Turn stretches after the first line (with each line in them) while that gains; the first leg stays.
+
+    A move costs the same whatever its length (differences of running sums). Places are looked at again only
+    when a move ended at them. With a matrix all moves are tried, so the end is a local optimum; without, those
+    that join a state to one of its nearest, or turn the rest of the tour.
+    """
+    t = np.array(tour, np.int64)
+    n = len(t)
+    if n < 3:
+        return t.tolist()
+    sums = _Sums(t, legs, own)
+    place = np.empty(n, np.int64)
+    place[t >> 1] = np.arange(n)
+    waiting = dict.fromkeys(range(n))  # a queue of places
+
+    def moves(p: int) -> tuple[np.ndarray, np.ndarray]:
+        """(i, j): stretches i + 1 to j that may be turned, one end of which is at place p."""
+        if legs.matrix is not None:
+            j, i = np.arange(p + 2, n), np.arange(0, p - 1)
+            return np.concatenate([np.full(len(j), p), i]), np.concatenate([j, np.full(len(i), p)])
+        a = legs.near[t[p]]  # t[p] would be followed by one of these
+        b = legs.near[t[(p + 1) % n] ^ 1] ^ 1  # t[p + 1] would come after one of these
+        j, i = place[a[t[place[a >> 1]] == a ^ 1] >> 1], place[b[t[place[b >> 1]] == b ^ 1] >> 1] - 1
+        i, j = np.concatenate([np.full(len(j) + 1, p), i, [p - 2]]), np.concatenate([j, [n - 1], np.full(len(i), p), [p]])
+        ok = (j >= i + 2) & (i >= 0)
+        return i[ok], j[ok]
+
+    def gains(i: np.ndarray, j: np.ndarray, cost) -> np.ndarray:
+        last = np.minimum(j + 1, n - 1)
+        inner = j + 1 < n
+        join, after = cost(t[i], t[j] ^ 1), np.where(inner, cost(t[i + 1] ^ 1, t[last]), 0.0)
+        leave, leave_after = sums.edge[i], np.where(inner, sums.edge[np.minimum(j, n - 2)], 0.0)
+        (fwd, fwd_far), (rev, rev_far) = sums.stretch(i + 1, j, False), sums.stretch(i + 1, j, True)
+        finite = lambda x: np.where(x >= FAR, 0.0, x)
+        far = fwd_far - rev_far + (leave >= FAR).astype(int) + (leave_after >= FAR) - (join >= FAR) - (after >= FAR)
+        return finite(leave) + finite(leave_after) + fwd - finite(join) - finite(after) - rev + 1e18 * far
+
+    for _ in range(PASSES * n):
+        if not waiting:
             break
-    return tour
+        p = next(iter(waiting))
+        i, j = moves(p)
+        if legs.matrix is None and len(i):
+            may = gains(i, j, legs.bound) > GAIN
+            i, j = i[may], j[may]
+        gain = gains(i, j, legs.price) if len(i) else np.zeros(0)
+        if not len(gain) or gain.max() <= GAIN:
+            del waiting[p]
+            continue
+        k = int(np.argmax(gain))
+        a, b = int(i[k]) + 1, int(j[k])
+        t[a : b + 1] = t[a : b + 1][::-1] ^ 1
+        place[t[a : b + 1] >> 1] = np.arange(a, b + 1)
+        sums.turn(a, b, t)
+        for q in range(a - 1, b + 2) if legs.matrix is not None else (a - 1, a, b, b + 1):
+            if 0 <= q < n:
+                waiting.setdefault(q)
+    return t.tolist()
 
 
 _ROUTE = "plan_id long, visit_seq int, line_index int, reversed boolean, total_m double, in_order_m double, total_j double"
 
 
-def _route(p: pd.DataFrame, costs) -> pd.DataFrame:
+def _route(p: pd.DataFrame, costs, least: float = 1.0) -> pd.DataFrame:
     p = p.sort_values("line_index").reset_index(drop=True)
     entry, leave = _ends(p)
-    home = np.array([[p.get("launch_lat", p.start_lat).min(), p.get("launch_lon", p.start_lon).min()]])
-    metres, azimuth = numeric.inverse(leave[:, None, 0], leave[:, None, 1], entry[None, :, 0], entry[None, :, 1])
-    first_m, first_a = numeric.inverse(home[:, None, 0], home[:, None, 1], entry[None, :, 0], entry[None, :, 1])
+    home = np.array([p.get("launch_lat", p.start_lat).min(), p.get("launch_lon", p.start_lon).min()])
     line_m, line_a = numeric.inverse(entry[:, 0], entry[:, 1], leave[:, 0], leave[:, 1])
-    price = lambda m, a: np.where(m < 1e-6, 0.0, costs(m, a))
-    cost, first, own = (metres, first_m[0], np.zeros(len(entry))) if costs is None else (price(metres, azimuth), price(first_m[0], first_a[0]), price(line_m, line_a))
-    tour = two_opt(nearest_order(first, cost, own), cost, own)
-    order = list(range(0, 2 * len(p), 2))
     none = np.zeros(len(entry))
+    own = none if costs is None else np.where(line_m < 1e-6, 0.0, costs(line_m, line_a))
+    legs = Legs(entry, leave, costs, least)
+    tour = two_opt(nearest_order(home, legs, own), legs, own)
+
+    def flown(order: list[int]) -> tuple[float, np.ndarray, float, np.ndarray]:
+        """Metres and azimuths of the launch leg and the others."""
+        s = np.array(order)
+        m, az = numeric.inverse(leave[s[:-1], 0], leave[s[:-1], 1], entry[s[1:], 0], entry[s[1:], 1])
+        (m0, az0) = numeric.inverse(home[0], home[1], entry[s[0], 0], entry[s[0], 1])
+        return m0, m, az0, az
+
+    m0, m, az0, az = flown(tour)
+    straight = list(range(0, 2 * len(p), 2))
+    s0, sm, _, _ = flown(straight)
+    price = lambda m, a: np.where(m < 1e-6, 0.0, costs(m, a))
     return pd.DataFrame(
         {
             "plan_id": p.plan_id.iloc[0],
             "visit_seq": np.arange(len(tour)),
             "line_index": p.line_index.to_numpy()[np.array(tour) // 2],
             "reversed": np.array(tour) % 2 == 1,
-            "total_m": tour_cost(tour, first_m[0], metres, none),
-            "in_order_m": tour_cost(order, first_m[0], metres, none),
-            "total_j": np.nan if costs is None else tour_cost(tour, first, cost, own),
+            "total_m": tour_cost(tour, float(m0), m, none),
+            "in_order_m": tour_cost(straight, float(s0), sm, none),
+            "total_j": np.nan if costs is None else tour_cost(tour, float(price(m0, az0)), price(m, az), own),
         }
     )
 
@@ -119,7 +262,8 @@ def energy_route(lines: DataFrame, tas: float, wind_speed: float, wind_dir: floa
         gs = numeric.ground_speed(azimuth, tas, wind_speed, wind_dir)
         return np.where(np.isnan(gs), FAR, power * metres / np.where(np.isnan(gs), 1.0, gs))
 
-    return _with_launch(lines, launch).groupBy("plan_id").applyInPandas(lambda p: _route(p, costs), _ROUTE)
+    least = power / (tas + abs(wind_speed))  # with all of the wind behind
+    return _with_launch(lines, launch).groupBy("plan_id").applyInPandas(lambda p: _route(p, costs, least), _ROUTE)
 
 
 def reorder(waypoints: DataFrame, route: DataFrame) -> DataFrame:
@@ -322,27 +466,98 @@ def offset_polyline(p: np.ndarray, d: float, limit: float) -> np.ndarray:
     return np.array([*out, p[-1] + d * normal[-1]])
 
 
+class _Segments:
+    """Segments of a polyline in order, on a grid of cells about as wide as they are long.
+
+    Splicing shortens two segments and drops those between, so cells never need new entries.
+    """
+
+    def __init__(self, p: np.ndarray) -> None:
+        self.n = len(p) - 1
+        self.a, self.b = [tuple(x) for x in p[:-1].tolist()], [tuple(x) for x in p[1:].tolist()]
+        self.after, self.before, self.alive = list(range(1, self.n + 1)), list(range(-1, self.n - 1)), bytearray(b"\1") * self.n
+        size = np.hypot(*np.diff(p, axis=0).T)
+        self.cell = max(float(size.mean()), float(np.abs(p).max()) * 1e-12, 1e-12)
+        self.grid: dict[tuple[int, int], list[int]] = {}
+        for k in range(self.n):
+            for c in self.cells(k):
+                self.grid.setdefault(c, []).append(k)
+
+    def cells(self, k: int) -> list[tuple[int, int]]:
+        """Cells that a segment passes, column by column, with a rim against rounding."""
+        (x0, y0), (x1, y1) = sorted((self.a[k], self.b[k]))
+        w, rim = self.cell, 1e-6 * self.cell
+        out = []
+        for cx in range(math.floor((x0 - rim) / w), math.floor((x1 + rim) / w) + 1):
+            if x1 - x0 > 2 * rim:
+                t0, t1 = (max(0.0, min(1.0, (x - x0) / (x1 - x0))) for x in (cx * w - rim, (cx + 1) * w + rim))
+            else:
+                t0, t1 = 0.0, 1.0
+            ya, yb = y0 + t0 * (y1 - y0), y0 + t1 * (y1 - y0)
+            out += [(cx, cy) for cy in range(math.floor((min(ya, yb) - rim) / w), math.floor((max(ya, yb) + rim) / w) + 1)]
+        return out
+
+    def crossing(self, i: int, j: int) -> float | None:
+        """Where on segment i it crosses segment j, both strictly inside; None if it does not."""
+        (ax, ay), (bx, by), (cx, cy), (dx, dy) = self.a[i], self.b[i], self.a[j], self.b[j]
+        ux, uy, ex, ey = bx - ax, by - ay, dx - cx, dy - cy
+        den = ux * ey - uy * ex
+        if abs(den) < 1e-10:
+            return None
+        wx, wy = cx - ax, cy - ay
+        t, s = (wx * ey - wy * ex) / den, (wx * uy - wy * ux) / den
+        return t if 1e-9 < t < 1 - 1e-9 and 1e-9 < s < 1 - 1e-9 else None
+
+    def near(self, k: int) -> set[int]:
+        return {j for c in self.cells(k) for j in self.grid.get(c, ()) if self.alive[j]}
+
+    def first(self, i: int) -> tuple[int, float] | None:
+        """The first later segment, not the next one, that segment i crosses."""
+        for j in sorted(j for j in self.near(i) if j > i and j != self.after[i]):
+            if (t := self.crossing(i, j)) is not None:
+                return j, t
+        return None
+
+    def splice(self, i: int, j: int, t: float) -> None:
+        (ax, ay), (bx, by) = self.a[i], self.b[i]
+        k = self.after[i]
+        while k != j:
+            self.alive[k] = 0
+            k = self.after[k]
+        self.b[i] = self.a[j] = (ax + t * (bx - ax), ay + t * (by - ay))
+        self.after[i], self.before[j] = j, i
+
+    def earliest(self, i: int, j: int) -> int | None:
+        """The first segment before i that now crosses i or j."""
+        for k in sorted(k for k in self.near(i) | self.near(j) if k < i):
+            if (k != self.before[i] and self.crossing(k, i) is not None) or self.crossing(k, j) is not None:
+                return k
+        return None
+
+
 def cut_loops(p: np.ndarray) -> np.ndarray:
-    """A polyline without its loops: the first crossing pair of segments is spliced, until none is left."""
-    pts = [tuple(x) for x in p.tolist()]
+    """A polyline without its loops: the first crossing pair of segments is spliced, until none is left.
+
+    One walk along the line: each segment meets only those in its cells, and after a splice the walk goes on
+    from it (or from an earlier segment that crosses what is new).
+    """
+    if len(p) < 4:
+        return np.array(p, float)
+    s = _Segments(np.asarray(p, float))
     i = 0
-    while i < len(pts) - 3:
-        a, b = np.array(pts[i]), np.array(pts[i + 1])
-        c = np.array(pts[i + 2 : -1])
-        e = np.array(pts[i + 3 :]) - c
-        u = b - a
-        den = u[0] * e[:, 1] - u[1] * e[:, 0]
-        safe = np.where(np.abs(den) < 1e-10, np.inf, den)
-        w = c - a
-        t, s = (w[:, 0] * e[:, 1] - w[:, 1] * e[:, 0]) / safe, (w[:, 0] * u[1] - w[:, 1] * u[0]) / safe
-        hit = np.flatnonzero((t > 1e-9) & (t < 1 - 1e-9) & (s > 1e-9) & (s < 1 - 1e-9))
-        if not len(hit):
-            i += 1
+    while i < s.n:
+        hit = s.first(i)
+        if hit is None:
+            i = s.after[i]
             continue
-        j = i + 2 + int(hit[0])
-        pts[i + 1 : j + 1] = [tuple(a + t[hit[0]] * u)]
-        i = 0  # what came before may now cross
-    return np.array(pts)
+        s.splice(i, *hit)
+        back = s.earliest(i, hit[0])
+        i = i if back is None else back
+    out, i = [s.a[0]], 0
+    while i < s.n:
+        out.append(s.b[i])
+        i = s.after[i]
+    return np.array(out)
 
 
 def resample(p: np.ndarray, interval: float) -> np.ndarray:
@@ -424,36 +639,84 @@ def elastic_bands(rows: DataFrame, clearance: float, rate: float = PLAN_RELAXATI
     return rows.groupBy("profile").applyInPandas(run, "k int, x double, profile string, terrain double, alt double, iterations int, converged boolean")
 
 
-def basis(knots: np.ndarray, u: np.ndarray, degree: int = 3) -> np.ndarray:
-    """B-spline basis values, one row per parameter (Cox-de Boor)."""
+def basis(knots: np.ndarray, u: np.ndarray, degree: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """The degree + 1 B-spline values that are not zero at each parameter, and the number of the first (Cox-de Boor)."""
     u = np.clip(u, knots[degree], knots[-degree - 1])
     n = len(knots) - degree - 1
     span = np.clip(np.searchsorted(knots, u, side="right") - 1, degree, n - 1)
-    b = np.zeros((len(u), len(knots) - 1))
-    b[np.arange(len(u)), span] = 1
+    values = np.ones((len(u), 1))
     for p in range(1, degree + 1):
-        new = np.zeros((len(u), len(knots) - 1 - p))
-        for i in range(len(knots) - 1 - p):
-            left, right = knots[i + p] - knots[i], knots[i + p + 1] - knots[i + 1]
-            if left > 0:
-                new[:, i] += (u - knots[i]) / left * b[:, i]
-            if right > 0:
-                new[:, i] += (knots[i + p + 1] - u) / right * b[:, i + 1]
-        b = new
-    return b
+        new = np.zeros((len(u), p + 1))
+        for j in range(p):
+            left, right = knots[span + j + 1 - p], knots[span + j + 1]
+            part = values[:, j] / (right - left)
+            new[:, j] += (right - u) * part
+            new[:, j + 1] += (u - left) * part
+        values = new
+    return values, span - degree
+
+
+def solve_banded(values: np.ndarray, first: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Solve the square system whose row i has ``values[i]`` from column ``first[i]`` on.
+
+    Gauss without pivots, which collocation matrices of B-splines do not need; work and memory grow with the rows.
+    """
+    n, width = values.shape
+    below, above = int(max(0, (np.arange(n) - first).max())), int(max(0, (first + width - 1 - np.arange(n)).max()))
+    m = [[0.0] * (below + above + 1) for _ in range(n)]
+    for i, (f, row) in enumerate(zip(first.tolist(), values.tolist(), strict=True)):
+        for k, v in enumerate(row):
+            if 0 <= f + k < n:
+                m[i][f + k - i + below] = v
+    x = right.tolist()
+    dims = range(right.shape[1])
+    for i in range(n):
+        pivot = m[i]
+        for k in range(i + 1, min(n, i + below + 1)):
+            q = m[k][i - k + below] / pivot[below]
+            if q:
+                row, shift = m[k], i - k
+                for c in range(below + 1, below + above + 1):
+                    row[c + shift] -= q * pivot[c]
+                for d in dims:
+                    x[k][d] -= q * x[i][d]
+    for i in range(n - 1, -1, -1):
+        row = m[i]
+        for d in dims:
+            v = x[i][d]
+            for c in range(1, min(above, n - 1 - i) + 1):
+                v -= row[below + c] * x[i + c][d]
+            x[i][d] = v / row[below]
+    return np.array(x)
+
+
+def lumped(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows with three values around the diagonal; what lies beyond is added to the diagonal."""
+    n = len(values)
+    out = np.zeros((n, 3))
+    column = first[:, None] + np.arange(values.shape[1]) - np.arange(n)[:, None]
+    for k in range(values.shape[1]):
+        inside = np.abs(column[:, k]) <= 1
+        np.add.at(out, (np.arange(n), np.where(inside, column[:, k] + 1, 1)), values[:, k])
+    return out, np.arange(n) - 1
 
 
 class Spline:
-    """A cubic B-spline curve through points: chord-length parameters, averaged knots, exact interpolation."""
+    """A cubic B-spline curve through points: chord-length parameters, averaged knots, exact interpolation.
+
+    With ``lump`` the system is cut to three diagonals, as quick fits do; the curve then only comes near inner points.
+    """
 
-    def __init__(self, points: np.ndarray) -> None:
+    def __init__(self, points: np.ndarray, lump: bool = False) -> None:
         if len(points) < 4:
             raise ValueError("a cubic spline needs four points")
         chord = np.concatenate([[0.0], np.cumsum(np.hypot(*np.diff(points, axis=0).T))])
         u = chord / chord[-1]
-        inner = np.array([u[j : j + 3].mean() for j in range(1, len(points) - 3)])
+        inner = (u[1:-3] + u[2:-2] + u[3:-1]) / 3
         self.knots = np.concatenate([[0.0] * 4, inner, [1.0] * 4])
-        self.control = np.linalg.solve(basis(self.knots, u), points)
+        rows = basis(self.knots, u)
+        self.params = u
+        self.control = solve_banded(*(lumped(*rows) if lump else rows), points)
 
     @classmethod
     def adaptive(cls, points: np.ndarray, threshold: float) -> Spline:
@@ -466,7 +729,8 @@ class Spline:
         return cls(points[keep])
 
     def at(self, u: np.ndarray) -> np.ndarray:
-        return basis(self.knots, np.asarray(u, float)) @ self.control
+        values, first = basis(self.knots, np.asarray(u, float))
+        return np.einsum("ij,ijk->ik", values, self.control[first[:, None] + np.arange(values.shape[1])])
 
     def derivative(self, u: np.ndarray, order: int = 1, eps: float = 1e-6) -> np.ndarray:
         u = np.clip(np.asarray(u, float), eps, 1 - eps)
