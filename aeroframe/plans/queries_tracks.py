@@ -78,7 +78,7 @@ def planar_length(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("geo_16_kahan_sum", f"select vehicle, round(kahan_sum(speed * 1e-1 + alt * 1e-3), 9) + 0e0 as total from ({d.TELEMETRY.sql}) group by vehicle")
 def kahan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = d.TELEMETRY.load(spark, sf_dir).selectExpr("vehicle", "seq", "speed * 1e-1 + alt * 1e-3 as x")
-    return tracks.kahan_by(rows, ["vehicle"], "seq", "x").selectExpr("vehicle", "round(total, 9) + 0e0 as total")
+    return tracks.compensated_by(rows, ["vehicle"], "x").selectExpr("vehicle", "round(total, 9) + 0e0 as total")
 
 
 @query(
