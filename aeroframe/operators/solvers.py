@@ -773,6 +773,19 @@ def smooth_waypoints(bands: DataFrame, spacing: float, clearance: float) -> Data
     return bands.groupBy("profile").applyInPandas(run, "profile string, wp int, x double, alt double, terrain double")
 
 
+def spline_heights(rows: DataFrame, lump: bool = False) -> DataFrame:
+    """``alt`` of each point (profile, k, x, alt) on the spline through its profile; profiles of fewer than four points are left out."""
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("k")
+        if len(p) < 4:
+            return p.iloc[:0]
+        s = Spline(p[["x", "alt"]].to_numpy(float), lump)
+        return p.assign(alt=s.at(s.params)[:, 1])
+
+    return rows.select("profile", "k", "x", "alt").groupBy("profile").applyInPandas(run, "profile string, k int, x double, alt double")
+
+
 def spline_reports(bands: DataFrame, clearance: float, threshold: float = 0.05) -> DataFrame:
     """Per profile: control points of the full and of the adaptive fit, largest curvature, control points lifted, and how many stay too low."""
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.constants import DATUMS
 from ..functions.program import Program, num
-from ..operators import planning, terrain
+from ..operators import planning, solvers, terrain
 from . import domain as d
 from .queries_geometry import _GRID_SQL, grid
 from .registry import query, rounded
@@ -206,3 +207,82 @@ from (select *, lag(s) over w as s0, 2 * abs(dx0 * dy - dy0 * dx) / nullif(sqrt(
 )
 def profile_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terrain.profile_metrics(_PATH.apply(profile(spark)), ["profile"], 50.0).selectExpr(*rounded(_METRICS))
+
+
+# ---------------------------------------------------------------- profiles cut from telemetry
+
+#: A profile a vehicle: its heights as terrain, ten metres apart.
+_TRACK_SQL = f"select cast(vehicle as varchar) as profile, cast(row_number() over (partition by vehicle order by seq) - 1 as integer) as k, cast(row_number() over (partition by vehicle order by seq) - 1 as double) * 10e0 as x, alt as terrain from ({d.TELEMETRY.sql})"
+
+
+def track_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = d.TELEMETRY.load(spark, sf_dir)
+    n = F.row_number().over(Window.partitionBy("vehicle").orderBy("seq")) - 1
+    return rows.select(F.col("vehicle").cast("string").alias("profile"), n.cast("int").alias("k"), (n.cast("double") * 10.0).alias("x"), F.col("alt").alias("terrain"))
+
+
+@query(
+    "trj_01_track_floors",
+    f"select profile, k, {', '.join(f'round({v}, 6) + 0e0 as {n}' for n, v in {'floor_terrain': 'terrain + 50', 'floor_mean': 'greatest(terrain + 50, avg(terrain) over w + 50)', 'floor_median': 'greatest(terrain + 50, median(terrain) over w + 50)', 'floor_fixed': 'greatest(terrain + 50, 540e0)', 'floor_max': 'max(terrain) over w + 50'}.items())} from ({_TRACK_SQL}) window w as (partition by profile)",
+)
+def track_floors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = terrain.floors(track_profiles(spark, sf_dir), ["profile"], 50.0, 540.0)
+    return f.selectExpr("profile", "k", *(f"round({n}, 6) + 0e0 as {n}" for n in ("floor_terrain", "floor_mean", "floor_median", "floor_fixed", "floor_max")))
+
+
+def _relaxed(source: str, steps: int) -> str:
+    """Steps of an elastic band, written out: tension and bending from the neighbours, a push near the floor, gravity."""
+    tension, torsion, push, decay, gravity = solvers.SPRINGS
+    rate = solvers.PLAN_RELAXATION[0]
+    for _ in range(steps):
+        pull = f"case when a0 is null then {-tension} * (alt - a1) when a1 is null then {-tension} * (alt - a0) else ({tension} + 4 * {torsion} / 100e0) * (a1 - 2 * alt + a0) end"
+        near = f"case when alt - floor < 5 * {decay} then {push} / {decay} * exp(-(alt - floor) / {decay}) else 0e0 end"
+        source = f"select profile, k, floor, greatest(alt + {rate} * ({pull} + {near} - {gravity}), floor) as alt from (select *, lag(alt) over w as a0, lead(alt) over w as a1 from ({source}) window w as (partition by profile order by k))"
+    return source
+
+
+@query(
+    "trj_02_track_bands",
+    f"select profile, k, round(alt, 6) as alt, 6 as iterations from ({_relaxed(f'select profile, k, terrain + 50e0 as floor, terrain + 50e0 as alt from ({_TRACK_SQL}) qualify count(*) over (partition by profile) >= 3', 6)})",
+)
+def track_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six steps of the band over each track (a threshold of zero never ends it sooner)."""
+    bands = solvers.elastic_bands(track_profiles(spark, sf_dir), 50.0, threshold=0.0, most=6)
+    return bands.where("iterations > 0").selectExpr("profile", "k", "round(alt, 6) as alt", "iterations")
+
+
+@query("trj_03_track_splines", f"select profile, k, round(x, 4) as x, round(terrain, 4) as alt from ({_TRACK_SQL}) qualify count(*) over (partition by profile) >= 4")
+def track_splines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A spline through each track's heights, evaluated where it was fitted: it goes through every one."""
+    rows = solvers.spline_heights(track_profiles(spark, sf_dir).withColumnRenamed("terrain", "alt"))
+    return rows.selectExpr("profile", "k", "round(x, 4) as x", "round(alt, 4) as alt")
+
+
+@query(
+    "trj_06_07_track_waypoints",
+    f"select profile, true as even, 0e0 as from_x, max(x) as to_x, 0 as below from ({_TRACK_SQL}) group by profile having count(*) >= 4",
+)
+def track_waypoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pursuit waypoints along the relaxed, smoothed and lifted tracks: evenly spaced from end to end, control points clear of the floor."""
+    bands = solvers.elastic_bands(track_profiles(spark, sf_dir), 50.0)
+    enough = F.count("*").over(Window.partitionBy("profile")) >= 4
+    bands = bands.withColumn("_n", enough).where("_n").drop("_n")
+    way = solvers.smooth_waypoints(bands, spacing=25.0, clearance=50.0)
+    w = Window.partitionBy("profile").orderBy("wp")
+    step = way.withColumns({"gone": F.hypot(F.col("x") - F.lag("x").over(w), F.col("alt") - F.lag("alt").over(w)), "last": F.lead("wp").over(w).isNull()})
+    seen = step.groupBy("profile").agg(F.bool_and(F.col("gone").isNull() | F.col("last") | (F.col("gone") <= 25.001)).alias("even"), (F.round(F.min_by("x", "wp"), 6) + 0.0).alias("from_x"), F.round(F.max_by("x", "wp"), 6).alias("to_x"))
+    reports = solvers.spline_reports(bands, clearance=50.0).select("profile", F.col("too_low").alias("below"))
+    return seen.join(reports, "profile")
+
+
+@query(
+    "trj_08_track_metrics",
+    f"""select {', '.join(rounded(_METRICS))} from (
+select profile, min(m) as min_clearance_margin, coalesce(max(abs(s)), 0e0) as max_slope, coalesce(max(kappa), 0e0) as max_curvature, coalesce(max(case when n > 2 then abs(s - s0) end), 0e0) as max_slope_jump,
+  sqrt(avg(m * m)) as rms_deviation, max(abs(m)) as max_deviation, avg(case when abs(m) <= 2.5e0 then 100e0 else 0e0 end) as pct_within_5pct, count(*) as n_waypoints
+from (select *, lag(s) over w as s0, 2 * abs(dx0 * dy - dy0 * dx) / nullif(sqrt(dx0 * dx0 + dy0 * dy0) * sqrt(dx * dx + dy * dy) * sqrt((dx + dx0) * (dx + dx0) + (dy + dy0) * (dy + dy0)), 0) as kappa
+  from (select *, dy / dx as s from (select *, alt - terrain - 50e0 as m, x - lag(x) over w as dx, alt - lag(alt) over w as dy, lag(x) over w - lag(x, 2) over w as dx0, lag(alt) over w - lag(alt, 2) over w as dy0, row_number() over w as n
+    from ({_PATH.sql(_TRACK_SQL)}) window w as (partition by profile order by x))) window w as (partition by profile order by x)) group by profile)""",
+)
+def track_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return terrain.profile_metrics(_PATH.apply(track_profiles(spark, sf_dir)), ["profile"], 50.0).selectExpr(*rounded(_METRICS))

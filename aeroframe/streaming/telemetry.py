@@ -15,6 +15,7 @@ from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import nmea
+from ..sources import files
 
 EPOCH = "receiver long, seq long, kind string, utc string, lat double, lon double, alt double, alt_datum string, fix int, ground_speed double, course double, paired boolean, alert boolean"
 _STATE = "utc string, g_lat double, g_lon double, g_alt double, g_fix int, pending boolean, lat double, lon double, alt double, alt_datum string, fix int, ground_speed double, course double, last_utc string, below int"
@@ -108,29 +109,72 @@ def line_progress(telemetry: DataFrame) -> DataFrame:
 
 #: Triggers after which the progress log is folded into a snapshot.
 SNAPSHOT_EVERY = 12
+_PROGRESS = "plan_id long, line_index int, completion_pct double, batch long"
 
 
-def saved_progress(spark: SparkSession, folder: str) -> DataFrame:
-    """plan_id, line_index and completion_pct as last saved in ``folder`` (log rows of later batches win)."""
-    log = spark.read.schema("plan_id long, line_index int, completion_pct double, batch long").option("recursiveFileLookup", "true").parquet(folder)
-    return log.groupBy("plan_id", "line_index").agg(F.max_by("completion_pct", "batch").alias("completion_pct"))
+class ProgressStore:
+    """Progress of lines as a snapshot and the logs after it, in a folder that driver and executors share.
 
+    A small file ``pointer-<batch>`` names the last batch that a whole snapshot holds; readers take the newest
+    pointer, its snapshot, and later logs. Logs, snapshots and pointers that a newer pointer replaces are removed
+    after it is in place, so there are never more than a few dozen folders, and a reader or a restart at any
+    moment finds everything. A batch that runs again after a failure writes its own folder again.
+    """
 
-def persist_progress(progress: DataFrame, folder: str, checkpoint: str, every: str | None = "5 seconds"):
-    """Append each trigger's changed lines to a log in ``folder``; every SNAPSHOT_EVERY triggers add a snapshot of all.
+    def __init__(self, spark: SparkSession, folder: str, every: int = SNAPSHOT_EVERY) -> None:
+        self.spark, self.every = spark, every
+        self.fs, self.base = files.filesystem(folder)
+        self.folder = folder.rstrip("/")
+
+    def _found(self, kind: str) -> list[int]:
+        """Batches for which there is a whole folder of this kind (or a pointer)."""
+        from pyarrow import fs
+
+        names = [i.base_name for i in self.fs.get_file_info(fs.FileSelector(self.base, allow_not_found=True))]
+        batches = sorted(int(n.rpartition("-")[2]) for n in names if n.startswith(kind + "-"))
+        if kind == "pointer":
+            return batches
+        whole = lambda k: self.fs.get_file_info(f"{self.base}/{kind}-{k:09d}/_SUCCESS").is_file
+        return [k for k in batches if whole(k)]
+
+    def _at(self, kind: str, batch: int) -> str:
+        return f"{self.folder}/{kind}-{batch:09d}"
+
+    def read(self) -> DataFrame:
+        """plan_id, line_index and completion_pct as last saved; later batches win."""
+        pointer = max(self._found("pointer"), default=-1)
+        places = [self._at("log", k) for k in self._found("log") if k > pointer] + ([self._at("snapshot", pointer)] if pointer >= 0 else [])
+        rows = self.spark.read.schema(_PROGRESS).parquet(*places) if places else self.spark.createDataFrame([], _PROGRESS)
+        return rows.groupBy("plan_id", "line_index").agg(F.max_by("completion_pct", "batch").alias("completion_pct"), F.max("batch").alias("batch"))
+
+    def save(self, changed: DataFrame, batch: int) -> None:
+        if batch <= max(self._found("pointer"), default=-1):
+            return  # it ran before, and its snapshot is in place
+        changed.withColumn("batch", F.lit(batch).cast("long")).select("plan_id", "line_index", "completion_pct", "batch").write.mode("overwrite").parquet(self._at("log", batch))
+        if batch % self.every == self.every - 1:
+            self.read().write.mode("overwrite").parquet(self._at("snapshot", batch))
+            with self.fs.open_output_stream(f"{self.base}/pointer-{batch:09d}") as out:
+                out.write(b"whole")
+            self._clear(batch)
+
+    def _clear(self, pointer: int) -> None:
+        from pyarrow import fs
+
+        for i in self.fs.get_file_info(fs.FileSelector(self.base)):
+            kind, _, number = i.base_name.rpartition("-")
+            if kind in ("log", "snapshot", "pointer") and int(number) < pointer + (kind == "log"):
+                (self.fs.delete_dir if i.type == fs.FileType.Directory else self.fs.delete_file)(i.path)
 
-    A batch that is repeated after a failure writes its own folder again, so nothing
-    counts twice. ``every`` None: one run over what is there.
-    """
-    spark = progress.sparkSession
 
-    def save(df: DataFrame, batch: int) -> None:
-        at = lambda kind: f"{folder}/{kind}-{batch:09d}"
-        df.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").parquet(at("log"))
-        if batch % SNAPSHOT_EVERY == SNAPSHOT_EVERY - 1:
-            saved_progress(spark, folder).withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").parquet(at("snapshot"))
+def saved_progress(spark: SparkSession, folder: str) -> DataFrame:
+    """plan_id, line_index and completion_pct as last saved in ``folder``."""
+    return ProgressStore(spark, folder).read().drop("batch")
+
 
-    q = progress.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(save)
+def persist_progress(progress: DataFrame, folder: str, checkpoint: str, every: str | None = "5 seconds", snapshot_every: int = SNAPSHOT_EVERY):
+    """Save each trigger's changed lines in ``folder`` (see ``ProgressStore``). ``every`` None: one run over what is there."""
+    store = ProgressStore(progress.sparkSession, folder, snapshot_every)
+    q = progress.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(store.save)
     return (q.trigger(processingTime=every) if every else q.trigger(availableNow=True)).start()
 
 
