@@ -30,6 +30,8 @@ from . import common as c
 
 #: Tokens of the shortest repeated run that counts.
 MIN_RUN = 8
+#: Counters of runs for each large host.
+CELLS = 4096
 #: Pages, and bytes of html, of one suffix array, about (a single page may have more).
 BUCKET_PAGES, BUCKET_BYTES = 128, 8 << 20
 #: An article block is a notice if it has at most NOTICE_WORDS words and stands on NOTICE_PAGES pages and NOTICE_SHARE of all.
@@ -299,8 +301,23 @@ def _host() -> F.Column:
     return F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
 
 
+def _cells(pages: list[Page]) -> pa.Array:
+    """Per page, for each different run, twice its counter, and one more if it stands in an open block."""
+    runs = Runs(pages)
+    is_open = np.array([k < CONTENT for _, _, k in runs.blocks], bool)
+    page, name = (runs.page[runs.block], runs.name) if len(runs.name) else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+    opened = is_open[runs.block] if len(name) else np.zeros(0, bool)
+    order = np.lexsort((~opened, name, page))
+    page, name, opened = page[order], name[order], opened[order]
+    first = np.ones(len(page), bool)
+    first[1:] = (page[1:] != page[:-1]) | (name[1:] != name[:-1])
+    page, value = page[first], (name[first] % np.uint64(CELLS)).astype(np.int32) * 2 + opened[first]
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(page, np.arange(len(pages) + 1)), pa.int32()), pa.array(value.astype(np.int32)))
+
+
 def _parsed(rows: DataFrame, keep: list[str], evidence_only: bool = False) -> DataFrame:
-    """Packed blocks of each page beside the columns ``keep``; of pages for evidence only the blocks that it can remove."""
+    """Packed blocks of each page beside the columns ``keep``; of pages for evidence only the blocks that it can remove, and
+    the counters of its runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in c.tidy(batches):
@@ -309,10 +326,11 @@ def _parsed(rows: DataFrame, keep: list[str], evidence_only: bool = False) -> Da
                 if evidence_only:
                     found = [[b for b, can in zip(p, open_to_evidence(p), strict=True) if can] for p in found]
                 sizes = [4 + len(p) + sum(len(t.encode("utf-8", "surrogatepass")) for _, _, t in p) + max(0, len(p) - 1) for p in found]
-                yield pa.record_batch([*(part.column(k) for k in keep), pa.array(sizes, pa.int32()), pa.array([_pack(p) for p in found], pa.binary())], [*keep, "size", "packed"])
+                more = {"cells": _cells(found)} if evidence_only else {}
+                yield pa.record_batch([*(part.column(k) for k in keep), pa.array(sizes, pa.int32()), pa.array([_pack(p) for p in found], pa.binary()), *more.values()], [*keep, "size", "packed", *more])
 
     kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keep)
-    return rows.select(*keep, "html").mapInArrow(run, f"{kinds}, size int, packed binary")
+    return rows.select(*keep, "html").mapInArrow(run, f"{kinds}, size int, packed binary" + ", cells array<int>" * evidence_only)
 
 
 def _pages(group: pa.Table) -> list[Page]:
@@ -322,18 +340,25 @@ def _pages(group: pa.Table) -> list[Page]:
 def _evidence(rows: DataFrame) -> DataFrame:
     """host, bucket, run, pages: for runs that stand in a bucket of a large host, on how many pages of the whole host.
 
-    Left out are runs on a single page, and those of article blocks on a single page
-    of the bucket: they are far from most pages of the host.
+    Left out are runs on a single page, and those of article blocks alone that cannot stand on enough pages: each
+    host has CELLS counters, a run adds one to its counter for each page, so a counter below what a notice
+    needs shows that all its runs are below it too. Counters that open blocks use are kept whole. What is left
+    does not depend on how pages are dealt.
     """
-    once = _parsed(rows.where("buckets is not null"), ["host", "bucket", "content"], evidence_only=True).dropDuplicates(["host", "content"])
+    parsed = _parsed(rows.where("buckets is not null"), ["host", "bucket", "content", "total"], evidence_only=True)
+    once = c.stash(parsed.dropDuplicates(["host", "content"]), "evidence")
+    cells = once.select("host", "total", F.explode("cells").alias("v")).groupBy("host", F.shiftright("v", 1).alias("cell"))
+    cells = cells.agg(F.count("*").alias("n"), F.max(F.col("v").bitwiseAND(F.lit(1))).alias("open"), F.max("total").alias("total"))
+    full = cells.where((F.col("open") == 1) | (F.col("n") >= F.greatest(F.lit(NOTICE_PAGES), NOTICE_SHARE * F.col("total"))))
+    full = full.groupBy("host").agg(F.collect_list("cell").alias("full"))  # CELLS at most
+    once = once.drop("cells", "total").join(F.broadcast(full) if c.small_enough(full, BROADCAST_HOSTS // 10) else full, "host", "left")
 
     def count(group: pa.Table) -> pa.Table:
         runs = Runs(_pages(group))
-        article = np.array([k >= CONTENT for _, _, k in runs.blocks], bool)
         n = runs.pages()
         name, first = np.unique(runs.name, return_index=True)
-        n, use = n[first], (n[first] > 1) | (~article[runs.block[first]] if len(first) else True)
-        name, n = name[use], n[use]
+        use = np.isin(name % np.uint64(CELLS), np.array(group.column("full")[0].as_py() or [], np.uint64))
+        name, n = name[use], n[first][use]
         return pa.table({"host": pa.array([group.column("host")[0].as_py()] * len(n), pa.string()), "bucket": pa.array(np.full(len(n), group.column("bucket")[0].as_py(), np.int32)), "run": pa.array(name.view(np.int64)), "n": pa.array(n)})
 
     counted = c.stash(once.groupBy("host", "bucket").applyInArrow(count, "host string, bucket int, run long, n long"), "runs")

@@ -689,12 +689,31 @@ def _site(spark, pages: int):
     return spark.createDataFrame(rows, "page_id long, url string, html string"), own
 
 
-@pytest.mark.parametrize("bucket", [1000, 40, 7])
+@pytest.mark.parametrize("bucket", [1000, 40, 7, 2, 1])
 def test_extraction_does_not_depend_on_the_deal(spark, bucket):
     pages, own = _site(spark, 300)
     assert {r.page_id: r.text for r in html_extract.extract(pages, bucket_pages=bucket).collect()} == own
 
 
+def _notices(spark):
+    """Every article has the same short notice; one open page repeats what stands in an article."""
+    rng = random.Random(4)
+    notice, quote = " ".join(words(rng, 15)), " ".join(words(rng, 20))
+    own = {k: " ".join(words(rng, 25)) + "\n\n" + " ".join(words(rng, 60)) for k in range(40)}
+    rows = [(k, "http://n.example/", f"<article><p>{notice}</p>" + "".join(f"<p>{x}</p>" for x in t.split("\n\n")) + "</article>") for k, t in own.items()]
+    rows += [(100, "http://n.example/", f"<article><p>{quote}</p><p>{own[0][-200:]}</p></article>"), (101, "http://n.example/", f"<body><div>{quote}</div><p>{' '.join(words(rng, 50))}</p></body>")]
+    return spark.createDataFrame(rows, "page_id long, url string, html string"), own, notice, quote
+
+
+@pytest.mark.parametrize(("pages", "size"), [(1000, 1 << 23), (7, 1 << 23), (2, 1 << 23), (1, 1 << 23), (1000, 2000), (1000, 700)])
+def test_notices_go_whatever_the_buckets(spark, monkeypatch, pages, size):
+    monkeypatch.setattr(html_extract, "BUCKET_BYTES", size)
+    rows, own, notice, quote = _notices(spark)
+    got = {r.page_id: r.text for r in html_extract.extract(rows, bucket_pages=pages).collect()}
+    assert {k: got[k] for k in own} == own and not any(notice in t for t in got.values())
+    assert quote in got[100] and quote not in got[101]  # the open block repeats another page, the article does not go for that
+
+
 def test_extraction_needs_the_suffix_array(monkeypatch):
     page = lambda k: html_extract.blocks(f"<article><p>accept this very long and tedious notice now please</p><p>{k} " + " ".join(f"u{k}_{i}" for i in range(50)) + "</p></article>")
     pages = [page(k) for k in range(20)]
