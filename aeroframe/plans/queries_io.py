@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import nmea
 from ..operators import boxes, terrain, tracks
-from ..sources import exports, files, gpkg, tiles, vector
+from ..sources import exports, files, gpkg, raster, tiles, vector
 from ..streaming import links, telemetry
 from . import domain as d
 from . import queries_terrain as terrain_queries
@@ -507,6 +507,30 @@ def tile_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.selectExpr("id", "coord_ok", "tile_found", "round(elevation, 4) + 0e0 as elevation", "status")
 
 
+# ---------------------------------------------------------------- geoid grids
+
+
+def geoid_file(spark: SparkSession) -> str:
+    """A one-degree geoid grid of single precision as a file; returns its address."""
+    at = folder(spark)
+
+    def encoded(posts: pd.DataFrame) -> pd.DataFrame:
+        h = posts.sort_values(["row", "col"], ascending=[False, True]).h.to_numpy("<f4")  # 181 rows of 360
+        return pd.DataFrame({"name": ["geoid.flt", "geoid.hdr"], "content": [h.tobytes(), raster.header_text(181, 360, -90.0, -180.0, 1.0).encode()]})
+
+    posts = spark.range(181 * 360).selectExpr("cast(id div 360 as int) as r", "cast(id % 360 as int) as c").selectExpr("r as row", "c as col", f"cast({terrain_queries._G96} as float) as h")
+    files.write_files(posts.groupBy().applyInPandas(encoded, "name string, content binary"), at)
+    return at + "/geoid.flt"
+
+
+@query("geo_08_geoid_file", f"select id, round(undulation, 5) + 0e0 as undulation from ({terrain_queries.undulation_sql(terrain_queries._MIXED.sql, f'cast(cast({terrain_queries._G96} as float) as double)')})")
+def geoid_from_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Undulations over a grid that was read from its file by ranges of rows, in single precision."""
+    posts = raster.read_grid(spark, geoid_file(spark)).select("row", "col", F.col("h").cast("double").alias("h"))
+    cells = terrain.cells(posts.withColumn("grid", F.lit(1)), ["grid"], wrap=True).drop("grid")
+    return terrain.undulation(terrain_queries._MIXED.load(spark, sf_dir), cells).selectExpr("id", "round(undulation, 5) + 0e0 as undulation")
+
+
 # ---------------------------------------------------------------- streams
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geodesy as g
 from ..functions import physics as p
+from ..functions import sqlfunctions
 from ..functions.constants import PLATFORM_LIMITS, SENSOR_PRESETS
 from ..functions.program import Program, num
 from . import domain as d
@@ -94,3 +95,14 @@ formula("geo_02_geodesic_direct", _RAYS, g.geodesic_direct("lat", "lon", "azimut
 @query("sen_lim_presets", f"select sensor, focal_mm, width_mm, height_mm, cast(width_px as integer) as width_px, cast(height_px as integer) as height_px from ({_PRESET_VIEW})")
 def presets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sensor_presets(spark)
+
+
+_SHORT = g.geodesic_inverse("lat", "lon", "lat2", "lon2", nodes=12, updates=6)
+
+
+@query("geo_01_sql_inverse", f"select id, round(geo_distance, 3) + 0e0 as metres, round(geo_azi1, 5) + 0e0 as azimuth from ({_SHORT.sql(_LEGS.sql)})")
+def sql_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same geodesics by the function of Spark SQL."""
+    sqlfunctions.register(spark)
+    _LEGS.load(spark, sf_dir).createOrReplaceTempView("aeroframe_legs")
+    return spark.sql("select id, round(v.distance, 3) + 0e0 as metres, round(v.azimuth, 5) + 0e0 as azimuth from (select id, geodesic_inverse(lat, lon, lat2, lon2) as v from aeroframe_legs)")
