@@ -303,13 +303,16 @@ def dubins(x0, y0, h0, x1, y1, h1, r) -> tuple[np.ndarray, np.ndarray, np.ndarra
         (cx, cy), (ex, ey) = centre(x0, y0, h0, a), centre(x1, y1, h1, a)
         d, phi = np.hypot(ex - cx, ey - cy), np.arctan2(ey - cy, ex - cx)
         ok = d <= 4 * r
-        ca = phi - a * np.arccos(np.minimum(d / (4 * r), 1))
-        mx, my = cx + 2 * r * np.cos(ca), cy + 2 * r * np.sin(ca)
-        t2 = np.arctan2(ey - my, ex - mx)
-        ha, hb = ca + a * np.pi / 2, t2 - a * np.pi / 2
-        p, m, q = mod(a * (ha - h0)), mod(-a * (hb - ha)), mod(a * (h1 - hb))
-        parts.append(np.stack([p, m, q], axis=-1))
-        totals.append(np.where(ok, (p + m + q) * r, np.inf))
+        found = []
+        for side in (-1, 1):  # the middle circle may lie on either side of the line between the others
+            ca = phi + side * a * np.arccos(np.minimum(d / (4 * r), 1))
+            mx, my = cx + 2 * r * np.cos(ca), cy + 2 * r * np.sin(ca)
+            t2 = np.arctan2(ey - my, ex - mx)
+            ha, hb = ca + a * np.pi / 2, t2 - a * np.pi / 2
+            found.append(np.stack([mod(a * (ha - h0)), mod(-a * (hb - ha)), mod(a * (h1 - hb))], axis=-1))
+        turns = np.where((found[0].sum(axis=-1) <= found[1].sum(axis=-1))[..., None], *found)
+        parts.append(turns)
+        totals.append(np.where(ok, turns.sum(axis=-1) * r, np.inf))
     total = np.stack(totals, axis=-1)
     best = np.argmin(total, axis=-1)
     pick = np.take_along_axis(np.stack(parts, axis=-2), best[..., None, None], axis=-2)[..., 0, :]

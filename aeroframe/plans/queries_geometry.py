@@ -214,6 +214,29 @@ def dubins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return solvers.dubins_paths(e.select("event_id", *(v.alias(n) for n, v in zip(names, [*pose(31), *pose(57)], strict=True)), F.lit(150.0).alias("radius")))
 
 
+def _dubins_sql() -> str:
+    """Shortest lengths by the normalised formulas of the six words, which measure all angles from the line between the poses."""
+    turn = lambda a: f"(case when {a} - 2 * pi() * floor(({a}) / (2 * pi())) > 2 * pi() - 1e-9 then 0e0 else {a} - 2 * pi() * floor(({a}) / (2 * pi())) end)"
+    pose = lambda k: (f"cast((event_id * {k}) % 997 as double) * 15e-1", f"cast((event_id * {k + 2}) % 991 as double) * 15e-1", f"radians(cast((event_id * {k + 4}) % 360 as double))")
+    (x0, y0, h0), (x1, y1, h1) = pose(31), pose(57)
+    base = f"select event_id, sqrt(dx * dx + dy * dy) / 150e0 as d, h0 - atan2(dy, dx) as a, h1 - atan2(dy, dx) as b from (select event_id, {x1} - {x0} as dx, {y1} - {y0} as dy, {h0} as h0, {h1} as h1 from events)"
+    base = f"select *, sin(a) as sa, cos(a) as ca, sin(b) as sb, cos(b) as cb, cos(a - b) as cab from ({base})"
+    base = f"""select *, sqrt(greatest(2 + d * d - 2 * cab + 2 * d * (sa - sb), 0)) as p_lsl, sqrt(greatest(2 + d * d - 2 * cab + 2 * d * (sb - sa), 0)) as p_rsr,
+  -2 + d * d + 2 * cab + 2 * d * (sa + sb) as s_lsr, -2 + d * d + 2 * cab - 2 * d * (sa + sb) as s_rsl,
+  (6 - d * d + 2 * cab + 2 * d * (sa - sb)) / 8 as c_rlr, (6 - d * d + 2 * cab + 2 * d * (sb - sa)) / 8 as c_lrl,
+  atan2(cb - ca, d + sa - sb) as w_lsl, atan2(ca - cb, d - sa + sb) as w_rsr from ({base})"""
+    base = f"""select *, case when s_lsr >= 0 then atan2(-ca - cb, d + sa + sb) - atan2(-2, sqrt(s_lsr)) end as w_lsr, case when s_rsl >= 0 then atan2(ca + cb, d - sa - sb) - atan2(2, sqrt(s_rsl)) end as w_rsl,
+  case when abs(c_rlr) <= 1 then 2 * pi() - acos(c_rlr) end as p_rlr, case when abs(c_lrl) <= 1 then 2 * pi() - acos(c_lrl) end as p_lrl from ({base})"""
+    base = f"select *, {turn('a - w_rsr + p_rlr / 2')} as t_rlr, {turn('w_lsl - a + p_lrl / 2')} as t_lrl from ({base})"
+    words = [f"{turn('w_lsl - a')} + p_lsl + {turn('b - w_lsl')}", f"{turn('a - w_rsr')} + p_rsr + {turn('w_rsr - b')}", f"{turn('w_lsr - a')} + sqrt(greatest(s_lsr, 0)) + {turn('w_lsr - b')}", f"{turn('a - w_rsl')} + sqrt(greatest(s_rsl, 0)) + {turn('b - w_rsl')}", f"t_rlr + p_rlr + {turn('a - b - t_rlr + p_rlr')}", f"t_lrl + p_lrl + {turn('b - a - t_lrl + p_lrl')}"]
+    return f"select event_id, round(150e0 * least({', '.join(f'coalesce({w}, 1e300)' for w in words)}), 4) + 0e0 as length_m from ({base})"
+
+
+@query("trn_02_dubins_lengths", _dubins_sql())
+def dubins_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dubins(spark, sf_dir).selectExpr("event_id", "round(length_m, 4) + 0e0 as length_m")
+
+
 @query("trn_03_turn_points")
 def turn_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/supplier.parquet")

@@ -175,17 +175,23 @@ def test_dubins_is_no_longer_than_any_family():
             p = math.sqrt(p2)
             t = math.atan2(ca + cb, d - sa - sb) - math.atan2(2, p)
             yield turn(a - t) + p + turn(b - t)  # RSL
+        if abs(c := (6 - d * d + 2 * cab + 2 * d * (sa - sb)) / 8) <= 1:
+            p = 2 * math.pi - math.acos(c)
+            t = turn(a - math.atan2(ca - cb, d - sa + sb) + p / 2)
+            yield t + p + turn(a - b - t + p)  # RLR
+        if abs(c := (6 - d * d + 2 * cab + 2 * d * (sb - sa)) / 8) <= 1:
+            p = 2 * math.pi - math.acos(c)
+            t = turn(math.atan2(cb - ca, d + sa - sb) - a + p / 2)
+            yield t + p + turn(b - a - t + p)  # LRL
 
     rng = np.random.default_rng(3)
-    for _ in range(200):
-        x, y = rng.uniform(-900, 900, 2)
+    for _ in range(600):
+        x, y = rng.uniform(-900, 900, 2) * rng.choice([0.3, 1.0])
         h0, h1 = rng.uniform(0, 6.28, 2)
         _, _, total = s.dubins(0.0, 0.0, h0, x, y, h1, 120.0)
         way = math.atan2(y, x)
         best = min(families(math.hypot(x, y) / 120, (h0 - way) % (2 * math.pi), (h1 - way) % (2 * math.pi)))
-        assert float(total) <= 120 * best + 1e-6
-        if math.hypot(x, y) > 4 * 120:  # far apart, three arcs are never shorter
-            assert float(total) == pytest.approx(120 * best, abs=1e-6)
+        assert float(total) == pytest.approx(120 * best, abs=1e-6)
 
 
 def test_offsets_of_corridors_keep_their_distance():
