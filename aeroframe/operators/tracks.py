@@ -134,6 +134,32 @@ def silences(df: DataFrame, by: list[str], seconds: float = 3.0, order: str = "s
     return df.withColumn("silence_us", gap).where(F.col("silence_us") > int(seconds * 1_000_000))
 
 
+#: Messages that a broadcast holds for slow consumers: telemetry, and warnings.
+BROADCAST, WARNING_BROADCAST = 256, 64
+
+
+def broadcast_reads(messages: DataFrame, polls: DataFrame, capacity: int = BROADCAST, start: int = 0, bucket_s: float = 3600.0) -> DataFrame:
+    """What each poll of a consumer gets from a broadcast that holds the newest ``capacity`` messages.
+
+    ``messages``: (seq, at_us) with consecutive numbers from ``start`` in order of time; ``polls``: (consumer, at_us). A consumer
+    hears what is sent after its first poll. Returns consumer, at_us, newest, skipped (overwritten before they
+    were read), received, and first_seq (of those received, else null). Times are dealt to buckets: a window
+    inside each, and one row a bucket to carry the newest number on. Polls at one time come one after the other.
+    """
+    bucket = F.floor(F.col("at_us") / F.lit(int(bucket_s * 1e6))).alias("_b")
+    both = messages.select("at_us", "seq", F.lit(None).cast("long").alias("consumer"), F.lit(False).alias("_poll"))
+    both = both.union(polls.select("at_us", F.lit(None).cast("long"), F.col("consumer").cast("long"), F.lit(True))).select("*", bucket)
+    inside = Window.partitionBy("_b").orderBy("at_us").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    ahead = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = both.groupBy("_b").agg(F.max("seq").alias("_last")).select("_b", F.max("_last").over(ahead).alias("_before"))
+    newest = F.coalesce(F.greatest("_in", "_before"), F.lit(start - 1).cast("long"))
+    seen = both.withColumn("_in", F.max("seq").over(inside)).where("_poll").join(carried, "_b").withColumn("newest", newest)
+    new = F.col("newest") - F.lag("newest").over(Window.partitionBy("consumer").orderBy("at_us"))  # null at the first poll
+    read = seen.withColumn("_new", F.coalesce(new, F.lit(0).cast("long")))
+    read = read.withColumn("skipped", F.greatest(F.col("_new") - capacity, F.lit(0).cast("long"))).withColumn("received", F.col("_new") - F.col("skipped"))
+    return read.select("consumer", "at_us", "newest", "skipped", "received", F.when(F.col("received") > 0, F.col("newest") - F.col("received") + 1).alias("first_seq"))
+
+
 def last_state(df: DataFrame, by: list[str], order: str, columns: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(*(F.max_by(x, order).alias(x) for x in columns), F.max(order).alias(order))
 

@@ -94,6 +94,30 @@ def last_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracks.last_state(d.TELEMETRY.load(spark, sf_dir), ["vehicle"], "seq", ["lat", "lon", "fix"])
 
 
+@query(
+    "lim_10_fleet_ring",
+    f"select seq, vehicle, (select count(*) from events) as total, least((select count(*) from events), 10000) as retained from ({d.TELEMETRY.sql}) qualify row_number() over (order by seq desc) <= 10000",
+)
+def fleet_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest 10 000 triggers of the whole fleet, in one log."""
+    rows = d.TELEMETRY.load(spark, sf_dir).select("vehicle", "seq", F.lit(0).alias("log"))
+    return tracks.last_triggers(rows, ["log"], "seq").select("seq", "vehicle", "total", "retained")
+
+
+@query(
+    "stm_08_slow_consumers",
+    """select consumer, seq, at_us, newest, greatest(fresh - 256, 0) as skipped, fresh - greatest(fresh - 256, 0) as received, case when fresh > 0 then newest - (fresh - greatest(fresh - 256, 0)) + 1 end as first_seq
+from (select *, coalesce(newest - lag(newest) over (partition by consumer order by at_us), 0) as fresh
+  from (select user_id as consumer, event_id as seq, epoch_us(ts) as at_us, max(event_id) over (order by epoch_us(ts) range between unbounded preceding and current row) as newest from events))""",
+)
+def slow_consumers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vehicle reads the broadcast of all events when it sends one itself; it holds the newest 256."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"))
+    reads = tracks.broadcast_reads(e.select(F.col("event_id").alias("seq"), "at_us"), e.select(F.col("user_id").alias("consumer"), "at_us"), bucket_s=6 * 3600.0)
+    sent = e.select(F.col("user_id").alias("consumer"), "at_us", F.col("event_id").alias("seq"))  # (user_id, ts) is unique
+    return reads.join(sent, ["consumer", "at_us"]).select("consumer", "seq", "at_us", "newest", "skipped", "received", "first_seq")
+
+
 _FLOWN = f"select *, cast(seq % 7 as int) as wp, 7 as n_wp, cast((seq // 7) % 4 as int) as line from ({d.TELEMETRY.sql})"
 
 
