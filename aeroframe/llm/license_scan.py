@@ -173,7 +173,10 @@ def scan(documents: DataFrame, templates: list[tuple[str, str]] | None = None, c
 
     The templates are a fixed, small list, shipped with the task; documents are
     read once and never shuffled. Null, empty and wordless texts hold none; rows
-    that repeat are scanned each. Other columns are ignored.
+    that repeat, and those without a doc_id, are scanned each. Very long texts are
+    scanned whole. Of windows that hold equally much of a template the first is
+    reported; templates that share text are reported each. An empty table gives no
+    row; other columns are ignored, whatever their names.
     """
     templates = TEMPLATES if templates is None else templates
     made: list[Library] = []

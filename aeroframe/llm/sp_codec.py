@@ -262,7 +262,11 @@ def encode_documents(documents: DataFrame, model: str) -> DataFrame:
 
 
 def decode_documents(encoded: DataFrame, model: str) -> DataFrame:
-    """doc_id and text of every row of ids (null: an empty text). Bytes that are no valid UTF-8 become U+FFFD."""
+    """doc_id and text of every row of ids (null or empty: an empty text). Bytes that are no valid UTF-8 become U+FFFD.
+
+    Rows that repeat a doc_id, and those without one, are decoded each; very long ones whole. An empty table gives
+    no row; other columns are ignored, whatever their names.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, _ = codec(model)

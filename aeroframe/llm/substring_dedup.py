@@ -574,7 +574,8 @@ def passages(documents: DataFrame, min_words: int = MIN_WORDS, identity: float =
     with the smallest id keeps its copy. Texts that are null, empty or shorter than
     ``min_words`` words have none; very long ones are treated whole. Rows that repeat a
     doc_id count once (that with the least text); rows without one are left out. Of
-    equally good homes the smallest doc_id is taken. An empty table gives no row;
+    equally good homes the smallest doc_id is taken, and of rows with equal start and
+    end that of the smaller source_id. An empty table gives no row;
     other columns are ignored, whatever their names.
     """
     texts = c.unique_texts(documents)
@@ -629,8 +630,10 @@ def passages(documents: DataFrame, min_words: int = MIN_WORDS, identity: float =
 def remove_passages(documents: DataFrame, min_words: int = MIN_WORDS, identity: float = IDENTITY) -> DataFrame:
     """``documents`` with the reported passages cut out of their texts (and n_chars brought up to date).
 
-    Of rows that repeat a doc_id only those with the least text are cut. All rows stay; a text that is one passage becomes empty. White space left at a
-    cut becomes one space, or a line break if a line ended there.
+    Of rows that repeat a doc_id only those with the least text are cut, and rows without one are left as they are.
+    All rows stay; a text that is one passage becomes empty, a null one stays null. Very long texts are cut whole, passages
+    that overlap as one. White space left at a cut becomes one space, or a line break if a line ended there. An
+    empty table gives no row; all columns go along, whatever their names.
     """
     mark = "_cut"
     while mark in documents.columns:

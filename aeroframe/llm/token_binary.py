@@ -285,7 +285,8 @@ def read_token_files(manifest: DataFrame, in_dir: str) -> DataFrame:
     """Per document of the files: doc_id, start, n_tokens, ids_crc32.
 
     Documents are those that were written, repeated doc_ids and null ones each on
-    their own; a missing or torn file fails the job. An empty manifest gives no row.
+    their own; a missing or torn file fails the job. An empty manifest gives no row. Columns of
+    the manifest beside its own are ignored; files that it does not name are not read.
     """
     ahead = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     placed = manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(ahead), F.lit(0)))  # one row a file
