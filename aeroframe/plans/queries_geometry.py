@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geodesy as g
 from ..functions import geometry as geo
+from ..functions import sqlfunctions
 from ..operators import planning, solvers
 from . import domain as d
 from .registry import query, rounded
@@ -273,6 +274,25 @@ def corridor_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.selectExpr("vehicle as corridor_id", f"{planning.corridor_status()} as status")
 
 
+#: A straight centre line an event, from the origin; pass lines are known in closed form.
+_STRAIGHT = d.View("events", {"event_id": "event_id", "x1": "100e0 + cast((event_id * 37) % 900 as double)", "y1": "cast((event_id * 91) % 700 as double)", "width": "40e0 + cast(event_id % 50 as double)", "passes": "cast(1 + 2 * (event_id % 3) as int)", "step": "50e0 + cast(event_id % 70 as double)"})
+
+
+@query(
+    "gen_05_06_09_sql_corridors",
+    f"""with s as (select *, sqrt(x1 * x1 + y1 * y1) as len from ({_STRAIGHT.sql})),
+p as (select *, case when passes = 1 then 0e0 else -width / 2 + pass * width / (passes - 1) end as off from (select *, unnest(range(passes)) as pass from s)),
+w as (select *, unnest(range(cast(floor(len / step + 1e-9) as bigint) + 2)) as wp from p),
+g as (select *, case when wp > floor(len / step + 1e-9) then len else least(wp * step, len) end as gone from w)
+select event_id, cast(pass as integer) as pass, cast(wp as integer) as wp, round((gone * x1 - off * y1) / len, 6) + 0e0 as x, round((gone * y1 + off * x1) / len, 6) + 0e0 as y from g""",
+)
+def sql_corridors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corridor waypoints by the table function of Spark SQL, called for every row of a view."""
+    sqlfunctions.register(spark)
+    _STRAIGHT.load(spark, sf_dir).createOrReplaceTempView("aeroframe_straight")
+    return spark.sql("select event_id, pass, wp, round(x, 6) + 0e0 as x, round(y, 6) + 0e0 as y from aeroframe_straight, lateral corridor_points(array(0e0, x1), array(0e0, y1), width, passes, step)")
+
+
 # ---------------------------------------------------------------- trajectories
 
 
