@@ -19,6 +19,11 @@
    out are windows found equal along a seed's diagonal, which are reported already,
    and windows with MIN_SEEDS seeds that have their home right there: each copy is
    matched with it.
+7. Changed passages that the home join leaves for the same reason: two seeds near each
+   other that their homes do not hold so near are a pair, which is rarer than either.
+   A pair has its home in the first document that holds it, and matches with it are
+   chained and aligned as before. Only what lies outside the passages found so far
+   makes pairs.
 """
 
 from __future__ import annotations
@@ -146,6 +151,53 @@ def candidates(w: c.Words, shared: np.ndarray, own: np.ndarray, min_words: int)
     return at[(bad[at + inside] == bad[at]) & ~(near & (home[at + inside] - home[at] >= MIN_SEEDS))]
 
 
+def _pairs(batches: Iterator[pa.RecordBatch], reach: int, slack: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of seeds that do not overlap, at most ``reach`` words apart, whose homes are not one place: hash, doc and both places.
+
+    One place: the same document, with the distance changed by ``slack`` words at
+    most. Rows come ordered by (doc, at); those that later ones may still meet are carried along.
+    """
+    names = ("doc", "at", "h", "home", "home_at")
+    kept = [np.zeros(0, np.int64)] * len(names)
+    for batch in c.tidy(batches):
+        fresh = len(kept[0])
+        kept = [np.append(v, batch.column(k).to_numpy()) for k, v in zip(names, kept, strict=True)]
+        doc, at, h, home, home_at = kept
+        x, y, h = home_at >> 32, at >> 32, h.view(np.uint64)
+        left, right = [], []
+        for s in range(1, len(doc)):
+            j = np.arange(max(s, fresh), len(doc))
+            i = j - s
+            near = (doc[i] == doc[j]) & (y[j] - y[i] <= reach)
+            if not near.any():
+                break
+            i, j = i[near], j[near]
+            good = (y[j] - y[i] >= K) & ((home[i] != home[j]) | (np.abs(x[j] - x[i] - y[j] + y[i]) > slack))
+            left.append(i[good])
+            right.append(j[good])
+        if left:
+            i, j = np.concatenate(left), np.concatenate(right)
+            yield pa.record_batch({"h": pa.array(c.mix(h[i] * _STEP + h[j]).view(np.int64)), "doc": pa.array(doc[i]), "at": pa.array(at[i]), "at2": pa.array(at[j])})
+        tail = (doc == doc[-1]) & (y >= y[-1] - reach) if len(doc) else slice(0)
+        kept = [v[tail] for v in kept]
+
+
+def paired(matches: DataFrame, spans: DataFrame, min_words: int, identity: float) -> DataFrame:
+    """Matches (doc, home, at, home_at, weight) of seeds outside ``spans`` with the first document that holds a pair of them near each other."""
+    byte = F.col("at").bitwiseAND(0xFFFFFFFF)
+    within = (F.col("doc") == F.col("doc_id")) & (byte >= F.col("start")) & (byte < F.col("end"))
+    small = c.small_enough(spans, BROADCAST_ROWS)
+    free = matches.where("h % 2 = 0").join(F.broadcast(spans) if small else spans, within, "left_anti")
+    reach, slack = min_words - K, int((1 - identity) * min_words)
+    ordered = free.select("doc", "at", "h", "home", "home_at").repartition("doc").sortWithinPartitions("doc", "at")
+    pairs = c.stash(ordered.mapInArrow(lambda b: _pairs(b, reach, slack), "h long, doc long, at long, at2 long"), "pairs")
+    homes = pairs.groupBy("h").agg(F.min("doc").alias("home"), F.max("doc").alias("last"), F.min_by(F.struct("at", "at2"), F.struct("doc", "at", "at2")).alias("there"))
+    homes = c.stash(homes.where("home < last").select("h", "home", "there"), "pair-homes")
+    both = F.inline(F.array(F.struct("at", F.col("there.at").alias("home_at")), F.struct(F.col("at2").alias("at"), F.col("there.at2").alias("home_at"))))
+    found = pairs.join(homes, "h").where("doc <> home").select("doc", "home", both)
+    return found.repartition("doc").dropDuplicates().withColumn("weight", F.lit(1))
+
+
 def _exact(texts: DataFrame, shared: DataFrame, done: DataFrame, min_words: int) -> DataFrame:
     """Runs of words every ``min_words`` of which stand in one earlier document.
 
@@ -565,6 +617,37 @@ def align_batch(mine: Side, theirs: Side, pieces: np.ndarray, count: np.ndarray,
     return out
 
 
+def _aligned(texts: DataFrame, matches: DataFrame, min_words: int, identity: float) -> DataFrame:
+    """Passages that align along chains of ``matches`` (doc, home, at, home_at, weight), and whether each is an equal run."""
+    ordered = matches.repartition("doc").sortWithinPartitions("doc", "home", "at", "home_at")
+    chains = c.stash(ordered.mapInArrow(_chain_batches, _CHAIN), "chains")
+    ids = chains.select("doc").union(chains.select("home")).distinct()
+    ids = ids.select(F.col("doc").alias("doc_id"))
+    needed = texts.join(F.broadcast(ids), "doc_id", "left_semi") if c.small_enough(ids, BROADCAST_ROWS) else texts.join(ids, "doc_id", "left_semi")
+    raw = F.col("text").cast("binary")
+
+    def cut(low: str, high: str) -> list:
+        start = F.greatest(F.col(low) - MARGIN, F.lit(0))
+        return [F.substring(raw, (start + 1).cast("int"), (F.col(high) + MARGIN - start).cast("int")), start, F.col(high) + MARGIN >= F.length(raw)]
+
+    mine, begin, ends = cut("doc_from", "doc_to")
+    got = chains.join(needed, chains.doc == needed.doc_id).select(*chains.columns, mine.alias("mine"), begin.alias("mine_at"), ends.alias("mine_end"))
+    theirs, begin, ends = cut("home_from", "home_to")
+    got = got.join(needed, got.home == needed.doc_id).select(*got.columns, theirs.alias("theirs"), begin.alias("theirs_at"), ends.alias("theirs_end"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in c.tidy(batches):
+            for part in c.slices(batch, "mine", 2 * c.SLICE_BYTES):
+                a, b = (Side(part.column(k), part.column(f"{k}_at").to_numpy(), part.column(f"{k}_end").to_numpy(zero_copy_only=False)) for k in ("mine", "theirs"))
+                data, offs = c.buffers(part.column("pieces").cast(pa.large_binary()))
+                for which, first, last, share, equal in align_batch(a, b, data.view("<i8").reshape(-1, 3), np.diff(offs) // 24, min_words, identity):
+                    start, end = a.span(which, first, last)
+                    take = pa.array(which)
+                    yield pa.record_batch({"doc_id": part.column("doc").take(take), "source_id": part.column("home").take(take), "start": pa.array(start), "end": pa.array(end), "n_words": pa.array(last - first + 1), "identity": pa.array(share.astype(np.float64)), "equal": pa.array(equal)})
+
+    return c.stash(got.mapInArrow(run, "doc_id long, source_id long, start long, end long, n_words long, identity double, equal boolean"), "found")
+
+
 def passages(documents: DataFrame, min_words: int = MIN_WORDS, identity: float = IDENTITY) -> DataFrame:
     """Passages that an earlier document holds: doc_id, source_id, start, end (bytes of the text), n_words, identity.
 
@@ -593,36 +676,12 @@ def passages(documents: DataFrame, min_words: int = MIN_WORDS, identity: float =
     own = F.when(F.col("doc") == F.col("home"), F.shiftrightunsigned("at", 32))
     shared = matches.where("first").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("h").alias("shared"), F.collect_list(own).alias("own"), F.max(F.col("doc") != F.col("home")).alias("other"))
     shared = shared.where("other").drop("other")  # a document that is the home of all its seeds has no windows left
-    ordered = matches.where("doc <> home").select("doc", "home", "at", "home_at", F.when(F.col("h") % 2 != 0, MIN_SEEDS).otherwise(1).alias("weight")).repartition("doc").sortWithinPartitions("doc", "home", "at", "home_at")
-    chains = c.stash(ordered.mapInArrow(_chain_batches, _CHAIN), "chains")
-
-    ids = chains.select("doc").union(chains.select("home")).distinct()
-    ids = ids.select(F.col("doc").alias("doc_id"))
-    needed = texts.join(F.broadcast(ids), "doc_id", "left_semi") if c.small_enough(ids, BROADCAST_ROWS) else texts.join(ids, "doc_id", "left_semi")
-    raw = F.col("text").cast("binary")
-
-    def cut(low: str, high: str) -> list:
-        start = F.greatest(F.col(low) - MARGIN, F.lit(0))
-        return [F.substring(raw, (start + 1).cast("int"), (F.col(high) + MARGIN - start).cast("int")), start, F.col(high) + MARGIN >= F.length(raw)]
-
-    mine, begin, ends = cut("doc_from", "doc_to")
-    got = chains.join(needed, chains.doc == needed.doc_id).select(*chains.columns, mine.alias("mine"), begin.alias("mine_at"), ends.alias("mine_end"))
-    theirs, begin, ends = cut("home_from", "home_to")
-    got = got.join(needed, got.home == needed.doc_id).select(*got.columns, theirs.alias("theirs"), begin.alias("theirs_at"), ends.alias("theirs_end"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in c.tidy(batches):
-            for part in c.slices(batch, "mine", 2 * c.SLICE_BYTES):
-                a, b = (Side(part.column(k), part.column(f"{k}_at").to_numpy(), part.column(f"{k}_end").to_numpy(zero_copy_only=False)) for k in ("mine", "theirs"))
-                data, offs = c.buffers(part.column("pieces").cast(pa.large_binary()))
-                for which, first, last, share, equal in align_batch(a, b, data.view("<i8").reshape(-1, 3), np.diff(offs) // 24, min_words, identity):
-                    start, end = a.span(which, first, last)
-                    take = pa.array(which)
-                    yield pa.record_batch({"doc_id": part.column("doc").take(take), "source_id": part.column("home").take(take), "start": pa.array(start), "end": pa.array(end), "n_words": pa.array(last - first + 1), "identity": pa.array(share.astype(np.float64)), "equal": pa.array(equal)})
-
-    found = c.stash(got.mapInArrow(run, "doc_id long, source_id long, start long, end long, n_words long, identity double, equal boolean"), "found")
+    direct = matches.where("doc <> home").select("doc", "home", "at", "home_at", F.when(F.col("h") % 2 != 0, MIN_SEEDS).otherwise(1).alias("weight"))
+    found = _aligned(texts, direct, min_words, identity)
     done = found.where("equal").groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("done"))
-    found = found.drop("equal").union(whole).union(_exact(texts, shared, done, min_words))
+    found = found.drop("equal").union(c.stash(_exact(texts, shared, done, min_words), "runs"))
+    second = paired(matches, found.select("doc_id", "start", "end"), min_words, identity)
+    found = found.union(_aligned(texts, second, min_words, identity).drop("equal")).union(whole)
     ahead = Window.partitionBy("doc_id").orderBy("start", F.desc("end"), "source_id").rowsBetween(Window.unboundedPreceding, -1)
     return found.withColumn("_reach", F.max("end").over(ahead)).where("_reach is null or end > _reach").drop("_reach")
 

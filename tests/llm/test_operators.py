@@ -595,6 +595,28 @@ def test_fuzzy_passages_are_found(spark, share, length):
     assert sum(k in got for k in due) >= 0.9 * len(due)
 
 
+@pytest.mark.parametrize("holders", [1, 3])
+def test_changed_passages_made_of_earlier_pieces_are_found(spark, holders):
+    """Thirds stand in ``holders`` earlier documents each, then whole in one, then again with changed words: recall 0.9 at least."""
+    rng = random.Random(5)
+    texts, due = {}, {}
+    for k in range(120):
+        p = words(rng, 60, 100_000)
+        for third in range(3):
+            for h in range(holders):
+                texts[k * 100 + third * holders + h] = words(rng, 40, 100_000) + p[20 * third : 20 * third + 20] + words(rng, 40, 100_000)
+        texts[100_000 + k] = words(rng, 50, 100_000) + p + words(rng, 50, 100_000)
+        changed = [f"new{rng.randrange(10**6)}" if rng.random() < 0.1 else x for x in p]
+        texts[200_000 + k] = words(rng, 30, 100_000) + changed + words(rng, 60, 100_000)
+        if sum(a == b for a, b in zip(p, changed, strict=True)) >= 48:
+            due[200_000 + k] = 100_000 + k
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "doc_id long, text string")
+    got = {r.doc_id: r for r in substring_dedup.passages(docs).collect()}
+    assert all(r.source_id == due.get(k, k - 100_000) and r.identity >= 0.8 for k, r in got.items())
+    print(holders, sum(k in got for k in due) / len(due))
+    assert sum(k in got for k in due) >= 0.9 * len(due)
+
+
 # ---------------------------------------------------------------- license scan
 
 
