@@ -595,6 +595,24 @@ def test_fuzzy_passages_are_found(spark, share, length):
     assert sum(k in got for k in due) >= 0.9 * len(due)
 
 
+def test_pairs_of_seeds_do_not_depend_on_batches():
+    """Against all pairs by brute force, for batches of any size (empty ones too)."""
+    rng = random.Random(12)
+    rows = sorted({(rng.randrange(6), rng.randrange(300) << 32 | rng.randrange(2000), rng.randrange(40), rng.randrange(3), rng.randrange(300) << 32) for _ in range(400)}, key=lambda r: r[:2])
+    due = []
+    for a, (doc, at, _, home, there) in enumerate(rows):
+        for doc2, at2, _, home2, there2 in rows[a + 1 :]:
+            words_apart = (at2 >> 32) - (at >> 32)
+            if doc == doc2 and substring_dedup.K <= words_apart <= 45 and (home != home2 or abs((there2 >> 32) - (there >> 32) - words_apart) > 10):
+                due.append((doc, at, at2))
+    for size in (1, 7, 60, 1000):
+        parts = [rows[k : k + size] for k in range(0, len(rows), size)] + [[]]
+        batches = [pa.record_batch({n: pa.array([r[i] for r in part], pa.int64()) for i, n in enumerate(("doc", "at", "h", "home", "home_at"))}) for part in parts]
+        got = [(r["doc"], r["at"], r["at2"]) for b in substring_dedup._pairs(iter(batches), 45, 10) for r in b.to_pylist()]
+        assert sorted(got) == sorted(due) and due
+    assert not list(substring_dedup._pairs(iter(batches[-1:]), 45, 10))
+
+
 @pytest.mark.parametrize("holders", [1, 3])
 def test_changed_passages_made_of_earlier_pieces_are_found(spark, holders):
     """Thirds stand in ``holders`` earlier documents each, then whole in one, then again with changed words: recall 0.9 at least."""
