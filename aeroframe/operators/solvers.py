@@ -8,9 +8,12 @@ unprojected by Catalyst before and after, so the groups work in the plane.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,6 +28,53 @@ GAIN = 1e-3
 PASSES = 1000
 FAR = 1e300
 
+#: Rows that go out of a task in one batch, about.
+_OUT_ROWS = 1 << 15
+
+
+def whole_groups(df: DataFrame, by: str, order: str, run, schema: str) -> DataFrame:
+    """Rows of ``run(batch, starts)`` over many whole groups at a time: group k is rows starts[k] to starts[k + 1], in order.
+
+    A task streams its sorted rows; it holds a batch and the group that the batch ends in. What ``run`` yields is joined to larger batches.
+    """
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            last = held[-1].column(by)[-1] if held else None
+            ends = np.asarray(pc.run_end_encode(batch.column(by)).run_ends)
+            cut = int(ends[-2]) if len(ends) > 1 else 0  # the last group may go on
+            if held and not cut and batch.column(by)[0] != last:
+                yield _joined(held)
+                held = []
+            if cut:
+                yield _joined([*held, batch.slice(0, cut)])
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield _joined(held)
+
+    def _joined(parts: list[pa.RecordBatch]) -> tuple[pa.RecordBatch, np.ndarray]:
+        rows = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        return rows, np.concatenate([[0], np.asarray(pc.run_end_encode(rows.column(by)).run_ends)]).astype(np.int64)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, n = [], 0
+        for rows, starts in groups(batches):
+            for made in run(rows, starts):
+                out.append(made)
+                n += made.num_rows
+                if n >= _OUT_ROWS:
+                    yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+                    out, n = [], 0
+        if out:
+            yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+
+    return df.repartition(by).sortWithinPartitions(by, order).mapInArrow(work, schema)
+
+
 # ---------------------------------------------------------------- routes
 
 
@@ -482,8 +532,9 @@ class _Segments:
         size = np.hypot(*np.diff(p, axis=0).T)
         self.cell = max(float(size.mean()), float(np.abs(p).max()) * 1e-12, 1e-12)
         self.grid: dict[tuple[int, int], list[int]] = {}
-        for k in range(self.n):
-            for c in self.cells(k):
+        self.passed = [self.cells(k) for k in range(self.n)]
+        for k, passed in enumerate(self.passed):
+            for c in passed:
                 self.grid.setdefault(c, []).append(k)
 
     def cells(self, k: int) -> list[tuple[int, int]]:
@@ -512,7 +563,7 @@ class _Segments:
         return t if 1e-9 < t < 1 - 1e-9 and 1e-9 < s < 1 - 1e-9 else None
 
     def near(self, k: int) -> set[int]:
-        return {j for c in self.cells(k) for j in self.grid.get(c, ()) if self.alive[j]}
+        return {j for c in self.passed[k] for j in self.grid[c] if self.alive[j]}
 
     def first(self, i: int) -> tuple[int, float] | None:
         """The first later segment, not the next one, that segment i crosses."""
@@ -575,20 +626,22 @@ def resample(p: np.ndarray, interval: float) -> np.ndarray:
 def corridors(centre: DataFrame, interval: float) -> DataFrame:
     """Waypoints of corridor passes from centre lines (corridor_id, vertex, lat, lon, passes, width)."""
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("vertex")
-        passes, width = int(p.passes.iloc[0]), float(p.width.iloc[0])
-        xy = p[["x", "y"]].to_numpy(float)
-        keep = np.concatenate([[True], np.hypot(*np.diff(xy, axis=0).T) >= 1e-6])
-        xy, rows = xy[keep], []
-        if len(xy) >= 2 and width > 0 and passes in (1, 3, 5) and bool(p.planar.iloc[0]):
+    def run(p: pa.RecordBatch, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        xy = np.stack([p.column(n).to_numpy(zero_copy_only=False).astype(float) for n in ("x", "y")], axis=1)
+        head = p.take(pa.array(starts[:-1]))
+        for g, (passes, width, planar) in enumerate(zip(*(head.column(n).to_pylist() for n in ("passes", "width", "planar")), strict=True)):
+            line = xy[starts[g] : starts[g + 1]]
+            line = line[np.concatenate([[True], np.hypot(*np.diff(line, axis=0).T) >= 1e-6])]
+            if len(line) < 2 or passes not in (1, 3, 5) or not planar or width is None or not width > 0:
+                continue
             for k in range(passes):
                 d = 0.0 if passes == 1 else -width / 2 + k * width / (passes - 1)
-                pts = resample(cut_loops(offset_polyline(xy, d, 2 * width)), interval)
-                rows += [(int(p.corridor_id.iloc[0]), k, i, x, y, int(p.zone.iloc[0]), p.hemisphere.iloc[0]) for i, (x, y) in enumerate(pts.tolist())]
-        return pd.DataFrame(rows, columns=["corridor_id", "pass", "wp", "x", "y", "zone", "hemisphere"])
+                pts = resample(cut_loops(offset_polyline(line, d, 2 * width)), interval)
+                same = [head.column(n).take(pa.array(np.full(len(pts), g))) for n in ("corridor_id", "zone", "hemisphere")]
+                yield pa.record_batch({"corridor_id": same[0], "pass": pa.array(np.full(len(pts), k, np.int32)), "wp": pa.array(np.arange(len(pts), dtype=np.int32)), "x": pa.array(pts[:, 0]), "y": pa.array(pts[:, 1]), "zone": same[1], "hemisphere": same[2]})
 
-    flown = _planar(centre, "corridor_id").groupBy("corridor_id").applyInPandas(run, "corridor_id long, pass int, wp int, x double, y double, zone int, hemisphere string")
+    rows = _planar(centre.withColumn("corridor_id", F.col("corridor_id").cast("long")), "corridor_id")
+    flown = whole_groups(rows.withColumn("zone", F.col("zone").cast("int")), "corridor_id", "vertex", run, "corridor_id long, pass int, wp int, x double, y double, zone int, hemisphere string")
     return g.utm_inverse("x", "y", "zone", "hemisphere").apply(flown).select("corridor_id", "pass", "wp", F.col("inv_lat").alias("lat"), F.col("inv_lon").alias("lon"))
 
 

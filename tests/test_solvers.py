@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -296,3 +297,23 @@ def test_no_loop_is_left():
         out = s.cut_loops(p)
         assert crossings(out) == 0 and (out[0] == p[0]).all() and (out[-1] == p[-1]).all()
         assert crossings(p) or len(out) == len(p)
+
+
+def test_whole_groups_across_batches(spark):
+    """Groups stay whole and in order wherever Arrow batches end, and small results leave in few batches."""
+    rows = spark.range(0, 3000).selectExpr("case when id % 7 > 0 then id % 7 end as g", "id as k", "1 as one")
+    long = spark.range(0, 500).selectExpr("100L as g", "id as k", "1 as one")
+
+    def run(batch, starts):
+        key, k = batch.column("g").to_pylist(), batch.column("k").to_numpy()
+        for a, b in zip(starts[:-1], starts[1:], strict=True):
+            assert (np.diff(k[a:b]) > 0).all()
+            yield pa.record_batch({"g": pa.array([key[a]], pa.int64()), "n": pa.array([b - a], pa.int64())})
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 97)
+    try:
+        found = {r.g: r.n for r in s.whole_groups(rows.union(long), "g", "k", run, "g long, n long").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert found == {None: 429, **{g: 429 if g <= 3 else 428 for g in range(1, 7)}, 100: 500}
