@@ -4,8 +4,9 @@ The tree is packed by sort-tile-recursive: centres are dealt to vertical slices
 quantiles of x, each slice is cut into nodes along y, and nodes are packed again
 until a handful is left. A level is a table of (node, parent, box), so a join with
 the tree is one equi-join a level on the node reached, with the box test inside it;
-no pair that does not meet leaves a level. Only the top level is broadcast, whose
-size is at most FANOUT rows.
+no pair that does not meet leaves a level. Entries are joined by the node above their
+leaf, since where boxes overlap a probe reaches more leaves than any other rows there
+are. Only the top level is broadcast, whose size is at most FANOUT rows.
 """
 
 from __future__ import annotations
@@ -94,7 +95,12 @@ def box_join(probes: DataFrame, tree: Tree, probe: list[str], entry: list[str])
     at = whole(probes).select(*held, *BOX)
     top = tree.levels[-1].select("node", *BOX)
     reached = at.alias("p").join(F.broadcast(top).alias("t"), meets("p", "t")).select("p.*", F.col("t.node").alias("_at"))
-    for level in reversed(tree.levels[:-1]):
+    levels, entries = tree.levels, tree.entries
+    if len(levels) > 2:  # entries by the node above their leaf: a probe travels once a node of fanout^2 entries, not once a leaf
+        leaf = levels[0].select(F.col("node").alias("_leaf"), F.col("parent").alias("_above"))
+        entries = entries.join(leaf, F.col("parent") == F.col("_leaf")).drop("parent", "_leaf").withColumnRenamed("_above", "parent")
+        levels = levels[1:]
+    for level in reversed(levels[:-1]):
         reached = reached.alias("p").join(level.alias("t"), (F.col("p._at") == F.col("t.parent")) & meets("p", "t")).select(*(f"p._p{k}" for k in range(len(probe))), *(f"p.{n}" for n in BOX), F.col("t.node").alias("_at"))
-    found = reached.alias("p").join(tree.entries.alias("t"), (F.col("p._at") == F.col("t.parent")) & meets("p", "t"))
+    found = reached.alias("p").join(entries.alias("t"), (F.col("p._at") == F.col("t.parent")) & meets("p", "t"))
     return found.select(*(F.col(f"p._p{k}").alias(c) for k, c in enumerate(probe)), *(F.col(f"t.{c}") for c in entry))

@@ -44,3 +44,22 @@ def test_empty_sides(spark):
     one = boxes.pack(rows.withColumnRenamed("id", "entry"), kept(spark))
     assert boxes.box_join(rows.limit(0), one, ["id"], ["entry"]).count() == 0
     assert boxes.box_join(rows.withColumnRenamed("id", "node"), one, ["node", "min_x"], ["entry", "max_y"]).collect()[0][:] == (1, 0.0, 1, 1.0)
+
+
+def test_probes_do_not_travel_once_a_leaf(spark, tmp_path):
+    """In a deep tree entries are joined by the node above their leaf, with the same pairs."""
+    made = iter(range(100))
+
+    def keep(df):
+        at = str(tmp_path / f"t{next(made)}")
+        df.write.parquet(at)
+        return spark.read.schema(df.schema).parquet(at)
+
+    box = "cast(id % 37 as double) as min_x, cast(id % 37 + 3 as double) as max_x, cast(id % 23 as double) as min_y, cast(id % 23 + 2 as double) as max_y"
+    areas, lines = spark.range(300).selectExpr("id as a", *box.split(", ")), spark.range(200).selectExpr("id as b", *box.split(", "))
+    tree = boxes.pack(areas, keep, fanout=4)
+    assert len(tree.levels) > 2
+    found = boxes.box_join(lines, tree, ["b"], ["a"])
+    assert "_above" in found._jdf.queryExecution().optimizedPlan().toString()
+    plain = lines.alias("p").join(areas.alias("t"), boxes.meets("p", "t")).select("b", "a")
+    assert sorted(found.collect()) == sorted(plain.collect())
