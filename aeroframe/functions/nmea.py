@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .constants import KNOT
+from .program import fence
 
 
 def xor(texts: pa.Array) -> pa.Array:
@@ -50,9 +51,17 @@ def field(i: int) -> Column:
     return F.get("f", F.lit(i))
 
 
+#: What reads as a double in plain decimal notation.
+_DECIMAL = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z"
+
+
 def number(x: Column, kind: str = "double") -> Column:
-    """The text as a number, or null; only plain decimal notation counts (no names, suffixes or spaces)."""
-    return F.when(F.translate(x, "0123456789+-.eE", "") == "", x.try_cast(kind))
+    """The text as a number, or null; only plain decimal notation counts (no names, suffixes or spaces).
+
+    A double is cast only where it can be read: a failed cast is an exception inside, which takes longer than a sentence.
+    """
+    plain = x.rlike(_DECIMAL) if kind == "double" else F.translate(x, "0123456789+-.eE", "") == ""
+    return F.when(plain, x.try_cast(kind))
 
 
 def coordinate(value: Column, side: Column, degrees: int) -> Column:
@@ -64,10 +73,11 @@ def coordinate(value: Column, side: Column, degrees: int) -> Column:
 
 
 def gga() -> dict[str, Column]:
-    """Fields of a GGA epoch; ``gga_ok`` says whether it can be paired."""
+    """Fields of a GGA epoch; ``gga_ok`` (over the others) says whether it can be paired."""
     lat, lon = coordinate(field(2), field(3), 2), coordinate(field(4), field(5), 3)
     fix, alt, sep = number(field(6), "int"), number(field(9)), number(field(11))
-    ok = (F.col("kind") == "GGA") & (F.size("f") >= 12) & (field(1) != "") & lat.isNotNull() & lon.isNotNull() & fix.between(0, 255) & alt.isNotNull() & sep.isNotNull()
+    known = F.col("g_lat").isNotNull() & F.col("g_lon").isNotNull() & F.col("g_fix").between(0, 255) & F.col("g_alt").isNotNull() & F.col("g_sep").isNotNull()
+    ok = (F.col("kind") == "GGA") & (F.size("f") >= 12) & (field(1) != "") & known
     return {"gga_ok": F.coalesce(ok, F.lit(False)), "g_lat": lat, "g_lon": lon, "g_fix": fix, "g_sats": F.coalesce(number(field(7), "int"), F.lit(0)), "g_hdop": F.coalesce(number(field(8)), F.lit(99.9)), "g_alt": alt, "g_sep": sep}
 
 
@@ -90,8 +100,16 @@ def ggk() -> dict[str, Column]:
 
 
 def fields(df: DataFrame) -> DataFrame:
-    """All typed fields of parsed sentences."""
-    return df.withColumns(gga()).withColumns(rmc()).withColumns(ggk())
+    """All typed fields of parsed sentences.
+
+    Few at a time, fenced off from each other: together they make one generated method that the JVM never compiles.
+    """
+    every = gga() | rmc() | ggk()
+    values = [n for n in every if not n.endswith("_ok")]
+    for k in range(0, len(values), 2):
+        some = values[k : k + 2]
+        df = fence(df.withColumns({n: every[n] for n in some}), some)
+    return df.withColumns({n: v for n, v in every.items() if n.endswith("_ok")})
 
 
 def epochs(df: DataFrame, receiver: str = "receiver", seq: str = "seq") -> DataFrame:

@@ -3,6 +3,7 @@
 from functools import reduce
 
 import pytest
+from pyspark.sql import functions as F
 
 from aeroframe.functions import nmea
 from aeroframe.streaming import telemetry
@@ -76,3 +77,12 @@ def test_replay_source(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("replayed").count() == 10
+
+
+def test_fields_are_computed_a_few_at_a_time(spark):
+    """One projection of all fields is a method too long for the JVM to compile; numbers that cannot be read are not cast."""
+    rows = nmea.fields(nmea.parsed(spark.createDataFrame([("$GPGGA,1,,N,,E,,,,,M,,M,,*00",)], "sentence string")))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") >= 8
+    texts = ["1", "-1.5", "+.5", "2.", "1e3", "1E-2", "", ".", "E", "e5", "1e", "+-1", "1.2.3", "1 ", "1f", "NaN", None]
+    got = [r.v for r in spark.createDataFrame([(x,) for x in texts], "x string").select(nmea.number(F.col("x")).alias("v")).collect()]
+    assert got == [1.0, -1.5, 0.5, 2.0, 1000.0, 0.01] + [None] * 11
