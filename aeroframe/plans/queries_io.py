@@ -559,18 +559,18 @@ union all select 'ALERT', receiver, seq, tm from (select *, row_number() over (p
 
 @query("stm_02_09_src_14_link_events", _LINK_SQL)
 def link_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Silences of three seconds, reconnects, and alerts after 20 poor fixes, of a stream in three batches."""
+    """Silences of three seconds, reconnects, and alerts after 20 poor fixes, of a stream in three batches of many files each."""
     at = folder(spark)
     e = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("user_id as receiver", "event_id", f"{_LINK_AT} as at_ms", f"{_LINK_FIX} as fix")
     body = "stack(2, 0, concat('GPGGA,', utc, ',4700.5,N,00800.5,E,', cast(fix as string), ',09,0.9,400.5,M,47.1,M,,'), 1, concat('GNRMC,', utc, ',A,4700.5,N,00800.5,E,10.0,90.0,010124,,')) as (k, body)"
-    e = e.withColumn("utc", F.lpad(F.col("event_id").cast("string"), 9, "0")).selectExpr("receiver", "event_id", "at_ms", body)
+    e = e.repartition("receiver").withColumn("utc", F.lpad(F.col("event_id").cast("string"), 9, "0")).selectExpr("receiver", "event_id", "at_ms", body)
     check = F.lpad(F.hex(nmea.checksum(F.col("body"))), 2, "0")
     sent = e.select("receiver", (F.col("event_id") * 2 + F.col("k")).alias("seq"), F.timestamp_millis(F.col("at_ms") + F.col("k")).alias("at"), F.concat(F.lit("$"), "body", F.lit("*"), check).alias("sentence"))
-    for part in ("seq < 900", "seq >= 900 and seq < 9000", "seq >= 9000"):  # in this order, a batch each
-        sent.where(part).coalesce(1).write.mode("append").parquet(at + "/in")
-    stream = spark.readStream.schema(sent.schema).option("maxFilesPerTrigger", 1).parquet(at + "/in")
-    telemetry.run_available(links.link_events(stream, late="1999 milliseconds"), at + "/out", at + "/checkpoint")
-    found = spark.read.parquet(at + "/out").where("event <> 'EPOCH'")
+    for part in ("seq < 900", "seq >= 900 and seq < 9000", "seq >= 9000"):  # in this order, a batch each: what is there when the stream goes on
+        sent.where(part).write.mode("append").parquet(at + "/in")
+        stream = spark.readStream.schema(sent.schema).parquet(at + "/in")
+        telemetry.run_available(links.link_events(stream, late="1999 milliseconds").where("event <> 'EPOCH'"), at + "/out", at + "/checkpoint", settle=part == "seq >= 9000")
+    found = spark.read.parquet(at + "/out")
     return found.select("event", "receiver", "seq", F.unix_millis("at").alias("at_ms"))
 
 

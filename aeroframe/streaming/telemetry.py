@@ -188,10 +188,16 @@ def warnings(alerts: DataFrame) -> DataFrame:
     return alerts.selectExpr("receiver", "seq", "'RTK_DEGRADATION' as code", "concat('fix quality ', cast(fix as string)) as detail")
 
 
-def run_available(stream: DataFrame, out: str, checkpoint: str) -> None:
-    """Run an append stream over what is there now, into Parquet."""
-    q = stream.writeStream.format("parquet").outputMode("append").trigger(availableNow=True).option("checkpointLocation", checkpoint).option("path", out).start()
-    q.awaitTermination()
+def run_available(stream: DataFrame, out: str, checkpoint: str, settle: bool = True) -> None:
+    """Run an append stream over what is there now, into Parquet. Without ``settle``, timers that are due wait for the next run's batch."""
+    conf, name = stream.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(name)
+    conf.set(name, str(settle and before == "true").lower())
+    try:
+        q = stream.writeStream.format("parquet").outputMode("append").trigger(availableNow=True).option("checkpointLocation", checkpoint).option("path", out).start()
+        q.awaitTermination()
+    finally:
+        conf.set(name, before)
 
 
 class _Replay(SimpleDataSourceStreamReader):
