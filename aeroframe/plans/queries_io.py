@@ -536,9 +536,9 @@ def geoid_from_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stm_01_stream_epochs", ORACLE_SQL["stm_01_epochs"])
 def stream_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sentences as a stream of files, in one micro-batch a few files."""
+    """The sentences as a stream of files, in one micro-batch; as many files as the shuffle has partitions for their size."""
     at = folder(spark)
-    t.sentences(spark, sf_dir).select("receiver", "seq", "sentence").repartitionByRange(4, "seq").write.parquet(at + "/in")
+    t.sentences(spark, sf_dir).select("receiver", "seq", "sentence").repartition("receiver").write.parquet(at + "/in")
     stream = spark.readStream.schema("receiver long, seq long, sentence string").parquet(at + "/in")
     telemetry.run_available(telemetry.epochs(stream), at + "/out", at + "/checkpoint")
     found = spark.read.parquet(at + "/out")

@@ -76,3 +76,27 @@ def test_receivers_are_forgotten(spark, tmp_path):
 def test_bad_settings(spark):
     with pytest.raises(ValueError):
         links.link_events(spark.readStream.format("rate").load(), silence=5, forget=5)
+
+
+def test_batches_of_streams_are_many_files(spark, tmp_path, monkeypatch):
+    """The tables of the stream queries are dealt to tasks, however they are read: a batch is no single file."""
+    from aeroframe.plans import queries_io
+    from aeroframe.plans.catalog import QUERIES
+
+    monkeypatch.setattr(queries_io, "folder", lambda spark: f"file://{tmp_path}")
+    monkeypatch.setattr(queries_io.telemetry, "run_available", lambda *a, **k: (_ for _ in ()).throw(InterruptedError))
+    names = "spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions"
+    before = [spark.conf.get(n) for n in names]
+    for n, v in zip(names, ("false", "7"), strict=True):
+        spark.conf.set(n, v)
+    try:
+        for name in ("stm_01_stream_epochs", "stm_02_09_src_14_link_events"):
+            for old in (tmp_path / "in").glob("*"):
+                old.unlink()
+            (tmp_path / "in").exists() and (tmp_path / "in").rmdir()
+            with pytest.raises(InterruptedError):
+                QUERIES[name](spark, "/root/testdata/sf0.001")
+            assert len(list((tmp_path / "in").glob("*.parquet"))) > 4, name
+    finally:
+        for n, v in zip(names, before, strict=True):
+            spark.conf.set(n, v)
