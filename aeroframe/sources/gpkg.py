@@ -328,6 +328,7 @@ def write_packages(lines: DataFrame, folder: str, table: str = "flight_lines", m
     """Write lines (plan_id, line_index, altitude_datum, geom, and if there are any completion_pct and crab_angle_deg)
     as ``plan-<id>.gpkg`` files of ``folder``. Lines without a geometry (of fewer than two points) are left out."""
     spark = lines.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     spark.dataSource.register(GpkgPlans)
     optional = {n: F.col(n).cast("double") if n in lines.columns else F.lit(None).cast("double") for n in ("completion_pct", "crab_angle_deg")}
     rows = lines.where("geom is not null").select(F.col("plan_id").cast("long"), F.col("line_index").cast("long"), "altitude_datum", *(v.alias(k) for k, v in optional.items()), "geom")
@@ -335,7 +336,8 @@ def write_packages(lines: DataFrame, folder: str, table: str = "flight_lines", m
 
 
 def package_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(plan_id, path, content) of the packages of a folder; plan_id by the file's name."""
+    """(plan_id, path, content) of the packages of a folder; plan_id by the file's name. Sets the session's bytes of an Arrow batch."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.gpkg").load(folder)
     return found.select(F.regexp_extract("path", r"plan-(\d+)\.gpkg$", 1).try_cast("long").alias("plan_id"), "path", "content")
 
@@ -343,6 +345,8 @@ def package_files(spark: SparkSession, folder: str) -> DataFrame:
 _LINES = pa.schema([("plan_id", pa.int64()), ("path", pa.string()), ("id", pa.int64()), ("line_index", pa.int64()), ("altitude_datum", pa.string()), ("completion_pct", pa.float64()), ("crab_angle_deg", pa.float64()), ("geom", pa.binary()), ("error", pa.string())])
 #: Rows of a package that go out in one batch.
 _ROWS = 4096
+#: Bytes of the Arrow batches that packages travel in, about: by rows alone, a batch is ten thousand whole files.
+BATCH_BYTES = 4 << 20
 
 
 def read_packages(packages: DataFrame, table: str = "flight_lines") -> DataFrame:

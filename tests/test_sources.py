@@ -149,3 +149,17 @@ def test_points_of_blobs():
     for bad in (gpkg.linestring([(1.0, 2.0), (3.0, 4.0)]), gpkg.linestring(lines[0])[:-1], b"GP"):
         with pytest.raises(ValueError):
             gpkg.line_points(pa.array([bad], pa.binary()))
+
+
+def test_packages_travel_in_small_batches(spark, tmp_path):
+    """A partition of many packages reaches a task's Python a few megabytes at a time."""
+    import pyarrow as pa
+
+    from aeroframe.sources import gpkg
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    for k in range(60):
+        (tmp_path / f"plan-{k:06d}.gpkg").write_bytes(bytes(300_000))
+    rows = gpkg.package_files(spark, str(tmp_path)).repartition(1)
+    sizes = [r.n for r in rows.mapInArrow(lambda batches: (pa.record_batch({"n": pa.array([b.column("content").nbytes])}) for b in batches), "n long").collect()]
+    assert sum(sizes) >= 18_000_000 and max(sizes) <= 2 * gpkg.BATCH_BYTES
