@@ -658,20 +658,53 @@ PLAN_RELAXATION, SUITE_RELAXATION = (0.3, 0.01, 500), (0.15, 0.5, 5000)
 
 def elastic_band(terrain_m: np.ndarray, dx: float, floor: np.ndarray, rate: float = PLAN_RELAXATION[0], threshold: float = PLAN_RELAXATION[1], most: int = PLAN_RELAXATION[2]) -> tuple[np.ndarray, int, bool]:
     """Heights of a band over a floor: tension, bending, repulsion near the floor and gravity, relaxed all points at once."""
+    alt, it, ok = relax(np.array([dx], float), floor, np.array([0, len(floor)]), rate, threshold, most)
+    return alt, int(it[0]), bool(ok[0])
+
+
+def relax(dx: np.ndarray, floor: np.ndarray, starts: np.ndarray, rate: float = PLAN_RELAXATION[0], threshold: float = PLAN_RELAXATION[1], most: int = PLAN_RELAXATION[2]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bands over many floors at once, each as it would be alone: heights, and steps and whether it stands still for each.
+
+    Band g lies over floor[starts[g] : starts[g + 1]], its points ``dx[g]`` apart. Bands of fewer than three points
+    stay where they are, without a step. Bands that stand still keep their heights and are dropped as they add up.
+    """
     tension, torsion, push, decay, gravity = SPRINGS
-    alt = floor.copy()
+    size = np.diff(starts)
+    out, steps, still = floor.copy(), np.zeros(len(size), np.int32), np.zeros(len(size), bool)
+    live = np.flatnonzero(size >= 3)
+    steps[live] = most
+    at = np.repeat(starts[live] - np.cumsum(size[live]) + size[live], size[live]) + np.arange(size[live].sum())
+    alt = floor[at]
+    done = np.zeros(len(live), bool)
+    low = own = first = last = apart = None
     for it in range(1, most + 1):
+        if low is None:  # at first, and after bands were dropped
+            if not len(live):
+                break
+            low, own = floor[at], size[live]
+            last = np.cumsum(own) - 1
+            first, apart = last - own + 1, np.repeat(dx[live] * dx[live], own)[1:-1]
         pull = np.empty_like(alt)
         curve = alt[2:] - 2 * alt[1:-1] + alt[:-2]
-        pull[1:-1] = tension * curve + 4 * torsion * curve / (dx * dx)
-        pull[0], pull[-1] = -tension * (alt[0] - alt[1]), -tension * (alt[-1] - alt[-2])
-        gap = alt - floor
+        pull[1:-1] = tension * curve + 4 * torsion * curve / apart
+        pull[first], pull[last] = -tension * (alt[first] - alt[first + 1]), -tension * (alt[last] - alt[last - 1])
+        gap = alt - low
         near = gap < 5 * decay
         move = rate * (pull + np.where(near, push / decay * np.exp(-np.where(near, gap, 0) / decay), 0.0) - gravity)
-        alt = np.maximum(alt + move, floor)
-        if np.abs(move).max() < threshold:
-            return alt, it, True
-    return alt, most, False
+        alt = np.maximum(alt + move, low)
+        new = ~done & (np.maximum.reduceat(np.abs(move), first) < threshold)
+        if new.any():
+            steps[live[new]], still[live[new]] = it, True
+            rows = np.repeat(new, own)
+            out[at[rows]] = alt[rows]
+            done |= new
+            if 8 * done.sum() >= len(done):
+                rows = np.repeat(~done, own)
+                at, alt, live, low = at[rows], alt[rows], live[~done], None
+                done = np.zeros(len(live), bool)
+    rows = np.repeat(~done, size[live])
+    out[at[rows]] = alt[rows]
+    return out, steps, still
 
 
 def profiles(spark: SparkSession, length: float = 5000.0, spacing: float = 10.0, kinds: tuple[str, ...] = KINDS) -> DataFrame:
@@ -681,18 +714,30 @@ def profiles(spark: SparkSession, length: float = 5000.0, spacing: float = 10.0,
     return rows.withColumn("terrain", F.expr(terrain.synthetic_profile("profile")))
 
 
+def _doubles(p: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [p.column(n).to_numpy(zero_copy_only=False).astype(float) for n in names]
+
+
+def _relaxed(p: pa.RecordBatch, starts: np.ndarray, clearance: float, rate: float, threshold: float, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``relax`` over the whole profiles of a batch."""
+    x, h = _doubles(p, "x", "terrain")
+    dx = x[np.minimum(starts[:-1] + 1, len(x) - 1)] - x[starts[:-1]]
+    return relax(dx, h + clearance, starts, rate, threshold, most)
+
+
 def elastic_bands(rows: DataFrame, clearance: float, rate: float = PLAN_RELAXATION[0], threshold: float = PLAN_RELAXATION[1], most: int = PLAN_RELAXATION[2]) -> DataFrame:
     """Adds alt, iterations and converged to profiles (at least three evenly spaced points each)."""
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("k")
-        h = p.terrain.to_numpy(float)
-        if len(p) < 3:
-            return p.assign(alt=h + clearance, iterations=0, converged=False)
-        alt, it, ok = elastic_band(h, float(p.x.iloc[1] - p.x.iloc[0]), h + clearance, rate, threshold, most)
-        return p.assign(alt=alt, iterations=it, converged=ok)
+    def run(p: pa.RecordBatch, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        alt, steps, still = _relaxed(p, starts, clearance, rate, threshold, most)
+        own = np.diff(starts)
+        yield pa.record_batch({**{n: p.column(n) for n in ("k", "x", "profile", "terrain")}, "alt": pa.array(alt), "iterations": pa.array(np.repeat(steps, own)), "converged": pa.array(np.repeat(still, own))})
+
+    return whole_groups(_profile_rows(rows), "profile", "k", run, "k int, x double, profile string, terrain double, alt double, iterations int, converged boolean")
+
 
-    return rows.groupBy("profile").applyInPandas(run, "k int, x double, profile string, terrain double, alt double, iterations int, converged boolean")
+def _profile_rows(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.select(F.col("profile").cast("string"), F.col("k").cast("int"), *(F.col(n).cast("double") for n in ("x", "terrain", *more)))
 
 
 def basis(knots: np.ndarray, u: np.ndarray, degree: int = 3) -> tuple[np.ndarray, np.ndarray]:
@@ -815,18 +860,43 @@ class Spline:
         return np.stack([np.interp(s, arc, pts[:, 0]), np.interp(s, arc, pts[:, 1])], axis=1)
 
 
+def _smoothed(p: pa.RecordBatch, starts: np.ndarray, alt: np.ndarray, spacing: float, clearance: float) -> Iterator[pa.RecordBatch]:
+    """Waypoints along a lifted spline through each profile's heights ``alt``; ``below``: its control points that stay too low."""
+    x, h = _doubles(p, "x", "terrain")
+    for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+        own, ground = x[a:b], h[a:b]
+        floor = lambda q: np.interp(q, own, ground) + clearance  # noqa: B023, E731
+        s = Spline(np.stack([own, alt[a:b]], axis=1))
+        s.lift(floor)
+        below = int((s.control[:, 1] < floor(s.control[:, 0]) - 1e-9).sum())
+        w = s.uniform(spacing)
+        names = p.column("profile").take(pa.array(np.full(len(w), a)))
+        yield pa.record_batch({"profile": names, "wp": pa.array(np.arange(len(w), dtype=np.int32)), "x": pa.array(w[:, 0]), "alt": pa.array(w[:, 1]), "terrain": pa.array(np.interp(w[:, 0], own, ground)), "below": pa.array(np.full(len(w), below, np.int32))})
+
+
+_WAYPOINTS = "profile string, wp int, x double, alt double, terrain double, below int"
+
+
 def smooth_waypoints(bands: DataFrame, spacing: float, clearance: float) -> DataFrame:
     """Evenly spaced waypoints (profile, wp, x, alt, terrain) along a spline through each band, lifted clear of the terrain."""
+    return whole_groups(_profile_rows(bands, "alt"), "profile", "k", lambda p, starts: _smoothed(p, starts, _doubles(p, "alt")[0], spacing, clearance), _WAYPOINTS).drop("below")
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("k")
-        x, h = p.x.to_numpy(float), p.terrain.to_numpy(float)
-        s = Spline(np.stack([x, p.alt.to_numpy(float)], axis=1))
-        s.lift(lambda q: np.interp(q, x, h) + clearance)
-        w = s.uniform(spacing)
-        return pd.DataFrame({"profile": p.profile.iloc[0], "wp": np.arange(len(w)), "x": w[:, 0], "alt": w[:, 1], "terrain": np.interp(w[:, 0], x, h)})
 
-    return bands.groupBy("profile").applyInPandas(run, "profile string, wp int, x double, alt double, terrain double")
+def band_waypoints(rows: DataFrame, spacing: float, clearance: float, rate: float = PLAN_RELAXATION[0], threshold: float = PLAN_RELAXATION[1], most: int = PLAN_RELAXATION[2]) -> DataFrame:
+    """``elastic_bands`` and ``smooth_waypoints`` of profiles (profile, k, x, terrain) in one pass over whole groups.
+
+    Profiles of fewer than four points, which have no spline, are left out. ``below``: control points of the lifted spline that are still too low.
+    """
+
+    def run(p: pa.RecordBatch, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        own = np.diff(starts)
+        if (own < 4).any():
+            p = p.filter(pa.array(np.repeat(own >= 4, own)))
+            starts = np.concatenate([[0], np.cumsum(own[own >= 4])])
+        if p.num_rows:
+            yield from _smoothed(p, starts, _relaxed(p, starts, clearance, rate, threshold, most)[0], spacing, clearance)
+
+    return whole_groups(_profile_rows(rows), "profile", "k", run, _WAYPOINTS)
 
 
 def spline_heights(rows: DataFrame, lump: bool = False) -> DataFrame:

@@ -264,15 +264,11 @@ def track_splines(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def track_waypoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pursuit waypoints along the relaxed, smoothed and lifted tracks: evenly spaced from end to end, control points clear of the floor."""
-    bands = solvers.elastic_bands(track_profiles(spark, sf_dir), 50.0)
-    enough = F.count("*").over(Window.partitionBy("profile")) >= 4
-    bands = bands.withColumn("_n", enough).where("_n").drop("_n")
-    way = solvers.smooth_waypoints(bands, spacing=25.0, clearance=50.0)
+    way = solvers.band_waypoints(track_profiles(spark, sf_dir), spacing=25.0, clearance=50.0)
     w = Window.partitionBy("profile").orderBy("wp")
     step = way.withColumns({"gone": F.hypot(F.col("x") - F.lag("x").over(w), F.col("alt") - F.lag("alt").over(w)), "last": F.lead("wp").over(w).isNull()})
-    seen = step.groupBy("profile").agg(F.bool_and(F.col("gone").isNull() | F.col("last") | (F.col("gone") <= 25.001)).alias("even"), (F.round(F.min_by("x", "wp"), 6) + 0.0).alias("from_x"), F.round(F.max_by("x", "wp"), 6).alias("to_x"))
-    reports = solvers.spline_reports(bands, clearance=50.0).select("profile", F.col("too_low").alias("below"))
-    return seen.join(reports, "profile")
+    even = F.bool_and(F.col("gone").isNull() | F.col("last") | (F.col("gone") <= 25.001))
+    return step.groupBy("profile").agg(even.alias("even"), (F.round(F.min_by("x", "wp"), 6) + 0.0).alias("from_x"), F.round(F.max_by("x", "wp"), 6).alias("to_x"), F.max("below").alias("below"))
 
 
 @query(

@@ -317,3 +317,55 @@ def test_whole_groups_across_batches(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert found == {None: 429, **{g: 429 if g <= 3 else 428 for g in range(1, 7)}, 100: 500}
+
+
+def _alone(h, dx, rate, threshold, most):
+    """One band, step by step."""
+    tension, torsion, push, decay, gravity = s.SPRINGS
+    alt = floor = h + 50.0
+    for it in range(1, most + 1):
+        before = np.concatenate([alt[:1], alt[:-1]])
+        after = np.concatenate([alt[1:], alt[-1:]])
+        curve = after - 2 * alt + before
+        pull = tension * curve + 4 * torsion * curve / dx**2
+        pull[0], pull[-1] = -tension * (alt[0] - alt[1]), -tension * (alt[-1] - alt[-2])
+        gap = alt - floor
+        move = rate * (pull + np.where(gap < 5 * decay, push / decay * np.exp(-np.minimum(gap, 5 * decay) / decay), 0.0) - gravity)
+        alt = np.maximum(alt + move, floor)
+        if np.abs(move).max() < threshold:
+            return alt, it, True
+    return alt, most, False
+
+
+def test_bands_of_a_batch_are_as_each_alone():
+    rng = np.random.default_rng(5)
+    sizes = np.array([3, 40, 1, 4, 2, 900, 7, 33, 3])
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    h = np.cumsum(rng.normal(0, [3.0], starts[-1])) + 400
+    h[starts[1] : starts[2]] = 10.0  # flat: it stands still long before the others
+    dx = np.linspace(5, 20, len(sizes))
+    for threshold, most in ((0.01, 500), (0.0, 6), (0.3, 80)):
+        alt, steps, still = s.relax(dx, h + 50.0, starts, 0.3, threshold, most)
+        for g, (a, b) in enumerate(zip(starts[:-1], starts[1:], strict=True)):
+            want = _alone(h[a:b], dx[g], 0.3, threshold, most) if b - a >= 3 else (h[a:b] + 50.0, 0, False)
+            assert (steps[g], still[g]) == want[1:]
+            np.testing.assert_allclose(alt[a:b], want[0], rtol=0, atol=1e-9)
+
+
+def test_tracks_are_relaxed_and_smoothed_once(spark):
+    """One pass of Python over whole profiles; bands and splines are not computed again for the report."""
+    from aeroframe.plans.catalog import QUERIES
+
+    plan = QUERIES["trj_06_07_track_waypoints"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") + plan.count("FlatMapGroupsInPandas") == 1
+
+
+def test_band_waypoints_are_those_of_bands_then_splines(spark):
+    rows = spark.range(600).selectExpr("concat('p', id % 7) as profile", "cast(id div 7 as int) as k", "(id div 7) * 10e0 as x", "400e0 + (id * 37) % 90 as terrain")
+    rows = rows.where("profile <> 'p3' or k < 3").repartition(3)
+    got = {(r.profile, r.wp): (r.x, r.alt, r.terrain) for r in s.band_waypoints(rows, 25.0, 50.0).collect()}
+    bands = s.elastic_bands(rows, 50.0)
+    want = {(r.profile, r.wp): (r.x, r.alt, r.terrain) for r in s.smooth_waypoints(bands.where("profile <> 'p3'"), 25.0, 50.0).collect()}
+    assert got == want and {k for k, _ in got} == {f"p{k}" for k in (0, 1, 2, 4, 5, 6)}
+    low = {r.profile: r.too_low for r in s.spline_reports(bands.where("profile <> 'p3'"), 50.0).collect()}
+    assert {r.profile: r.below for r in s.band_waypoints(rows, 25.0, 50.0).select("profile", "below").distinct().collect()} == low
