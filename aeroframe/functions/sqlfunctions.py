@@ -1,7 +1,8 @@
 """Geodesics and planners as functions of Spark SQL.
 
-``geodesic_inverse`` takes Arrow batches; turns and corridors, which walk along a path,
-are Arrow table functions for ``lateral`` calls. The DataFrame operators compile
+``geodesic_inverse`` and ``corridor_arrays`` take Arrow batches; turns and corridors, which walk along a path,
+are Arrow table functions for ``lateral`` calls. A lateral call is one Python call a row: over a table, use
+``lateral view inline(corridor_arrays(...))``, which has the same rows. The DataFrame operators compile
 geodesics instead, which is faster where the formula is wanted for every row.
 """
 
@@ -11,6 +12,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -60,8 +62,60 @@ class CorridorPoints:
                 yield k, i, x, y
 
 
+def _offset(width, passes, k):
+    """Of pass k, across the line."""
+    return np.where(passes == 1, 0.0, -width / 2 + k * width / np.maximum(passes - 1, 1))
+
+
+def _straight(line: np.ndarray, width: np.ndarray, passes: np.ndarray, interval: np.ndarray) -> tuple[np.ndarray, ...]:
+    """All waypoints of straight centre lines (x0, y0, x1, y1): how many each line has, and pass, wp, x and y of each."""
+    own = np.repeat(np.arange(len(line)), passes)
+    k = np.arange(len(own)) - np.repeat(np.cumsum(passes) - passes, passes)
+    step = line[:, 2:] - line[:, :2]
+    normal = np.stack([-step[:, 1], step[:, 0]], axis=1) / np.hypot(step[:, 0], step[:, 1])[:, None]
+    across = _offset(width[own], passes[own], k)
+    side = np.where(np.abs(across) < 1e-10, 0.0, across)[:, None] * normal[own]
+    a, b = line[own, :2] + side, line[own, 2:] + side
+    length = np.hypot(b[:, 0] - a[:, 0], b[:, 1] - a[:, 1])
+    even = np.floor(length / interval[own] + 1e-9).astype(np.int64) + 1
+    n = even + 1  # and the end
+    at = np.repeat(np.arange(len(own)), n)
+    wp = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+    gone = wp * interval[own][at]
+    end = (wp == even[at]) | (gone >= length[at])
+    x, y = (np.where(end, b[at, c], ((b[:, c] - a[:, c]) / length)[at] * gone + a[at, c]) for c in (0, 1))
+    return np.bincount(own, n, len(line)).astype(np.int64), k[at].astype(np.int32), wp.astype(np.int32), x, y
+
+
+def _corridor_arrays(xs: pa.Array, ys: pa.Array, width: pa.Array, passes: pa.Array, interval: pa.Array) -> pa.Array:
+    """Lines of two vertices, which have no corners, are done together; others one by one."""
+    ends = lambda v: np.asarray(pc.fill_null(pc.list_value_length(v), -1))
+    number = lambda v: v.cast(pa.float64()).fill_null(float("nan")).to_numpy(zero_copy_only=False)
+    w, n, step = number(width), number(passes), number(interval)
+    planned = (w > 0) & np.isin(n, (1, 3, 5)) & (step > 0) & np.isfinite(w) & np.isfinite(step)
+    two = planned & (ends(xs) == 2) & (ends(ys) == 2)
+    pick = pa.array(np.flatnonzero(two))
+    line = np.concatenate([v.take(pick).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, 2) for v in (xs, ys)], axis=1)[:, [0, 2, 1, 3]]
+    long = np.hypot(line[:, 2] - line[:, 0], line[:, 3] - line[:, 1])
+    rows, line = np.flatnonzero(two)[(long >= 1e-6) & np.isfinite(long)], line[(long >= 1e-6) & np.isfinite(long)]
+    count = np.zeros(len(xs), np.int64)
+    count[rows], *columns = _straight(line, w[rows], n[rows].astype(np.int64), step[rows])
+    source = np.repeat(rows, count[rows])
+    others = np.flatnonzero(planned & ~two)
+    if len(others):
+        few = pa.array(others)
+        parts = [np.array(list(CorridorPoints.func.eval(None, *row)), float).reshape(-1, 4) for row in zip(*(v.take(few).to_pylist() for v in (xs, ys, width, passes, interval)), strict=True)]
+        count[others] = [len(p) for p in parts]
+        more = np.concatenate(parts)
+        order = np.argsort(np.concatenate([source, np.repeat(others, count[others])]), kind="stable")
+        columns = [np.concatenate([c, more[:, k].astype(c.dtype)])[order] for k, c in enumerate(columns)]
+    found = pa.StructArray.from_arrays([pa.array(c) for c in columns], ["pass", "wp", "x", "y"])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), found)
+
+
 def register(spark: SparkSession) -> None:
-    """Make ``geodesic_inverse`` (null where an argument is null or nan), ``turn_points`` and ``corridor_points`` known to this session's SQL."""
+    """Make ``geodesic_inverse`` (null where an argument is null or nan), ``turn_points``, ``corridor_points`` and ``corridor_arrays`` known to this session's SQL."""
     spark.udf.register("geodesic_inverse", F.arrow_udf(_inverse, "struct<distance: double, azimuth: double>"))
+    spark.udf.register("corridor_arrays", F.arrow_udf(_corridor_arrays, "array<struct<pass: int, wp: int, x: double, y: double>>"))
     spark.udtf.register("turn_points", TurnPoints)
     spark.udtf.register("corridor_points", CorridorPoints)

@@ -287,10 +287,10 @@ g as (select *, case when wp > floor(len / step + 1e-9) then len else least(wp *
 select event_id, cast(pass as integer) as pass, cast(wp as integer) as wp, round((gone * x1 - off * y1) / len, 6) + 0e0 as x, round((gone * y1 + off * x1) / len, 6) + 0e0 as y from g""",
 )
 def sql_corridors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Corridor waypoints by the table function of Spark SQL, called for every row of a view."""
+    """Corridor waypoints by a function of Spark SQL over batches of a view's rows."""
     sqlfunctions.register(spark)
     _STRAIGHT.load(spark, sf_dir).createOrReplaceTempView("aeroframe_straight")
-    return spark.sql("select event_id, pass, wp, round(x, 6) + 0e0 as x, round(y, 6) + 0e0 as y from aeroframe_straight, lateral corridor_points(array(0e0, x1), array(0e0, y1), width, passes, step)")
+    return spark.sql("select event_id, pass, wp, round(x, 6) + 0e0 as x, round(y, 6) + 0e0 as y from aeroframe_straight lateral view inline(corridor_arrays(array(0e0, x1), array(0e0, y1), width, passes, step)) as pass, wp, x, y")
 
 
 # ---------------------------------------------------------------- trajectories

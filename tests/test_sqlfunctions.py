@@ -37,3 +37,23 @@ def test_corridor_points(sql):
     assert [tuple(r) for r in got] == want
     for bad in ("array(0e0), array(0e0), 40e0, 3, 10e0", "array(0e0, 1e0), array(0e0, 1e0), 40e0, 2, 10e0", "array(0e0, 1e0), array(0e0, 1e0), -1e0, 3, 10e0", "array(0e0, 0e0), array(1e0, 1e0), 1e0, 3, 10e0"):
         assert sql(f"select * from corridor_points({bad})") == []
+
+
+def test_corridor_arrays_have_the_rows_of_corridor_points(spark, sql):
+    """Over lines of two vertices, longer ones and bad ones in one batch."""
+    rows = []
+    for k in range(40):
+        line = [(0.0, 0.0), (100.0 + 37 * k, 13.0 * k), (250.0, 90.0 - k), (40.0, 300.0), (300.0, 20.0)][: 2 + (k % 4 if k % 3 == 0 else 0)]
+        rows.append((k, [x for x, _ in line], [y for _, y in line], 30.0 + k, 1 + 2 * (k % 3), 25.0 + k))
+    rows += [(90, None, [0.0, 1.0], 1.0, 1, 1.0), (91, [0.0, 1.0], [0.0, 1.0], 1.0, 2, 1.0), (92, [0.0, 0.0], [1.0, 1.0], 1.0, 3, 1.0), (93, [0.0], [1.0], 1.0, 3, 1.0), (94, [0.0, 9.0], [0.0, 9.0], None, 3, 1.0), (95, [0.0, 9.0], [0.0], 1.0, 3, 1.0), (96, [0.0, None], [0.0, 1.0], 1.0, 3, 1.0), (97, [0.0, 9.0], [0.0, 0.0], 1.0, 3, 0.0), (98, [0.0, 30.0], [0.0, 40.0], 2.0, 5, 10.0)]
+    spark.createDataFrame(rows, "id int, xs array<double>, ys array<double>, width double, passes int, step double").coalesce(1).createOrReplaceTempView("corridor_rows")
+    got = sql("select id, pass, wp, round(x, 9), round(y, 9) from corridor_rows lateral view inline(corridor_arrays(xs, ys, width, passes, step)) as pass, wp, x, y order by id, pass, wp")
+    want = sql("select id, pass, wp, round(x, 9), round(y, 9) from corridor_rows, lateral corridor_points(xs, ys, width, passes, step) order by id, pass, wp")
+    assert got == want and {r.id for r in got} == {*range(40), 98}
+
+
+def test_corridors_over_a_table_are_no_call_a_row(spark):
+    from aeroframe.plans.catalog import QUERIES
+
+    plan = QUERIES["gen_05_06_09_sql_corridors"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in plan and "UDTF" not in plan
