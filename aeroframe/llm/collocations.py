@@ -1,9 +1,10 @@
 """Phrase collocations: count-min sketches, an exact second pass over survivors, scores, subsumption.
 
-1. Each task reads its texts a unit (some 4 MB) at a time, keeps the unit's pieces in a file of the
-   shared folder, and emits the unit's partial sketch: for each of DEPTH rows the sorted cells that
+1. Each task reads its texts a unit (some 4 MB) at a time and keeps the unit's pieces in a file of the
+   shared folder; only the names of the files are kept as rows. From the files, which are the same whenever
+   a task runs again, come the units' partial sketches: for each of DEPTH rows the sorted cells that
    its 1- to 4-word phrases touch, with counts that end at the threshold. Rows of the sketch are as
-   wide as the corpus needs, since no task ever holds one.
+   wide as the corpus needs, since no task ever holds one, and partial sketches go straight to the shuffle.
 2. Partial sketches are merged a range of cells at a time. The owner of a range answers each unit with
    one bit a cell: whether its merged count reaches the threshold. Nothing is broadcast.
 3. Each unit is read again with its answers. A phrase survives if all its cells do; the merged
@@ -170,17 +171,40 @@ def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pack(cells: np.ndarray, counts: np.ndarray, low: int) -> bytes:
-    """Sorted cells of one range and their counts: gaps and counts, each in the fewest bytes, compressed."""
+    """Sorted cells of one range and their counts, in few bits each.
+
+    A byte says how many low bits b the cells have written out; their high bits are one bit string, in which
+    cell i sets bit (cell >> b) + i, so a cell takes b + 2 bits or so whatever the width of the sketch (Elias and Fano).
+    Counts are mostly one: a bit for each tells which are not, and those follow.
+    """
+    n = len(cells)
     inside = (cells & np.uint64((1 << low) - 1)).astype(np.uint32)
-    gaps = np.diff(inside, prepend=np.uint32(0)).astype(np.uint16 if low <= 16 else np.uint32)
-    data = gaps.tobytes() + counts.astype(np.uint16).tobytes()
-    return pa.compress(data, codec="zstd", asbytes=True)
+    b = max(0, low - (n - 1).bit_length()) if n else 0
+    high = np.zeros((1 << low - b) + n, bool)
+    high[(inside >> np.uint32(b)).astype(np.int64) + np.arange(n)] = True
+    rest = (inside[:, None] >> np.arange(b, dtype=np.uint32)).astype(np.uint8) & np.uint8(1)
+    many = counts > 1
+    return bytes([b]) + b"".join(np.packbits(x).tobytes() for x in (rest, high, many)) + counts[many].astype("<u2" if (counts > 255).any() else np.uint8).tobytes()
 
 
 def unpack(data: bytes, n: int, low: int) -> tuple[np.ndarray, np.ndarray]:
-    width = 2 if low <= 16 else 4
-    raw = pa.decompress(data, decompressed_size=n * (width + 2), codec="zstd", asbytes=True)
-    return np.cumsum(np.frombuffer(raw, f"<u{width}", n), dtype=np.int64), np.frombuffer(raw, "<u2", n, n * width)
+    b, at = data[0], 1
+    raw = np.frombuffer(data, np.uint8)
+
+    def bits(k: int) -> np.ndarray:
+        nonlocal at
+        at += (k + 7) // 8
+        return np.unpackbits(raw[at - (k + 7) // 8 : at], count=k)
+
+    rest = bits(n * b).reshape(n, b)
+    cells = np.flatnonzero(bits((1 << low - b) + n)) - np.arange(n)
+    cells <<= b
+    for k in range(b):
+        cells |= rest[:, k].astype(np.int64) << k
+    counts, many = np.ones(n, np.uint16), bits(n).astype(bool)
+    some = int(many.sum())
+    counts[many] = np.frombuffer(data, "<u2" if len(data) - at == 2 * some else np.uint8, some, at) if some else 0
+    return cells, counts
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[pa.Array, pa.Array]]]:
@@ -210,19 +234,35 @@ def _filesystem(folder: str):
     return fs.FileSystem.from_uri(folder)
 
 
-def _sketch_units(rows: DataFrame, layout: Layout, folder: str, threshold: int) -> DataFrame:
-    """Partial sketches: (unit, row, part, n, cells), with units kept in files of ``folder``."""
+def _keep_units(rows: DataFrame, folder: str) -> DataFrame:
+    """Names of the units that texts are kept as, in files of ``folder``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filesystem, base = _filesystem(folder)
         filesystem.create_dir(base, recursive=True)
+        schema = pa.schema([("text", pa.large_string()), ("lang", pa.large_string())])
         for unit in _units(c.tidy(batches)):
             name = uuid.uuid4().hex  # a task that runs again has units of its own; only those of rows that stay count
-            schema = pa.schema([("text", pa.large_string()), ("lang", pa.large_string())])
             with filesystem.open_output_stream(f"{base}/{name}") as out, pa.ipc.new_stream(out, schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
                 for texts, langs in unit:
                     stream.write_batch(pa.record_batch([texts, langs.cast(pa.large_string())], schema))
-            h = np.concatenate([part[3] for part in _unit_hashes(unit)])
+            yield pa.record_batch({"unit": pa.array([name])})
+
+    return rows.mapInArrow(run, "unit string")
+
+
+def _read_unit(folder: str, name: str) -> list[tuple[pa.Array, pa.Array]]:
+    filesystem, base = _filesystem(folder)
+    with filesystem.open_input_stream(f"{base}/{name}") as f:
+        return [(b.column(0), b.column(1)) for b in pa.ipc.open_stream(f)]
+
+
+def _sketch_units(units: DataFrame, layout: Layout, folder: str, threshold: int) -> DataFrame:
+    """Partial sketches of kept units: (unit, row, part, n, cells)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name in (n for batch in c.tidy(batches) for n in batch.column("unit").to_pylist()):
+            h = np.concatenate([part[3] for part in _unit_hashes(_read_unit(folder, name))])
             h.sort()
             at, counts = _runs(h)
             h, counts = h[at], np.minimum(counts, threshold)
@@ -242,7 +282,7 @@ def _sketch_units(rows: DataFrame, layout: Layout, folder: str, threshold: int)
                     "cells": pa.array([pack(cells[a:b], own[a:b], layout.low) for a, b in zip(offs[:-1], offs[1:], strict=True)], pa.binary()),
                 })
 
-    return rows.mapInArrow(run, "unit string, row int, part long, n long, cells binary")
+    return units.mapInArrow(run, "unit string, row int, part long, n long, cells binary")
 
 
 def _answers(partials: DataFrame, layout: Layout, threshold: int) -> DataFrame:
@@ -280,9 +320,7 @@ def _survivors(answers: DataFrame, layout: Layout, folder: str, tasks: int) -> D
     dealt = answers.repartition(tasks, "unit").sortWithinPartitions("unit", "row", "part")
 
     def count(name: str, bits: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        filesystem, base = _filesystem(folder)
-        with filesystem.open_input_stream(f"{base}/{name}") as f:
-            unit = [(b.column(0), b.column(1)) for b in pa.ipc.open_stream(f)]
+        unit = _read_unit(folder, name)
         slices, parts, hashes = {}, [], []
         for piece, p, words, found, place in _unit_hashes(unit):
             slices[piece] = p
@@ -350,8 +388,9 @@ def frequent_phrases(documents: DataFrame, threshold: int = 30) -> DataFrame:
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     layout = Layout(LONGEST * size / 6)  # some six bytes a word; the width decides how many rare phrases pass, no result
     folder = c.scratch(spark, "phrase-units")
-    partials = c.stash(_sketch_units(rows, layout, folder, threshold), "sketches")
     tasks = max(2 * spark.sparkContext.defaultParallelism, size // TASK_BYTES)
+    units = c.stash(_keep_units(rows, folder), "unit-names").repartition(4 * tasks)
+    partials = _sketch_units(units, layout, folder, threshold)
     counted = _survivors(_answers(partials, layout, threshold), layout, folder, tasks)
     exact = counted.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"))
     return c.stash(exact.where((F.col("f") >= threshold) | (F.col("words") == 0)), "phrases")

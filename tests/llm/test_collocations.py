@@ -145,3 +145,25 @@ def test_query_against_sql(spark, sf):
 def test_query_against_brute_force(spark):
     rows = [(r.text, r.lang) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     assert result(QUERIES["op13_collocations"](spark, SF)) == brute(rows)
+
+
+@pytest.mark.parametrize("low", [16, 17, 19, 4, 2])
+def test_partial_sketches_are_packed_in_few_bits(low):
+    rng = np.random.default_rng(low)
+    for n, most in ((1, 30), (3, 30), (1 << low - 1, 30), (1 << low, 30), ((1 << low) // 7 + 1, 3000), (min(100, 1 << low), 1)):
+        cells = np.sort(rng.choice(1 << low, min(n, 1 << low), replace=False)).astype(np.uint64)
+        counts = np.where(rng.random(len(cells)) < 0.9, 1, rng.integers(1, most + 1, len(cells)))
+        data = co.pack(cells + np.uint64(5 << low), counts, low)
+        got, own = co.unpack(data, len(cells), low)
+        assert got.tolist() == cells.tolist() and own.tolist() == counts.tolist()
+        share = 1 << low
+        assert len(data) <= 8 + len(cells) * (max(0, np.log2(share / len(cells))) + 4 + 0.1 * (8 if most < 256 else 16) * 1.5) / 8 + (2 * (counts > 1).sum())
+
+
+def test_partial_sketches_are_written_once(spark, monkeypatch):
+    """Only the names of units are kept as a table; partial sketches go to the shuffle and nowhere else."""
+    kept = []
+    stash = co.c.stash
+    monkeypatch.setattr(co.c, "stash", lambda df, name: kept.append((name, df.columns)) or stash(df, name))
+    co.frequent_phrases(frame(spark, corpus()).repartition(3)).count()
+    assert [name for name, columns in kept if "cells" in columns] == [] and ("unit-names", ["unit"]) in kept
