@@ -133,11 +133,9 @@ select plan_id, count(*) as n_rows, count(*) as rtree_rows, cast(sum(points) as
 )
 def packages_of_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vehicle's package, read back: rows, R-tree entries, points, box, description and version."""
-    packages = track_packages(spark, sf_dir)
-    found = gpkg.package_summaries(packages).where("error is null")
-    points = read_lines(packages).groupBy("plan_id").agg(F.sum("points").alias("points"))
+    found = gpkg.package_summaries(track_packages(spark, sf_dir)).where("error is null")
     box = [F.round(n, 4).alias(n) for n in ("min_x", "min_y", "max_x", "max_y")]  # the R-tree keeps single precision
-    return found.join(points, "plan_id").select("plan_id", "n_rows", "rtree_rows", "points", *box, "description", F.col("metadata")["schema_version"].alias("schema_version"))
+    return found.select("plan_id", "n_rows", "rtree_rows", "points", *box, "description", F.col("metadata")["schema_version"].alias("schema_version"))
 
 
 @query(

@@ -13,6 +13,7 @@ import io
 import uuid
 import zipfile
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,6 +21,10 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 from pyspark.sql.types import StructType
 
 
+#: Files that a commit renames at a time.
+_MOVES = 32
+
+
 def filesystem(uri: str):
     """A file system and the plain path on it, of a path or an address (file, S3, GCS, HDFS)."""
     from pyarrow import fs
@@ -82,8 +87,9 @@ class StagedWriter(DataSourceArrowWriter):
             if not self.overwrite and old & names:
                 raise FileExistsError(f"already there: {sorted(old & names)[:5]}")
             system.create_dir(base, recursive=True)
-            for place, name in found:
-                system.move(place, f"{base}/{name}")
+            with ThreadPoolExecutor(_MOVES) as pool:  # renames mostly wait
+                for k in range(0, len(found), 64 * _MOVES):
+                    list(pool.map(lambda f: system.move(f[0], f"{base}/{f[1]}"), found[k : k + 64 * _MOVES]))
             if self.overwrite:
                 for name in old - names:
                     system.delete_file(f"{base}/{name}")

@@ -12,7 +12,8 @@ import os
 import sqlite3
 import struct
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import closing, contextmanager
+from functools import lru_cache
 from itertools import groupby
 
 import numpy as np
@@ -153,6 +154,22 @@ create trigger if not exists {tree}_delete after delete on {table} when old.geom
     return db
 
 
+@lru_cache(maxsize=8)
+def _empty(table: str) -> bytes:
+    with closing(create(":memory:", table)) as db:
+        db.commit()
+        return db.serialize()
+
+
+def create_in_memory(table: str) -> sqlite3.Connection:
+    """As ``create`` in memory, but the tables are laid out once a process; each package starts as a copy of them."""
+    db = sqlite3.connect(":memory:")
+    db.deserialize(_empty(table))
+    connect_functions(db)
+    db.execute("update gpkg_contents set last_change = strftime('%Y-%m-%dT%H:%M:%fZ', 'now')")
+    return db
+
+
 def connect_functions(db: sqlite3.Connection) -> None:
     """The scalar functions that the triggers call, on this connection."""
     for k, name in enumerate(("st_minx", "st_maxx", "st_miny", "st_maxy")):
@@ -303,7 +320,7 @@ class _PlansWriter(files.StagedWriter):
                         raise ValueError("a line needs a plan_id")
                     if key != plan:
                         finish()
-                        plan, db = key, create(":memory:", self.table)
+                        plan, db = key, create_in_memory(self.table)
                     with db:
                         db.executemany(_INSERT.format(self.table), ((k, datum or "EGM2008", done or 0.0, crab, geom) for _, k, datum, done, crab, geom in rows))
             finish()
@@ -367,22 +384,34 @@ def read_packages(packages: DataFrame, table: str = "flight_lines") -> DataFrame
     return packages.mapInArrow(run, "plan_id long, path string, id long, line_index long, altitude_datum string, completion_pct double, crab_angle_deg double, geom binary, error string")
 
 
+def _count_points(db: sqlite3.Connection, table: str) -> int | None:
+    """Points of all lines with heights of a package; null if it has other geometries."""
+    n, lines = 0, db.execute(f"select geom from {table}")
+    try:
+        while some := lines.fetchmany(_ROWS):
+            n += int(line_points(pa.array([g for (g,) in some], pa.binary()))[0].sum())
+    except ValueError:
+        return None
+    return n
+
+
 def package_summaries(packages: DataFrame, table: str = "flight_lines") -> DataFrame:
-    """Per package: plan_id, n_rows, rtree_rows, box, description, schema_version, and its metadata; or an error."""
-    schema = pa.schema([("plan_id", pa.int64()), ("n_rows", pa.int64()), ("rtree_rows", pa.int64()), *((n, pa.float64()) for n in ("min_x", "min_y", "max_x", "max_y")), ("description", pa.string()), ("metadata", pa.map_(pa.string(), pa.string())), ("error", pa.string())])
+    """Per package: plan_id, n_rows, rtree_rows, points of its lines, box, description, and its metadata; or an error. Each is opened once."""
+    schema = pa.schema([("plan_id", pa.int64()), ("n_rows", pa.int64()), ("rtree_rows", pa.int64()), ("points", pa.int64()), *((n, pa.float64()) for n in ("min_x", "min_y", "max_x", "max_y")), ("description", pa.string()), ("metadata", pa.map_(pa.string(), pa.string())), ("error", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for plan, data in zip(batch.column("plan_id").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 try:
-                    found = summary(data, table)
-                    rows.append({"plan_id": plan, "n_rows": found["rows"], "rtree_rows": found["rtree_rows"], **dict(zip(("min_x", "min_y", "max_x", "max_y"), found["box"], strict=True)), "description": found["description"], "metadata": list(metadata(data).items())})
+                    with _opened(data) as db:
+                        found, points = summary(db, table), _count_points(db, table)
+                        rows.append({"plan_id": plan, "n_rows": found["rows"], "rtree_rows": found["rtree_rows"], "points": points, **dict(zip(("min_x", "min_y", "max_x", "max_y"), found["box"], strict=True)), "description": found["description"], "metadata": list(metadata(db).items())})
                 except (ValueError, sqlite3.Error) as e:
                     rows.append({"plan_id": plan, "error": str(e)})
             yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return packages.mapInArrow(run, "plan_id long, n_rows long, rtree_rows long, min_x double, min_y double, max_x double, max_y double, description string, metadata map<string, string>, error string")
+    return packages.mapInArrow(run, "plan_id long, n_rows long, rtree_rows long, points long, min_x double, min_y double, max_x double, max_y double, description string, metadata map<string, string>, error string")
 
 
 def revise(packages: DataFrame, changes: DataFrame, table: str = "flight_lines", description: str | None = None, values: dict[str, str] | None = None) -> DataFrame:

@@ -163,3 +163,27 @@ def test_packages_travel_in_small_batches(spark, tmp_path):
     rows = gpkg.package_files(spark, str(tmp_path)).repartition(1)
     sizes = [r.n for r in rows.mapInArrow(lambda batches: (pa.record_batch({"n": pa.array([b.column("content").nbytes])}) for b in batches), "n long").collect()]
     assert sum(sizes) >= 18_000_000 and max(sizes) <= 2 * gpkg.BATCH_BYTES
+
+
+def test_packages_are_laid_out_once_a_process(monkeypatch):
+    """Each starts as a copy of the empty one and is a package like any other."""
+    laid = []
+    create = gpkg.create
+    monkeypatch.setattr(gpkg, "create", lambda *a: laid.append(a) or create(*a))
+    gpkg._empty.cache_clear()
+    blob = gpkg.linestring([(8.0, 47.0, 400.0), (9.0, 48.0, 500.0)])
+    for k in range(5):
+        db = gpkg.create_in_memory("flight_lines")
+        with db:
+            db.executemany(gpkg._INSERT.format("flight_lines"), [(n, "EGM96", 0.0, None, blob) for n in range(k)])
+        data = db.serialize()
+        assert gpkg.summary(data, "flight_lines") | {"box": None, "description": None} == {"rows": k, "rtree_rows": k, "box": None, "description": None}
+        assert gpkg.metadata(data) == {"schema_version": "3"}
+    assert len(laid) == 1
+
+
+def test_track_packages_are_read_once(spark):
+    from aeroframe.plans.catalog import QUERIES
+
+    plan = QUERIES["snk_01_03_08_track_packages"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("binaryFile") == 1 and plan.count("MapInArrow") == 1
