@@ -36,11 +36,13 @@ def _local() -> str:
 
 
 def folder(spark: SparkSession) -> str:
-    """A fresh folder in the one named by spark.checkpoint.dir (a temporary one where that is unset, with a local master only)."""
+    """A fresh folder in the one named by spark.checkpoint.dir (a temporary one where that is unset, with a local master only); removed when the driver ends."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return (found or _local()).rstrip("/") + "/aeroframe-" + uuid.uuid4().hex[:12]
+    made = (found or _local()).rstrip("/") + "/aeroframe-" + uuid.uuid4().hex[:12]
+    atexit.register(files.remove_folder, made)
+    return made
 
 
 def local_path(path: str) -> str:
@@ -118,12 +120,12 @@ def gpkg_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TRACKS_SQL = f"select vehicle as plan_id, seq % 4 as line_index, seq as wp_index, lat, lon, alt from ({d.TELEMETRY.sql})"
 
 
-def track_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(plan_id, path, content) of a package a vehicle, written by tasks."""
+def track_packages(spark: SparkSession, sf_dir: str) -> str:
+    """A package a vehicle, written by tasks to a fresh folder."""
     at = folder(spark)
     way = d.TELEMETRY.load(spark, sf_dir).selectExpr("vehicle as plan_id", "seq % 4 as line_index", "seq as wp_index", "lat", "lon", "alt")
     gpkg.write_packages(gpkg.encode_lines(way, ["plan_id", "line_index"]).withColumn("altitude_datum", F.lit("EGM96")), at)
-    return gpkg.package_files(spark, at)
+    return at
 
 
 @query(
@@ -133,7 +135,7 @@ select plan_id, count(*) as n_rows, count(*) as rtree_rows, cast(sum(points) as
 )
 def packages_of_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vehicle's package, read back: rows, R-tree entries, points, box, description and version."""
-    found = gpkg.package_summaries(track_packages(spark, sf_dir)).where("error is null")
+    found = gpkg.package_summaries(gpkg.package_files(spark, track_packages(spark, sf_dir))).where("error is null")
     box = [F.round(n, 4).alias(n) for n in ("min_x", "min_y", "max_x", "max_y")]  # the R-tree keeps single precision
     return found.select("plan_id", "n_rows", "rtree_rows", "points", *box, "description", F.col("metadata")["schema_version"].alias("schema_version"))
 
@@ -146,16 +148,14 @@ select plan_id, line_index - count(*) filter (line_index = plan_id % 4) over (pa
 from l qualify line_index <> plan_id % 4""",
 )
 def revised_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Progress of even lines, one line a plan deleted, metadata put and the description appended to (twice, once counts)."""
-    at = folder(spark), folder(spark)
-    packages = track_packages(spark, sf_dir)
+    """Progress of even lines, one line a plan deleted, metadata put and the description appended to (twice, once counts). A revision drops what it was made from."""
+    at = track_packages(spark, sf_dir), folder(spark), folder(spark)
     lines = d.TELEMETRY.load(spark, sf_dir).selectExpr("vehicle as plan_id", "seq % 4 as line_index").distinct()
     changes = lines.selectExpr("plan_id", "line_index", "case when line_index % 2 = 0 then 5e1 + plan_id % 50 end as completion_pct", "line_index = plan_id % 4 as gone")
-    files.write_files(gpkg.revise(packages, changes, description="checked", values={"note": "open"}), at[0])
-    files.write_files(gpkg.revise(gpkg.package_files(spark, at[0]), changes.limit(0), description="checked", values={"note": "done"}), at[1])
-    revised = gpkg.package_files(spark, at[1])
-    told = gpkg.package_summaries(revised).select("plan_id", F.replace("description", F.lit("\n"), F.lit("|")).alias("description"), F.col("metadata")["note"].alias("note"))
-    return read_lines(revised).select("plan_id", "line_index", "completion_pct").join(told, "plan_id")
+    gpkg.revise_folder(spark, at[0], at[1], changes, description="checked", values={"note": "open"}, keep=False)
+    gpkg.revise_folder(spark, at[1], at[2], description="checked", values={"note": "done"}, keep=False)
+    rows = gpkg.read_packages(gpkg.package_paths(spark, at[2]), told=True).where("error is null")
+    return rows.select("plan_id", "line_index", "completion_pct", F.replace("description", F.lit("\n"), F.lit("|")).alias("description"), F.col("metadata")["note"].alias("note"))
 
 
 @query(

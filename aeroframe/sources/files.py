@@ -10,10 +10,12 @@ sees names and sizes only.
 from __future__ import annotations
 
 import io
+import re
 import uuid
 import zipfile
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,8 +23,8 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 from pyspark.sql.types import StructType
 
 
-#: Files that a commit renames at a time.
-_MOVES = 32
+#: Threads of a commit, and files that one of them renames at a time.
+_MOVES, _AT_ONCE = 32, 64
 
 
 def filesystem(uri: str):
@@ -32,6 +34,44 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else "file://" + uri)
 
 
+@lru_cache(maxsize=16)
+def _place(folder: str):
+    from pyarrow import fs
+
+    return (fs.LocalFileSystem(), folder) if folder.startswith("/") else filesystem(folder)
+
+
+def _found(path: str):
+    """The file system of a file and its plain path there, of a path as Spark's readers give it; a process opens the file system of a folder once."""
+    folder, _, name = re.sub(r"^file:/+", "/", path).rpartition("/")
+    system, base = _place(folder)
+    return system, f"{base}/{name}"
+
+
+def read_file(path: str) -> bytes:
+    system, place = _found(path)
+    with system.open_input_stream(place, compression=None) as f:
+        return f.read()
+
+
+def remove_file(path: str) -> None:
+    """Remove a file if it is there."""
+    system, place = _found(path)
+    try:
+        system.delete_file(place)
+    except FileNotFoundError:
+        pass
+
+
+def remove_folder(folder: str) -> None:
+    """Remove a folder of scratch files, if it is there and its store is at hand."""
+    try:
+        system, base = filesystem(folder)
+        system.delete_dir(base)
+    except (OSError, ValueError):
+        pass
+
+
 class _Message(WriterCommitMessage):
     def __init__(self, files: list[tuple[str, str]]) -> None:
         self.files = files
@@ -80,16 +120,19 @@ class StagedWriter(DataSourceArrowWriter):
         system, base = filesystem(self.folder)
         found = [f for m in messages if m for f in m.files]
         names = {name for _, name in found}
-        old = {i.base_name for i in system.get_file_info(fs.FileSelector(base, allow_not_found=True)) if i.is_file and not i.base_name.startswith(("_", "."))}
+        # an overwrite removes what else is there, an append has to know of its own names only
+        seen = system.get_file_info(fs.FileSelector(base, allow_not_found=True) if self.overwrite else [f"{base}/{n}" for n in names])
+        old = {i.base_name for i in seen if i.is_file and not i.base_name.startswith(("_", "."))}
         try:
             if len(names) < len(found):
                 raise ValueError("two rows have one file name")
             if not self.overwrite and old & names:
                 raise FileExistsError(f"already there: {sorted(old & names)[:5]}")
             system.create_dir(base, recursive=True)
-            with ThreadPoolExecutor(_MOVES) as pool:  # renames mostly wait
-                for k in range(0, len(found), 64 * _MOVES):
-                    list(pool.map(lambda f: system.move(f[0], f"{base}/{f[1]}"), found[k : k + 64 * _MOVES]))
+            with ThreadPoolExecutor(_MOVES) as pool:  # renames mostly wait; where they don't, one thread a name costs more than they do
+                moved = lambda k: [system.move(place, f"{base}/{name}") for place, name in found[k : k + _AT_ONCE]]
+                for _ in pool.map(moved, range(0, len(found), _AT_ONCE)):
+                    pass
             if self.overwrite:
                 for name in old - names:
                     system.delete_file(f"{base}/{name}")

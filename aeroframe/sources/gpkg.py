@@ -2,12 +2,14 @@
 
 A package is one SQLite file. ``write_packages`` makes one for each plan: tasks build them
 in memory from streamed lines and write the finished bytes, the commit renames.
-``read_packages`` and ``revise`` work on their bytes in tasks too, so any store that Spark
-reads will do. The format ``gpkg`` writes all rows to one file, which one commit does.
+``read_packages`` and ``revise`` work on their bytes in tasks too: on a column of content, which any
+store that Spark reads gives, or on paths, which tasks read themselves, so that no content is shuffled.
+The format ``gpkg`` writes all rows to one file, which one commit does.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import sqlite3
 import struct
@@ -19,7 +21,7 @@ from itertools import groupby
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
@@ -352,11 +354,53 @@ def write_packages(lines: DataFrame, folder: str, table: str = "flight_lines", m
     rows.repartition("plan_id").sortWithinPartitions("plan_id", "line_index").write.format("gpkg_plans").option("table", table).mode(mode).save(folder)
 
 
+#: The plan of a package by its path.
+_PLAN = r"plan-(\d+)\.gpkg$"
+
+
+def _plan_of(path: str) -> Column:
+    return F.regexp_extract(path, _PLAN, 1).try_cast("long").alias("plan_id")
+
+
+def _found(spark: SparkSession, folder: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gpkg").load(folder)
+
+
 def package_files(spark: SparkSession, folder: str) -> DataFrame:
     """(plan_id, path, content) of the packages of a folder; plan_id by the file's name. Sets the session's bytes of an Arrow batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.gpkg").load(folder)
-    return found.select(F.regexp_extract("path", r"plan-(\d+)\.gpkg$", 1).try_cast("long").alias("plan_id"), "path", "content")
+    return _found(spark, folder).select(_plan_of("path"), "path", "content")
+
+
+#: Bytes of packages that a task reads and, of a revision, that are there twice at a time; about.
+TASK_BYTES, SLICE_BYTES = 32 << 20, 4 << 30
+
+
+def package_paths(spark: SparkSession, folder: str) -> DataFrame:
+    """(plan_id, path, length) of the packages of a folder, dealt to tasks by bytes. Tasks read them; a scan of content has a task for every few files."""
+    found = _listed(spark, folder)
+    return found.repartition(_tasks(spark, *_count_and_size(found)))
+
+
+def _listed(spark: SparkSession, folder: str) -> DataFrame:
+    """(plan_id, path, length) of the packages of a folder, in a few partitions."""
+    few = _found(spark, folder).select("path", "length").coalesce(spark.sparkContext.defaultParallelism)
+    return few.select(_plan_of("path"), "path", "length")
+
+
+def _count_and_size(packages: DataFrame) -> Row:
+    return packages.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+
+
+def _tasks(spark: SparkSession, packages: int, size: int) -> int:
+    return max(1, min(packages, spark.sparkContext.defaultParallelism), -(-size // TASK_BYTES))
+
+
+def _contents(batch: pa.RecordBatch) -> Iterator[bytes]:
+    """The packages of a batch: its content or, where it has none, what lies at its paths, one after the other."""
+    if "content" in batch.schema.names:
+        return iter(batch.column("content").to_pylist())
+    return map(files.read_file, batch.column("path").to_pylist())
 
 
 _LINES = pa.schema([("plan_id", pa.int64()), ("path", pa.string()), ("id", pa.int64()), ("line_index", pa.int64()), ("altitude_datum", pa.string()), ("completion_pct", pa.float64()), ("crab_angle_deg", pa.float64()), ("geom", pa.binary()), ("error", pa.string())])
@@ -366,22 +410,28 @@ _ROWS = 4096
 BATCH_BYTES = 4 << 20
 
 
-def read_packages(packages: DataFrame, table: str = "flight_lines") -> DataFrame:
-    """All lines of packages given as (plan_id, path, content). A file that is no package gives one row with its error."""
+def read_packages(packages: DataFrame, table: str = "flight_lines", told: bool = False) -> DataFrame:
+    """All lines of packages given as (plan_id, path, content), or without content; ``told``: with the description of the table and
+    the metadata of the package at each. A file that is no package gives one row with its error."""
+    more = [("description", pa.string()), ("metadata", pa.map_(pa.string(), pa.string()))] if told else []
+    schema = pa.schema([*_LINES, *more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for plan, path, data in zip(*(batch.column(n).to_pylist() for n in ("plan_id", "path", "content")), strict=True):
+            for plan, path, data in zip(batch.column("plan_id").to_pylist(), batch.column("path").to_pylist(), _contents(batch), strict=True):
                 try:
                     db = open_package(data)
+                    same = [description(db, table), list(metadata(db).items())] if told else []
                     found = db.execute(f"select id, line_index, altitude_datum, completion_pct, crab_angle_deg, geom from {table} order by id")
                     while rows := found.fetchmany(_ROWS):
-                        yield pa.RecordBatch.from_arrays([pa.array([v] * len(rows), t) for v, t in ((plan, pa.int64()), (path, pa.string()))] + [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(_LINES)[2:8], strict=True)] + [pa.nulls(len(rows), pa.string())], schema=_LINES)
+                        fixed = lambda values, types: [pa.array([v] * len(rows), t) for v, t in zip(values, types, strict=True)]
+                        columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(_LINES)[2:8], strict=True)]
+                        yield pa.RecordBatch.from_arrays([*fixed((plan, path), (pa.int64(), pa.string())), *columns, pa.nulls(len(rows), pa.string()), *fixed(same, (t for _, t in more))], schema=schema)
                     db.close()
                 except (ValueError, sqlite3.Error) as e:
-                    yield pa.RecordBatch.from_pylist([{"plan_id": plan, "path": path, "error": str(e)}], _LINES)
+                    yield pa.RecordBatch.from_pylist([{"plan_id": plan, "path": path, "error": str(e)}], schema)
 
-    return packages.mapInArrow(run, "plan_id long, path string, id long, line_index long, altitude_datum string, completion_pct double, crab_angle_deg double, geom binary, error string")
+    return packages.mapInArrow(run, "plan_id long, path string, id long, line_index long, altitude_datum string, completion_pct double, crab_angle_deg double, geom binary, error string" + ", description string, metadata map<string, string>" * told)
 
 
 def _count_points(db: sqlite3.Connection, table: str) -> int | None:
@@ -402,7 +452,7 @@ def package_summaries(packages: DataFrame, table: str = "flight_lines") -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for plan, data in zip(batch.column("plan_id").to_pylist(), batch.column("content").to_pylist(), strict=True):
+            for plan, data in zip(batch.column("plan_id").to_pylist(), _contents(batch), strict=True):
                 try:
                     with _opened(data) as db:
                         found, points = summary(db, table), _count_points(db, table)
@@ -414,33 +464,108 @@ def package_summaries(packages: DataFrame, table: str = "flight_lines") -> DataF
     return packages.mapInArrow(run, "plan_id long, n_rows long, rtree_rows long, points long, min_x double, min_y double, max_x double, max_y double, description string, metadata map<string, string>, error string")
 
 
-def revise(packages: DataFrame, changes: DataFrame, table: str = "flight_lines", description: str | None = None, values: dict[str, str] | None = None) -> DataFrame:
+_CHANGES = "array<struct<line_index: bigint, completion_pct: double, gone: boolean>>"
+
+
+def _with_changes(packages: DataFrame, changes: DataFrame | None) -> DataFrame:
+    """Packages, by content or path, with the changes of each as an array."""
+    packages = packages.select(*(n for n in ("plan_id", "path", "length", "content") if n in packages.columns))
+    if changes is None:
+        return packages.withColumn("changes", F.lit(None).cast(_CHANGES))
+    each = F.struct(F.col("line_index").cast("long").alias("line_index"), F.col("completion_pct").cast("double").alias("completion_pct"), F.coalesce("gone", F.lit(False)).alias("gone"))
+    of_plan = changes.groupBy(F.col("plan_id").cast("long").alias("plan_id")).agg(F.collect_list(each).alias("changes"))
+    return packages.join(of_plan, "plan_id", "left")
+
+
+def revise(packages: DataFrame, changes: DataFrame | None, table: str = "flight_lines", description: str | None = None, values: dict[str, str] | None = None) -> DataFrame:
     """Packages with their lines' progress and deletions applied, as (name, content) for ``files.write_files``.
 
-    ``changes``: plan_id, line_index, completion_pct (null: as it was), gone (the line goes and later ones move up).
+    ``changes``: plan_id, line_index, completion_pct (null: as it was), gone (the line goes and later ones move up); None: no line changes.
     Indexes are those before any line goes. ``description`` is added to each table's description once,
     ``values`` are put into each package's metadata. Changes of one plan travel as one array: as many as its lines.
+    Packages with a column content take it through that join's shuffle, those of ``package_paths`` do not.
     """
-    each = F.struct("line_index", F.col("completion_pct").cast("double").alias("completion_pct"), F.coalesce("gone", F.lit(False)).alias("gone"))
-    of_plan = changes.groupBy(F.col("plan_id").cast("long").alias("plan_id")).agg(F.collect_list(each).alias("changes"))
-    joined = packages.join(of_plan, "plan_id", "left").select("plan_id", "content", "changes")
     more = dict(values or {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for plan, data, rows in zip(*(batch.column(n).to_pylist() for n in ("plan_id", "content", "changes")), strict=True):
-                db = open_package(data)
-                set_completion(db, table, {r["line_index"]: r["completion_pct"] for r in rows or [] if r["completion_pct"] is not None})
-                for k in sorted({r["line_index"] for r in rows or [] if r["gone"]}, reverse=True):
-                    delete_line(db, table, k)
-                if more:
-                    put_metadata(db, more)
-                if description:
-                    append_description(db, table, description)
-                yield pa.record_batch({"name": pa.array([f"plan-{plan:06d}.gpkg"]), "content": pa.array([db.serialize()], pa.binary())})
-                db.close()
+            for plan, rows, data in zip(batch.column("plan_id").to_pylist(), batch.column("changes").to_pylist(), _contents(batch), strict=True):
+                content = _revised(data, rows, table, description, more)
+                yield pa.record_batch({"name": pa.array([f"plan-{plan:06d}.gpkg"]), "content": pa.array([content], pa.binary())})
+
+    return _with_changes(packages, changes).mapInArrow(run, "name string, content binary")
+
+
+def _revised(data: bytes, changes: list[dict] | None, table: str, description: str | None, values: dict[str, str]) -> bytes:
+    with _opened(data) as db:
+        set_completion(db, table, {r["line_index"]: r["completion_pct"] for r in changes or [] if r["completion_pct"] is not None})
+        for k in sorted({r["line_index"] for r in changes or [] if r["gone"]}, reverse=True):
+            delete_line(db, table, k)
+        if values:
+            put_metadata(db, values)
+        if description:
+            append_description(db, table, description)
+        return db.serialize()
+
 
-    return joined.mapInArrow(run, "name string, content binary")
+class _RevisedWriter(files.StagedWriter):
+    """Packages of (plan_id, path, changes) are read, revised and written by one task each, so that no content leaves it."""
+
+    def __init__(self, options: dict, schema: StructType, overwrite: bool) -> None:
+        super().__init__(options, overwrite)
+        self.how = json.loads(options["how"])
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        with self.staged() as out:
+            for batch in iterator:
+                for plan, changes, data in zip(batch.column("plan_id").to_pylist(), batch.column("changes").to_pylist(), _contents(batch), strict=True):
+                    out.add(f"plan-{plan:06d}.gpkg", _revised(data, changes, **self.how))
+            return out.message()
+
+
+class GpkgRevisions(DataSource):
+    """``df.write.format("gpkg_revisions")``: see ``revise_folder``."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "gpkg_revisions"
+
+    def schema(self) -> str:
+        return f"plan_id long, path string, changes {_CHANGES}"
+
+    def writer(self, schema: StructType, overwrite: bool) -> files.StagedWriter:
+        return _RevisedWriter(self.options, schema, overwrite)
+
+
+def revise_folder(spark: SparkSession, source: str, target: str, changes: DataFrame | None = None, table: str = "flight_lines", description: str | None = None, values: dict[str, str] | None = None, keep: bool = True) -> None:
+    """The packages of a folder, revised (see ``revise``), as files of another, new one.
+
+    They go in slices of ``SLICE_BYTES``, each with a commit of its own. Unless ``keep``, the sources of a slice are removed once
+    its revised packages are in place: then packages are there once, and a slice of them twice. If a slice fails, its packages
+    and those of later slices are still in ``source``, the others in ``target``. Only paths and changes are shuffled.
+    """
+    spark.dataSource.register(GpkgRevisions)
+    how = json.dumps({"table": table, "description": description, "values": values or {}})
+    rows = _with_changes(_listed(spark, source), changes).persist()
+    try:
+        packages, size = _count_and_size(rows)
+        slices = max(1, -(-size // SLICE_BYTES))
+        for k in range(slices):
+            some = rows.where(F.pmod(F.xxhash64("plan_id"), F.lit(slices)) == k)
+            dealt = some.select("plan_id", "path", "changes").repartition(_tasks(spark, packages, size // slices))
+            dealt.write.format("gpkg_revisions").option("how", how).mode("append").save(target)
+            if not keep:
+                few = some.select("path").coalesce(spark.sparkContext.defaultParallelism)
+                few.mapInArrow(_remove, "removed long").agg(F.sum("removed")).first()
+    finally:
+        rows.unpersist()
+
+
+def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path in batch.column("path").to_pylist():
+            files.remove_file(path)
+        yield pa.record_batch({"removed": pa.array([batch.num_rows], pa.int64())})
 
 
 def line_points(blobs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -479,6 +604,12 @@ def metadata(package: str | bytes | sqlite3.Connection) -> dict[str, str]:
         return dict(db.execute(f"select key, value from {METADATA_TABLE}"))
 
 
+def description(package: str | bytes | sqlite3.Connection, table: str) -> str | None:
+    """The description of a feature table."""
+    with _opened(package) as db:
+        return (db.execute("select description from gpkg_contents where table_name = ?", (table,)).fetchone() or [None])[0]
+
+
 def put_metadata(package: str | sqlite3.Connection, values: dict[str, str]) -> None:
     with _opened(package) as db, db:
         db.executemany(f"insert into {METADATA_TABLE} values (?, ?) on conflict (key) do update set value = excluded.value", values.items())

@@ -187,3 +187,88 @@ def test_track_packages_are_read_once(spark):
 
     plan = QUERIES["snk_01_03_08_track_packages"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("binaryFile") == 1 and plan.count("MapInArrow") == 1
+
+
+def _folder_of_packages(at, n):
+    blob = gpkg.linestring([(8.0, 47.0, 400.0), (9.0, 48.0, 500.0)])
+    at.mkdir()
+    for plan in range(n):
+        db = gpkg.create_in_memory("flight_lines")
+        with db:
+            db.executemany(gpkg._INSERT.format("flight_lines"), [(k, "EGM96", 0.0, None, blob) for k in range(3)])
+            gpkg._describe(db, "flight_lines")
+        (at / f"plan-{plan:06d}.gpkg").write_bytes(db.serialize())
+
+
+def test_revisions_hold_packages_once_and_a_slice_twice(spark, tmp_path, monkeypatch):
+    """Slices are committed one after the other and their sources go, so that a folder of any size needs little room beside it."""
+    import threading
+
+    n, slices = 60, 5
+    a, b, c = (tmp_path / x for x in "abc")
+    _folder_of_packages(a, n)
+    monkeypatch.setattr(gpkg, "SLICE_BYTES", -(-sum(p.stat().st_size for p in a.iterdir()) // slices))
+    changes = spark.range(n).selectExpr("id as plan_id", "explode(array(0L, 1L, 2L)) as line_index").selectExpr("plan_id", "line_index", "case when line_index = 2 then cast(plan_id as double) end as completion_pct", "line_index = plan_id % 2 as gone")
+    gpkg.revise_folder(spark, str(a), str(b), changes, description="seen", values={"note": "x"})
+    assert len(list(a.iterdir())) == len(list(b.iterdir())) == n
+    plain = {r.name: bytes(r.content) for r in gpkg.revise(gpkg.package_files(spark, str(a)), changes, description="seen", values={"note": "x"}).collect()}
+    lines = lambda data: gpkg.open_package(data).execute("select id, line_index, completion_pct, geom from flight_lines order by id").fetchall()
+    for p in b.iterdir():
+        data = p.read_bytes()
+        assert lines(data) == lines(plain[p.name]) and gpkg.metadata(data) == {"schema_version": "3", "note": "x"}
+        assert gpkg.summary(data, "flight_lines") == gpkg.summary(plain[p.name], "flight_lines") and gpkg.description(data, "flight_lines") == "altitude_datum=EGM96\nseen"
+
+    seen, done = [], threading.Event()
+
+    def watch():
+        while not done.is_set():
+            seen.append(sum(1 for at in (b, c) for p in at.rglob("*") if p.is_file()))
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        gpkg.revise_folder(spark, str(b), str(c), description="seen", values={"note": "y"}, keep=False)
+    finally:
+        done.set()
+        watcher.join()
+    assert n <= max(seen) < 1.7 * n
+    assert list(b.iterdir()) == [] and sorted(p.name for p in c.iterdir()) == [f"plan-{k:06d}.gpkg" for k in range(n)]
+    rows = gpkg.read_packages(gpkg.package_paths(spark, str(c)), told=True).collect()
+    assert {(r.plan_id, r.line_index, r.completion_pct, r.description, r.metadata["note"]) for r in rows} == {(k, i, float(k) if i == 1 else 0.0, "altitude_datum=EGM96\nseen", "y") for k in range(n) for i in range(2)}
+
+
+def test_packages_by_path_are_read_by_tasks(spark, tmp_path):
+    at = tmp_path / "with space"
+    _folder_of_packages(at, 4)
+    (at / "plan-000009.gpkg").write_bytes(b"SQLite format 3\0 torn")
+    paths = gpkg.package_paths(spark, str(at))
+    rows = gpkg.read_packages(paths, told=True).collect()
+    assert sorted(r.plan_id for r in rows) == sorted([0, 1, 2, 3] * 3 + [9]) and [r.plan_id for r in rows if r.error] == [9]
+    assert {r.plan_id: r.n_rows for r in gpkg.package_summaries(paths).collect()} == {0: 3, 1: 3, 2: 3, 3: 3, 9: None}
+    changes = spark.createDataFrame([(1, 0, None, True)], "plan_id long, line_index long, completion_pct double, gone boolean")
+    revised = gpkg.revise(paths.where("plan_id < 9"), changes)
+    assert "content" not in paths._jdf.queryExecution().executedPlan().toString()
+    assert {r.name: gpkg.summary(bytes(r.content), "flight_lines")["rows"] for r in revised.collect()} == {"plan-000000.gpkg": 3, "plan-000001.gpkg": 2, "plan-000002.gpkg": 3, "plan-000003.gpkg": 3}
+
+
+def test_revised_tracks_are_kept_once(spark):
+    """Of three writes of a package a vehicle, only the last is left."""
+    from pathlib import Path
+
+    from aeroframe.plans.catalog import QUERIES
+
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    packages = lambda: {p for p in shared.rglob("plan-*.gpkg")}
+    before = packages()
+    rows = QUERIES["snk_09_10_revised_packages"](spark, "/root/testdata/sf0.001").collect()
+    assert len(packages() - before) == len({r.plan_id for r in rows}) > 0
+
+
+def test_scratch_folders_are_removed(tmp_path):
+    from aeroframe.sources import files
+
+    (tmp_path / "made").mkdir()
+    (tmp_path / "made/a").write_text("a")
+    files.remove_folder("file://" + str(tmp_path / "made"))
+    files.remove_folder("file://" + str(tmp_path / "none"))
+    assert list(tmp_path.iterdir()) == []
