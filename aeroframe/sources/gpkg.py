@@ -373,7 +373,7 @@ def package_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 #: Bytes of packages that a task reads and, of a revision, that are there twice at a time; about.
-TASK_BYTES, SLICE_BYTES = 32 << 20, 4 << 30
+TASK_BYTES, SLICE_BYTES = 32 << 20, 2 << 30
 
 
 def package_paths(spark: SparkSession, folder: str) -> DataFrame:
@@ -546,7 +546,7 @@ def revise_folder(spark: SparkSession, source: str, target: str, changes: DataFr
     """
     spark.dataSource.register(GpkgRevisions)
     how = json.dumps({"table": table, "description": description, "values": values or {}})
-    rows = _with_changes(_listed(spark, source), changes).persist()
+    rows = _with_changes(_listed(spark, source), changes).coalesce(spark.sparkContext.defaultParallelism).persist()
     try:
         packages, size = _count_and_size(rows)
         slices = max(1, -(-size // SLICE_BYTES))
@@ -555,8 +555,7 @@ def revise_folder(spark: SparkSession, source: str, target: str, changes: DataFr
             dealt = some.select("plan_id", "path", "changes").repartition(_tasks(spark, packages, size // slices))
             dealt.write.format("gpkg_revisions").option("how", how).mode("append").save(target)
             if not keep:
-                few = some.select("path").coalesce(spark.sparkContext.defaultParallelism)
-                few.mapInArrow(_remove, "removed long").agg(F.sum("removed")).first()
+                some.select("path").mapInArrow(_remove, "removed long").agg(F.sum("removed")).first()
     finally:
         rows.unpersist()
 
